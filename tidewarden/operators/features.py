@@ -67,7 +67,8 @@ def finite(x: Column) -> Column:
 
 
 def unskew(x: Column) -> Column:
-    return F.log1p(F.greatest(x, F.lit(0.0)))
+    """log(1 + max(x, 0)); null stays null, which ``greatest`` alone would turn to 0."""
+    return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
 
 def _value(features: Column, name: str) -> Column:

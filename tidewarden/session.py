@@ -30,7 +30,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def build_session(app: str = "tidewarden", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the runtime settings; ``master`` only for local runs."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false"
+    )
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
