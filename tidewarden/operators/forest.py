@@ -217,14 +217,43 @@ def fit(
     return forest
 
 
+def sweep(
+    df: DataFrame, vector: str, forest: Forest, contaminations: tuple[float, ...] = (0.05, 0.1, 0.15)
+) -> DataFrame:
+    """Offset and flagged rows for several contaminations.
+
+    Contamination only moves the offset, so the trees are grown and walked once.
+    """
+    raw = df.select(score_column(forest, F.col(vector)).alias("s")).persist()
+    try:
+        found = [(c, exact_percentile(raw, "s", c)) for c in contaminations]
+        flagged = raw.agg(
+            F.count("*"), *[F.count_if(F.col("s") < F.lit(offset)) for _, offset in found]
+        ).first()
+    finally:
+        raw.unpersist()
+    rows = [(c, o, n, flagged[0]) for (c, o), n in zip(found, flagged[1:])]
+    return df.sparkSession.createDataFrame(
+        rows, "contamination double, offset double, flagged bigint, rows bigint"
+    )
+
+
+def fold_of(row_id: Column, folds: int = 5) -> Column:
+    """Fold number of a row, fixed by its id."""
+    return F.pmod(F.xxhash64(row_id), F.lit(folds)).cast("int")
+
+
 def score_column(forest: Forest, vector: Column) -> Column:
     """``score_samples`` as a column; the node arrays go out once per executor."""
     spark = SparkSession.active()
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast(
+        (forest.version, forest.sample_size, forest.contamination, forest.offset,
+         forest.feature, forest.threshold, forest.child, forest.path)
+    )
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
+        model = Forest(*shared.value)
         for v in batches:
             if len(v) == 0:
                 yield pd.Series([], dtype=float)
@@ -283,16 +312,34 @@ def score_events(
     processed_at: Column | None = None,
 ) -> DataFrame:
     """Scored-event records: score, flag, worker severity, version, time."""
-    from tidewarden.functions.severity import worker_severity
-
     if forest is None:
         df = events.withColumn("anomaly_score", fallback_score(F.col("event_id")))
-        df, raw, version = df, F.lit(False), "dummy-v0"
-    else:
-        # The decision is named first so that the trees are walked once per row.
-        df = events.withColumn("_decision", decide(forest, F.col(vector)))
-        df = df.withColumn("anomaly_score", normalised(F.col("_decision")))
-        raw, version = raw_flag(F.col("_decision")), forest.version
+        return from_score(df, F.lit(False), "dummy-v0", threshold, processed_at)
+    # The decision is named first so that the trees are walked once per row.
+    df = events.withColumn("_decision", decide(forest, F.col(vector)))
+    return from_decision(df, "_decision", forest.version, threshold, processed_at)
+
+
+def from_decision(
+    df: DataFrame,
+    decision: str,
+    version: str,
+    threshold: float = ANOMALY_THRESHOLD,
+    processed_at: Column | None = None,
+) -> DataFrame:
+    df = df.withColumn("anomaly_score", normalised(F.col(decision)))
+    return from_score(df, raw_flag(F.col(decision)), version, threshold, processed_at)
+
+
+def from_score(
+    df: DataFrame,
+    raw: Column,
+    version: str,
+    threshold: float = ANOMALY_THRESHOLD,
+    processed_at: Column | None = None,
+) -> DataFrame:
+    from tidewarden.functions.severity import worker_severity
+
     df = df.withColumn("is_anomaly", flag_raise(raw, F.col("anomaly_score"), threshold))
     return scored_projection(
         df.withColumn("model_version", F.lit(version))
