@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.functions.identity import uuid5
+from tidewarden.functions.identity import hash_uniform, uuid5
 from tidewarden.functions.severity import alert_severity
 from tidewarden.functions.timebuckets import literal_ts
 from tidewarden.schema import ANOMALY_THRESHOLD
 
 
+def uniform(seed: int) -> Column:
+    """0..1, fixed by row id and seed, so the partitioning does not change the data."""
+    return hash_uniform(F.col("id"), 0.0, 1.0, seed)
+
+
+def gauss(seed: int) -> Column:
+    """Standard normal from two uniforms (Box-Muller)."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(2 * seed)))
+    return radius * F.cos(F.lit(2 * math.pi) * uniform(2 * seed + 1))
+
+
 def synthetic_events(
     spark: SparkSession,
     n: int,
@@ -23,14 +35,14 @@ def synthetic_events(
     seed: int = 42,
 ) -> DataFrame:
     """Raw events in list form: N(0,1) features, a share of them N(5,3)."""
-    normal = [F.randn(seed + 1 + i) for i in range(n_features)]
+    normal = [gauss(seed + 1 + i) for i in range(n_features)]
     odd = F.col("injected_anomaly")
     return (
         spark.range(n)
-        .withColumn("injected_anomaly", F.rand(seed) < anomaly_probability)
+        .withColumn("injected_anomaly", uniform(seed) < anomaly_probability)
         .select(
             uuid5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))).alias("event_id"),
-            F.concat(F.lit("source-"), (F.floor(F.rand(seed + 100) * sources) + 1).cast("string")).alias(
+            F.concat(F.lit("source-"), (F.floor(uniform(seed + 100) * sources) + 1).cast("string")).alias(
                 "source_id"
             ),
             F.array(*[F.when(odd, g * 3.0 + 5.0).otherwise(g) for g in normal]).alias(
@@ -50,12 +62,12 @@ def seed_table(spark: SparkSession, as_of: dt.datetime, n: int = 1000, seed: int
     pairs = [
         x
         for i, (name, top) in enumerate(sizes.items())
-        for x in (F.lit(name), F.round(F.rand(seed + 10 + i) * top, 4))
+        for x in (F.lit(name), F.round(uniform(seed + 10 + i) * top, 4))
     ]
     now = literal_ts(as_of)
-    back_us = (F.rand(seed + 1) * F.lit(7 * 86_400 * 1_000_000)).cast("bigint")
-    lag_us = ((F.rand(seed + 3) * 0.45 + 0.05) * 1_000_000).cast("bigint")
-    score = F.when(odd, F.rand(seed + 2) * 0.30 + 0.70).otherwise(F.rand(seed + 2) * 0.65)
+    back_us = (uniform(seed + 1) * F.lit(7 * 86_400 * 1_000_000)).cast("bigint")
+    lag_us = ((uniform(seed + 3) * 0.45 + 0.05) * 1_000_000).cast("bigint")
+    score = F.when(odd, uniform(seed + 2) * 0.30 + 0.70).otherwise(uniform(seed + 2) * 0.65)
     return (
         spark.range(n)
         .select(
@@ -85,7 +97,7 @@ def training_data(
     def part(count: int, factor: float, base: int, odd: int) -> DataFrame:
         return spark.range(count).select(
             (F.col("id") + F.lit(odd * n)).alias("id"),
-            F.array(*[F.randn(base + i) * factor for i in range(n_features)]).alias("vector"),
+            F.array(*[gauss(base + i) * factor for i in range(n_features)]).alias("vector"),
             F.lit(odd).alias("label"),
         )
 

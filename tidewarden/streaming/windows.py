@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewarden.plans import hourly
 from tidewarden.plans.queries import _anomalies, _rate_pct
+from tidewarden.session import cut_lineage
+from tidewarden.sources import files
 
 LATE = "3 hours"
 
@@ -51,8 +53,6 @@ def start_hourly(scored: DataFrame, path: str, checkpoint: str, interval: str |
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        from tidewarden.sources import files
-
         spark = batch.sparkSession
         batch = batch.persist()
         try:
@@ -63,7 +63,7 @@ def start_hourly(scored: DataFrame, path: str, checkpoint: str, interval: str |
                 held = hourly.read_partials(spark, path).filter(F.col("bucket_hour").isin(hours))
                 kept = held.drop("bucket_hour").join(batch, ["bucket", "source_id"], "left_anti")
                 # The rows are read from the folders about to be replaced.
-                merged = batch.unionByName(kept).checkpoint()
+                merged = cut_lineage(batch.unionByName(kept))
             else:
                 merged = batch
             hourly.write_partials(merged, path)
