@@ -63,7 +63,8 @@ def messages(s, sf):
         .when(F.col("event_type") == "click", as_list)
         .otherwise(as_map)
     )
-    return e.select(value.alias("value"))
+    # A generator keeps the text from being rebuilt by every use of the column.
+    return e.select(F.explode(F.array(value)).alias("value"))
 
 
 K_TEXT = """CASE WHEN event_type = 'click' THEN k WHEN k < 20 THEN NULL WHEN k < 25 THEN 1.0 ELSE k END"""

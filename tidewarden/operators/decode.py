@@ -38,7 +38,9 @@ def decode(messages: DataFrame, value: str = "value", avro_schema: str | None =
     parsed = F.from_json(
         payload, ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
-    df = df.withColumn("payload", payload).withColumn("event", parsed)
+    # Through a generator the parse runs once per row; as a plain column it would be
+    # repeated by every filter on it that is pushed below the projection.
+    df = df.select("*", payload.alias("payload"), F.explode(F.array(parsed)).alias("event"))
     looks_like_object = F.ltrim(F.col("payload")).startswith("{")
     broken = F.col("event").isNull() | F.col("event._corrupt").isNotNull()
     return df.withColumn(
@@ -65,14 +67,18 @@ def to_number(text: Column) -> Column:
     """Text as a double, null where it is no number.
 
     Quotes around NaN tokens are dropped, JSON booleans count as 1 and 0, and
-    the digit separator ``_`` is accepted between digits.
+    the digit separator ``_`` is accepted between digits. Text made of digits,
+    signs, point and exponent alone needs none of that and is cast directly.
     """
     bare = F.regexp_replace(F.trim(F.regexp_replace(text, '^"|"$', "")), r"(?<=\d)_(?=\d)", "")
-    return (
+    unusual = (
         F.when(bare == "true", F.lit(1.0))
         .when(bare == "false", F.lit(0.0))
         .when(bare.rlike(NUMBER), bare.try_cast("double"))
     )
+    return F.when(F.translate(text, "0123456789+-.eE", "") == "", text.try_cast("double")).otherwise(
+        unusual
+    )
 
 
 def epoch_ms_to_time(ms: Column, now: Column | None = None) -> Column:
@@ -115,21 +121,23 @@ def map_to_vector(features: Column, declared: list[str] | None = None) -> Column
 def normalise(decoded: DataFrame, declared: list[str] | None = None) -> DataFrame:
     """Good messages of either envelope as one raw-event record."""
     e = F.col("event")
-    numbers = F.transform_values("event.features", lambda _, v: to_number(v))
-    vector = F.transform("event.feature_vector", to_number)
-    return (
-        decoded.filter(F.col("bad").isNull())
-        .select(
-            e.event_id.alias("event_id"),
-            F.coalesce(e.source_id, F.lit("")).alias("source_id"),
-            F.coalesce(e.event_type, F.lit("")).alias("event_type"),
-            event_instant(e.event_time, e.timestamp).alias("event_time"),
-            F.coalesce(
-                numbers, vector_to_map(vector), F.create_map().cast("map<string,double>")
-            ).alias("features"),
-            F.coalesce(vector, map_to_vector(numbers, declared)).alias("feature_vector"),
-            F.coalesce(e.metadata, F.create_map().cast("map<string,string>")).alias("metadata"),
-        )
+    # Typed once in a projection of their own, then used several times.
+    typed = decoded.filter(F.col("bad").isNull()).select(
+        "event",
+        F.transform_values("event.features", lambda _, v: to_number(v)).alias("numbers"),
+        F.transform("event.feature_vector", to_number).alias("vector"),
+    )
+    numbers, vector = F.col("numbers"), F.col("vector")
+    return typed.select(
+        e.event_id.alias("event_id"),
+        F.coalesce(e.source_id, F.lit("")).alias("source_id"),
+        F.coalesce(e.event_type, F.lit("")).alias("event_type"),
+        event_instant(e.event_time, e.timestamp).alias("event_time"),
+        F.coalesce(
+            numbers, vector_to_map(vector), F.create_map().cast("map<string,double>")
+        ).alias("features"),
+        F.coalesce(vector, map_to_vector(numbers, declared)).alias("feature_vector"),
+        F.coalesce(e.metadata, F.create_map().cast("map<string,string>")).alias("metadata"),
     )
 
 

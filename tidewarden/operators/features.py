@@ -63,12 +63,13 @@ def zero_vector(names: list[str] | None = None) -> Column:
 def finite(x: Column) -> Column:
     """``x`` where it is a finite number, else null."""
     x = x.cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+    # NaN sorts above infinity, so one comparison drops both.
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def unskew(x: Column) -> Column:
-    """log(1 + max(x, 0)); null stays null, which ``greatest`` alone would turn to 0."""
-    return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
+    """log(1 + max(x, 0)); null stays null, which ``greatest`` would turn to 0."""
+    return F.log1p(F.when(x < 0, F.lit(0.0)).otherwise(x))
 
 
 def _value(features: Column, name: str) -> Column:

@@ -58,29 +58,34 @@ def compact(
 
     Rows are range-partitioned on the full sort order, so a source that owns most
     of a day is spread over many files instead of landing in one task, and row
-    group statistics then prune by source, flag and time. Each day is written to
-    the side and swapped in; a day that has had no new files is skipped.
+    group statistics then prune by source, flag and time. All days that are due
+    are rewritten to the side in one job and swapped in one by one; a day that
+    has had no new files since its last rewrite is skipped.
     """
-    done = []
+    due = []
     for day in days(spark, path):
         end = dt.datetime.combine(day, dt.time(), dt.UTC) + dt.timedelta(days=1)
-        folder = f"{path}/event_date={day}"
-        newest = files.newest(spark, folder)
-        if end > as_of - older_than or newest is None or newest[0] == MARKER:
-            continue
-        parts = max(1, math.ceil(files.size_of(spark, folder) / target_bytes))
-        order = ["source_id", "is_anomaly", F.desc("event_time")]
-        side = f"{path}/_compacting/{uuid.uuid4().hex}"
-        (
-            spark.read.parquet(folder)
-            .repartitionByRange(parts, *order)
-            .sortWithinPartitions(*order)
-            .write.parquet(f"{side}/new")
-        )
-        files.touch(spark, f"{side}/new/{MARKER}")
+        newest = files.newest(spark, f"{path}/event_date={day}")
+        if end <= as_of - older_than and newest is not None and newest[0] != MARKER:
+            due.append(day)
+    if not due:
+        return []
+    size = sum(files.size_of(spark, f"{path}/event_date={day}") for day in due)
+    order = ["event_date", "source_id", "is_anomaly", F.desc("event_time")]
+    side = f"{path}/_compacting/{uuid.uuid4().hex}"
+    (
+        spark.read.parquet(path)
+        .filter(F.col("event_date").isin(due))
+        .repartitionByRange(max(len(due), math.ceil(size / target_bytes)), *order)
+        .sortWithinPartitions(*order)
+        .write.partitionBy("event_date")
+        .parquet(f"{side}/new")
+    )
+    for day in due:
+        name = f"event_date={day}"
+        files.touch(spark, f"{side}/new/{name}/{MARKER}")
         # The old files stay on the side until the new ones are in place.
-        files.move(spark, folder, f"{side}/old")
-        files.move(spark, f"{side}/new", folder)
-        files.delete(spark, side)
-        done.append(day)
-    return done
+        files.move(spark, f"{path}/{name}", f"{side}/old/{name}")
+        files.move(spark, f"{side}/new/{name}", f"{path}/{name}")
+    files.delete(spark, side)
+    return due
