@@ -81,7 +81,7 @@ def batch_drifts(
     tie: str = "event_id",
     params: Params = Params(),
     block_rows: int = 50_000,
-    chunk_ms: int = 3_600_000,
+    chunk_ms: int = 300_000,
 ) -> DataFrame:
     """Rows on which the detector of their key signals, as if fed in time order.
 

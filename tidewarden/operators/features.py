@@ -183,7 +183,7 @@ def with_rolling(
     key: str = "source_id",
     ts: str = "event_time",
     width_ms: int = 300_000,
-    chunk_ms: int = 3_600_000,
+    chunk_ms: int = 900_000,
 ) -> DataFrame:
     """Mean and population deviation of the last 5 minutes, this row included.
 
@@ -236,7 +236,7 @@ def with_return(
     tie: str = "event_id",
     lag_ms: int = 60_000,
     look_back_ms: int = 300_000,
-    chunk_ms: int = 3_600_000,
+    chunk_ms: int = 900_000,
 ) -> DataFrame:
     """price_return_1m: value / value one minute earlier - 1.
 

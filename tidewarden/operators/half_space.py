@@ -172,7 +172,7 @@ def batch_scores(
     ts: str = "event_time",
     tie: str = "event_id",
     params: Params = Params(),
-    chunk_ms: int = 3_600_000,
+    chunk_ms: int = 300_000,
     windows_per_task: int = 16,
 ) -> DataFrame:
     """(key, tie, position, score) for every row, equal to folding each key in order.

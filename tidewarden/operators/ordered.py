@@ -18,7 +18,7 @@ def with_prefix(
     ms: str,
     tie: str,
     sums: dict[str, Column] | None = None,
-    chunk_ms: int = 3_600_000,
+    chunk_ms: int = 300_000,
     position: str = "_pos",
 ) -> DataFrame:
     """Adds the row's position within its key (from 0) and exclusive running sums."""

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarden.functions.identity import uuid5
-from tidewarden.functions.timebuckets import time_range
+from tidewarden.functions.timebuckets import latest_time, time_range
 from tidewarden.operators.decode import binarise_label, find_label_column
 from tidewarden.schema import SCORED_EVENT
+from tidewarden.sources import files
 
 
 def raw_stream(
@@ -53,6 +54,16 @@ def scored_table(
     return time_range(spark.read.schema(SCORED_EVENT).parquet(path), start, end)
 
 
+def newest_time(spark: SparkSession, path: str) -> dt.datetime | None:
+    """Newest event time of a table, read from its last day alone."""
+    prefix = "event_date="
+    found = [n for n in files.children(spark, path) if n.startswith(prefix)]
+    if not found:
+        return None
+    day = dt.date.fromisoformat(max(found).removeprefix(prefix))
+    return latest_time(scored_table(spark, path).filter(F.col("event_date") == F.lit(day)))
+
+
 def training_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Whole training file(s) with a declared schema, plus a 0/1 ``label``.
 

@@ -38,23 +38,38 @@ class Alerter:
     routing_key: str = ""
 
 
-def alerts_of_batch(batch: DataFrame, a: Alerter) -> DataFrame:
-    """Alerts of the events of one micro-batch.
+def alerts_of_batch(batch: DataFrame, a: Alerter) -> DataFrame | None:
+    """Alerts of the events of one micro-batch, None without any anomaly.
 
     Bursts are counted on the scored table, from one window before the batch to
     its end, so no state has to be carried or kept in memory for a source, late
     events are counted where they belong, and a retry gives the same alerts.
     """
     spark = batch.sparkSession
-    flagged = batch.filter("is_anomaly").select("event_id", "event_time")
-    micros = F.unix_micros("event_time")
-    low, high = flagged.agg(F.min(micros), F.max(micros)).first()
+    ms = F.unix_millis("event_time")
+    flagged = batch.filter("is_anomaly").select(
+        "event_id", "source_id", F.floor(ms / F.lit(a.window_ms)).alias("slot"),
+        F.unix_micros("event_time").alias("us"),
+    )
+    low, high = flagged.agg(F.min("us"), F.max("us")).first()
     if low is None:
-        return spark.createDataFrame([], "alert_id string").limit(0)
+        return None
     epoch = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
     start = epoch + dt.timedelta(microseconds=low) - dt.timedelta(milliseconds=a.window_ms)
     end = epoch + dt.timedelta(microseconds=high)
-    context = readers.scored_table(spark, a.scored_table, start, end)
+    # What counts for an event lies in its own slot of one window width or the one
+    # before, so a single late event does not pull in all sources since then.
+    near = flagged.select(
+        F.col("source_id").alias("_source"),
+        F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("_slot"),
+    ).distinct()
+    context = readers.scored_table(spark, a.scored_table, start, end).filter("is_anomaly")
+    context = context.join(
+        near,
+        (F.col("source_id") == F.col("_source"))
+        & (F.floor(ms / F.lit(a.window_ms)) == F.col("_slot")),
+        "left_semi",
+    )
     built = alerts.build_alerts(
         context,
         a.silences() if a.silences else None,
@@ -68,7 +83,7 @@ def alerts_of_batch(batch: DataFrame, a: Alerter) -> DataFrame:
 
 def alert_batch(batch: DataFrame, batch_id: int, a: Alerter) -> None:
     found = alerts_of_batch(batch, a)
-    if "severity" not in found.columns:
+    if found is None:
         return
     found = found.persist()
     try:
