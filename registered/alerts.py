@@ -175,6 +175,35 @@ register(
     WHEN anomaly_score >= 0.9::DOUBLE THEN 'HIGH' WHEN anomaly_score >= 0.8::DOUBLE THEN 'MEDIUM'
     WHEN anomaly_score >= 0.1::DOUBLE THEN 'LOW' ELSE 'NONE' END AS severity FROM scored""",
 )
+
+
+def settings_log(s, sf):
+    """Threshold changes: some events set one of the five settings to their scaled value."""
+    e = table(s, sf, "events")
+    names = F.array(*[F.lit(n) for n in ("low", "medium", "high", "critical", "burst_limit")])
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(
+        F.coalesce(F.get(names, k), F.lit("other")).alias("name"), F.round(F.col("value") / 500.0, 4).alias("value"),
+        F.col("ts").cast("timestamp").alias("at"),
+    )
+
+
+def by_settings_table(s, sf):
+    t = sev.AlertThresholds.from_table(settings_log(s, sf).filter("name <> 'burst_limit'"))
+    return scored(s, sf).select("event_id", sev.alert_severity(F.col("anomaly_score"), None, t).alias("severity"))
+
+
+register(
+    "a08_settings_table",
+    by_settings_table,
+    f"""{S}, t AS (SELECT coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 0), 0.7) AS lo,
+      coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 1), 0.8) AS me,
+      coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 2), 0.9) AS hi,
+      coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 3), 0.95) AS cr FROM scored)
+    SELECT event_id, CASE WHEN anomaly_score >= cr THEN 'CRITICAL' WHEN anomaly_score >= hi THEN 'HIGH'
+      WHEN anomaly_score >= me THEN 'MEDIUM' WHEN anomaly_score >= lo THEN 'LOW' ELSE 'NONE' END AS severity
+    FROM scored, t""",
+)
 register(
     "a09_worker_severity",
     lambda s, sf: scored(s, sf).select(

@@ -180,6 +180,10 @@ register(
 
 
 register("m10_contamination_sweep", lambda s, sf: forest.sweep(vectors(s, sf), "x", fitted(s, sf, 30)))
+register(
+    "m10_cross_validation",
+    lambda s, sf: forest.cross_validate(vectors(s, sf), "x", "event_id", trees=20, contamination=0.1),
+)
 register(
     "m10_folds",
     lambda s, sf: vectors(s, sf).groupBy(forest.fold_of(F.col("event_id")).alias("fold")).agg(F.count("*").alias("rows")),

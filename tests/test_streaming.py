@@ -90,6 +90,33 @@ def test_model_swap_between_batches(spark):
     assert r.active() == version
 
 
+def test_control_stream_moves_the_pointer(spark):
+    e = scored_view(spark, SF)
+    r = Registry(spark, folder(spark, "registry"))
+    for day in (20, 31):
+        retrain.retrain(r, e, dt.datetime(2024, 1, day, tzinfo=dt.UTC), trees=5, at_least=10)
+    assert r.active() == "20240131_000000"
+    path = folder(spark, "control")
+    t0 = dt.datetime(2024, 2, 1, tzinfo=dt.UTC)
+
+    def send(i, text):
+        df = spark.createDataFrame([(text, t0 + dt.timedelta(minutes=i))], "value string, event_time timestamp")
+        df.coalesce(1).write.mode("append").parquet(path)
+
+    def follow():
+        stream = spark.readStream.schema("value string, event_time timestamp").parquet(path)
+        scoring.start_control(stream, r, path + "-cp").awaitTermination()
+        return r.active()
+
+    send(0, '{"command":"ROLLBACK","target_version":"20240120_000000"}')
+    assert follow() == "20240120_000000"
+    send(1, '{"action":"reload","version":"nothing_stored"}')
+    send(2, "not json")
+    assert follow() == "20240120_000000"
+    send(3, '{"model_version":"20240131_000000"}')
+    assert follow() == "20240131_000000"
+
+
 def test_alerting_stream_equals_batch(spark, event_files):
     files, e = event_files
     out = folder(spark, "alerting")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.schema import (
@@ -35,6 +35,13 @@ class AlertThresholds:
             known["burst_limit"] = int(known["burst_limit"])
         return cls(**known)
 
+    @classmethod
+    def from_table(cls, settings: DataFrame) -> AlertThresholds:
+        """Newest value per name of a settings log (name, value, at); five names count."""
+        known = settings.filter(F.col("name").isin(list(cls.__dataclass_fields__)))
+        rows = known.groupBy("name").agg(F.max_by("value", "at").alias("value")).collect()
+        return cls.from_settings({r["name"]: r["value"] for r in rows})
+
     def ladder(self) -> list[tuple[str, float]]:
         return [(name, getattr(self, name.lower())) for name, _ in ALERT_LADDER]
 

@@ -13,10 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewarden.functions.arrays import matrix
 from tidewarden.functions.quantiles import exact_percentile
 
 HIDDEN = (512, 256, 128, 256, 512)
@@ -212,14 +214,12 @@ def error_column(model: Autoencoder, vector: Column) -> Column:
     """Reconstruction error per row."""
     shared = SparkSession.active().sparkContext.broadcast((model.weights, list(model.sizes)))
 
-    @F.pandas_udf("double")
-    def error(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def error(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, sizes = shared.value
-        for v in batches:
-            if len(v) == 0:
-                yield pd.Series([], dtype=float)
-            else:
-                yield pd.Series(errors(np.vstack(v.to_numpy()).astype(float), weights, sizes))
+        for vectors in batches:
+            x = matrix(vectors)
+            yield pa.array(errors(x, weights, sizes) if len(x) else np.zeros(0))
 
     return error(vector)
 

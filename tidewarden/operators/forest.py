@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewarden.functions.arrays import matrix
 from tidewarden.functions.identity import hash_uniform
 from tidewarden.functions.quantiles import exact_percentile
 from tidewarden.schema import ANOMALY_THRESHOLD
@@ -52,6 +54,8 @@ class Forest:
 
     def score_samples(self, x: np.ndarray) -> np.ndarray:
         """Negated anomaly score, as low as -1 for outliers."""
+        if len(x) and x.shape[1] <= self.feature.max():
+            raise ValueError("vectors are shorter than those the forest was grown on")
         out = np.empty(len(x))
         for start in range(0, len(x), 4096):
             block = np.ascontiguousarray(x[start : start + 4096])
@@ -243,6 +247,33 @@ def fold_of(row_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.xxhash64(row_id), F.lit(folds)).cast("int")
 
 
+def cross_validate(
+    df: DataFrame, vector: str, row_id: str, folds: int = 5, **fit_options
+) -> DataFrame:
+    """Per fold: a forest grown on the other folds, judged on this one."""
+    numbered = df.withColumn("_fold", fold_of(F.col(row_id).cast("string"), folds)).persist()
+    out = []
+    try:
+        for k in range(folds):
+            model = fit(numbered.filter(F.col("_fold") != k), vector, row_id, f"fold-{k}", **fit_options)
+            held_out = numbered.filter(F.col("_fold") == k).select(
+                decide(model, F.col(vector)).alias("d")
+            )
+            out.append(
+                held_out.agg(
+                    F.lit(k).alias("fold"),
+                    F.count("*").alias("rows"),
+                    F.avg((F.col("d") < 0).cast("double")).alias("anomaly_rate"),
+                    F.avg("d").alias("mean_decision_score"),
+                ).first()
+            )
+    finally:
+        numbered.unpersist()
+    return df.sparkSession.createDataFrame(
+        out, "fold int, rows bigint, anomaly_rate double, mean_decision_score double"
+    )
+
+
 def score_column(forest: Forest, vector: Column) -> Column:
     """``score_samples`` as a column; the node arrays go out once per executor."""
     spark = SparkSession.active()
@@ -251,14 +282,11 @@ def score_column(forest: Forest, vector: Column) -> Column:
          forest.feature, forest.threshold, forest.child, forest.path)
     )
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Forest(*shared.value)
-        for v in batches:
-            if len(v) == 0:
-                yield pd.Series([], dtype=float)
-            else:
-                yield pd.Series(model.score_samples(np.vstack(v.to_numpy()).astype(float)))
+        for vectors in batches:
+            yield pa.array(model.score_samples(matrix(vectors)))
 
     return score(vector)
 

@@ -39,7 +39,10 @@ def insert_new(batch: DataFrame, path: str, keys: list[str] = KEYS, day: str = "
                         F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high))
                     )
                 )
-            new_rows = new.join(held, keys, "left_anti")
+            # The batch is small against its days: first keep the held keys it has
+            # (the batch side can be broadcast), then leave those rows out.
+            clashes = held.join(new.select(*keys), keys, "left_semi")
+            new_rows = new.join(clashes, keys, "left_anti")
         else:
             new_rows = new
         # A day may hold most of the batch: rebalancing splits it over tasks.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewarden.operators import decode, features, forest
 from tidewarden.plans.retrain import scale_vector
 from tidewarden.schema import ANOMALY_THRESHOLD
-from tidewarden.sources import sinks
+from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
 
 
@@ -133,6 +134,32 @@ def start_scoring(
     ).start()
 
 
+def control_batch(messages: DataFrame, batch_id: int, registry: Registry) -> None:
+    """Move the active-version pointer to what the newest control message asks for.
+
+    A version without stored artifacts is not taken over; the previous one stays.
+    """
+    row = readers.newest_version(readers.control_messages(messages)).first()
+    if row.version is None or row.version == registry.active():
+        return
+    if row.version in registry.versions("forest"):
+        registry.activate(row.version, dt.datetime.now(dt.UTC), "control")
+
+
+def start_control(
+    messages: DataFrame, registry: Registry, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Follow the model control stream (value, event_time)."""
+    writer = (
+        messages.writeStream.queryName("control")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda df, batch_id: control_batch(df, batch_id, registry))
+    )
+    return (
+        writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    ).start()
+
+
 def start_feed(
     scored: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
