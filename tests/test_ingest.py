@@ -160,6 +160,7 @@ def test_retention_and_compaction(spark):
     rows = spark.read.parquet(f"{path}/event_date=2024-01-01/{data[0]}").collect()
     keys = [(r.source_id, r.is_anomaly, -r.event_time.timestamp()) for r in rows]
     assert keys == sorted(keys)
+    assert files.children(spark, f"{path}/_compacting") == []
     sinks.insert_new(scored_rows(spark, 90, dt.date(2024, 1, 2)), path)  # a late file: due again
     assert maintenance.compact(spark, path, as_of) == [dt.date(2024, 1, 2)]
     gone = maintenance.drop_expired(spark, path, as_of, dt.timedelta(days=8))
@@ -168,6 +169,23 @@ def test_retention_and_compaction(spark):
     assert maintenance.stream_retention("raw-events") == dt.timedelta(hours=24)
 
 
+def test_compaction_keeps_files_written_meanwhile(spark, monkeypatch):
+    path = shared_dir(spark, "race")
+    sinks.insert_new(scored_rows(spark, 50), path)
+    move, late = files.move, []
+
+    def slow_move(*args):
+        if not late:
+            late.append(1)
+            sinks.insert_new(scored_rows(spark, 60), path)
+        move(*args)
+
+    monkeypatch.setattr(files, "move", slow_move)
+    maintenance.compact(spark, path, dt.datetime(2024, 2, 1, tzinfo=dt.UTC))
+    got = spark.read.parquet(path)
+    assert got.count() == got.select("event_id").distinct().count() == 60
+
+
 def test_refresh_replaces_only_its_hours(spark, scored):
     path = shared_dir(spark, "h")
     as_of = dt.datetime(2024, 1, 10, 12, 30, tzinfo=dt.UTC)

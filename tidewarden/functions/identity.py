@@ -32,8 +32,8 @@ def uuid5(text: Column) -> Column:
     )
 
 
-def safe_uuid(raw: Column) -> Column:
-    """Valid UUID text in canonical form; other text hashed; nothing -> random.
+def safe_uuid(raw: Column, missing: Column | None = None) -> Column:
+    """Valid UUID text in canonical form; other text hashed; nothing -> ``missing`` or random.
 
     Accepts the spellings a UUID parser accepts: any case, with or without
     dashes, in braces or with the ``urn:uuid:`` prefix.
@@ -41,7 +41,7 @@ def safe_uuid(raw: Column) -> Column:
     stripped = F.regexp_replace(F.regexp_replace(raw, "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
     is_uuid = stripped.rlike(r"^[0-9a-fA-F]{32}$")
     return (
-        F.when(raw.isNull() | (raw == ""), F.uuid())
+        F.when(raw.isNull() | (raw == ""), F.uuid() if missing is None else missing)
         .when(is_uuid, _dashed(F.lower(stripped)))
         .otherwise(uuid5(raw))
     )

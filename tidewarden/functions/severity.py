@@ -101,7 +101,7 @@ def channels(severity: Column) -> Column:
 
 def sla_seconds(severity: Column) -> Column:
     pairs = [F.lit(x) for name, secs in SLA_SECONDS.items() for x in (name, secs)]
-    return F.coalesce(F.element_at(F.create_map(*pairs), severity), F.lit(0))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), severity), F.lit(0))
 
 
 def route(severity: Column) -> Column:

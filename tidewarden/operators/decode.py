@@ -83,17 +83,22 @@ def to_number(text: Column) -> Column:
 
 def epoch_ms_to_time(ms: Column, now: Column | None = None) -> Column:
     """Epoch milliseconds as an instant; the current time where there is none."""
-    return F.coalesce(F.timestamp_micros((ms * F.lit(1_000)).cast("bigint")),
-                      F.current_timestamp() if now is None else now)
+    return F.coalesce(_from_ms(ms.cast("double")), F.current_timestamp() if now is None else now)
 
 
-def event_instant(event_time: Column, timestamp: Column) -> Column:
-    """Epoch milliseconds or ISO-8601 text, whichever the envelope carries, else now."""
+def _from_ms(ms: Column) -> Column:
+    """Milliseconds as an instant; null, not an error, for numbers out of range."""
+    return F.timestamp_micros((ms * F.lit(1_000)).try_cast("bigint"))
+
+
+def event_instant(event_time: Column, timestamp: Column, arrival: Column | None = None) -> Column:
+    """Epoch milliseconds or ISO-8601 text, whichever the envelope carries, else the arrival.
+
+    Without a known arrival that is the current time, which a retry does not repeat.
+    """
     numeric = F.when(event_time.rlike(NUMBER), event_time.try_cast("double"))
     iso = F.coalesce(F.try_to_timestamp(timestamp), F.try_to_timestamp(event_time))
-    return F.coalesce(
-        F.timestamp_micros((numeric * F.lit(1_000)).cast("bigint")), iso, F.current_timestamp()
-    )
+    return F.coalesce(_from_ms(numeric), iso, F.current_timestamp() if arrival is None else arrival)
 
 
 def names_for(vector: Column) -> Column:
@@ -119,11 +124,16 @@ def map_to_vector(features: Column, declared: list[str] | None = None) -> Column
 
 
 def normalise(decoded: DataFrame, declared: list[str] | None = None) -> DataFrame:
-    """Good messages of either envelope as one raw-event record."""
+    """Good messages of either envelope as one raw-event record.
+
+    An ``arrival`` column of the messages dates events that carry no time.
+    """
     e = F.col("event")
+    arrival = F.col("arrival") if "arrival" in decoded.columns else None
     # Typed once in a projection of their own, then used several times.
     typed = decoded.filter(F.col("bad").isNull()).select(
         "event",
+        *([arrival] if arrival is not None else []),
         F.transform_values("event.features", lambda _, v: to_number(v)).alias("numbers"),
         F.transform("event.feature_vector", to_number).alias("vector"),
     )
@@ -132,7 +142,7 @@ def normalise(decoded: DataFrame, declared: list[str] | None = None) -> DataFram
         e.event_id.alias("event_id"),
         F.coalesce(e.source_id, F.lit("")).alias("source_id"),
         F.coalesce(e.event_type, F.lit("")).alias("event_type"),
-        event_instant(e.event_time, e.timestamp).alias("event_time"),
+        event_instant(e.event_time, e.timestamp, arrival).alias("event_time"),
         F.coalesce(
             numbers, vector_to_map(vector), F.create_map().cast("map<string,double>")
         ).alias("features"),

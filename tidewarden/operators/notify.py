@@ -125,6 +125,7 @@ def slack_payload() -> Column:
 
 
 def plain_text() -> Column:
+    """Mail body; labels and order are a fixed format."""
     c = F.col
     line = lambda label, value: F.concat(F.lit(f"{label:<12}: "), value)
     return F.concat_ws(
@@ -172,7 +173,7 @@ def html_text() -> Column:
     )
 
 
-def email_payload(to: str, sender: str = "system@anomaly-pipeline.internal") -> Column:
+def email_payload(to: str, sender: str = "alerts@localhost") -> Column:
     c = F.col
     addresses = F.transform(recipients(F.lit(to)), lambda a: F.struct(a.alias("email")))
     subject = F.concat(
@@ -193,7 +194,10 @@ def email_payload(to: str, sender: str = "system@anomaly-pipeline.internal") ->
     )
 
 
-def pager_trigger(routing_key: str) -> Column:
+def pager_trigger(
+    routing_key: str, component: str = "scoring", group: str = "event-scoring"
+) -> Column:
+    """Incident event; the alert id is the dedup key, so retries do not open a second one."""
     c = F.col
     summary = F.concat(
         F.lit("["), c("severity"), F.lit("] Anomaly on source_id="), c("source_id"),
@@ -212,8 +216,8 @@ def pager_trigger(routing_key: str) -> Column:
         c("source_id").alias("source"),
         lookup(PAGER_SEVERITY, c("severity"), "error").alias("severity"),
         iso_text(c("created_at")).alias("timestamp"),
-        F.lit("ML Inference Engine").alias("component"),
-        F.lit("anomaly-detection-pipeline").alias("group"),
+        F.lit(component).alias("component"),
+        F.lit(group).alias("group"),
         F.lit("anomaly").alias("class"),
         details.alias("custom_details"),
     )
@@ -224,7 +228,7 @@ def pager_trigger(routing_key: str) -> Column:
             F.lit("trigger").alias("event_action"),
             payload.alias("payload"),
             F.array(
-                F.struct(c("dashboard_url").alias("href"), F.lit("Grafana Dashboard").alias("text"))
+                F.struct(c("dashboard_url").alias("href"), F.lit("Dashboard").alias("text"))
             ).alias("links"),
         )
     )

@@ -59,33 +59,37 @@ def compact(
     Rows are range-partitioned on the full sort order, so a source that owns most
     of a day is spread over many files instead of landing in one task, and row
     group statistics then prune by source, flag and time. All days that are due
-    are rewritten to the side in one job and swapped in one by one; a day that
-    has had no new files since its last rewrite is skipped.
+    are rewritten to the side in one job. Then, per day, exactly the files that
+    were read are moved out and the new ones in, so a file written meanwhile stays.
+    A day that has had no new files since its last rewrite is skipped.
     """
-    due = []
+    due: dict[dt.date, list[str]] = {}
     for day in days(spark, path):
         end = dt.datetime.combine(day, dt.time(), dt.UTC) + dt.timedelta(days=1)
-        newest = files.newest(spark, f"{path}/event_date={day}")
+        folder = f"{path}/event_date={day}"
+        newest = files.newest(spark, folder)
         if end <= as_of - older_than and newest is not None and newest[0] != MARKER:
-            due.append(day)
+            due[day] = [n for n in files.children(spark, folder) if not n.startswith(("_", "."))]
     if not due:
         return []
+    sources = [f"{path}/event_date={day}/{n}" for day, names in due.items() for n in names]
     size = sum(files.size_of(spark, f"{path}/event_date={day}") for day in due)
     order = ["event_date", "source_id", "is_anomaly", F.desc("event_time")]
     side = f"{path}/_compacting/{uuid.uuid4().hex}"
     (
-        spark.read.parquet(path)
-        .filter(F.col("event_date").isin(due))
+        spark.read.option("basePath", path)
+        .parquet(*sources)
         .repartitionByRange(max(len(due), math.ceil(size / target_bytes)), *order)
         .sortWithinPartitions(*order)
         .write.partitionBy("event_date")
         .parquet(f"{side}/new")
     )
-    for day in due:
-        name = f"event_date={day}"
-        files.touch(spark, f"{side}/new/{name}/{MARKER}")
-        # The old files stay on the side until the new ones are in place.
-        files.move(spark, f"{path}/{name}", f"{side}/old/{name}")
-        files.move(spark, f"{side}/new/{name}", f"{path}/{name}")
+    for day, names in due.items():
+        folder = f"event_date={day}"
+        for name in names:
+            files.move(spark, f"{path}/{folder}/{name}", f"{side}/old/{folder}/{name}")
+        for name in files.children(spark, f"{side}/new/{folder}"):
+            files.move(spark, f"{side}/new/{folder}/{name}", f"{path}/{folder}/{name}")
+        files.touch(spark, f"{path}/{folder}/{MARKER}")
     files.delete(spark, side)
-    return due
+    return list(due)

@@ -21,7 +21,7 @@ def raw_stream(
     kafka: dict[str, str] | None = None,
     max_per_trigger: int = 1000,
 ) -> DataFrame:
-    """Raw messages as a stream with one ``value`` column.
+    """Raw messages as a stream of ``value`` and ``arrival`` (broker or file time).
 
     ``kafka`` (servers and topic) needs the connector on the class path; without
     it a folder of text files stands in. Both start at the earliest message, and
@@ -34,10 +34,13 @@ def raw_stream(
             .option("maxOffsetsPerTrigger", str(max_per_trigger))
             .options(**kafka)
             .load()
-            .select("value")
+            .select("value", F.col("timestamp").alias("arrival"))
         )
     return (
-        spark.readStream.format("text").option("maxFilesPerTrigger", str(max_per_trigger)).load(path)
+        spark.readStream.format("text")
+        .option("maxFilesPerTrigger", str(max_per_trigger))
+        .load(path)
+        .select("value", F.col("_metadata.file_modification_time").alias("arrival"))
     )
 
 

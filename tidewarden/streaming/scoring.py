@@ -106,8 +106,7 @@ def _event_id():
         F.concat_ws("|", "source_id", F.unix_micros("event_time").cast("string"),
                     F.to_json("feature_vector"))
     )
-    missing = F.col("event_id").isNull() | (F.col("event_id") == "")
-    return F.when(missing, content).otherwise(safe_uuid(F.col("event_id")))
+    return safe_uuid(F.col("event_id"), content)
 
 
 def _topic_rows(scored: DataFrame, topic: str | dict[str, str]) -> DataFrame:
