@@ -231,6 +231,14 @@ def test_query_bounds(scored):
     assert (empty.total_events, empty.anomaly_count, empty.anomaly_rate_pct) == (0, 0, 0.0)
 
 
+def test_paging_by_key_equals_paging_by_offset(scored):
+    first = queries.list_events(scored, 20).collect()
+    last = first[-1]
+    after = (last.event_time.replace(tzinfo=dt.UTC), last.event_id)
+    by_key = queries.list_events(scored, 20, after=after).collect()
+    assert by_key == queries.list_events(scored, 20, offset=20).collect()
+
+
 def test_window_stats_rate(spark):
     now = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
     df = spark.range(500).select(

@@ -8,13 +8,15 @@ signal it starts afresh with the next value.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.operators.ordered import with_prefix
+from tidewarden.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ def batch_drifts(
     ts: str = "event_time",
     tie: str = "event_id",
     params: Params = Params(),
-    block_rows: int = 50_000,
+    block_rows: int = 200_000,
     chunk_ms: int = 300_000,
 ) -> DataFrame:
     """Rows on which the detector of their key signals, as if fed in time order.
@@ -92,7 +94,6 @@ def batch_drifts(
     signal resets the detector, this is repeated from the row after it until no
     key signals any more; the rows before are not read again.
     """
-    spark = df.sparkSession
     types = dict(df.dtypes)
     base = df.select(
         F.col(key), F.col(tie), F.unix_millis(ts).alias("_ms"), F.col(value).cast("double").alias("_x")
@@ -102,30 +103,35 @@ def batch_drifts(
         .withColumn("_block", F.floor(F.col("_pos") / block_rows))
         .persist()
     )
-    found: list[tuple] = []
-    start_schema = f"{key} {types[key]}, _from bigint"
-    starts = {r[0]: 0 for r in rows.select(key).distinct().collect()}  # one entry per detector
+    found: list[DataFrame] = []
+    live = rows
     try:
-        while starts:
-            begin = spark.createDataFrame(list(starts.items()), start_schema)
-            live = rows.join(F.broadcast(begin), key).filter(F.col("_pos") >= F.col("_from"))
-            hits = _first_signals(live, key, types[key], params)
-            found += [(r[key], r["_pos"]) for r in hits]
-            starts = {r[key]: r["_pos"] + 1 for r in hits}
-        where = spark.createDataFrame(found, f"{key} {types[key]}, _pos bigint")
-        out = rows.join(F.broadcast(where), [key, "_pos"])
-        return out.select(
-            key, tie, F.timestamp_millis("_ms").alias(ts), F.col("_x").alias(value),
-            F.col("_pos").alias("position"),
+        while True:
+            # Written down: one row per key that signals, and the next round starts there.
+            hits = cut_lineage(_first_signals(live, key, types[key], params))
+            if hits.isEmpty():
+                break
+            found.append(hits)
+            starts = hits.select(F.col(key).alias("_k"), F.col("_pos").alias("_hit"))
+            live = (
+                rows.join(starts, F.col(key) == F.col("_k"))
+                .filter(F.col("_pos") > F.col("_hit"))
+                .drop("_k", "_hit")
+            )
+        where = reduce(DataFrame.unionByName, found or [hits])
+        out = rows.join(where.toDF("_k", "_p"), (F.col(key) == F.col("_k")) & (F.col("_pos") == F.col("_p")))
+        return cut_lineage(
+            out.select(
+                key, tie, F.timestamp_millis("_ms").alias(ts), F.col("_x").alias(value),
+                F.col("_pos").alias("position"),
+            )
         )
     finally:
         rows.unpersist()
 
 
-def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> list:
+def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataFrame:
     """The first signal of every key that has one: rows of (key, _pos)."""
-    from pyspark.sql import Window
-
     by_block = Window.partitionBy(key).orderBy("_block")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -170,7 +176,7 @@ def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> list:
     carried = partial.groupBy(key).applyInPandas(
         chain,
         f"{key} {key_type}, _block bigint, n bigint, n0 bigint, t0 double, up0 double, down0 double",
-    ).persist()
+    )
 
     def look(pdf: pd.DataFrame, info: pd.DataFrame):
         i = info.iloc[0]
@@ -194,40 +200,40 @@ def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> list:
         f"{key} {key_type}, _block bigint, n bigint, n0 bigint, t0 double, up0 double, "
         "down0 double, up_min double, down_max double, own double, up_top double, down_low double"
     )
-    try:
-        judged = live.groupBy(*blocks).cogroup(carried.groupBy(*blocks)).applyInPandas(extremes, wide)
-        judged = judged.withColumn("low", F.min("up_min").over(earlier)).withColumn(
-            "high", F.max("down_max").over(earlier)
-        )
-        signal = (
-            (F.col("own") > p.threshold)
-            | (F.col("up_top") - F.col("low") > p.threshold)
-            | (F.col("high") - F.col("down_low") > p.threshold)
-        )
-        first = (
-            judged.filter(F.coalesce(signal, F.lit(False)))
-            .groupBy(key)
-            .agg(F.min_by(F.struct("*"), "_block").alias("b"))
-            .select("b.*")
-        )
+    judged = live.groupBy(*blocks).cogroup(carried.groupBy(*blocks)).applyInPandas(extremes, wide)
+    judged = judged.withColumn("low", F.min("up_min").over(earlier)).withColumn(
+        "high", F.max("down_max").over(earlier)
+    )
+    signal = (
+        (F.col("own") > p.threshold)
+        | (F.col("up_top") - F.col("low") > p.threshold)
+        | (F.col("high") - F.col("down_low") > p.threshold)
+    )
+    # One row per key that signals; used twice below, so it is written down once.
+    first = cut_lineage(
+        judged.filter(F.coalesce(signal, F.lit(False)))
+        .groupBy(key)
+        .agg(F.min_by(F.struct("*"), "_block").alias("b"))
+        .select("b.*")
+        .withColumnsRenamed({key: "_k", "_block": "_b"})
+    )
 
-        def exact(group: tuple, x: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-            if info.empty:
-                return pd.DataFrame({key: [], "_pos": []})
-            pdf, up, down, ripe, i = look(x, info)
-            low = np.inf if pd.isna(i.low) else float(i.low)
-            high = -np.inf if pd.isna(i.high) else float(i.high)
-            rise = up - np.minimum(np.minimum.accumulate(up), low)
-            fall = np.maximum(np.maximum.accumulate(down), high) - down
-            at = np.flatnonzero(ripe & ((rise > p.threshold) | (fall > p.threshold)))[:1]
-            return pd.DataFrame({key: pdf[key].iloc[at], "_pos": pdf["_pos"].iloc[at]})
-
-        searched = live.join(F.broadcast(first.select(key, "_block")), [key, "_block"])
-        return (
-            searched.groupBy(*blocks)
-            .cogroup(first.groupBy(*blocks))
-            .applyInPandas(exact, f"{key} {key_type}, _pos bigint")
-            .collect()  # at most one row per key
-        )
-    finally:
-        carried.unpersist()
+    def exact(group: tuple, x: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+        pdf, up, down, ripe, i = look(x, info)
+        low = np.inf if pd.isna(i.low) else float(i.low)
+        high = -np.inf if pd.isna(i.high) else float(i.high)
+        rise = up - np.minimum(np.minimum.accumulate(up), low)
+        fall = np.maximum(np.maximum.accumulate(down), high) - down
+        at = np.flatnonzero(ripe & ((rise > p.threshold) | (fall > p.threshold)))[:1]
+        return pd.DataFrame({key: pdf[key].iloc[at], "_pos": pdf["_pos"].iloc[at]})
+
+    # Only the blocks with a signal go on; of all other rows nothing is shuffled.
+    wanted = first.select(F.col("_k").alias("_wk"), F.col("_b").alias("_wb"))
+    searched = live.join(
+        wanted, (F.col(key) == F.col("_wk")) & (F.col("_block") == F.col("_wb")), "left_semi"
+    )
+    return (
+        searched.groupBy(*blocks)
+        .cogroup(first.groupBy("_k", "_b"))
+        .applyInPandas(exact, f"{key} {key_type}, _pos bigint")
+    )

@@ -16,6 +16,7 @@ from tidewarden.functions.severity import in_severity_range
 from tidewarden.functions.timebuckets import (
     bucket,
     latest_time,
+    literal_ts,
     resolution_seconds,
     time_range,
 )
@@ -62,9 +63,20 @@ def list_events(
     source_id: str | None = None,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
+    after: tuple[dt.datetime, str] | None = None,
 ) -> DataFrame:
-    """Newest events first, with flag, source and time filters."""
+    """Newest events first, with flag, source and time filters.
+
+    ``offset`` costs as many rows as it skips. For deep paging give the time and
+    id of the last row of the page before as ``after``: the page then starts
+    behind it, and everything newer is pruned.
+    """
     df = time_range(events, start, end)
+    if after is not None:
+        at, last_id = after
+        older = F.col("event_time") < literal_ts(at)
+        tied = (F.col("event_time") == literal_ts(at)) & (F.col("event_id") > last_id)
+        df = time_range(df, end=at).filter(older | tied)
     if only_anomalies:
         df = df.filter("is_anomaly")
     if source_id:
