@@ -232,7 +232,7 @@ PH = drift.Params(min_instances=100, delta=0.005, threshold=6.0)
 register(
     "m15_page_hinkley",
     lambda s, sf: drift.batch_drifts(
-        scored(s, sf), "model_version", "anomaly_score", params=PH, block_rows=1000
+        scored(s, sf), "model_version", "anomaly_score", params=PH, block_rows=2000
     ).select("model_version", "event_id", "position"),
     f"""{S.replace('WITH scored', 'WITH RECURSIVE scored')}, x AS (SELECT model_version AS m, event_id, anomaly_score AS v,
       row_number() OVER (PARTITION BY model_version ORDER BY ms, event_id) - 1 AS i FROM scored),

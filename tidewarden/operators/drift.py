@@ -90,9 +90,9 @@ def batch_drifts(
     No key is gathered. Its rows are numbered and cut into blocks of
     ``block_rows``. Between two signals the detector is a chain of sums, so block
     results are chained: counts and totals, then the faded sums, then their
-    extremes. The first block that must contain a signal is then searched. As a
-    signal resets the detector, this is repeated from the row after it until no
-    key signals any more; the rows before are not read again.
+    extremes. The first block that must contain a signal is then searched to its
+    end. As a signal resets the detector, this is repeated from the row after the
+    last one until no key signals any more: one round per block with signals.
     """
     types = dict(df.dtypes)
     base = df.select(
@@ -107,12 +107,12 @@ def batch_drifts(
     live = rows
     try:
         while True:
-            # Written down: one row per key that signals, and the next round starts there.
+            # Written down: the next round starts behind these rows.
             hits = cut_lineage(_first_signals(live, key, types[key], params))
             if hits.isEmpty():
                 break
             found.append(hits)
-            starts = hits.select(F.col(key).alias("_k"), F.col("_pos").alias("_hit"))
+            starts = hits.groupBy(F.col(key).alias("_k")).agg(F.max("_pos").alias("_hit"))
             live = (
                 rows.join(starts, F.col(key) == F.col("_k"))
                 .filter(F.col("_pos") > F.col("_hit"))
@@ -131,7 +131,7 @@ def batch_drifts(
 
 
 def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataFrame:
-    """The first signal of every key that has one: rows of (key, _pos)."""
+    """Signals of every key up to the end of the first block with any: (key, _pos)."""
     by_block = Window.partitionBy(key).orderBy("_block")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -219,12 +219,22 @@ def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataF
     )
 
     def exact(group: tuple, x: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+        """All signals inside the block: after each the detector restarts behind it."""
         pdf, up, down, ripe, i = look(x, info)
         low = np.inf if pd.isna(i.low) else float(i.low)
         high = -np.inf if pd.isna(i.high) else float(i.high)
-        rise = up - np.minimum(np.minimum.accumulate(up), low)
-        fall = np.maximum(np.maximum.accumulate(down), high) - down
-        at = np.flatnonzero(ripe & ((rise > p.threshold) | (fall > p.threshold)))[:1]
+        values, start, at = pdf["_x"].to_numpy(), 0, []
+        while len(up):
+            rise = up - np.minimum(np.minimum.accumulate(up), low)
+            fall = np.maximum(np.maximum.accumulate(down), high) - down
+            hit = np.flatnonzero(ripe & ((rise > p.threshold) | (fall > p.threshold)))
+            if len(hit) == 0:
+                break
+            at.append(start + int(hit[0]))
+            start = at[-1] + 1
+            up, down = _sums(values[start:], 0, 0.0, 0.0, 0.0, p)
+            ripe = 1 + np.arange(len(up)) >= p.min_instances
+            low, high = np.inf, -np.inf
         return pd.DataFrame({key: pdf[key].iloc[at], "_pos": pdf["_pos"].iloc[at]})
 
     # Only the blocks with a signal go on; of all other rows nothing is shuffled.
