@@ -56,7 +56,7 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of text, at least one row each."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(size.astype("int64")) - size) // most
