@@ -20,6 +20,8 @@ GAP = r"[\x20\x09-\x0D]+"
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by any path that Spark can open."""
     configure(spark)
+    # Texts may be long: small Arrow batches bound the memory of a Python worker.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -66,6 +68,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator
             yield batch.slice(int(a), int(b - a))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """All rows in pieces of about ``most`` bytes of text: small batches together, large ones cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, column, most):
+            held.append(part)
+            size += part.column(column).nbytes
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(words per text, code of every word in order, the distinct words) of a piece of a table."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

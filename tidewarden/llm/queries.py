@@ -1,7 +1,7 @@
 """All registered corpus queries with their SQL twins."""
 
-from tidewarden.llm import decontaminate, mixing, quality_rules
+from tidewarden.llm import decontaminate, mixing, quality_rules, token_counts
 
-_MODULES = [quality_rules, mixing, decontaminate]
+_MODULES = [token_counts, quality_rules, mixing, decontaminate]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
