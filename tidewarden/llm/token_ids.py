@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -205,27 +206,80 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def closing(path: str) -> np.ndarray:
+    """True for ids whose piece closes a run of letters, digits or signs."""
+    tok = tokenizer(path)
+    out = np.zeros(tok.get_vocab_size(), bool)
+    out[[i for piece, i in tok.get_vocab().items() if piece.endswith("</w>")]] = True
+    return out
+
+
+def join_runs(runs: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, "uint32"), *runs]), np.concatenate([np.zeros(0, "int64"), *sizes])
+
+
+def pick(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs named by ``codes``, one after the other, and their sizes."""
+    start, size = (sizes.cumsum() - sizes)[codes], sizes[codes]
+    shift = start - (size.cumsum() - size)
+    return flat[np.arange(int(size.sum())) + np.repeat(shift, size)], size
+
+
+def encode_each(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of every string, encoded on its own."""
+    found = [x.ids for x in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+    return np.array([i for x in found for i in x], "uint32"), np.array([len(x) for x in found], "int64")
+
+
+def encode_letters(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of strings of letters, encoded together: each one ends where a closing piece stands."""
+    ids = np.array(tokenizer(path).encode(" ".join(words), add_special_tokens=False).ids, "uint32")
+    ends = np.flatnonzero(closing(path)[ids])
+    if len(ends) != len(words):  # a letter to one Unicode table and not to the other
+        return encode_each(words, path)
+    return ids, np.diff(ends, prepend=-1)
+
+
+def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of every word. The vocabulary is lower case and parts letters from signs, so words
+    are first cut into a core and a tail of signs, of which far fewer are distinct."""
+    low = pc.ascii_lower(words)
+    core = pc.replace_substring_regex(low, r"[!-/:-@\[-`{-~]+$", "")
+    parted = pc.and_(
+        pc.match_substring_regex(core, r"[0-9a-zß-öø-ÿ]$"), pc.invert(pc.match_substring(low, "<|"))
+    )
+    core = pc.if_else(parted, core, low)
+    tail = pc.if_else(parted, pc.replace_substring_regex(low, r"^.*[0-9a-zß-öø-ÿ]([!-/:-@\[-`{-~]*)$", r"\1"), "")
+    units = pa.concat_arrays([core, tail]).dictionary_encode()
+    texts, codes = units.dictionary, units.indices.to_numpy()
+    letters = pc.match_substring_regex(texts, r"^\pL+$").to_numpy(zero_copy_only=False)
+    order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+    many, runs, sizes = int(letters.sum()), [], []
+    for a, b, f in ((0, many, encode_letters), (many, len(order), encode_each)):
+        for k in range(a, b, 5_000):
+            ids, size = f(texts.take(pa.array(order[k : min(b, k + 5_000)])).to_pylist(), path)
+            runs.append(ids)
+            sizes.append(size)
+    flat, size = join_runs(runs, sizes)
+    place = np.empty(len(order), "int64")
+    place[order] = np.arange(len(order))
+    both = place[codes].reshape(2, -1).T.ravel()  # core, tail, core, tail, ...
+    flat, size = pick(flat, size, both)
+    return flat, size.reshape(-1, 2).sum(axis=1)
+
+
 def encode(texts: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """(ids per text, all ids), each text closed by ``end``.
 
     This vocabulary never joins characters across white space, so every distinct word is
     encoded once and the texts are put together from the words' ids.
     """
-    tok = tokenizer(path)
     n, codes, words = split_words(texts)
-    ids: list[np.ndarray] = []
-    sizes = np.zeros(len(words) + 1, "int64")
-    for a in range(0, len(words), 10_000):
-        for i, x in enumerate(tok.encode_batch_fast(words[a : a + 10_000].to_pylist(), add_special_tokens=False)):
-            ids.append(np.array(x.ids, "uint32"))
-            sizes[a + i] = len(x.ids)
-    ids.append(np.array([end], "uint32"))
-    sizes[-1] = 1
-    flat, start = np.concatenate(ids), sizes.cumsum() - sizes
-    codes = np.insert(codes, n.cumsum(), len(words))
-    size = sizes[codes]
-    shift = start[codes] - (size.cumsum() - size)
-    return per_row(size, n + 1), flat[np.arange(int(size.sum())) + np.repeat(shift, size)]
+    flat, sizes = encode_words(words, path)
+    flat, sizes = np.append(flat, np.uint32(end)), np.append(sizes, 1)
+    ids, size = pick(flat, sizes, np.insert(codes, n.cumsum(), len(words)))
+    return per_row(size, n + 1), ids
 
 
 # ---- Spark ---------------------------------------------------------------------------------
