@@ -1,7 +1,25 @@
 """All registered corpus queries with their SQL twins."""
 
-from tidewarden.llm import decontaminate, mixing, quality_rules, token_counts, token_ids
+from tidewarden.llm import (
+    decontaminate,
+    language_id,
+    lm_scoring,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    token_ids,
+)
 
-_MODULES = [token_counts, token_ids, quality_rules, mixing, decontaminate]
+_MODULES = [
+    token_counts,
+    token_ids,
+    lm_scoring,
+    language_id,
+    quality_classifier,
+    quality_rules,
+    mixing,
+    decontaminate,
+]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
