@@ -5,20 +5,24 @@ from tidewarden.llm import (
     language_id,
     lm_scoring,
     mixing,
+    near_dedup,
     quality_classifier,
     quality_rules,
     token_counts,
     token_ids,
+    url_filter,
 )
 
 _MODULES = [
     token_counts,
     token_ids,
+    url_filter,
     lm_scoring,
     language_id,
     quality_classifier,
     quality_rules,
     mixing,
+    near_dedup,
     decontaminate,
 ]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
