@@ -140,7 +140,11 @@ def keep_good(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> Dat
     """The rows whose text passes, unchanged."""
     whole, value = free_name(docs, "_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(value.alias(whole), F.col(f"`{text}`"))
-    return judge(rows, thresholds, text, (whole,)).filter("kept").select(f"{whole}.*")
+    judged = judge(rows, thresholds, text, (whole,))
+    # Not a plain filter: that would be pushed below the projections, with every count spelled
+    # out again inside the others.
+    good = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(whole))).alias(whole))
+    return good.filter(F.col(whole).isNotNull()).select(f"{whole}.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

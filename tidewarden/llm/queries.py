@@ -1,5 +1,6 @@
 """All registered corpus queries with their SQL twins."""
 
+import corpus_pipeline
 from tidewarden.llm import (
     decontaminate,
     language_id,
@@ -25,5 +26,7 @@ _MODULES = [
     near_dedup,
     decontaminate,
 ]
-QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
