@@ -151,14 +151,14 @@ def possible(a, b, na, nb, rule: Rule) -> np.ndarray:
 
 
 SIGNATURE = (
-    "row long, doc_id {kind}, n long, set_a long, set_b long, regs binary, keys array<long>, file string, at long"
+    "row long, doc_id {kind}, tie long, n long, set_a long, set_b long, regs binary, keys array<long>, file string, at long"
 )
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row per document; its sorted set goes to a file of its task in the shared folder."""
     folder = shared_dir(docs.sparkSession, "shingle-sets")
-    rows = docs.select("doc_id", text_of("text").alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(text_of("text")).alias("tie"), text_of("text").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +184,7 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                 [
                     pa.array(np.arange(row, row + m) + (task << 40)),
                     part.column("doc_id"),
+                    part.column("tie"),
                     pa.array(out["n"], pa.int64()),
                     pa.array(out["set_a"], pa.int64()),
                     pa.array(out["set_b"], pa.int64()),
@@ -192,7 +193,7 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                     pa.array([name] * m, pa.string()),
                     pa.array(out["at"], pa.int64()),
                 ],
-                names=["row", "doc_id", "n", "set_a", "set_b", "regs", "keys", "file", "at"],
+                names=["row", "doc_id", "tie", "n", "set_a", "set_b", "regs", "keys", "file", "at"],
             )
             row += m
         if stream is not None:
@@ -341,7 +342,8 @@ def link_classes(classes: DataFrame, rule: Rule) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row of every document."""
+    """doc_id, n_shingles, component_id, kept of every document; group (a number of its
+    component) and tie (its text's hash) tell apart rows with one id."""
     signed = signatures(docs, rule)
     sets = signed.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
     sets = written(sets, "classes")
@@ -352,47 +354,52 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     classes = written(classes, "class-signatures")
     comp = link_classes(classes, rule)
     if comp is None:
-        named = sets.withColumn("component_id", F.col("low"))
+        named = sets.select("set_a", "set_b", F.col("node").alias("group"), F.col("low").alias("component_id"))
     else:
         sets = sets.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-        sets = sets.withColumn("comp", F.coalesce("comp", "node"))
-        names = sets.groupBy("comp").agg(F.min("low").alias("component_id"))
-        named = sets.join(names, "comp")
-    named = named.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "component_id")
-    some = signed.filter("n > 0").select("row", "doc_id", "n", "set_a", "set_b")
+        sets = sets.select("set_a", "set_b", "low", F.coalesce("comp", "node").alias("group"))
+        names = sets.groupBy("group").agg(F.min("low").alias("component_id"))
+        named = sets.join(names, "group")
+    named = named.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "group", "component_id")
+    some = signed.filter("n > 0").select("doc_id", "tie", "n", "set_a", "set_b")
     some = some.join(named, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")))
-    empty = signed.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    both = some.select("row", "doc_id", "n", "component_id").union(empty.select("row", "doc_id", "n", "component_id"))
+    empty = signed.filter("n = 0").select("doc_id", "tie", "n", F.col("row").alias("group"), F.col("doc_id").alias("component_id"))
+    both = some.select("doc_id", "tie", "n", "group", "component_id").union(empty)
     return both.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        "row",
+        "group",
+        "tie",
     )
 
 
 def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs``, one of each group: that with the smallest id, unchanged.
 
-    Of several rows with that id the one whose text has the smallest hash stays.
+    Of several rows with that id the one whose text has the smallest hash stays. Rows without a
+    set are linked with nothing and all stay.
     """
     found = near_duplicates(docs, rule).filter("kept")
-    name, many = free_name(docs, "_kept"), free_name(docs, "_rows")
-    kept = found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(many))
+    of, tie, many = free_name(docs, "_of"), free_name(docs, "_tie"), free_name(docs, "_many")
+    sets = found.filter("n_shingles > 0").groupBy("group", "doc_id", "tie").agg(F.count("*").alias("rows"))
+    sets = sets.groupBy("group").agg(F.min(F.struct("doc_id", "tie", "rows")).alias("x")).select("x.*")
+    empty = found.filter("n_shingles = 0").select("doc_id", "tie", F.lit(1).cast("long").alias("rows")).distinct()
+    kept = sets.union(empty).select(F.col("doc_id").alias(of), F.col("tie").alias(tie), F.col("rows").alias(many))
     kept = written(kept, "kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)))
-    single = rows.filter(F.col(many) == 1).drop(name, many)
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64(text_of("text")) == F.col(tie)))
+    single = rows.filter(F.col(many) == 1).drop(of, tie, many)
     if kept.filter(F.col(many) > 1).isEmpty():
         return single
     turn = free_name(docs, "_turn")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_of("text")))
-    several = rows.filter(F.col(many) > 1).withColumn(turn, F.row_number().over(order))
-    return single.unionByName(several.filter(F.col(turn) == 1).drop(name, many, turn))
+    number = F.row_number().over(Window.partitionBy("doc_id", tie).orderBy(F.lit(1)))
+    several = rows.filter(F.col(many) > 1).withColumn(turn, number).filter(F.col(turn) == 1)
+    return single.unionByName(several.drop(of, tie, many, turn))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), Rule(3, 85, 100)).drop("row")
+    return near_duplicates(read(spark, sf_dir, "documents"), Rule(3, 85, 100)).drop("group", "tie")
 
 
 QUERIES = {"op10_near_dedup": query}
