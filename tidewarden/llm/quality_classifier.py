@@ -160,7 +160,7 @@ def featurise(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, features of every row; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", 4 << 20):
             x = statistics(part.column("text"))
             rows = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype="int32") * WIDTH, pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(
