@@ -170,8 +170,8 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, total = lattice(path), None
-        for batch in batches:
-            for _, m in lat.by_length(batch.column("word")):
+        for part in pieces(batches, "word", 2 << 20):
+            for _, m in lat.by_length(part.column("word")):
                 found = lat.expect(m, sent.value)
                 total = found if total is None else total + found
         if total is not None:
@@ -210,9 +210,9 @@ def score(docs: DataFrame, held_out: Column, path: str, common: int = COMMON) ->
     logp = spark.sparkContext.broadcast(fit_pieces(counts, path))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spelled = lattice(path).log_prob(batch.column("word"), logp.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled)], names=["word", "n", "c", "spelled"])
+        for part in pieces(batches, "word", 2 << 20):
+            spelled = lattice(path).log_prob(part.column("word"), logp.value)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spelled)], names=["word", "n", "c", "spelled"])
 
     spelled = counts.mapInArrow(weigh, "word string, n long, c long, spelled double")
     share = F.lit(DISCOUNT * v / n if n else 1.0)
