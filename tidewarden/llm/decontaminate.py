@@ -32,6 +32,7 @@ SHORT = 5
 REACH = 2
 SHARE = 0.8
 BROADCAST_BYTES = 64 << 20
+BLOCK = 256
 
 
 def tokens_of(text: Column) -> Column:
@@ -45,47 +46,74 @@ def masks(masks_used=MASKS, short: int = SHORT) -> list[tuple[int, tuple[int, ..
     return [(0, tuple(range(short)), short), *spaced]
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Long token lists cut into blocks of ``BLOCK`` positions with the neighbours a hit can need.
+
+    Rows of bounded size keep the work linear in the length of a text.
+    """
+    start = F.sequence(F.lit(0), F.greatest(F.size("_tokens") - 1, F.lit(0)), F.lit(BLOCK))
+    margin = SPAN + 2 * REACH
+    cut = F.transform(
+        start,
+        lambda s: F.struct(
+            F.greatest(s - margin, F.lit(0)).alias("from"),
+            s.alias("first"),
+            F.slice("_tokens", F.greatest(s - margin, F.lit(0)) + 1, BLOCK + 2 * margin).alias("tokens"),
+        ),
+    )
+    keep = [c for c in rows.columns if c != "_tokens"]
+    rows = rows.select(*keep, F.explode_outer(cut).alias("_b"))
+    return rows.select(
+        *keep, F.col("_b.from").alias("_from"), F.col("_b.first").alias("_lo"), F.col("_b.tokens").alias("_tokens")
+    )
+
+
 def _positions(rows: DataFrame, used) -> DataFrame:
     """One row per token position and mask that fits there, with the hash of the tokens under it."""
+    keep = rows.columns
     rows = rows.select("*", F.transform("_tokens", lambda w: F.xxhash64(w)).alias("_h"))
-    rows = rows.select("*", F.posexplode("_h").alias("_pos", "_first"))
-    n, pos = F.size("_h"), F.col("_pos")
+    # The outer form keeps the optimizer from cleaning every text twice for an emptiness test.
+    rows = rows.select("*", F.posexplode_outer("_h").alias("_at", "_first"))
+    own = F.col("_from") + F.col("_at")
+    rows = rows.filter((own >= F.col("_lo")) & (own < F.col("_lo") + BLOCK))
+    n, at = F.size("_h"), F.col("_at")
     seeds = [
-        F.when(pos + span <= n, F.xxhash64(F.lit(k), *[F.get("_h", pos + d) for d in places]))
+        F.when(at + span <= n, F.xxhash64(F.lit(k), *[F.get("_h", at + d) for d in places]))
         for k, places, span in used
     ]
-    keep = [c for c in rows.columns if c not in ("_h", "_first")]
-    return rows.select(*keep, F.explode(F.array(*seeds)).alias("_seed")).filter(F.col("_seed").isNotNull())
+    return rows.select(*keep, "_at", F.explode(F.array(*seeds)).alias("_seed")).filter(F.col("_seed").isNotNull())
 
 
 def item_seeds(items: DataFrame, id_column: str = "item_id") -> DataFrame:
     """Hashes of the benchmark: item, its tokens, position and span of the mask."""
-    t = items.select(F.col(id_column).alias("_item"), tokens_of(text_of("text")).alias("_tokens"))
+    t = items.select(F.col(id_column).alias("_item"), tokens_of(text_of("text")).alias("_whole"))
+    t = t.select("_item", "_whole", F.col("_whole").alias("_tokens"))
     parts = []
     for short in (True, False):
         used = [m for m in masks() if (m[0] == 0) == short]
-        n = F.size("_tokens")
+        n = F.size("_whole")
         fits = n.between(SHORT, SPAN - 1) if short else n >= SPAN
-        found = _positions(t.filter(fits), used)
-        parts.append(found.select(F.col("_item").alias("item_id"), F.col("_tokens").alias("_item_tokens"),
-                                  F.col("_pos").alias("_item_pos"), F.col("_seed").alias("_item_seed"),
-                                  F.lit(short).alias("_short")))
+        found = _positions(_blocks(t.filter(fits)), used)
+        # The tokens a hit is compared with, and where the mask starts among them.
+        at = F.col("_from") + F.col("_at")
+        first = F.lit(0) if short else F.greatest(F.lit(0), at - REACH)
+        size = n if short else F.least(n, at + SPAN + REACH) - first
+        found = found.select(
+            F.col("_item").alias("item_id"),
+            F.slice("_whole", first + 1, size).alias("_item_tokens"),
+            (at - first).alias("_before"),
+            F.col("_seed").alias("_item_seed"),
+            F.lit(short).alias("_short"),
+        )
+        parts.append(found)
     return parts[0].unionAll(parts[1])
 
 
-def _agreeing() -> tuple[Column, Column]:
-    """(tokens laid side by side, tokens that agree) around a hit."""
-    n = F.size("_item_tokens")
-    first = F.when(F.col("_short"), 0).otherwise(F.greatest(F.lit(0), F.col("_item_pos") - REACH))
-    last = F.when(F.col("_short"), n).otherwise(F.least(n, F.col("_item_pos") + SPAN + REACH))
-    shift = F.col("_pos") - F.col("_item_pos")
-
-    def same(j: Column) -> Column:
-        at = j + shift
-        own = F.when(at >= 0, F.get("_tokens", at))
-        return own.eqNullSafe(F.get("_item_tokens", j))
-
-    return last - first, F.size(F.filter(F.sequence(first, last - 1), same))
+def _agreeing() -> Column:
+    """Tokens that agree around a hit."""
+    at = F.col("_at") - F.col("_before")
+    same = lambda w, j: F.get("_tokens", at + j).eqNullSafe(w)
+    return F.size(F.filter("_item_tokens", same))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
@@ -98,17 +126,25 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     ).first()
     used = [m for m in masks() if (facts.short if m[0] == 0 else facts.spaced)]
     t = docs.select(F.col(doc_id).alias("doc_id"), tokens_of(text_of("text")).alias("_tokens"))
-    found = _positions(t, used or masks())
+    found = _positions(_blocks(t), used or masks())
     side = F.broadcast(seeds) if facts.bytes <= BROADCAST_BYTES else seeds
     hits = found.join(side, F.col("_seed") == F.col("_item_seed"))
-    compared, agreeing = _agreeing()
-    hits = hits.select("doc_id", "item_id", "_pos", compared.alias("_compared"), agreeing.alias("_agreeing"))
-    hits = hits.filter(F.col("_agreeing") >= F.col("_compared") * SHARE)
-    return hits.groupBy("doc_id", "item_id").agg(
-        F.max(F.col("_agreeing") / F.col("_compared")).alias("overlap"),
-        F.count("*").alias("hits"),
-        F.min("_pos").cast("long").alias("first_pos"),
+    hits = hits.select(
+        "doc_id",
+        "item_id",
+        (F.col("_from") + F.col("_at")).alias("_pos"),
+        F.size("_item_tokens").alias("_compared"),
+        _agreeing().alias("_agreeing"),
+    )
+    # The share is tested inside the aggregation: as a filter it would move into the join and
+    # make its generated code too long to be compiled.
+    good = F.col("_agreeing") >= F.col("_compared") * SHARE
+    best = hits.groupBy("doc_id", "item_id").agg(
+        F.max(F.when(good, F.col("_agreeing") / F.col("_compared"))).alias("overlap"),
+        F.sum(good.cast("long")).alias("hits"),
+        F.min(F.when(good, F.col("_pos"))).cast("long").alias("first_pos"),
     )
+    return best.filter("hits > 0")
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
