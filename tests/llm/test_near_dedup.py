@@ -86,8 +86,8 @@ def test_groups_of_copies_of_every_size(spark):
 
 def test_one_large_group_split_into_blocks(spark, monkeypatch):
     """Copies that are linked through their base only, and a common passage that links nothing."""
-    original = near_dedup.cross_pairs
-    monkeypatch.setattr(near_dedup, "cross_pairs", lambda rows, rule, best: original(rows, rule, best, block=16))
+    original = near_dedup.cross_links
+    monkeypatch.setattr(near_dedup, "cross_links", lambda rows, rule: original(rows, rule, block=16))
     rng = random.Random(4)
     rows = [(i + 50, t) for i, t in enumerate(copies(rng, 90, 220, 5))]
     passage = " ".join(f"p{i}" for i in range(60))

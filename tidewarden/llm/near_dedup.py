@@ -14,8 +14,8 @@ element only, use the hash of the set and of all sets with one element less: exa
 *Links.* First every member of a bucket is compared with the bucket's centre, the member that
 shares most bucket places over all bands. That joins most groups at once, in as many pairs as
 members. Buckets whose members are still in different components are then compared across
-components, block by block of ``BLOCK`` members, in tasks that see two blocks: first the best
-partner of each member, then all pairs. A pair goes on to the exact test if sizes and the
+components, block by block of ``BLOCK`` members, in tasks that see two blocks and return only
+the links that join components. A pair comes to the exact test if sizes and the
 collision-corrected estimate allow the similarity (five standard errors); the exact test reads
 both full sets from the files the first pass wrote. Pairs inside one component are never needed:
 they cannot change a component. No bucket has a cap.
@@ -47,7 +47,7 @@ from tidewarden.llm.components import components
 from tidewarden.llm.token_ids import mix
 from tidewarden.session import shared_dir
 
-REGISTERS, MANTISSA = 128, 10
+REGISTERS, MANTISSA, RUNS = 128, 10, 32
 REST = 57  # bits of a hash behind the register number
 BLOCK = 2_000
 ERRORS = 5.0
@@ -114,22 +114,26 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def run_keys(regs: np.ndarray, runs: int) -> np.ndarray:
+    """Keys of the runs of registers in every row, 0 where a run is empty."""
+    part = regs.view("uint64").reshape(len(regs), runs, -1)
+    key = np.full(part.shape[:2], runs, "uint64")
+    for column in range(part.shape[2]):
+        key = mix(key ^ part[:, :, column], 19)
+    return np.where(part.any(axis=2), mix(key + np.arange(runs, dtype="uint64"), 23) | np.uint64(1), 0)
+
+
 def bucket_keys(s: np.ndarray, regs: np.ndarray, rule: Rule) -> np.ndarray:
     """Keys of the buckets a set belongs to, for every union size it can have with a partner."""
     n, most = len(s), len(s) * rule.den // rule.num
     tiny, out = rule.tiny, []
     if n <= tiny:
         whole = np.bitwise_xor.reduce(mix(s, 13))
-        out.append(mix(np.append(mix(s, 13) ^ whole, whole), 17))
-    four = regs.view("uint64")
-    for runs, low, high in ((8, tiny, 2 * tiny), (16, 2 * tiny, 4 * tiny), (32, 4 * tiny, None)):
+        out.append(mix(np.append(mix(s, 13) ^ whole, whole), 17) & ~np.uint64(1))
+    for runs, low, high in ((8, tiny, 2 * tiny), (16, 2 * tiny, 4 * tiny), (RUNS, 4 * tiny, None)):
         if most > low and (high is None or n <= high):
-            part = four.reshape(runs, -1)
-            key = np.full(runs, runs, "uint64")
-            for column in part.T:
-                key = mix(key ^ column, 19)
-            key = mix(key + np.arange(runs, dtype="uint64"), 23)
-            out.append(key[part.any(axis=1)])
+            key = run_keys(regs[None], runs)[0]
+            out.append(key[key > 0])
     return np.concatenate(out)
 
 
@@ -279,40 +283,80 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
         yield held
 
 
-def cross_pairs(rows: DataFrame, rule: Rule, best_only: bool, block: int = BLOCK) -> DataFrame:
-    """Possible pairs across components inside buckets (bucket, members, node, comp, n, regs).
-
-    A bucket of more than ``block`` members is dealt into blocks; a task gets two of them.
+class Sets:
+    """Full sets of a group's members, read when first needed; a bounded number is held."""
+
+    def __init__(self, g: pa.RecordBatch, most: int = 64 << 20):
+        self.g, self.most, self.held, self.bytes = g, most, {}, 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.held:
+            if self.bytes > self.most:
+                self.held, self.bytes = {}, 0
+            file, at, n = (self.g.column(k)[int(i)].as_py() for k in ("file", "at", "n"))
+            self.held[i] = read_set(file, at, n)
+            self.bytes += 8 * n
+        return self.held[i]
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Size of the intersection of member i with each of the others."""
+        own, out = self[i], np.zeros(len(others), "int64")
+        for a in range(0, len(others), 64):
+            some = [self[j] for j in others[a : a + 64]]
+            flat = np.concatenate(some)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            size = np.array([len(x) for x in some])
+            out[a : a + 64] = np.add.reduceat((own[at] == flat).astype("int64"), size.cumsum() - size)
+        return out
+
+
+def cross_links(rows: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
+    """Links that join components inside buckets (bucket, members, node, comp, n, regs, file, at).
+
+    A bucket of more than ``block`` members is dealt into blocks, and a task sees two of them at
+    a time. It compares signatures of members of different components, reads the sets of those
+    that may be similar, and returns the links that join what was apart until then: fewer than
+    it has members, whatever the number of pairs. A pair is looked at in the first run of
+    registers it has in common only.
     """
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select(
-        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n", "regs"
-    )
+        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        "own", "node", "comp", "n", "regs", "file", "at",
+    )
     rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "own", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ("bucket", "lo", "hi")):
-            lo, hi = g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
+            bucket, lo, hi = (g.column(k)[0].as_py() for k in ("bucket", "lo", "hi"))
             own, node, comp, n = (g.column(k).to_numpy() for k in ("own", "node", "comp", "n"))
-            regs = register_rows(g.column("regs"))
+            label = comp.copy()  # components as far as this task knows
+            regs, sets, found = register_rows(g.column("regs")), Sets(g), []
+            runs = run_keys(regs, RUNS)
+            here = np.flatnonzero(runs[0].view("int64") == bucket)
+            before = int(here[0]) if len(here) else 0
             right = np.flatnonzero(own == hi)
-            a, b = [], []
             for i in np.flatnonzero(own == lo):
-                with_ = right[(comp[right] != comp[i]) & ((right > i) | (lo != hi) | best_only)]
-                if not len(with_):
+                others = right[(label[right] != label[i]) & ((right > i) | (lo != hi))]
+                if before and len(others):
+                    met = (runs[others, :before] == runs[i, :before]) & (runs[i, :before] > 0)
+                    others = others[~met.any(axis=1)]
+                if len(others):
+                    others = others[possible(regs[i], regs[others], n[i], n[others], rule)]
+                if not len(others):
                     continue
-                ok = with_[possible(regs[i], regs[with_], n[i], n[with_], rule)]
-                if best_only and len(ok):
-                    ok = ok[[estimate(regs[i], regs[ok], n[i], n[ok])[0].argmax()]]
-                a.append(np.full(len(ok), node[i]))
-                b.append(node[ok])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                shared = sets.shared(i, others)
+                for j in others[rule.enough(shared, n[i] + n[others] - shared)]:
+                    if label[i] != label[j]:
+                        label[label == label[j]] = label[i]
+                        found.append((min(node[i], node[j]), max(node[i], node[j])))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def link_classes(classes: DataFrame, rule: Rule) -> DataFrame | None:
@@ -322,23 +366,16 @@ def link_classes(classes: DataFrame, rule: Rule) -> DataFrame | None:
     live = written(bands.join(shared, "bucket"), "buckets")
     links = written(linked(star_pairs(live), classes, rule), "links")
     comp = None if links.isEmpty() else components(links)
-    for best_only in (True, False):
-        state = live.withColumn("comp", F.col("node"))
-        if comp is not None:
-            to = comp.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-            state = live.join(to, F.col("node") == F.col("_n"), "left")
-            state = state.select("bucket", "members", "node", F.coalesce("_c", "node").alias("comp"))
-        open_ = state.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("bucket")
-        facts = classes.select(F.col("node").alias("_n"), "n", "regs")
-        rows = state.join(open_, "bucket").join(facts, F.col("node") == F.col("_n")).drop("_n")
-        pairs = written(cross_pairs(rows, rule, best_only), "cross-pairs")
-        if pairs.isEmpty():
-            break
-        more = written(linked(pairs, classes, rule), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            comp = components(links)
-    return comp
+    state = live.withColumn("comp", F.col("node"))
+    if comp is not None:
+        to = comp.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+        state = live.join(to, F.col("node") == F.col("_n"), "left")
+        state = state.select("bucket", "members", "node", F.coalesce("_c", "node").alias("comp"))
+    open_ = state.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("bucket")
+    facts = classes.select(F.col("node").alias("_n"), "n", "regs", "file", "at")
+    rows = state.join(open_, "bucket").join(facts, F.col("node") == F.col("_n")).drop("_n")
+    more = written(cross_links(rows, rule), "links")
+    return comp if more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
