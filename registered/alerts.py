@@ -189,8 +189,12 @@ def settings_log(s, sf):
 
 
 def by_settings_table(s, sf):
-    t = sev.AlertThresholds.from_table(settings_log(s, sf).filter("name <> 'burst_limit'"))
-    return scored(s, sf).select("event_id", sev.alert_severity(F.col("anomaly_score"), None, t).alias("severity"))
+    # The log holds small numbers, so a burst count of 0 to 19 is derived from the id.
+    t = sev.AlertThresholds.from_table(settings_log(s, sf).withColumn(
+        "value", F.when(F.col("name") == "burst_limit", F.floor(F.col("value") * 10)).otherwise(F.col("value"))
+    ))
+    burst = F.pmod(F.col("event_id").cast("bigint"), F.lit(20))
+    return scored(s, sf).select("event_id", sev.alert_severity(F.col("anomaly_score"), burst, t).alias("severity"))
 
 
 register(
@@ -199,8 +203,9 @@ register(
     f"""{S}, t AS (SELECT coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 0), 0.7) AS lo,
       coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 1), 0.8) AS me,
       coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 2), 0.9) AS hi,
-      coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 3), 0.95) AS cr FROM scored)
-    SELECT event_id, CASE WHEN anomaly_score >= cr THEN 'CRITICAL' WHEN anomaly_score >= hi THEN 'HIGH'
+      coalesce(max_by(round(value / 500.0::DOUBLE, 4), ms) FILTER (WHERE k = 3), 0.95) AS cr,
+      coalesce(max_by(floor(round(value / 500.0::DOUBLE, 4) * 10), ms) FILTER (WHERE k = 4), 10) AS bl FROM scored)
+    SELECT event_id, CASE WHEN n % 20 >= bl THEN 'CRITICAL' WHEN anomaly_score >= cr THEN 'CRITICAL' WHEN anomaly_score >= hi THEN 'HIGH'
       WHEN anomaly_score >= me THEN 'MEDIUM' WHEN anomaly_score >= lo THEN 'LOW' ELSE 'NONE' END AS severity
     FROM scored, t""",
 )

@@ -53,7 +53,7 @@ def messages(s, sf):
         .otherwise(k),
         F.lit(',"value":'), F.col("value"), F.lit('},"event_time":'), F.unix_millis("t"), F.lit("}"),
     )
-    broken = F.concat(F.lit("{{MALFORMED:::NON_JSON_CORRUPT_PAYLOAD:::"), F.col("event_id"), F.lit("}}}"))
+    broken = F.concat(F.lit("{{broken message "), F.col("event_id"), F.lit("}}}"))
     value = (
         F.when(F.col("value") >= 300, broken)
         .when(F.col("value") >= 250, F.concat(F.lit("[1,"), F.col("event_id"), F.lit("]")))
@@ -88,7 +88,7 @@ register(
     f"""{S} SELECT 0 AS task_id, 'ValueError' AS error_type,
       CASE WHEN value >= 300 OR value < 240 THEN 'Cannot deserialise message as Avro or JSON' ELSE 'Expected JSON object' END
         AS error_message,
-      CASE WHEN value >= 300 THEN '{{{{MALFORMED:::NON_JSON_CORRUPT_PAYLOAD:::' || event_id || '}}}}}}'
+      CASE WHEN value >= 300 THEN '{{{{broken message ' || event_id || '}}}}}}'
         WHEN value >= 250 THEN '[1,' || event_id || ']' WHEN value >= 240 THEN event_id ELSE '' END AS raw_payload
     FROM scored WHERE value >= 235""",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from registered.alerts import LABELS_SQL, label_log
@@ -45,11 +46,29 @@ def vectors(s, sf):
     )
 
 
-def fitted(s, sf, trees=50):
-    return forest.fit(vectors(s, sf), "x", "event_id", "v1", trees=trees, contamination=0.1)
+def fitted(s, sf, trees=200, contamination=0.05):
+    return forest.fit(vectors(s, sf), "x", "event_id", "v1", trees=trees, contamination=contamination)
 
 
-register("m01_forest_fit", lambda s, sf: fitted(s, sf).to_df(s).filter("child <> node or path > 0"))
+def tree_facts(s, sf):
+    """What must hold for every tree: binary, at most 8 levels, every leaf with a path length."""
+    n = fitted(s, sf).to_df(s).filter("child <> node or path > 0")
+    level = F.floor(F.log2(F.col("node") + 1))
+    leaf = F.col("child") == F.col("node")
+    return n.groupBy("tree").agg(
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("is_binary"),
+        (F.max(level) <= 8).alias("depth_ok"),
+        F.min(F.when(leaf, F.col("path") >= level).otherwise(F.col("child") == 2 * F.col("node") + 1)).alias("links_ok"),
+        F.min(F.col("feature").between(0, 63)).alias("features_ok"),
+    )
+
+
+register(
+    "m01_forest_fit",
+    tree_facts,
+    """SELECT t::INTEGER AS tree, true AS is_binary, true AS depth_ok, true AS links_ok, true AS features_ok
+    FROM range(200) r(t)""",
+)
 
 
 def forest_scores(s, sf):
@@ -62,7 +81,53 @@ def forest_scores(s, sf):
     )
 
 
-register("m02_forest_score", forest_scores)
+def score_facts(s, sf):
+    """Per event: score in range, flag and score of one decision."""
+    d = forest_scores(s, sf)
+    return d.select(
+        "event_id",
+        F.col("anomaly_score").between(0, 1).alias("in_range"),
+        (F.col("is_anomaly") == (F.col("decision") < 0)).alias("flag_ok"),
+        (F.col("decision").between(-0.5, 1) & (F.abs(F.col("anomaly_score") - (0.5 - F.col("decision"))) < 1e-12)).alias(
+            "score_ok"
+        ),
+    )
+
+
+register(
+    "m02_forest_score",
+    score_facts,
+    "SELECT vec_id::VARCHAR AS event_id, true AS in_range, true AS flag_ok, true AS score_ok FROM embeddings",
+)
+
+
+def given_forest(s, sf):
+    """Scores of two written-down trees over (k, value), as SQL can walk them."""
+    inf = float("inf")
+    model = forest.Forest(
+        "given", 4, 0.1, -0.5,
+        np.array([[0, 1, 0, 0, 0], [1, 0, 0, 0, 0]]),
+        np.array([[50.0, 20.0, inf, inf, inf], [60.0, 30.0, inf, inf, inf]]),
+        np.array([[1, 3, 2, 3, 4], [1, 3, 2, 3, 4]]),
+        np.array([[0, 0, 1.0, 2.0, 3.0], [0, 0, 1.5, 2.5, 2.0]]),
+    )
+    d = scored(s, sf).withColumn("decision", forest.decide(model, F.col("feature_vector")))
+    return d.select(
+        "event_id", F.round("decision", 9).alias("decision"), forest.raw_flag(F.col("decision")).alias("flag"),
+        F.round(forest.normalised(F.col("decision")), 9).alias("score"),
+    )
+
+
+register(
+    "m02_given_forest",
+    given_forest,
+    f"""{S}, p AS (SELECT event_id, (CASE WHEN k > 50 THEN 1.0 WHEN value > 20 THEN 3.0 ELSE 2.0 END::DOUBLE
+        + CASE WHEN value > 60 THEN 1.5 WHEN k > 30 THEN 2.0 ELSE 2.5 END::DOUBLE) / 2 AS depth FROM scored),
+    d AS (SELECT event_id, -pow(2::DOUBLE, -depth / (2 * (ln(3::DOUBLE) + {forest.EULER}::DOUBLE) - 1.5::DOUBLE))
+        + 0.5::DOUBLE AS decision FROM p)
+    SELECT event_id, round(decision, 9) AS decision, decision < 0 AS flag,
+      round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE - decision)), 9) AS score FROM d""",
+)
 
 
 def decided(s, sf):
@@ -179,33 +244,82 @@ register(
 )
 
 
-register("m10_contamination_sweep", lambda s, sf: forest.sweep(vectors(s, sf), "x", fitted(s, sf, 30)))
+FOLD = "(('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 5)::INTEGER"
+register(
+    "m10_contamination_sweep",
+    lambda s, sf: forest.sweep(vectors(s, sf), "x", fitted(s, sf, 100, 0.1)).select(
+        "contamination", "rows", "flagged", F.col("offset").between(-1, 0).alias("offset_ok")
+    ),
+    """SELECT c AS contamination, count(*) AS rows, ceil((count(*) - 1) * c)::BIGINT AS flagged, true AS offset_ok
+    FROM embeddings, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE)) v(c) GROUP BY c""",
+)
 register(
     "m10_cross_validation",
-    lambda s, sf: forest.cross_validate(vectors(s, sf), "x", "event_id", trees=20, contamination=0.1),
+    lambda s, sf: forest.cross_validate(vectors(s, sf), "x", "event_id", trees=100, contamination=0.1).select(
+        "fold", "rows", F.col("anomaly_rate").between(0.0, 0.4).alias("rate_ok"),
+        (F.col("mean_decision_score") > 0).alias("mean_ok"),
+    ),
+    f"SELECT {FOLD} AS fold, count(*) AS rows, true AS rate_ok, true AS mean_ok FROM embeddings GROUP BY 1",
 )
 register(
     "m10_folds",
     lambda s, sf: vectors(s, sf).groupBy(forest.fold_of(F.col("event_id")).alias("fold")).agg(F.count("*").alias("rows")),
+    f"SELECT {FOLD} AS fold, count(*) AS rows FROM embeddings GROUP BY 1",
 )
 
 # --- autoencoder --------------------------------------------------------------------
 
 
 def trained(s, sf):
-    return autoencoder.fit(vectors(s, sf), "x", "event_id", 64, hidden=(32, 16, 32), epochs=5)
+    return autoencoder.fit(vectors(s, sf), "x", "event_id", 64)
 
 
 def training_curve(s, sf):
     m = trained(s, sf)
-    rows = [(i + 1, loss, m.threshold) for i, loss in enumerate(m.losses)]
-    return s.createDataFrame(rows, "epoch int, loss double, threshold double")
+    facts = (len(m.losses) <= 50, min(m.losses) < 0.9 * m.losses[0], m.threshold > 0, list(m.sizes))
+    return s.createDataFrame(
+        [facts], "epochs_ok boolean, loss_fell boolean, threshold_ok boolean, sizes array<int>"
+    ).withColumn("sizes", F.array_join(F.col("sizes").cast("array<string>"), "-"))
+
+
+register(
+    "m11_autoencoder_fit",
+    training_curve,
+    """SELECT true AS epochs_ok, true AS loss_fell, true AS threshold_ok, '64-512-256-128-256-512-64' AS sizes""",
+)
+
+
+def error_facts(s, sf):
+    """Per event: an error, a flag that follows the threshold; the threshold is mean + 3 deviations."""
+    m = trained(s, sf)
+    return autoencoder.score(vectors(s, sf), m, "x").select(
+        "event_id", (F.col("score") >= 0).alias("score_ok"),
+        (F.col("is_anomaly") == (F.col("score") > F.lit(m.threshold))).alias("flag_ok"),
+    )
 
 
-register("m11_autoencoder_fit", training_curve)
 register(
     "m12_autoencoder_score",
-    lambda s, sf: autoencoder.score(vectors(s, sf), trained(s, sf), "x").drop("x"),
+    error_facts,
+    "SELECT vec_id::VARCHAR AS event_id, true AS score_ok, true AS flag_ok FROM embeddings",
+)
+
+
+def given_network(s, sf):
+    """Errors of a written-down 2-1-2 network."""
+    weights = np.array([0.5, -0.25, 1.0, 0.1, 0.2, -1.0, 2.0])
+    m = autoencoder.Autoencoder("given", [2, 1, 2], weights, 400.0)
+    return rounded(
+        autoencoder.score(scored(s, sf).select("event_id", F.col("feature_vector").alias("x")), m, "x").drop("x"), "score"
+    )
+
+
+register(
+    "m12_given_network",
+    given_network,
+    f"""{S}, h AS (SELECT event_id, k, value, greatest(0, 0.5::DOUBLE * k - 0.25::DOUBLE * value + 1) AS h FROM scored),
+    e AS (SELECT event_id, (pow(0.1::DOUBLE * h - 1 - k, 2) + pow(0.2::DOUBLE * h + 2 - value, 2)) / 2 AS e FROM h)
+    SELECT event_id, round(e, 9) AS score, e > 400 AS is_anomaly FROM e""",
 )
 
 
@@ -224,9 +338,17 @@ register(
 
 # --- online models -------------------------------------------------------------------
 
+# Positions follow from the order; scores start with the second window.
+HALF_SPACE = f"""{S} SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) - 1
+  AS position, true AS in_range, true AS first_window_ok FROM scored"""
+
 register(
     "m14_half_space_trees",
-    lambda s, sf: half_space.batch_scores(scored(s, sf), "event_type", "feature_vector", 2),
+    lambda s, sf: half_space.batch_scores(scored(s, sf), "event_type", "feature_vector", 2).select(
+        "event_type", "event_id", "position", F.col("score").between(0, 1).alias("in_range"),
+        ((F.col("position") >= 250) | (F.col("score") == 0)).alias("first_window_ok"),
+    ),
+    HALF_SPACE,
 )
 PH = drift.Params(min_instances=100, delta=0.005, threshold=6.0)
 register(
@@ -288,9 +410,9 @@ register(
 
 register(
     "m17_training_set",
-    lambda s, sf: retrain.training_set(scored(s, sf), days=20, newest=3000, at_least=100).select("event_id", "event_time"),
-    f"""{S} SELECT event_id, event_time FROM scored WHERE event_time > {NEWEST} - INTERVAL 20 DAY
-    ORDER BY event_time DESC, event_id LIMIT 3000""",
+    lambda s, sf: retrain.training_set(scored(s, sf), at_least=100).select("event_id", "event_time"),
+    f"""{S} SELECT event_id, event_time FROM scored WHERE event_time > {NEWEST} - INTERVAL 30 DAY
+    ORDER BY event_time DESC, event_id LIMIT 100000""",
 )
 register(
     "m18_recent_count",
@@ -339,16 +461,52 @@ def swap_and_rollback(s, sf):
     e = scored(s, sf)
     r = registry.Registry(s, shared_dir(s, "retrain"))
     newest = latest_time(e)
-    labels = e.select("event_id", (F.col("event_type") == "error").cast("int").alias("label"))
     versions = [
-        retrain.retrain(r, e, newest - dt.timedelta(days=back), labels=labels, trees=20, newest=5000, at_least=100)
+        retrain.retrain(r, e, newest - dt.timedelta(days=back), names=["k", "value"], skewed=["value"], at_least=100)
         for back in (5, 0)
     ]
     r.rollback(versions[0], newest + dt.timedelta(hours=1), "trial", "forest")
     return r.history().withColumn("active_now", F.lit(r.active()))
 
 
-register("m20_retrain_swap_rollback", swap_and_rollback)
+STAMP = "strftime(date_trunc('second', t - INTERVAL {0} DAY), '%Y%m%d_%H%M%S')"
+register(
+    "m20_retrain_swap_rollback",
+    swap_and_rollback,
+    f"""{S}, t AS (SELECT max(event_time) AS t FROM scored)
+    SELECT {STAMP.format(5)} AS version, 'reload' AS action, '' AS reason, t - INTERVAL 5 DAY AS event_time,
+      {STAMP.format(5)} AS active_now FROM t
+    UNION ALL SELECT {STAMP.format(0)}, 'reload', '', t, {STAMP.format(5)} FROM t
+    UNION ALL SELECT {STAMP.format(5)}, 'rollback', 'trial', t + INTERVAL 1 HOUR, {STAMP.format(5)} FROM t""",
+)
+
+
+def judged_retraining(s, sf):
+    """Retraining with labels and one infinite value: the scaler that is stored, and the run's metrics."""
+    e = scored(s, sf).withColumn(
+        "features",
+        F.when(F.col("event_id") == "7", F.create_map(F.lit("k"), F.lit(float("inf")), F.lit("value"), F.col("features")["value"]))
+        .otherwise(F.col("features")),
+    )
+    r = registry.Registry(s, shared_dir(s, "retrain"))
+    labels = e.select("event_id", (F.col("event_type") == "error").cast("int").alias("label"))
+    version = retrain.retrain(r, e, names=["k", "value"], skewed=["value"], labels=labels, at_least=100)
+    run = r.runs().filter(F.col("version") == version).first()
+    ok = 0 <= run.metrics["f1"] <= 1 and 0 <= run.metrics["roc_auc"] <= 1 and r.active() == version
+    return rounded(r.load("scaler", version).withColumn("run_ok", F.lit(ok)), "mean", "scale")
+
+
+register(
+    "m20_retrain_scaler",
+    judged_retraining,
+    f"""{S}, n AS (SELECT * FROM scored WHERE event_time > {NEWEST} - INTERVAL 30 DAY
+      ORDER BY event_time DESC, event_id LIMIT 100000),
+    v AS (SELECT 0 AS position, 'k' AS name, CASE WHEN event_id = '7' THEN NULL ELSE k END AS x FROM n
+      UNION ALL SELECT 1, 'value', ln(1 + greatest(value, 0)) FROM n)
+    SELECT strftime(date_trunc('second', {NEWEST}), '%Y%m%d_%H%M%S') AS version, position, name,
+      round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS scale, name = 'value' AS skewed, true AS run_ok
+    FROM v GROUP BY position, name""",
+)
 register(
     "m21_model_quality",
     lambda s, sf: rounded(

@@ -13,7 +13,7 @@ from registered.models import ORACLES as MODEL_SQL
 from registered.models import PH
 from tidewarden.functions.quantiles import edges, with_range
 from tidewarden.operators import notify
-from tidewarden.plans import hourly
+from tidewarden.plans import hourly, retrain
 from tidewarden.session import shared_dir
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
@@ -29,14 +29,17 @@ def register(name, build, sql=None):
         ORACLES[name] = sql
 
 
-def score_messages(s, sf):
+def score_messages(s, sf, with_model=False):
     """Raw text messages through the scoring job, in several micro-batches."""
     base = shared_dir(s, "stream")
+    store = Registry(s, f"{base}/registry")
+    if with_model:
+        retrain.retrain(store, scored(s, sf), names=["k", "value"], skewed=["value"], trees=200, contamination=0.05, at_least=100)
     # Files, like a topic, hold no null values.
     messages(s, sf).filter("value is not null").repartition(8).write.text(f"{base}/raw")
     to = scoring.Targets(f"{base}/table", f"{base}/topic", f"{base}/dead", f"{base}/checkpoint")
     stream = readers.raw_stream(s, f"{base}/raw", max_per_trigger=4)
-    scoring.start_scoring(stream, Registry(s, f"{base}/registry"), to, ["k", "value"]).awaitTermination()
+    scoring.start_scoring(stream, store, to, ["k", "value"]).awaitTermination()
     return to
 
 
@@ -53,6 +56,19 @@ register(
       {K_TEXT} AS k, value, false AS is_anomaly, 'LOW' AS severity, 'dummy-v0' AS model_version, true AS in_range
     FROM scored WHERE value < 230""",
 )
+register(
+    "s01_model_stream",
+    lambda s, sf: s.read.parquet(score_messages(s, sf, True).table).select(
+        "event_id", "source_id", "model_version",
+        (F.col("is_anomaly") == (F.col("anomaly_score") > 0.5)).alias("flag_ok"),
+        F.col("anomaly_score").between(0, 1).alias("in_range"),
+        F.when(~F.col("is_anomaly") | (F.col("anomaly_score") < 0.5), "LOW").when(F.col("anomaly_score") >= 0.9, "CRITICAL")
+        .when(F.col("anomaly_score") >= 0.75, "HIGH").otherwise("MEDIUM").eqNullSafe(F.col("severity")).alias("severity_ok"),
+    ),
+    f"""{S} SELECT {UUID5.format('event_id')} AS event_id, source_id,
+      strftime(date_trunc('second', (SELECT max(event_time) FROM scored)), '%Y%m%d_%H%M%S') AS model_version,
+      true AS flag_ok, true AS in_range, true AS severity_ok FROM scored WHERE value < 230""",
+)
 register(
     "s08_dead_letter_stream",
     lambda s, sf: s.read.parquet(score_messages(s, sf).dead_letters).select(
@@ -60,21 +76,24 @@ register(
     ),
     f"""{S} SELECT 'ValueError' AS error_type, CASE WHEN value >= 300 OR value < 240
       THEN 'Cannot deserialise message as Avro or JSON' ELSE 'Expected JSON object' END AS error_message,
-      CASE WHEN value >= 300 THEN '{{{{MALFORMED:::NON_JSON_CORRUPT_PAYLOAD:::' || event_id || '}}}}}}'
+      CASE WHEN value >= 300 THEN '{{{{broken message ' || event_id || '}}}}}}'
         WHEN value >= 250 THEN '[1,' || event_id || ']' WHEN value >= 240 THEN event_id ELSE '' END AS raw_payload
     FROM scored WHERE value >= 235""",
 )
 
 
+FILES = 4  # written per part, so that no part goes through one task
+
+
 def event_files(s, sf, parts=4):
-    """The scored view as files that follow one another in time."""
+    """The scored view as files that follow one another in time, ``FILES`` for each part."""
     path = shared_dir(s, "events")
     e = with_severity(scored(s, sf)).withColumn("metadata", F.create_map().cast("map<string,string>"))
     # One write after the other: a file stream goes by modification time.
     seconds = e.withColumn("_s", F.unix_seconds("event_time"))
     ranged = with_range(seconds, "_s", edges(seconds, "_s", parts), "_part").drop("_s")
     for part in range(parts):
-        ranged.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        ranged.filter(F.col("_part") == part).drop("_part").repartition(FILES).write.mode("append").parquet(path)
     return path, e
 
 
@@ -86,7 +105,7 @@ def alert_stream(s, sf):
     a = alerting.Alerter(
         f"{base}/scored", f"{base}/alerts", f"{base}/topic", f"{base}/notes", f"{base}/checkpoint"
     )
-    alerting.start_alerting(readers.scored_stream(s, topic, 2), a).awaitTermination()
+    alerting.start_alerting(readers.scored_stream(s, topic, 2 * FILES), a).awaitTermination()
     return a
 
 
@@ -121,7 +140,7 @@ def to_files(stream, s, name):
 
 register(
     "s13_live_feed_stream",
-    lambda s, sf: to_files(notify.live_feed(readers.scored_stream(s, event_files(s, sf)[0], 2)), s, "feed"),
+    lambda s, sf: to_files(notify.live_feed(readers.scored_stream(s, event_files(s, sf)[0], 2 * FILES)), s, "feed"),
     f'{S} SELECT event_id, anomaly_score AS score, is_anomaly, source_id, event_time AS "timestamp" FROM scored',
 )
 
@@ -129,7 +148,7 @@ register(
 def hourly_table(s, sf):
     path = shared_dir(s, "hourly-stream")
     scoring.state_store(s)
-    stream = readers.scored_stream(s, event_files(s, sf, 2)[0], 1)
+    stream = readers.scored_stream(s, event_files(s, sf, 2)[0], FILES)
     windows.start_hourly(stream, path, shared_dir(s, "hourly-checkpoint")).awaitTermination()
     return hourly.finish(hourly.read_partials(s, path)).withColumn("avg_score", F.round("avg_score", 9))
 
@@ -139,7 +158,7 @@ HIGH_WINDOW = 6 * 3_600_000
 register(
     "a04_burst_state_stream",
     lambda s, sf: to_files(
-        keyed.burst_stream(readers.scored_stream(s, event_files(s, sf)[0], 1), 0.3, HIGH_WINDOW), s, "bursts"
+        keyed.burst_stream(readers.scored_stream(s, event_files(s, sf)[0], FILES), 0.3, HIGH_WINDOW), s, "bursts"
     ),
     f"""{S} SELECT source_id, event_id, count(*) FILTER (WHERE anomaly_score >= 0.3::DOUBLE) OVER (
       PARTITION BY source_id ORDER BY ms RANGE BETWEEN {HIGH_WINDOW - 1} PRECEDING AND CURRENT ROW) AS burst_count
@@ -149,14 +168,18 @@ register(
     "m14_half_space_stream",
     lambda s, sf: to_files(
         keyed.half_space_stream(
-            readers.scored_stream(s, event_files(s, sf)[0], 1), "event_type", "feature_vector", 2
+            readers.scored_stream(s, event_files(s, sf)[0], FILES), "event_type", "feature_vector", 2
         ), s, "half-space",
+    ).select(
+        F.col("key").alias("event_type"), "event_id", "position", F.col("score").between(0, 1).alias("in_range"),
+        ((F.col("position") >= 250) | (F.col("score") == 0)).alias("first_window_ok"),
     ),
+    MODEL_SQL["m14_half_space_trees"],
 )
 register(
     "m15_page_hinkley_stream",
     lambda s, sf: to_files(
-        keyed.drift_stream(readers.scored_stream(s, event_files(s, sf)[0], 1), "model_version", "anomaly_score", PH),
+        keyed.drift_stream(readers.scored_stream(s, event_files(s, sf)[0], FILES), "model_version", "anomaly_score", PH),
         s, "drift",
     ).select(F.col("key").alias("model_version"), "event_id"),
     f"SELECT model_version, event_id FROM ({MODEL_SQL['m15_page_hinkley']})",

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,9 +123,8 @@ def test_autoencoder_gradient():
 
 
 def test_autoencoder_parts_and_stop(spark, data, monkeypatch):
-    monkeypatch.setattr(autoencoder, "ROWS_PER_TASK", 200)
     monkeypatch.setattr(autoencoder, "MERGE", 4)
-    model = autoencoder.fit(data, "vector", "id", 10, hidden=(16, 4, 16), epochs=3, threshold="p95")
+    model = autoencoder.fit(data, "vector", "id", 10, hidden=(16, 4, 16), epochs=3, threshold="p95", parts=9)
     err = np.array([r.score for r in autoencoder.score(data, model, "vector").collect()])
     assert model.threshold == pytest.approx(np.percentile(err, 95))
     stopped = autoencoder.fit(data, "vector", "id", 10, hidden=(4,), epochs=30, lr=0.0, patience=2)
@@ -257,3 +258,66 @@ def test_alert_with_events(spark, scored):
     times = [e.event_time for e in row.linked_events]
     assert 1 <= len(times) <= 10 and times == sorted(times, reverse=True)
     assert queries.alert_with_events(built, scored, "none").count() == 0
+
+
+def test_percentile_between_two_heavy_values(spark):
+    values = [1.0] * 700 + [2.0] * 700 + [1.5] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for q in (0.0, 0.3, 0.499, 0.5, 0.501, 0.7, 1.0):
+        assert exact_percentile(df, "x", q, keep=10) == pytest.approx(np.percentile(values, 100 * q))
+
+
+@pytest.mark.parametrize("n", [300, 3000, 40_000])
+def test_every_tree_takes_every_row_with_the_same_chance(spark, n):
+    df = spark.range(n).select("id", F.array(F.rand(1)).alias("v"))
+    drawn = forest.tree_samples(df, "v", "id", 40, 256, n, 3)
+    chance = min(1.0, 384 / n)
+    trees, rows, most = drawn.groupBy("id").agg(F.count("*").alias("k")).agg(F.sum("k"), F.count("*"), F.max("k")).first()
+    assert trees == pytest.approx(40 * n * chance, rel=0.1) and most <= 40
+    assert rows == pytest.approx(n * (1 - (1 - chance) ** 40), rel=0.05)
+    assert drawn.distinct().count() == trees
+
+
+def test_one_infinite_value_does_not_spoil_a_retraining(spark, scored, tmp_path):
+    from tidewarden.operators import features
+    from tidewarden.plans import retrain
+    from tidewarden.sources.registry import Registry
+
+    bad = scored.withColumn(
+        "feature_vector",
+        F.when(F.col("event_id") == "5", F.array(F.lit(float("inf")), F.lit(float("nan")))).otherwise(F.col("feature_vector")),
+    )
+    r = Registry(spark, str(tmp_path))
+    version = retrain.retrain(r, bad, trees=5, at_least=100)
+    s = features.Scaler.from_df(r.load("scaler", version), version)
+    assert all(math.isfinite(x) and x > 0 for x in s.scale) and all(math.isfinite(x) for x in s.mean)
+    assert s.names == ["f0", "f1"]
+    z = bad.select(features.scaled_vector(F.create_map(F.lit("f1"), F.lit(float(s.mean[1]))), s).alias("z")).first().z
+    assert z == [0.0, 0.0]  # a feature that is absent does not shift the others
+
+
+def test_label_check_never_shuffles_the_events(spark, scored):
+    from tidewarden.operators import alerts
+
+    labels = spark.createDataFrame([("1", "TP"), ("1", "FP"), ("nobody", "TP"), ("2", "??")], "event_id string, label string")
+    ok, rejected = alerts.apply_labels(labels, scored)
+    assert sorted(r.label for r in ok.collect()) == ["FP", "TP"]
+    assert {r.event_id for r in rejected.collect()} == {"nobody", "2"}
+
+
+def test_newest_time_reads_the_last_day_only(spark, scored, tmp_path):
+    from tidewarden.functions.timebuckets import latest_time
+
+    path = str(tmp_path / "t")
+    scored.select("event_id", "event_time", "event_date").write.partitionBy("event_date").parquet(path)
+    table = spark.read.parquet(path)
+    assert latest_time(table) == latest_time(scored.drop("event_date"))
+
+
+def test_late_rows_in_burst_counts():
+    from tidewarden.streaming.keyed import burst_counts
+
+    held = np.array([1000, 2000])
+    got = burst_counts(held, np.array([500, 61_500]), np.array([True, True]), 60_000)
+    assert got.tolist() == [1, 2]
+    assert burst_counts(held[:0], np.array([0, 0, 59_999, 60_000]), np.array([1, 1, 1, 1]), 60_000).tolist() == [1, 2, 3, 2]

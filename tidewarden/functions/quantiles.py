@@ -13,9 +13,10 @@ ACCURACY = 10_000
 def exact_percentile(df: DataFrame, column: str, q: float, keep: int = 100_000) -> float | None:
     """Percentile with linear interpolation, exact, without gathering the column.
 
-    ``percentile`` holds every distinct value in one task. Here an approximate
-    percentile gives a bracket around the wanted rank, which counting confirms;
-    the bracket is narrowed until at most ``keep`` values are left to sort.
+    ``percentile`` holds every distinct value in one task. Here approximate percentiles give
+    two values around the wanted rank and counting tells on which side of them, or on which of
+    them, the rank lies. Both are values of the column and drop out, so ties of any weight end
+    the search and the open range shrinks until at most ``keep`` values are left to sort.
     """
     x = F.col(column)
     values = df.select(x.cast("double").alias(column)).filter(x.isNotNull() & ~F.isnan(x))
@@ -25,30 +26,34 @@ def exact_percentile(df: DataFrame, column: str, q: float, keep: int = 100_000)
     rank = (n - 1) * q
     k = math.floor(rank)
     last = min(k + 1, n - 1)
-    inside, below, size, slack = values, 0, n, 4.0 / ACCURACY
+    found = _ranked(values, column, n, k, last, keep)
+    first, second = found if len(found) == 2 else (found[0], _ranked(values, column, n, last, last, keep)[0])
+    return first + (rank - k) * (second - first)
+
+
+def _ranked(values: DataFrame, column: str, n: int, k: int, last: int, keep: int) -> list[float]:
+    """The values of rank k and, where it comes with it, of rank ``last``."""
+    x = F.col(column)
+    inside, below, size = values, 0, n
     while size > keep:
-        at = (k - below) / size
+        at, slack = (k - below) / size, 4.0 / ACCURACY
         lo, hi = inside.agg(
-            F.percentile_approx(
-                x, [max(0.0, at - slack), min(1.0, at + slack + 2.0 / size)], ACCURACY
-            )
+            F.percentile_approx(x, [max(0.0, at - slack), min(1.0, at + slack + 2.0 / size)], ACCURACY)
         ).first()[0]
-        if lo == hi:
-            under, upto = values.agg(F.count_if(x < lo), F.count_if(x <= lo)).first()
-            if under <= k and last < upto:
-                return lo
-        under, upto = values.agg(F.count_if(x < lo), F.count_if(x <= hi)).first()
-        if under <= k and last < upto and upto - under < size:
-            inside, below, size = values.filter(x.between(lo, hi)), under, upto - under
-            if lo == hi:
-                return lo
-        else:
-            slack *= 4
-            if slack > 1:
+        under, low, between, high = inside.agg(
+            F.count_if(x < lo), F.count_if(x == lo), F.count_if((x > lo) & (x < hi)), F.count_if((x == hi) & (x > lo))
+        ).first()
+        parts = [(under, x < lo, None), (low, None, lo), (between, (x > lo) & (x < hi), None),
+                 (high, None, hi), (size - under - low - between - high, x > hi, None)]
+        for rows, where, value in parts:
+            if k < below + rows:
                 break
-    found = inside.orderBy(x).offset(k - below).limit(last - k + 1).collect()
-    first, second = found[0][0], found[-1][0]
-    return first + (rank - k) * (second - first)
+            below += rows
+        if value is not None:
+            return [value, value] if last < below + rows else [value]
+        inside, size = inside.filter(where), rows
+    found = inside.orderBy(x).limit(keep + 1).collect()  # ``keep`` values at most
+    return [r[0] for r in found[k - below : last - below + 1]]
 
 
 def edges(df: DataFrame, column: str, parts: int) -> list[float]:

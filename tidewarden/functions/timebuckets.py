@@ -61,8 +61,15 @@ def parse_iso(text: str) -> dt.datetime:
 
 
 def latest_time(df: DataFrame, column: str = "event_time") -> dt.datetime:
-    """Newest event time, the default for every ``as_of`` (one-row result)."""
-    micros = df.agg(F.max(F.unix_micros(column))).first()[0]
+    """Newest event time, the default for every ``as_of`` (one-row result).
+
+    On a table with an ``event_date`` only the last day's times are read.
+    """
+    if "event_date" in df.columns and column == "event_time":
+        day = df.agg(F.max("event_date")).first()[0]
+        if day is not None:
+            df = df.filter(F.col("event_date") == F.lit(day))
+    micros = df.agg(F.unix_micros(F.max(column))).first()[0]
     if micros is None:
         return dt.datetime.now(dt.UTC)
     return dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(microseconds=micros)

@@ -315,14 +315,15 @@ def apply_labels(labels: DataFrame, events: DataFrame) -> tuple[DataFrame, DataF
     """(accepted, rejected) analyst labels: the event must exist, the label be known."""
     from tidewarden.operators.decode import label_allowed
 
-    ids = events.select("event_id")
-    ok = labels.filter(label_allowed(F.col("label"))).join(ids, "event_id", "left_semi")
-    bad_label = labels.filter(~label_allowed(F.col("label"))).withColumn(
-        "problem", F.lit("Invalid label. Must be TP, FP, TN, or FN.")
+    # The events are only probed with the labels' ids; what comes out is no larger than those.
+    wanted = labels.select("event_id").distinct()
+    found = events.select("event_id").join(wanted, "event_id", "left_semi").distinct()
+    found = found.select(F.col("event_id").alias("_id"))
+    known = labels.join(found, F.col("event_id") == F.col("_id"), "left")
+    allowed = label_allowed(F.col("label"))
+    ok = known.filter(allowed & F.col("_id").isNotNull()).drop("_id")
+    problem = F.when(~allowed, "Invalid label. Must be TP, FP, TN, or FN.").when(
+        F.col("_id").isNull(), "Event not found"
     )
-    orphan = (
-        labels.filter(label_allowed(F.col("label")))
-        .join(ids, "event_id", "left_anti")
-        .withColumn("problem", F.lit("Event not found"))
-    )
-    return ok, bad_label.unionByName(orphan)
+    rejected = known.withColumn("problem", problem).filter("problem IS NOT NULL").drop("_id")
+    return ok, rejected

@@ -1,8 +1,10 @@
 """Autoencoder trained data-parallel, scored by reconstruction error.
 
-Each task trains on its own part of the rows with mini-batch Adam, starting from
-the same weights; after every epoch the results are averaged, weighted by rows.
-With one part this is plain mini-batch training. Only weights reach the driver.
+The rows are dealt into a given number of parts, whatever their count. Each task streams
+its part through mini-batch Adam, starting from the same weights; after every epoch the
+results are averaged, weighted by rows. With one part this is plain mini-batch training.
+Rows are stored in the order of a hash of their id, so batches mix all times and sources;
+a task holds one batch. Only weights reach the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from tidewarden.functions.arrays import matrix
 from tidewarden.functions.quantiles import exact_percentile
 
 HIDDEN = (512, 256, 128, 256, 512)
-ROWS_PER_TASK = 50_000
+PARTS = 8
 MERGE = 16
 
 
@@ -98,24 +100,39 @@ def errors(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.mean((out - x) ** 2, axis=1)
 
 
+def mini_batches(arrays: Iterator[np.ndarray], batch: int) -> Iterator[np.ndarray]:
+    """Runs of ``batch`` rows; the last may be shorter."""
+    held: list[np.ndarray] = []
+    rows = 0
+    for x in arrays:
+        while len(x):
+            part, x = x[: batch - rows], x[batch - rows :]
+            held.append(part)
+            rows += len(part)
+            if rows == batch:
+                yield np.concatenate(held)
+                held, rows = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def train_part(
-    x: np.ndarray, state: np.ndarray, step: int, sizes: list[int], lr: float, batch: int,
-    rng: np.random.Generator,
-) -> tuple[np.ndarray, float]:
-    """One epoch of Adam; ``state`` holds weights and both moment rows."""
+    arrays: Iterator[np.ndarray], state: np.ndarray, step: int, sizes: list[int], lr: float, batch: int
+) -> tuple[np.ndarray, float, int, int]:
+    """One epoch of Adam: (weights and both moment rows, mean loss, rows, steps)."""
     w, m, v = state[0].copy(), state[1].copy(), state[2].copy()
-    order, total, batches = rng.permutation(len(x)), 0.0, 0
-    for a in range(0, len(x), batch):
+    first, total, rows = step, 0.0, 0
+    for x in mini_batches(arrays, batch):
         step += 1
-        g, loss = gradient(x[order[a : a + batch]], w, sizes)
+        g, loss = gradient(x, w, sizes)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         w = w - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        total, batches = total + loss, batches + 1
-    return np.stack([w, m, v]), total / max(batches, 1)
+        total, rows = total + loss, rows + len(x)
+    return np.stack([w, m, v]), total / max(step - first, 1), rows, step - first
 
 
-PART = "part bigint, rows bigint, loss double, state binary"
+PART = "part bigint, rows bigint, steps bigint, loss double, state binary"
 
 
 def _average(pdf: pd.DataFrame) -> tuple[int, float, np.ndarray]:
@@ -128,8 +145,8 @@ def _average(pdf: pd.DataFrame) -> tuple[int, float, np.ndarray]:
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     rows, loss, state = _average(pdf)
     return pd.DataFrame(
-        {"part": [int(pdf["part"].min()) // MERGE], "rows": [rows], "loss": [loss],
-         "state": [state.astype("<f8").tobytes()]}
+        {"part": [int(pdf["part"].min()) // MERGE], "rows": [rows], "steps": [pdf["steps"].max()],
+         "loss": [loss], "state": [state.astype("<f8").tobytes()]}
     )
 
 
@@ -146,6 +163,7 @@ def fit(
     patience: int = 5,
     seed: int = 42,
     threshold: str = "sigma",
+    parts: int = PARTS,
 ) -> Autoencoder:
     """Train until the epoch loss has not improved for ``patience`` epochs.
 
@@ -154,11 +172,12 @@ def fit(
     """
     spark = df.sparkSession
     sizes = [width, *hidden, width]
-    n = df.count()
-    parts = max(1, math.ceil(n / ROWS_PER_TASK))
     data = (
         df.select(F.col(row_id).cast("string").alias("id"), F.col(vector).alias("x"))
-        .repartition(parts, "id")
+        .withColumn("h", F.xxhash64("id", F.lit(seed)))
+        .repartition(parts, "h")
+        .sortWithinPartitions("h", "id")
+        .select("x")
         .persist()
     )
     weights = initial(sizes, seed)
@@ -169,28 +188,26 @@ def fit(
             shared = spark.sparkContext.broadcast(state)
             step0 = step
 
-            def train(
-                batches: Iterator[pd.DataFrame], shared=shared, epoch=epoch, step0=step0
-            ) -> Iterator[pd.DataFrame]:
-                pdf = pd.concat(list(batches), ignore_index=True)  # ROWS_PER_TASK or so
-                if pdf.empty:
-                    return
-                part = TaskContext.get().partitionId()
-                x = np.vstack(pdf.sort_values("id")["x"].to_numpy()).astype(float)
-                rng = np.random.default_rng([seed, epoch, part])
-                new, loss = train_part(x, shared.value, step0, sizes, lr, batch, rng)
-                yield pd.DataFrame(
-                    {"part": [part], "rows": [len(x)], "loss": [loss],
-                     "state": [new.astype("<f8").tobytes()]}
-                )
-
-            trained, left = data.mapInPandas(train, PART), parts
+            def train(batches: Iterator[pa.RecordBatch], shared=shared, step0=step0) -> Iterator[pa.RecordBatch]:
+                arrays = (matrix(b.column("x")) for b in batches if b.num_rows)
+                new, loss, rows, steps = train_part(arrays, shared.value, step0, sizes, lr, batch)
+                if rows:
+                    part = TaskContext.get().partitionId()
+                    yield pa.RecordBatch.from_pydict(
+                        {"part": [part], "rows": [rows], "steps": [steps], "loss": [loss],
+                         "state": [new.astype("<f8").tobytes()]}
+                    )
+
+            trained, left = data.mapInArrow(train, PART), parts
             while left > MERGE:
                 trained = trained.groupBy(F.floor(F.col("part") / MERGE)).applyInPandas(_merge, PART)
                 left = math.ceil(left / MERGE)
-            _, loss, flat = _average(trained.toPandas())
+            last = trained.toPandas()  # MERGE states at most
+            if last.empty:
+                raise ValueError("no rows to train on")
+            _, loss, flat = _average(last)
             state = flat.reshape(3, -1)
-            step += math.ceil(n / parts / batch)
+            step += int(last["steps"].max())
             shared.unpersist()
             losses.append(loss)
             if loss < best:

@@ -122,7 +122,7 @@ def fit_scaler(
 def _usable_scale(std: float, mean: float, n: int) -> float:
     """1 for a column that is constant up to rounding error, as fitted scalers do."""
     eps = 2.220446049250313e-16
-    if std * std <= n * eps * std * std + (n * mean * eps) ** 2 or math.isnan(std):
+    if not math.isfinite(std) or std * std <= n * eps * std * std + (n * mean * eps) ** 2:
         return 1.0
     return std
 
@@ -150,13 +150,14 @@ def normalise_vector(vector: Column, mean: list[float], std: list[float]) -> Col
 
 
 def vector_moments(df: DataFrame, vector: str, width: int) -> tuple[list[float], list[float]]:
-    """Mean and population deviation per position."""
+    """Mean and population deviation of the finite values per position; 1 for a constant one."""
     stats = []
     for i in range(width):
-        x = F.get(F.col(vector), F.lit(i))
-        stats += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        x = finite(F.get(F.col(vector), F.lit(i)))
+        stats += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     r = df.agg(*stats).first()
-    return [r[f"m{i}"] for i in range(width)], [r[f"s{i}"] for i in range(width)]
+    mean = [r[f"m{i}"] or 0.0 for i in range(width)]
+    return mean, [_usable_scale(r[f"s{i}"] or 0.0, mean[i], r[f"n{i}"]) for i in range(width)]
 
 
 # --- features that are only named elsewhere; the formulas are this library's ---

@@ -48,6 +48,23 @@ class Forest:
     child: np.ndarray
     path: np.ndarray
 
+    def sent(self):
+        """The node arrays on all executors, sent once as long as the model is the same."""
+        context = SparkSession.active().sparkContext
+        held = self.__dict__.get("_sent")
+        if held is None or held[0] is not context or held[1] != self.offset:
+            self.release()
+            arrays = (self.feature, self.threshold, self.child, self.path)
+            value = (self.version, self.sample_size, self.contamination, self.offset, *arrays)
+            held = self.__dict__["_sent"] = (context, self.offset, context.broadcast(value))
+        return held[2]
+
+    def release(self) -> None:
+        """Take the arrays off the executors; later use sends them again."""
+        held = self.__dict__.pop("_sent", None)
+        if held is not None and held[0] is SparkSession.active().sparkContext:
+            held[2].unpersist()
+
     @property
     def depth(self) -> int:
         return max(1, math.ceil(math.log2(max(self.sample_size, 2))))
@@ -144,30 +161,37 @@ def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple
     return out
 
 
+def _at_most(trees: int, p: float) -> list[float]:
+    """P(at most k of the trees take a row), k = 0 .. trees - 1, each taking it with chance p."""
+    out, total = [], 0.0
+    for k in range(trees):
+        log = math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1)
+        total += math.exp(log + k * math.log(p) + (trees - k) * math.log1p(-p)) if p < 1 else 0.0
+        out.append(total)
+    return out
+
+
 def tree_samples(
     df: DataFrame, vector: str, row_id: str, trees: int, sample_size: int, n: int, seed: int
 ) -> DataFrame:
     """Candidate rows per tree, about 1.5 samples each, picked by hash of the row id.
 
-    The pick does not depend on how the data is partitioned. With far more rows
-    than the trees need, one hash thins the rows and a second deals them out, so
-    a row costs one hash; with fewer, each (row, tree) pair is drawn by itself.
+    Every tree takes every row with the same chance, whatever the number of rows and however
+    they are partitioned: one hash gives the number of trees that take the row, and those with
+    the smallest hashes of (row, tree) are the ones. Most rows of a large table cost one hash.
     """
     rows = df.select(F.col(row_id).cast("string").alias("id"), F.col(vector).alias("x"))
-    wanted = 1.5 * sample_size
-    if n >= 4 * trees * wanted:
-        h = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASH_RANGE))
-        return rows.filter(h < F.lit(int(HASH_RANGE * wanted * trees / n))).select(
-            F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"),
-            "id",
-            F.xxhash64("id", F.lit(seed + 2)).alias("h"),
-            "x",
+    below = _at_most(trees, min(1.0, 1.5 * sample_size / n))
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASH_RANGE)) + F.lit(0.5)) / F.lit(float(HASH_RANGE))
+    rows = rows.select("id", "x", u.alias("u")).filter(F.col("u") >= below[0])
+    taken = F.size(F.filter(F.array(*[F.lit(c) for c in below]), lambda c: c <= F.col("u")))
+    ranked = F.sort_array(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda t: F.struct(F.xxhash64("id", t, F.lit(seed + 1)).alias("h"), t.alias("tree")),
         )
-    cut = int(HASH_RANGE * min(1.0, wanted / n))
-    drawn = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(HASH_RANGE)) < F.lit(cut),
     )
+    drawn = F.transform(F.slice(ranked, F.lit(1), taken), lambda r: r["tree"])
     return rows.select(F.explode(drawn).alias("tree"), "id", "x").withColumn(
         "h", F.xxhash64("id", "tree", F.lit(seed + 2))
     )
@@ -243,8 +267,9 @@ def sweep(
 
 
 def fold_of(row_id: Column, folds: int = 5) -> Column:
-    """Fold number of a row, fixed by its id."""
-    return F.pmod(F.xxhash64(row_id), F.lit(folds)).cast("int")
+    """Fold number of a row, fixed by the first 32 bits of its id's MD5."""
+    bits = F.conv(F.substring(F.md5(row_id.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(bits, F.lit(folds)).cast("int")
 
 
 def cross_validate(
@@ -275,12 +300,8 @@ def cross_validate(
 
 
 def score_column(forest: Forest, vector: Column) -> Column:
-    """``score_samples`` as a column; the node arrays go out once per executor."""
-    spark = SparkSession.active()
-    shared = spark.sparkContext.broadcast(
-        (forest.version, forest.sample_size, forest.contamination, forest.offset,
-         forest.feature, forest.threshold, forest.child, forest.path)
-    )
+    """``score_samples`` as a column; the node arrays go out once per model."""
+    shared = forest.sent()
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

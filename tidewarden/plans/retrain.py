@@ -63,6 +63,8 @@ def retrain(
     events: DataFrame,
     as_of: dt.datetime | None = None,
     vector: str = "feature_vector",
+    names: list[str] | None = None,
+    skewed: list[str] = (),
     labels: DataFrame | None = None,
     trees: int = 100,
     contamination: float = 0.1,
@@ -72,7 +74,10 @@ def retrain(
 ) -> str | None:
     """One retraining run; returns its version, or None when it was skipped.
 
-    One version names the scaler, the forest and the run. With ``labels``
+    With ``names`` the model learns those features of the ``features`` map, the ``skewed`` ones
+    after log1p; infinite and missing values count as the mean. Without, it learns the positions
+    of ``vector`` under the names f0, f1, ... Either way the scaler stores the names, and events
+    are scored by name. One version names the scaler, the forest and the run. With ``labels``
     (event_id, label 0/1) the run is scored on ``metric`` and only promoted if it
     is not worse than the active version.
     """
@@ -80,14 +85,19 @@ def retrain(
     rows = training_set(events, as_of, newest=newest, at_least=at_least)
     if rows is None:
         return None
-    rows = rows.select("event_id", F.col(vector).alias("x")).persist()
+    rows = rows.select("event_id", F.col("features" if names else vector).alias("x")).persist()
     version = version_stamp(as_of)
     try:
-        width = rows.agg(F.max(F.size("x"))).first()[0]
-        mean, std = features.vector_moments(rows, "x", width)
-        names = [f"f{i}" for i in range(width)]
-        scaler = features.Scaler(version, names, mean, [s or 1.0 for s in std])
-        scaled = rows.select("event_id", scale_vector("x", scaler).alias("z")).persist()
+        if names:
+            scaler = features.fit_scaler(rows, list(names), list(skewed), version, features="x")
+            z = features.scaled_vector(F.col("x"), scaler)
+        else:
+            width = rows.agg(F.max(F.size("x"))).first()[0]
+            mean, std = features.vector_moments(rows, "x", width)
+            scaler = features.Scaler(version, [f"f{i}" for i in range(width)], mean, std)
+            z = scale_vector("x", scaler)
+        width = len(scaler.names)
+        scaled = rows.select("event_id", z.alias("z")).persist()
         model = forest.fit(scaled, "z", "event_id", version, trees, contamination)
         scored = scaled.withColumn("decision", forest.decide(model, F.col("z"))).persist()
         summary = evaluate.fit_summary(scored).first().asDict()
@@ -109,7 +119,7 @@ def retrain(
     registry.save("forest", version, model.to_df(spark))
     parameters = {
         "n_estimators": trees, "contamination": contamination, "random_state": 42,
-        "n_features": width, "max_samples": "auto",
+        "n_features": width, "max_samples": "auto", "features": ",".join(scaler.names),
     }
     registry.log_run(version, "IsolationForest", parameters, summary, as_of)
     if metric not in summary or should_promote(summary[metric], previous):

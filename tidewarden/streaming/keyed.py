@@ -7,7 +7,6 @@ many rows one key can bring is bounded by the source's rate limit per trigger.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,35 +19,49 @@ from tidewarden.functions.severity import AlertThresholds
 from tidewarden.operators import drift, half_space
 from tidewarden.schema import BURST_WINDOW_MS
 
+SLACK_MS = 10_000
+
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["ms", "event_id"])
 
 
+def burst_counts(held: np.ndarray, ms: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+    """HIGH+ rows in (t - window, t] up to each row; ``held`` are earlier ones, all sorted.
+
+    A row counts only what lies before it in time (or beside it, and earlier in the order), so a
+    late row neither counts newer rows nor hides older ones.
+    """
+    old = np.searchsorted(held, ms, "right") - np.searchsorted(held, ms - window, "right")
+    upto = np.concatenate([[0], np.cumsum(high)])
+    return old + upto[1:] - upto[np.searchsorted(ms, ms - window, "right")]
+
+
 class Bursts(StatefulProcessor):
-    """HIGH+ events of the source in the last window, as (time, id) in the state."""
+    """Times of the source's HIGH+ events of the last window, sorted.
+
+    With ``expire`` the state of a source that sends nothing for the window and ``SLACK_MS`` goes.
+    """
 
-    def __init__(self, high: float, window_ms: int):
-        self.high, self.window_ms = high, window_ms
+    def __init__(self, high: float, window_ms: int, expire: bool):
+        self.high, self.window_ms, self.expire = high, window_ms, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "times string")
+        self.seen = handle.getValueState(
+            "seen", "times binary", self.window_ms + SLACK_MS if self.expire else None
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
-        held = json.loads(self.seen.get()[0]) if self.seen.exists() else []
-        held.sort()
-        counts, first = [], 0
-        for ms, score in zip(pdf["ms"], pdf["anomaly_score"]):
-            if score >= self.high:
-                held.append(int(ms))
-            while first < len(held) and held[first] <= ms - self.window_ms:
-                first += 1
-            counts.append(len(held) - first)
-        self.seen.update((json.dumps(held[first:]),))
-        yield pd.DataFrame(
-            {"source_id": key[0], "event_id": pdf["event_id"], "burst_count": counts}
-        )
+        held = np.frombuffer(bytes(self.seen.get()[0]), "<i8") if self.seen.exists() else np.zeros(0, "<i8")
+        ms = pdf["ms"].to_numpy("<i8")
+        high = (pdf["anomaly_score"] >= self.high).to_numpy()
+        counts = burst_counts(held, ms, high, self.window_ms)
+        held = np.sort(np.concatenate([held, ms[high]]))
+        newest = max(ms[-1], held[-1]) if len(held) else ms[-1]
+        # Late rows may still need what is a window older than the newest event.
+        self.seen.update((held[held > newest - 2 * self.window_ms].astype("<i8").tobytes(),))
+        yield pd.DataFrame({"source_id": key[0], "event_id": pdf["event_id"], "burst_count": counts})
 
     def close(self) -> None:
         pass
@@ -58,18 +71,23 @@ def burst_stream(
     anomalies: DataFrame,
     high: float = AlertThresholds().high,
     window_ms: int = BURST_WINDOW_MS,
+    expire: bool = False,
 ) -> DataFrame:
-    """Burst count of every unsilenced anomaly as it arrives."""
+    """Burst count of every unsilenced anomaly as it arrives.
+
+    ``expire`` drops the state of silent sources by the clock, for queries that run all the time;
+    a run that works off what is there (``availableNow``) would not end with it.
+    """
     return (
         anomalies.select(
             "source_id", "event_id", F.unix_millis("event_time").alias("ms"), "anomaly_score"
         )
         .groupBy("source_id")
         .transformWithStateInPandas(
-            Bursts(high, window_ms),
+            Bursts(high, window_ms, expire),
             "source_id string, event_id string, burst_count bigint",
             "Append",
-            "None",
+            "ProcessingTime" if expire else "None",
         )
     )
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewarden.operators import decode, features, forest
-from tidewarden.plans.retrain import scale_vector
 from tidewarden.schema import ANOMALY_THRESHOLD
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
@@ -30,6 +29,9 @@ class Scorer:
 
     def model(self, version: str):
         if version not in self.loaded:
+            for old, _ in self.loaded.values():
+                if old is not None:
+                    old.release()
             if version == "dummy-v0":
                 self.loaded = {version: (None, features.fallback_scaler())}
             else:
@@ -43,12 +45,8 @@ class Scorer:
 
     def score(self, events: DataFrame) -> DataFrame:
         model, scaler = self.model(self.registry.active())
-        positional = all(n == f"f{i}" for i, n in enumerate(scaler.names))
-        vector = (
-            scale_vector("feature_vector", scaler)
-            if positional
-            else features.scaled_vector(F.col("features"), scaler)
-        )
+        # By name: an absent feature must not shift the others. List messages carry f0, f1, ...
+        vector = features.scaled_vector(F.col("features"), scaler)
         return forest.score_events(
             events.withColumn("_z", vector), "_z", model, self.threshold
         )
