@@ -233,3 +233,33 @@ def test_synthetic(spark):
     assert t.filter(~lag.between(50_000, 500_000)).count() == 0
     again = synthetic.seed_table(spark, now).repartition(3).drop("features")
     assert t.drop("features").exceptAll(again).count() == 0
+
+
+def test_broken_compaction_is_finished_by_the_next(spark, monkeypatch, tmp_path):
+    path, end = str(tmp_path / "t"), dt.datetime(2024, 2, 1, tzinfo=dt.UTC)
+    day = "SELECT id AS event_id, 's' AS source_id, true AS is_anomaly, timestamp '2024-01-01' AS event_time, date '2024-01-01' AS event_date FROM range(50)"
+    spark.sql(day).repartition(3).write.partitionBy("event_date").parquet(path)
+    real, calls = maintenance.files.move, []
+
+    def breaks(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise OSError("lost")
+        real(*args)
+
+    monkeypatch.setattr(maintenance.files, "move", breaks)
+    with pytest.raises(OSError):
+        maintenance.compact(spark, path, end)
+    monkeypatch.setattr(maintenance.files, "move", real)
+    assert maintenance.recover(spark, path) == 1
+    assert sorted(r.event_id for r in spark.read.parquet(path).collect()) == list(range(50))
+    assert maintenance.compact(spark, path, end) == [] and maintenance.recover(spark, path) == 0
+    # One that broke off before it was complete leaves everything as it was.
+    (tmp_path / "t" / "_compacting" / "x" / "new").mkdir(parents=True)
+    assert maintenance.recover(spark, path) == 1 and spark.read.parquet(path).count() == 50
+
+
+def test_a_late_row_reads_its_own_hour(spark, scored):
+    rows = scored.orderBy("event_time").limit(40).union(scored.orderBy(F.desc("event_time")).limit(1))
+    where, days = sinks._touched(rows, "event_date")
+    assert len(days) >= 2 and scored.filter(where).count() < scored.count() / 2

@@ -146,9 +146,19 @@ def plain_text() -> Column:
     )
 
 
+def escaped(text: Column) -> Column:
+    """Text that means itself inside HTML."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def html_text() -> Column:
     """The alert as a small HTML table with a link to the dashboard."""
-    c = F.col
+
+    def c(name: str) -> Column:
+        return escaped(F.col(name)) if name in ("alert_id", "event_id", "source_id", "dashboard_url") else F.col(name)
+
     rows = {
         "Alert ID": c("alert_id"),
         "Event ID": c("event_id"),

@@ -59,10 +59,12 @@ def compact(
     Rows are range-partitioned on the full sort order, so a source that owns most
     of a day is spread over many files instead of landing in one task, and row
     group statistics then prune by source, flag and time. All days that are due
-    are rewritten to the side in one job. Then, per day, exactly the files that
-    were read are moved out and the new ones in, so a file written meanwhile stays.
-    A day that has had no new files since its last rewrite is skipped.
+    are rewritten to the side in one job, and the list of files read is stored with
+    them. Then, per day, exactly those files are moved out and the new ones in, so a
+    file written meanwhile stays. A day that has had no new files since its last
+    rewrite is skipped. A run that broke off is finished, or undone, by the next one.
     """
+    recover(spark, path)
     due: dict[dt.date, list[str]] = {}
     for day in days(spark, path):
         end = dt.datetime.combine(day, dt.time(), dt.UTC) + dt.timedelta(days=1)
@@ -84,12 +86,34 @@ def compact(
         .write.partitionBy("event_date")
         .parquet(f"{side}/new")
     )
-    for day, names in due.items():
-        folder = f"event_date={day}"
+    read = [(f"event_date={day}", name) for day, names in due.items() for name in names]
+    spark.createDataFrame(read, "folder string, name string").coalesce(1).write.parquet(f"{side}/read")
+    swap(spark, path, side)
+    return list(due)
+
+
+def swap(spark: SparkSession, path: str, side: str) -> None:
+    """Put the rewritten files of ``side`` in place of those they were made from; can be repeated."""
+    read: dict[str, list[str]] = {}
+    for r in spark.read.parquet(f"{side}/read").collect():  # one row per file that was rewritten
+        read.setdefault(r.folder, []).append(r.name)
+    for folder, names in sorted(read.items()):
+        present = set(files.children(spark, f"{path}/{folder}"))
         for name in names:
-            files.move(spark, f"{path}/{folder}/{name}", f"{side}/old/{folder}/{name}")
+            if name in present:
+                files.move(spark, f"{path}/{folder}/{name}", f"{side}/old/{folder}/{name}")
         for name in files.children(spark, f"{side}/new/{folder}"):
             files.move(spark, f"{side}/new/{folder}/{name}", f"{path}/{folder}/{name}")
         files.touch(spark, f"{path}/{folder}/{MARKER}")
     files.delete(spark, side)
-    return list(due)
+
+
+def recover(spark: SparkSession, path: str) -> int:
+    """Finish compactions that broke off while files were swapped, drop those that did not get there."""
+    sides = [f"{path}/_compacting/{name}" for name in files.children(spark, f"{path}/_compacting")]
+    for side in sides:
+        if files.exists(spark, f"{side}/read/_SUCCESS"):
+            swap(spark, path, side)
+        else:
+            files.delete(spark, side)
+    return len(sides)

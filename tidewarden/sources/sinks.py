@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.operators.decode import split_ingest
@@ -14,31 +14,24 @@ KEYS = ["event_id", "event_time"]
 def insert_new(batch: DataFrame, path: str, keys: list[str] = KEYS, day: str = "event_date") -> None:
     """Append the rows whose key the table does not hold yet; conflicts are no-ops.
 
-    Only the days present in the batch are compared, and of those only the key
-    columns are read. A batch that is run again after a crash finds the rows that
+    Only the days present in the batch are compared, of those only the key columns
+    and, where rows carry an ``event_time``, only the hours the batch touches, so a
+    late row costs its own hour. A batch that is run again after a crash finds the rows that
     did get in and leaves them out, whether all or some had been committed.
     """
     spark = batch.sparkSession
     new = batch.dropDuplicates(keys).persist()
     try:
         if files.exists(spark, path):
-            days = [r[0] for r in new.select(day).distinct().collect()]
+            held = spark.read.schema(new.schema).parquet(path)
+            if "event_time" in new.columns:
+                where, days = _touched(new, day)
+                held = held.filter(where) if days else held
+            else:
+                days = [r[0] for r in new.select(day).distinct().collect()]
             if not days:
                 return
-            held = (
-                spark.read.schema(new.schema)
-                .parquet(path)
-                .filter(F.col(day).isin(days))
-                .select(*keys)
-            )
-            if "event_time" in keys:
-                micros = F.unix_micros("event_time")
-                low, high = new.agg(F.min(micros), F.max(micros)).first()
-                held = held.filter(
-                    F.col("event_time").between(
-                        F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high))
-                    )
-                )
+            held = held.filter(F.col(day).isin(days)).select(*keys)
             # The batch is small against its days: first keep the held keys it has
             # (the batch side can be broadcast), then leave those rows out.
             clashes = held.join(new.select(*keys), keys, "left_semi")
@@ -59,6 +52,25 @@ def insert_new(batch: DataFrame, path: str, keys: list[str] = KEYS, day: str = "
         new.unpersist()
 
 
+def _touched(new: DataFrame, day: str) -> tuple[Column, list]:
+    """(times inside the hours the batch touches, its days); one row per hour comes back."""
+    micros = F.unix_micros("event_time")
+    cells = new.groupBy(day, F.floor(micros / F.lit(3_600_000_000)).alias("hour")).agg(
+        F.min(micros).alias("low"), F.max(micros).alias("high")
+    )
+    spans: list[list[int]] = []
+    rows = cells.collect()
+    for r in sorted(rows, key=lambda r: r.low):
+        if spans and r.low - spans[-1][1] < 3_600_000_000:  # a busy stretch is one range
+            spans[-1][1] = max(spans[-1][1], r.high)
+        else:
+            spans.append([r.low, r.high])
+    inside = F.lit(False)
+    for low, high in spans:
+        inside = inside | F.col("event_time").between(F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high)))
+    return inside, sorted({r[day] for r in rows})
+
+
 def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     """Write one micro-batch to its own folder; a retry replaces it."""
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
