@@ -31,7 +31,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import free_name, pieces, read, split_words, text_of, written
+from tidewarden.llm.common import discard, free_name, pieces, read, split_words, text_of, written
 from tidewarden.llm.components import components
 from tidewarden.llm.token_ids import mix
 from tidewarden.session import shared_dir
@@ -159,9 +158,8 @@ SIGNATURE = (
 )
 
 
-def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row per document; its sorted set goes to a file of its task in the shared folder."""
-    folder = shared_dir(docs.sparkSession, "shingle-sets")
+def signatures(docs: DataFrame, rule: Rule, folder: str) -> DataFrame:
+    """One row per document; its sorted set goes to a file of its task in ``folder``."""
     rows = docs.select("doc_id", F.xxhash64(text_of("text")).alias("tie"), text_of("text").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -210,14 +208,29 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
 # ---- links ---------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=256)
-def opened(uri: str):
-    fs, path = pafs.FileSystem.from_uri(uri)
-    return fs.open_input_file(path)
+class SetFiles:
+    """Reads sets; at most 64 files are open, none after the task."""
+
+    def __init__(self):
+        self.open: dict[str, pa.NativeFile] = {}
+
+    def __enter__(self) -> SetFiles:
+        return self
 
+    def __exit__(self, *_) -> None:
+        for f in self.open.values():
+            f.close()
+        self.open = {}
 
-def read_set(uri: str, at: int, n: int) -> np.ndarray:
-    return np.frombuffer(opened(uri).read_at(8 * n, at), "uint64")
+    def read(self, uri: str, at: int, n: int) -> np.ndarray:
+        f = self.open.pop(uri, None)
+        if f is None:
+            if len(self.open) >= 64:
+                self.open.pop(next(iter(self.open))).close()
+            fs, path = pafs.FileSystem.from_uri(uri)
+            f = fs.open_input_file(path)
+        self.open[uri] = f  # last used comes last
+        return np.frombuffer(f.read_at(8 * n, at), "uint64")
 
 
 def register_rows(column: pa.Array) -> np.ndarray:
@@ -233,22 +246,23 @@ def linked(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     rows = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {name: batch.column(name) for name in batch.schema.names}
-            na, nb = c["n_a"].to_numpy(), c["n_b"].to_numpy()
-            ok = possible(register_rows(c["regs_a"]), register_rows(c["regs_b"]), na, nb, rule)
-            a, b = c["a"].to_numpy(), c["b"].to_numpy()
-            at_a, at_b = c["at_a"].to_numpy(), c["at_b"].to_numpy()
-            kept, last, own = [], None, None
-            for i in np.flatnonzero(ok):
-                if a[i] != last:
-                    last, own = a[i], read_set(c["file_a"][i].as_py(), int(at_a[i]), int(na[i]))
-                other = read_set(c["file_b"][i].as_py(), int(at_b[i]), int(nb[i]))
-                where = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                shared = int((own[where] == other).sum())
-                if rule.enough(shared, int(na[i]) + int(nb[i]) - shared):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
+        with SetFiles() as files:
+            for batch in batches:
+                c = {name: batch.column(name) for name in batch.schema.names}
+                na, nb = c["n_a"].to_numpy(), c["n_b"].to_numpy()
+                ok = possible(register_rows(c["regs_a"]), register_rows(c["regs_b"]), na, nb, rule)
+                a, b = c["a"].to_numpy(), c["b"].to_numpy()
+                at_a, at_b = c["at_a"].to_numpy(), c["at_b"].to_numpy()
+                kept, last, own = [], None, None
+                for i in np.flatnonzero(ok):
+                    if a[i] != last:
+                        last, own = a[i], files.read(c["file_a"][i].as_py(), int(at_a[i]), int(na[i]))
+                    other = files.read(c["file_b"][i].as_py(), int(at_b[i]), int(nb[i]))
+                    where = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    shared = int((own[where] == other).sum())
+                    if rule.enough(shared, int(na[i]) + int(nb[i]) - shared):
+                        kept.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
 
     # A pair is about 1 kB here; both sets are read where the pair is.
     return rows.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "file_a", "file_b", "at_a", "at_b").mapInArrow(
@@ -286,15 +300,15 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
 class Sets:
     """Full sets of a group's members, read when first needed; a bounded number is held."""
 
-    def __init__(self, g: pa.RecordBatch, most: int = 64 << 20):
-        self.g, self.most, self.held, self.bytes = g, most, {}, 0
+    def __init__(self, g: pa.RecordBatch, files: SetFiles, most: int = 64 << 20):
+        self.g, self.files, self.most, self.held, self.bytes = g, files, most, {}, 0
 
     def __getitem__(self, i: int) -> np.ndarray:
         if i not in self.held:
             if self.bytes > self.most:
                 self.held, self.bytes = {}, 0
             file, at, n = (self.g.column(k)[int(i)].as_py() for k in ("file", "at", "n"))
-            self.held[i] = read_set(file, at, n)
+            self.held[i] = self.files.read(file, at, n)
             self.bytes += 8 * n
         return self.held[i]
 
@@ -329,11 +343,15 @@ def cross_links(rows: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "own", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with SetFiles() as files:
+            yield from compare_groups(batches, files)
+
+    def compare_groups(batches: Iterator[pa.RecordBatch], files: SetFiles) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ("bucket", "lo", "hi")):
             bucket, lo, hi = (g.column(k)[0].as_py() for k in ("bucket", "lo", "hi"))
             own, node, comp, n = (g.column(k).to_numpy() for k in ("own", "node", "comp", "n"))
             label = comp.copy()  # components as far as this task knows
-            regs, sets, found = register_rows(g.column("regs")), Sets(g), []
+            regs, sets, found = register_rows(g.column("regs")), Sets(g, files), []
             runs = run_keys(regs, RUNS)
             here = np.flatnonzero(runs[0].view("int64") == bucket)
             before = int(here[0]) if len(here) else 0
@@ -381,7 +399,8 @@ def link_classes(classes: DataFrame, rule: Rule) -> DataFrame | None:
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; group (a number of its
     component) and tie (its text's hash) tell apart rows with one id."""
-    signed = signatures(docs, rule)
+    folder = shared_dir(docs.sparkSession, "shingle-sets")
+    signed = signatures(docs, rule, folder)
     sets = signed.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
     sets = written(sets, "classes")
     first = sets.select(F.col("node").alias("_node"))
@@ -390,6 +409,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     )
     classes = written(classes, "class-signatures")
     comp = link_classes(classes, rule)
+    discard(docs.sparkSession, folder)  # all links are written; nothing reads the sets again
     if comp is None:
         named = sets.select("set_a", "set_b", F.col("node").alias("group"), F.col("low").alias("component_id"))
     else:
