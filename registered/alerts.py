@@ -101,6 +101,14 @@ register(
     f"""{CONTROL_SQL} SELECT scope, created_at, ends_at FROM rules
     WHERE created_at <= TIMESTAMP '2024-01-15' AND ends_at > TIMESTAMP '2024-01-15'""",
 )
+register(
+    "a03_silence_info",
+    lambda s, sf: alerts.silence_info(rules_of(s, sf), "7", AS_OF).select("scope", "created_at", "ends_at").unionByName(
+        alerts.silence_info(rules_of(s, sf), "12", AS_OF).select("scope", "created_at", "ends_at")
+    ),
+    f"""{CONTROL_SQL} SELECT scope, created_at, ends_at FROM rules WHERE scope IN ('7', '12')
+    AND created_at <= TIMESTAMP '2024-01-15' AND ends_at > TIMESTAMP '2024-01-15'""",
+)
 
 
 def burst_sql(source, high, clears=""):
@@ -342,6 +350,46 @@ register(
         'Please review via: PATCH /api/events/' || event_id || '/label' || chr(10)) END AS body
     FROM c""",
 )
+def pager_events(s, sf):
+    """Trigger details of the pages and the event that resolves each."""
+    a = plain_alerts(s, sf).filter("severity = 'CRITICAL'")
+    j = lambda path: F.get_json_object("payload", path)
+    a = a.select("alert_id", notify.pager_trigger("key").alias("payload"), notify.pager_resolve("key").alias("resolve"))
+    return a.select(
+        "alert_id", "resolve", j("$.routing_key").alias("routing_key"), j("$.event_action").alias("action"),
+        j("$.payload.source").alias("source"), j("$.payload.severity").alias("severity"), j("$.payload.class").alias("kind"),
+        F.concat_ws("/", j("$.payload.component"), j("$.payload.group")).alias("place"),
+        j("$.payload.custom_details.event_id").alias("event_id"),
+        F.round(j("$.payload.custom_details.anomaly_score").cast("double"), 9).alias("score"),
+        j("$.payload.custom_details.burst_count").cast("bigint").alias("burst_count"),
+        j("$.payload.custom_details.severity").alias("level"), j("$.links[0].text").alias("link_text"),
+    )
+
+
+register(
+    "a16_pager_events",
+    pager_events,
+    f"""{PLAIN_ALERTS_SQL} SELECT alert_id,
+      '{{"routing_key":"key","dedup_key":"' || alert_id || '","event_action":"resolve"}}' AS resolve, 'key' AS routing_key,
+      'trigger' AS action, source_id AS source, 'critical' AS severity, 'anomaly' AS kind, 'scoring/event-scoring' AS place,
+      event_id, round(score, 9) AS score, burst_count, severity AS level, 'Dashboard' AS link_text
+    FROM alerts WHERE severity = 'CRITICAL'""",
+)
+register(
+    "a16_email_html",
+    lambda s, sf: plain_alerts(s, sf).filter("severity IN ('HIGH', 'CRITICAL')").withColumn(
+        "source_id", F.concat(F.lit("<b>&"), "source_id")
+    ).select("alert_id", notify.html_text().alias("html")),
+    f"""{PLAIN_ALERTS_SQL}, e AS (SELECT *, replace(dashboard_url, '&', '&amp;') AS url FROM alerts
+      WHERE severity IN ('HIGH', 'CRITICAL'))
+    SELECT alert_id, '<html><body><h1 style="color:' || CASE severity WHEN 'HIGH' THEN '#e01e5a' ELSE '#7b0000' END
+      || '">Anomaly Alert — ' || severity || '</h1><table><tr><th>Alert ID</th><td>' || alert_id
+      || '</td></tr><tr><th>Event ID</th><td>' || event_id || '</td></tr><tr><th>Source ID</th><td>&lt;b&gt;&amp;' || source_id
+      || '</td></tr><tr><th>Anomaly Score</th><td>' || {SCORE4.format('score', 4)} || ' (' || {SCORE4.format('score * 100', 1)}
+      || '%)</td></tr><tr><th>Severity</th><td>' || severity || '</td></tr><tr><th>Burst Count</th><td>' || burst_count
+      || ' HIGH+ alerts / 60 s</td></tr><tr><th>Detected At</th><td>' || strftime(created_at, '%Y-%m-%d %H:%M:%S')
+      || ' UTC</td></tr></table><a href="' || url || '">Open Dashboard</a></body></html>' AS html FROM e""",
+)
 register(
     "a17_alert_summary",
     lambda s, sf: plain_alerts(s, sf).select(

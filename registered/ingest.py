@@ -194,6 +194,14 @@ register(
       WHEN n_chars % 7 IN (0, 1) THEN 'feature_vector must not contain NaN or Inf values' END AS problem
     FROM documents""",
 )
+register(
+    "v01_batch_size",
+    lambda s, sf: table(s, sf, "events").groupBy("event_type").agg(F.count("*").alias("events")).select(
+        "event_type", decode.batch_problem(F.col("events")).alias("problem")
+    ),
+    """SELECT event_type, CASE WHEN count(*) > 1000 THEN 'a batch must hold 1 to 1000 events' END AS problem
+    FROM events GROUP BY 1""",
+)
 register(
     "v02_scored_validation",
     lambda s, sf: decode.split_scored(

@@ -321,3 +321,20 @@ def test_late_rows_in_burst_counts():
     got = burst_counts(held, np.array([500, 61_500]), np.array([True, True]), 60_000)
     assert got.tolist() == [1, 2]
     assert burst_counts(held[:0], np.array([0, 0, 59_999, 60_000]), np.array([1, 1, 1, 1]), 60_000).tolist() == [1, 2, 3, 2]
+
+
+def test_page_hinkley_looks_at_each_block_a_few_times(spark, monkeypatch):
+    """Signals in every block: the rows that all rounds look at grow with the rows."""
+    looked = []
+    real = drift._first_signals
+
+    def counted(live, *args):
+        looked.append(live.count())
+        return real(live, *args)
+
+    monkeypatch.setattr(drift, "_first_signals", counted)
+    p = drift.Params(min_instances=10, threshold=3.0)
+    df = ordered(spark, [float(i // 100 % 2) for i in range(1200)])
+    got = drift.batch_drifts(df, "k", "x", params=p, block_rows=200)
+    assert got.count() >= 6 and len(looked) <= 8
+    assert max(looked) <= drift.LOOK_AHEAD * 200 and sum(looked) <= 4 * 1200

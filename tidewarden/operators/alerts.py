@@ -11,10 +11,9 @@ from tidewarden.functions.identity import uuid5
 from tidewarden.functions.severity import AlertThresholds, alert_severity, is_actionable
 from tidewarden.functions.timebuckets import literal_ts
 from tidewarden.operators.sweep import markers
-from tidewarden.schema import BURST_WINDOW_MS
+from tidewarden.schema import BURST_WINDOW_MS, DASHBOARD, REFUSAL
 
 ALL_SOURCES = "*"
-DASHBOARD = "http://localhost:3000"
 
 
 # --- silences ------------------------------------------------------------------
@@ -306,8 +305,8 @@ def rejected_transitions(alerts: DataFrame, transitions: DataFrame) -> DataFrame
         .filter(_order() > F.col("first_resolve"))
         .drop("first_resolve")
     )
-    return late.withColumn("problem", F.lit("Cannot acknowledge a resolved alert.")).unionByName(
-        unknown.withColumn("problem", F.lit("Alert not found"))
+    return late.withColumn("problem", F.lit(REFUSAL["acknowledge"])).unionByName(
+        unknown.withColumn("problem", F.lit(REFUSAL["alert"]))
     )
 
 
@@ -322,8 +321,6 @@ def apply_labels(labels: DataFrame, events: DataFrame) -> tuple[DataFrame, DataF
     known = labels.join(found, F.col("event_id") == F.col("_id"), "left")
     allowed = label_allowed(F.col("label"))
     ok = known.filter(allowed & F.col("_id").isNotNull()).drop("_id")
-    problem = F.when(~allowed, "Invalid label. Must be TP, FP, TN, or FN.").when(
-        F.col("_id").isNull(), "Event not found"
-    )
+    problem = F.when(~allowed, REFUSAL["label"]).when(F.col("_id").isNull(), REFUSAL["event"])
     rejected = known.withColumn("problem", problem).filter("problem IS NOT NULL").drop("_id")
     return ok, rejected

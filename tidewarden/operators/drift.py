@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.operators.ordered import with_prefix
-from tidewarden.session import cut_lineage
+from tidewarden.session import cut_lineage, shared_dir
+
+
+LOOK_AHEAD = 4
 
 
 @dataclass(frozen=True)
@@ -91,43 +94,64 @@ def batch_drifts(
     ``block_rows``. Between two signals the detector is a chain of sums, so block
     results are chained: counts and totals, then the faded sums, then their
     extremes. The first block that must contain a signal is then searched to its
-    end. As a signal resets the detector, this is repeated from the row after the
-    last one until no key signals any more: one round per block with signals.
+    end. As a signal resets the detector, the search goes on from the row after
+    the last one. A key looks ``LOOK_AHEAD`` blocks ahead, then twice as many, until it
+    finds a signal or its end, so all rounds together read each block a few times only.
     """
     types = dict(df.dtypes)
+    spark = df.sparkSession
     base = df.select(
         F.col(key), F.col(tie), F.unix_millis(ts).alias("_ms"), F.col(value).cast("double").alias("_x")
     )
-    rows = (
-        with_prefix(base, key, "_ms", tie, chunk_ms=chunk_ms)
-        .withColumn("_block", F.floor(F.col("_pos") / block_rows))
-        .persist()
+    numbered = with_prefix(base, key, "_ms", tie, chunk_ms=chunk_ms).withColumn(
+        "_block", F.floor(F.col("_pos") / block_rows)
     )
+    # Stored by block: a round opens the files of the blocks it looks at.
+    path = shared_dir(spark, "drift-rows")
+    numbered.write.partitionBy("_block").parquet(path)
+    rows = spark.read.schema(numbered.schema).parquet(path)
+    # Per key: the last signal, how many blocks to look ahead, and its last block.
+    state = rows.groupBy(F.col(key).alias("_k")).agg(
+        F.lit(-1).cast("bigint").alias("_from"), F.lit(LOOK_AHEAD).cast("bigint").alias("_ahead"), F.max("_block").alias("_end")
+    )
+    state = cut_lineage(state)
     found: list[DataFrame] = []
-    live = rows
-    try:
-        while True:
-            # Written down: the next round starts behind these rows.
-            hits = cut_lineage(_first_signals(live, key, types[key], params))
-            if hits.isEmpty():
-                break
-            found.append(hits)
-            starts = hits.groupBy(F.col(key).alias("_k")).agg(F.max("_pos").alias("_hit"))
-            live = (
-                rows.join(starts, F.col(key) == F.col("_k"))
-                .filter(F.col("_pos") > F.col("_hit"))
-                .drop("_k", "_hit")
-            )
-        where = reduce(DataFrame.unionByName, found or [hits])
-        out = rows.join(where.toDF("_k", "_p"), (F.col(key) == F.col("_k")) & (F.col("_pos") == F.col("_p")))
-        return cut_lineage(
-            out.select(
-                key, tie, F.timestamp_millis("_ms").alias(ts), F.col("_x").alias(value),
-                F.col("_pos").alias("position"),
-            )
+    first = F.floor((F.col("_from") + 1) / block_rows)
+    reach = first + F.col("_ahead") - 1
+    while True:
+        span = state.agg(F.min(first), F.max(reach)).first()
+        if span[0] is None:
+            break
+        near = rows.filter(F.col("_block").between(span[0], span[1]))
+        live = near.join(state, F.col(key).eqNullSafe(F.col("_k"))).filter(
+            (F.col("_pos") > F.col("_from")) & (F.col("_block") <= reach)
         )
-    finally:
-        rows.unpersist()
+        # Written down: the next round starts behind these rows.
+        hits = cut_lineage(_first_signals(live.select(*rows.columns), key, types[key], params))
+        found.append(hits)
+        last = hits.groupBy(F.col(key).alias("_h")).agg(F.max("_pos").alias("_hit"))
+        state = state.join(last, F.col("_k").eqNullSafe(F.col("_h")), "left")
+        # Without a signal up to its end a key is done.
+        state = state.filter(F.col("_hit").isNotNull() | (reach < F.col("_end")))
+        state = state.select(
+            "_k",
+            F.coalesce("_hit", "_from").alias("_from"),
+            F.when(F.col("_hit").isNull(), F.col("_ahead") * 2).otherwise(LOOK_AHEAD).alias("_ahead"),
+            "_end",
+        )
+        state = cut_lineage(state.filter(first <= F.col("_end")))
+    if not found:
+        found = [rows.select(key, "_pos").limit(0)]
+    where = reduce(DataFrame.unionByName, found)
+    out = rows.join(
+        where.toDF("_k", "_p"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_p"))
+    )
+    return cut_lineage(
+        out.select(
+            key, tie, F.timestamp_millis("_ms").alias(ts), F.col("_x").alias(value),
+            F.col("_pos").alias("position"),
+        )
+    )
 
 
 def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataFrame:

@@ -143,4 +143,18 @@ STREAM_RETENTION = {
     "model-updates": "30 days",
 }
 TABLE_RETENTION_DAYS = 90
+
+# What refused requests are told, and where alerts point to by default.
+REFUSAL = {
+    "acknowledge": "Cannot acknowledge a resolved alert.",
+    "alert": "Alert not found",
+    "label": "Invalid label. Must be TP, FP, TN, or FN.",
+    "event": "Event not found",
+}
+DASHBOARD = "http://localhost:3000"
+# Fixed values of synthetic and replayed events.
+SEED_TOPS = {"cpu_util": 100, "mem_util": 100, "net_rx_mbps": 1000, "net_tx_mbps": 1000, "latency_ms": 500}
+PROBE_FEATURES = {"f1": 0.98, "f2": 0.96, "f3": 0.99}
+REPLAY_SOURCE, REPLAY_TYPE = "cicids-replay", "network_flow"
+
 COMPACT_AFTER_DAYS = 7

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidewarden.functions.identity import uuid5
 from tidewarden.functions.timebuckets import latest_time, time_range
 from tidewarden.operators.decode import binarise_label, find_label_column
-from tidewarden.schema import SCORED_EVENT
+from tidewarden.schema import REPLAY_SOURCE, REPLAY_TYPE, SCORED_EVENT
 from tidewarden.sources import files
 
 
@@ -85,8 +85,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def replay_envelope(
-    rows: DataFrame, event_id: Column, event_time: Column, source_id: str = "cicids-replay",
-    event_type: str = "network_flow",
+    rows: DataFrame, event_id: Column, event_time: Column, source_id: str = REPLAY_SOURCE,
+    event_type: str = REPLAY_TYPE,
 ) -> DataFrame:
     """Rows as raw events: every numeric column becomes a feature.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewarden.functions.identity import hash_uniform, uuid5
 from tidewarden.functions.severity import alert_severity
 from tidewarden.functions.timebuckets import literal_ts
-from tidewarden.schema import ANOMALY_THRESHOLD
+from tidewarden.schema import ANOMALY_THRESHOLD, PROBE_FEATURES, SEED_TOPS
 
 
 def uniform(seed: int) -> Column:
@@ -58,7 +58,7 @@ def seed_table(spark: SparkSession, as_of: dt.datetime, n: int = 1000, seed: int
     """Scored events over 7 days: 5 sources, 30 % anomalous, 3 model versions."""
     s = F.col("id")
     odd = s % 10 >= 7
-    sizes = {"cpu_util": 100, "mem_util": 100, "net_rx_mbps": 1000, "net_tx_mbps": 1000, "latency_ms": 500}
+    sizes = SEED_TOPS
     pairs = [
         x
         for i, (name, top) in enumerate(sizes.items())
@@ -108,7 +108,7 @@ def at_scores(scores: DataFrame, as_of: dt.datetime, threshold: float = ANOMALY_
     """A scored event for every (source_id, score), as sent straight to alerting."""
     score = F.col("score")
     names = ["f0", "f1", "f2", "f3", "f4"]
-    values = [score, F.lit(0.98), F.lit(0.96), F.lit(0.99), score]
+    values = [F.lit(PROBE_FEATURES[n]) if n in PROBE_FEATURES else score for n in names]
     return scores.select(
         uuid5(F.concat_ws("|", "source_id", score.cast("string"))).alias("event_id"),
         "source_id",
