@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.session import configure, shared_dir
+from tidewarden.sources import files
 
 # ASCII white space separates words; every other character belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,8 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a working folder that no later job reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    files.delete(spark, path)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -27,6 +27,7 @@ from tidewarden.llm.common import GAP, free_name, read, text_of, written
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKETS = 1024
+BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -122,13 +123,15 @@ def take(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) ->
     """The rows of ``docs``, each as often as the mix takes it.
 
     Selected documents of a source are those up to a border key, so only one border per source
-    travels to the texts and no text is shuffled. Documents of size 0 go: they give no words.
+    travels to the texts, which are not shuffled up to ``BROADCAST_SOURCES`` sources. Documents of size 0 go: they give no words.
     """
     key = F.struct("key", "doc_id", "tie")
     border = plan(docs, weights, cap, seed).groupBy("source").agg(
         F.max("epochs").alias("_epochs"), F.max(F.when(F.col("in_part"), key)).alias("_border")
     )
-    border = border.withColumnRenamed("source", "_source")
+    border = written(border.withColumnRenamed("source", "_source"), "mix-borders")
+    if border.count() <= BROADCAST_SOURCES:
+        border = F.broadcast(border)  # beyond that the texts are shuffled by source
     row = free_name(docs, "_row")
     d = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
     words = F.length(F.regexp_replace(text_of("text"), GAP, "")) > 0
