@@ -96,8 +96,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     base = base.select("*", windows.alias("_windows"))
     repeated = F.size("_windows") > F.size(F.array_distinct("_windows"))
     count = lambda a, f: F.size(F.filter(a, f)).cast("long")
-    return base.select(
-        *keep,
+    facts = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", GAP, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -108,6 +107,10 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         count("_lines", lambda x: x.rlike(r"^\s*[-*•]")).alias("n_bullet_lines"),
         count("_lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$")).alias("n_ellipsis_lines"),
     )
+    # A filter on the counts would be pushed below the projections, with every count spelled out
+    # again inside the others; the generator keeps it here.
+    base = base.select(*keep, facts.alias("_facts"))
+    return base.select(*keep, F.explode_outer(F.array("_facts")).alias("_facts")).select(*keep, "_facts.*")
 
 
 def base_failed() -> Column:
@@ -140,11 +143,7 @@ def keep_good(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> Dat
     """The rows whose text passes, unchanged."""
     whole, value = free_name(docs, "_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(value.alias(whole), F.col(f"`{text}`"))
-    judged = judge(rows, thresholds, text, (whole,))
-    # Not a plain filter: that would be pushed below the projections, with every count spelled
-    # out again inside the others.
-    good = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(whole))).alias(whole))
-    return good.filter(F.col(whole).isNotNull()).select(f"{whole}.*")
+    return judge(rows, thresholds, text, (whole,)).filter("kept").select(f"{whole}.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
