@@ -173,7 +173,7 @@ def batch_scores(
     tie: str = "event_id",
     params: Params = Params(),
     chunk_ms: int = 300_000,
-    windows_per_task: int = 16,
+    windows_per_task: int = 64,
 ) -> DataFrame:
     """(key, tie, position, score) for every row, equal to folding each key in order.
 
