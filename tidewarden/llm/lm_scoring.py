@@ -6,7 +6,7 @@ recursion in log space over the word's bytes. Byte pieces make every word spella
 probabilities follow the ranks in the vocabulary's scores; ``ROUNDS`` steps of expectation
 maximisation over all distinct training words fit them to the corpus.
 
-The document model draws tokens (words, then one end) independently::
+The document model draws tokens (words with A-Z in lower case, then one end) independently::
 
     P(w) = max(c(w) - D, 0) / N  +  D * V / N * lattice(w)
 
@@ -155,7 +155,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
-            n, codes, words = split_words(part.column("text"))
+            n, codes, words = split_words(pc.ascii_lower(part.column("text")))
             train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), n)
             total = np.bincount(codes, minlength=len(words))
             known = np.bincount(codes[train], minlength=len(words))
@@ -244,7 +244,7 @@ def score(docs: DataFrame, held_out: Column, path: str, common: int = COMMON) ->
         names, *values = sent.value
         task, row = TaskContext.get().partitionId(), 0
         for part in pieces(batches, "text"):
-            size, codes, found = split_words(part.column("text"))
+            size, codes, found = split_words(pc.ascii_lower(part.column("text")))
             at = pc.index_in(found.cast(pa.string()), names)
             hit = at.is_valid().to_numpy(zero_copy_only=False)
             at = at.fill_null(0).to_numpy()
