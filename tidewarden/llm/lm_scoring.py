@@ -154,7 +154,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n (in all rows), c (in rows that are not held out) from text and held_out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", 12 << 20):
             n, codes, words = split_words(pc.ascii_lower(part.column("text")))
             train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), n)
             total = np.bincount(codes, minlength=len(words))
@@ -243,7 +243,7 @@ def score(docs: DataFrame, held_out: Column, path: str, common: int = COMMON) ->
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, *values = sent.value
         task, row = TaskContext.get().partitionId(), 0
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", 6 << 20):
             size, codes, found = split_words(pc.ascii_lower(part.column("text")))
             at = pc.index_in(found.cast(pa.string()), names)
             hit = at.is_valid().to_numpy(zero_copy_only=False)
