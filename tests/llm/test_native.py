@@ -1,5 +1,8 @@
 """Operators that are SQL alone: against their SQL twins, and on rows at the edges."""
 
+import itertools
+import random
+
 import pytest
 
 from tests.oracle import compare, duck
@@ -172,6 +175,33 @@ def test_short_items_and_empty_tables(spark):
     assert decontaminate.overlaps(docs(spark, []), items(spark, ITEM)).count() == 0
 
 
+def aligned(text, item):
+    """Whether any window of the item, laid at any place of the text, agrees to the share."""
+    a, b = text.split(), item.split()
+    n = len(b)
+    ends = [(0, n)] if n < 12 else [(max(0, p - 2), min(n, p + 14)) for p in range(n - 11)]
+    same = lambda s, lo, hi: sum(0 <= j + s < len(a) and a[j + s] == b[j] for j in range(lo, hi))
+    return n >= 5 and any(same(s, lo, hi) >= 0.8 * (hi - lo) for s in range(-n, len(a)) for lo, hi in ends)
+
+
+def test_leaks_with_changes_at_any_place(spark):
+    rng = random.Random(7)
+    base, texts = [f"t{i}" for i in range(24)], []
+    for n in (*range(5, 17), 20, 24):
+        most = 1 if n < 10 else 2 if n < 15 else 3
+        for k in range(1, most + 2):
+            places = list(itertools.combinations(range(n), k))
+            for hit in rng.sample(places, min(len(places), 120)):
+                words = [f"x{i}" if i in hit else w for i, w in enumerate(base[:n])]
+                texts.append((n, " ".join(["before", *words, "after"])))
+    wanted = [" ".join(base[:n]) for n in (*range(5, 17), 20, 24)]
+    # Each item against its own texts only: the items share their words.
+    by_size = {n: item for n, item in zip((*range(5, 17), 20, 24), wanted)}
+    own = lambda text, n: " ".join(f"{w}n{n}" for w in text.split())
+    got = found(spark, [own(t, n) for n, t in texts], *[own(by_size[n], n) for n in by_size])
+    assert {i for i, _ in got} == {i for i, (n, t) in enumerate(texts) if aligned(t, by_size[n])}
+
+
 def test_beyond_the_broadcast_limit_the_rows_are_the_same(spark, monkeypatch):
     texts = [ITEM, f"a {ITEM} b", "nothing here"]
     want = found(spark, texts, ITEM)

@@ -9,7 +9,10 @@ on either side, as far as the item goes.
 
 Items of at least ``SPAN`` tokens are found by ``MASKS``, shorter ones down to ``SHORT`` tokens
 by an unspaced mask and compared whole. Items of fewer tokens cannot be told from chance and
-match nothing.
+match nothing. These masks alone miss some places of changed tokens, so the lighter ones of
+``COVER`` look for every place that ``SHARE`` allows, in all windows that hold the hit. A pair
+found by ``MASKS`` or the unspaced mask keeps the numbers of those hits; a pair that only
+``COVER`` finds has the numbers of its own.
 
 The documents are read once and never shuffled while the table of item hashes is small: its size
 is counted and it is broadcast up to ``BROADCAST_BYTES``, joined by shuffle beyond. Defined
@@ -20,17 +23,28 @@ item; empty tables give an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.llm.common import free_name, read, text_of, written
 
-# Fixed masks: each leaves out other positions, so that no single place can hide a passage.
+# Fixed masks: each leaves out other positions.
 MASKS = ("1111....1111", "11..1111..11", "1.11.11.1111")
 SPAN = 12
 SHORT = 5
 REACH = 2
 SHARE = 0.8
+# For items of so many tokens, masks that leave no place to hide. A compared window of 12 to 14
+# tokens has at most two changed ones, so two of any four runs of three are whole; one of 15 or
+# 16 has at most three, so two of five runs are. Likewise runs of two below 12 tokens: one change
+# in 6 to 9, two in 10 and 11. Five tokens have one change.
+COVER = (
+    (5, 5, ("1111", "1.111", "11.11", "111.1")),
+    (6, 11, ("1111", "11..11", "11....11")),
+    (12, None, ("111111", "111...111", "111......111", "111.........111")),
+)
 BROADCAST_BYTES = 64 << 20
 BLOCK = 256
 
@@ -46,6 +60,16 @@ def masks(masks_used=MASKS, short: int = SHORT) -> list[tuple[int, tuple[int, ..
     return [(0, tuple(range(short)), short), *spaced]
 
 
+def groups() -> list[tuple[int, int | None, list[tuple[int, tuple[int, ...], int]], bool]]:
+    """(least, most tokens of an item, its masks, whether they are the fixed ones)."""
+    names = list(dict.fromkeys(m for _, _, group in COVER for m in group))
+    first = len(masks())
+    cover = dict(zip(names, masks(names)[1:]))
+    numbered = {m: (first + k - 1, places, span) for m, (k, places, span) in cover.items()}
+    fixed = [(SHORT, SPAN - 1, masks()[:1], True), (SPAN, None, masks()[1:], True)]
+    return fixed + [(a, b, [numbered[m] for m in group], False) for a, b, group in COVER]
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """Long token lists cut into blocks of ``BLOCK`` positions with the neighbours a hit can need.
 
@@ -81,7 +105,11 @@ def _positions(rows: DataFrame, used) -> DataFrame:
         F.when(at + span <= n, F.xxhash64(F.lit(k), *[F.get("_h", at + d) for d in places]))
         for k, places, span in used
     ]
-    return rows.select(*keep, "_at", F.explode(F.array(*seeds)).alias("_seed")).filter(F.col("_seed").isNotNull())
+    rows = rows.select(*keep, "_at", F.posexplode(F.array(*seeds)).alias("_mask", "_seed"))
+    spans = F.array(*[F.lit(span) for _, _, span in used])
+    return rows.filter(F.col("_seed").isNotNull()).select(
+        *keep, "_at", F.get(spans, F.col("_mask")).alias("_span"), "_seed"
+    )
 
 
 def item_seeds(items: DataFrame, id_column: str = "item_id") -> DataFrame:
@@ -89,61 +117,92 @@ def item_seeds(items: DataFrame, id_column: str = "item_id") -> DataFrame:
     t = items.select(F.col(id_column).alias("_item"), tokens_of(text_of("text")).alias("_whole"))
     t = t.select("_item", "_whole", F.col("_whole").alias("_tokens"))
     parts = []
-    for short in (True, False):
-        used = [m for m in masks() if (m[0] == 0) == short]
+    for number, (least, most, used, fixed) in enumerate(groups()):
         n = F.size("_whole")
-        fits = n.between(SHORT, SPAN - 1) if short else n >= SPAN
-        found = _positions(_blocks(t.filter(fits)), used)
-        # The tokens a hit is compared with, and where the mask starts among them.
-        at = F.col("_from") + F.col("_at")
-        first = F.lit(0) if short else F.greatest(F.lit(0), at - REACH)
-        size = n if short else F.least(n, at + SPAN + REACH) - first
+        found = _positions(_blocks(t.filter((n >= least) if most is None else n.between(least, most))), used)
+        at, zero = F.col("_from") + F.col("_at"), F.lit(0)
+        # Starts of the spans whose windows a hit is compared in.
+        if most is not None:
+            low = high = zero
+        elif fixed:
+            low = high = at
+        else:
+            low, high = F.greatest(zero, at + F.col("_span") - SPAN - REACH), F.least(n - SPAN, at + REACH)
+        begin = lambda p: zero if most is not None else F.greatest(zero, p - REACH)  # noqa: B023, E731
+        end = lambda p: n if most is not None else F.least(n, p + SPAN + REACH)  # noqa: B023, E731
+        first = begin(low)
         found = found.select(
             F.col("_item").alias("item_id"),
-            F.slice("_whole", first + 1, size).alias("_item_tokens"),
+            # The tokens a hit is compared with, where the mask starts and the windows among them.
+            F.slice("_whole", first + 1, end(high) - first).alias("_item_tokens"),
             (at - first).alias("_before"),
+            F.transform(
+                F.sequence(low, high),
+                lambda p: F.struct((begin(p) - first).alias("lo"), (end(p) - begin(p)).alias("n")),
+            ).alias("_windows"),
             F.col("_seed").alias("_item_seed"),
-            F.lit(short).alias("_short"),
+            F.lit(fixed).alias("_fixed"),
+            F.lit(number).alias("_group"),
         )
         parts.append(found)
-    return parts[0].unionAll(parts[1])
+    return reduce(DataFrame.unionAll, parts)
 
 
-def _agreeing() -> Column:
-    """Tokens that agree around a hit."""
+def _best_share() -> Column:
+    """The best share of agreeing tokens in a window of a hit, null when none reaches ``SHARE``."""
     at = F.col("_at") - F.col("_before")
-    same = lambda w, j: F.get("_tokens", at + j).eqNullSafe(w)
-    return F.size(F.filter("_item_tokens", same))
+    same = F.transform("_item_tokens", lambda w, j: F.get("_tokens", at + j).eqNullSafe(w))
+    # transform over a one-element array binds the comparisons to a name.
+    shares = F.transform(
+        F.array(same),
+        lambda s: F.array_max(
+            F.transform(
+                "_windows",
+                lambda w: F.transform(
+                    F.array(F.size(F.filter(F.slice(s, w["lo"] + 1, w["n"]), lambda x: x))),
+                    lambda k: F.when(k >= w["n"] * SHARE, k / w["n"]),
+                )[0],
+            )
+        ),
+    )
+    return shares[0]
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """doc_id, item_id, overlap (best share of agreeing tokens), hits, first_pos of contaminated pairs."""
     seeds = written(item_seeds(items, item_id), "item-seeds")
     facts = seeds.agg(
-        F.max(F.col("_short").cast("int")).alias("short"),
-        F.coalesce(F.sum(F.lit(40) + F.size("_item_tokens") * 24), F.lit(0)).alias("bytes"),
-        F.max((~F.col("_short")).cast("int")).alias("spaced"),
+        F.collect_set("_group").alias("groups"),
+        F.coalesce(F.sum(F.lit(80) + F.size("_item_tokens") * 24 + F.size("_windows") * 32), F.lit(0)).alias("bytes"),
     ).first()
-    used = [m for m in masks() if (facts.short if m[0] == 0 else facts.spaced)]
+    used = {m[0]: m for k, (_, _, group, _) in enumerate(groups()) if k in facts.groups for m in group}
     t = docs.select(F.col(doc_id).alias("doc_id"), tokens_of(text_of("text")).alias("_tokens"))
-    found = _positions(_blocks(t), used or masks())
+    found = _positions(_blocks(t), list(used.values()) or masks())
     side = F.broadcast(seeds) if facts.bytes <= BROADCAST_BYTES else seeds
     hits = found.join(side, F.col("_seed") == F.col("_item_seed"))
     hits = hits.select(
         "doc_id",
         "item_id",
         (F.col("_from") + F.col("_at")).alias("_pos"),
-        F.size("_item_tokens").alias("_compared"),
-        _agreeing().alias("_agreeing"),
+        "_fixed",
+        _best_share().alias("_share"),
     )
     # The share is tested inside the aggregation: as a filter it would move into the join and
     # make its generated code too long to be compiled.
-    good = F.col("_agreeing") >= F.col("_compared") * SHARE
+    good = F.col("_share").isNotNull()
+
+    def numbers(test: Column) -> Column:
+        return F.struct(
+            F.max(F.when(test, F.col("_share"))).alias("overlap"),
+            F.sum((good & test).cast("long")).alias("hits"),
+            F.min(F.when(good & test, F.col("_pos"))).cast("long").alias("first_pos"),
+        )
+
     best = hits.groupBy("doc_id", "item_id").agg(
-        F.max(F.when(good, F.col("_agreeing") / F.col("_compared"))).alias("overlap"),
-        F.sum(good.cast("long")).alias("hits"),
-        F.min(F.when(good, F.col("_pos"))).cast("long").alias("first_pos"),
+        numbers(F.col("_fixed")).alias("_f"), numbers(~F.col("_fixed")).alias("_c")
     )
+    best = best.select("doc_id", "item_id", F.when(F.col("_f.hits") > 0, F.col("_f")).otherwise(F.col("_c")).alias("_n"))
+    best = best.select("doc_id", "item_id", "_n.*")
     return best.filter("hits > 0")
 
 
