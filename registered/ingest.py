@@ -416,6 +416,28 @@ register(
     """SELECT count(*) AS n, CASE WHEN n_chars % 2 = 0 AND length(substr(text, 1, 40)) > 0 THEN 'accepted'
       ELSE 'refused' END AS kind FROM documents GROUP BY 2""",
 )
+
+
+def long_ids(s, sf):
+    """Documents published under their whole text; those over 128 characters are refused."""
+    path = shared_dir(s, "published-long")
+    d = table(s, sf, "documents").select(
+        F.col("text").alias("source_id"), F.array(F.col("n_chars").cast("double")).alias("feature_vector")
+    )
+    refused = sinks.publish_events(d, path)
+    columns = [F.length("source_id").alias("id_length"), F.col("feature_vector")[0].cast("long").alias("n_chars")]
+    return s.read.parquet(path).select(*columns, F.lit(None).cast("string").alias("problem")).unionByName(
+        refused.select(*columns, "problem")
+    )
+
+
+register(
+    "s15_publish_long_ids",
+    long_ids,
+    """SELECT length(text)::INT AS id_length, n_chars::BIGINT AS n_chars, CASE WHEN text IS NULL OR length(text) NOT BETWEEN 1 AND 128
+      THEN 'source_id must have 1 to 128 characters' WHEN n_chars IS NULL THEN 'feature_vector must not contain NaN or Inf values'
+      END AS problem FROM documents""",
+)
 register(
     "s19_events_at_scores",
     lambda s, sf: synthetic.at_scores(

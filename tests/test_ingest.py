@@ -263,3 +263,13 @@ def test_a_late_row_reads_its_own_hour(spark, scored):
     rows = scored.orderBy("event_time").limit(40).union(scored.orderBy(F.desc("event_time")).limit(1))
     where, days = sinks._touched(rows, "event_date")
     assert len(days) >= 2 and scored.filter(where).count() < scored.count() / 2
+
+
+def test_published_ids_are_not_cut(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["s15_publish_long_ids"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    long = [r for r in rows if r.id_length and r.id_length > 128]
+    assert long and {r.problem for r in long} == {"source_id must have 1 to 128 characters"}
+    assert any(r.problem is None for r in rows) and all(r.id_length <= 128 for r in rows if r.problem is None)
