@@ -385,6 +385,12 @@ register(
     f"""{S} SELECT ms AS time, 'critical,anomaly,' || source_id AS tags, 'CRITICAL Anomaly (Score: ' AS text
     FROM scored WHERE anomaly_score >= 0.95::DOUBLE""",
 )
+register(
+    "s14_critical_annotation_texts",
+    lambda s, sf: notify.critical_annotations(scored(s, sf)).withColumn("tags", F.array_join("tags", ",")),
+    f"""{S} SELECT ms AS time, 'critical,anomaly,' || source_id AS tags,
+      'CRITICAL Anomaly (Score: ' || anomaly_score || ')' AS text FROM scored WHERE anomaly_score >= 0.95::DOUBLE""",
+)
 register(
     "s14_anomaly_annotations",
     lambda s, sf: notify.anomaly_annotations(scored(s, sf)).withColumn("tags", F.array_join("tags", ",")),

@@ -273,3 +273,11 @@ def test_published_ids_are_not_cut(spark):
     long = [r for r in rows if r.id_length and r.id_length > 128]
     assert long and {r.problem for r in long} == {"source_id must have 1 to 128 characters"}
     assert any(r.problem is None for r in rows) and all(r.id_length <= 128 for r in rows if r.problem is None)
+
+
+def test_critical_annotations_tell_the_score(spark, scored):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["s14_critical_annotation_texts"](spark, "/root/testdata/sf0.001").collect()
+    want = [f"CRITICAL Anomaly (Score: {r.anomaly_score})" for r in scored.filter("anomaly_score >= 0.95").collect()]
+    assert want and sorted(r.text for r in rows) == sorted(want)
