@@ -3,8 +3,10 @@
 import corpus_pipeline
 from tidewarden.llm import (
     decontaminate,
+    exact_dedup,
     language_id,
     lm_scoring,
+    merkle_manifest,
     mixing,
     near_dedup,
     quality_classifier,
@@ -12,6 +14,7 @@ from tidewarden.llm import (
     token_counts,
     token_ids,
     url_filter,
+    whitening,
 )
 
 _MODULES = [
@@ -25,6 +28,9 @@ _MODULES = [
     mixing,
     near_dedup,
     decontaminate,
+    exact_dedup,
+    merkle_manifest,
+    whitening,
 ]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
