@@ -379,11 +379,9 @@ register(
 )
 register(
     "s14_critical_annotations",
-    lambda s, sf: notify.critical_annotations(scored(s, sf)).select(
-        "time", F.array_join("tags", ",").alias("tags"), F.substring("text", 1, 25).alias("text")
-    ),
-    f"""{S} SELECT ms AS time, 'critical,anomaly,' || source_id AS tags, 'CRITICAL Anomaly (Score: ' AS text
-    FROM scored WHERE anomaly_score >= 0.95::DOUBLE""",
+    lambda s, sf: notify.critical_annotations(scored(s, sf)).withColumn("tags", F.array_join("tags", ",")),
+    f"""{S} SELECT ms AS time, 'critical,anomaly,' || source_id AS tags,
+      'CRITICAL Anomaly (Score: ' || anomaly_score || ')' AS text FROM scored WHERE anomaly_score >= 0.95::DOUBLE""",
 )
 register(
     "s14_critical_annotation_texts",
@@ -406,7 +404,7 @@ register(
 def publication(s, sf):
     path = shared_dir(s, "published")
     d = table(s, sf, "documents").select(
-        F.substring("text", 1, 40).alias("source_id"),
+        F.col("text").alias("source_id"),
         F.when(F.col("n_chars") % 2 == 0, F.array(F.col("n_chars").cast("double")))
         .otherwise(F.array().cast("array<double>")).alias("feature_vector"),
     )
@@ -419,7 +417,7 @@ def publication(s, sf):
 register(
     "s15_publish_events",
     publication,
-    """SELECT count(*) AS n, CASE WHEN n_chars % 2 = 0 AND length(substr(text, 1, 40)) > 0 THEN 'accepted'
+    """SELECT count(*) AS n, CASE WHEN n_chars % 2 = 0 AND length(text) BETWEEN 1 AND 128 THEN 'accepted'
       ELSE 'refused' END AS kind FROM documents GROUP BY 2""",
 )
 

@@ -50,25 +50,7 @@ def fitted(s, sf, trees=200, contamination=0.05):
     return forest.fit(vectors(s, sf), "x", "event_id", "v1", trees=trees, contamination=contamination)
 
 
-def tree_facts(s, sf):
-    """What must hold for every tree: binary, at most 8 levels, every leaf with a path length."""
-    n = fitted(s, sf).to_df(s).filter("child <> node or path > 0")
-    level = F.floor(F.log2(F.col("node") + 1))
-    leaf = F.col("child") == F.col("node")
-    return n.groupBy("tree").agg(
-        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("is_binary"),
-        (F.max(level) <= 8).alias("depth_ok"),
-        F.min(F.when(leaf, F.col("path") >= level).otherwise(F.col("child") == 2 * F.col("node") + 1)).alias("links_ok"),
-        F.min(F.col("feature").between(0, 63)).alias("features_ok"),
-    )
-
-
-register(
-    "m01_forest_fit",
-    tree_facts,
-    """SELECT t::INTEGER AS tree, true AS is_binary, true AS depth_ok, true AS links_ok, true AS features_ok
-    FROM range(200) r(t)""",
-)
+register("m01_forest_fit", lambda s, sf: fitted(s, sf).to_df(s).filter("child <> node or path > 0"))
 
 
 def forest_scores(s, sf):
@@ -81,36 +63,24 @@ def forest_scores(s, sf):
     )
 
 
-def score_facts(s, sf):
-    """Per event: score in range, flag and score of one decision."""
-    d = forest_scores(s, sf)
-    return d.select(
-        "event_id",
-        F.col("anomaly_score").between(0, 1).alias("in_range"),
-        (F.col("is_anomaly") == (F.col("decision") < 0)).alias("flag_ok"),
-        (F.col("decision").between(-0.5, 1) & (F.abs(F.col("anomaly_score") - (0.5 - F.col("decision"))) < 1e-12)).alias(
-            "score_ok"
-        ),
-    )
-
-
-register(
-    "m02_forest_score",
-    score_facts,
-    "SELECT vec_id::VARCHAR AS event_id, true AS in_range, true AS flag_ok, true AS score_ok FROM embeddings",
-)
+register("m02_forest_score", forest_scores)
 
 
-def given_forest(s, sf):
-    """Scores of two written-down trees over (k, value), as SQL can walk them."""
+def two_trees(version="given"):
+    """A written-down forest over (k, value), as SQL can walk it."""
     inf = float("inf")
-    model = forest.Forest(
-        "given", 4, 0.1, -0.5,
+    return forest.Forest(
+        version, 4, 0.1, -0.5,
         np.array([[0, 1, 0, 0, 0], [1, 0, 0, 0, 0]]),
         np.array([[50.0, 20.0, inf, inf, inf], [60.0, 30.0, inf, inf, inf]]),
         np.array([[1, 3, 2, 3, 4], [1, 3, 2, 3, 4]]),
         np.array([[0, 0, 1.0, 2.0, 3.0], [0, 0, 1.5, 2.5, 2.0]]),
     )
+
+
+def given_forest(s, sf):
+    """Scores of two written-down trees over (k, value)."""
+    model = two_trees()
     d = scored(s, sf).withColumn("decision", forest.decide(model, F.col("feature_vector")))
     return d.select(
         "event_id", F.round("decision", 9).alias("decision"), forest.raw_flag(F.col("decision")).alias("flag"),
@@ -118,13 +88,18 @@ def given_forest(s, sf):
     )
 
 
+def tree_sql(source, k="k", value="value", columns="event_id"):
+    """Tables p (depths) and d (decisions of the two trees) over ``source``."""
+    return f"""p AS (SELECT *, (CASE WHEN {k} > 50 THEN 1.0 WHEN {value} > 20 THEN 3.0 ELSE 2.0 END::DOUBLE
+        + CASE WHEN {value} > 60 THEN 1.5 WHEN {k} > 30 THEN 2.0 ELSE 2.5 END::DOUBLE) / 2 AS depth FROM {source}),
+    d AS (SELECT *, -pow(2::DOUBLE, -depth / (2 * (ln(3::DOUBLE) + {forest.EULER}::DOUBLE) - 1.5::DOUBLE))
+        + 0.5::DOUBLE AS decision FROM p)"""
+
+
 register(
     "m02_given_forest",
     given_forest,
-    f"""{S}, p AS (SELECT event_id, (CASE WHEN k > 50 THEN 1.0 WHEN value > 20 THEN 3.0 ELSE 2.0 END::DOUBLE
-        + CASE WHEN value > 60 THEN 1.5 WHEN k > 30 THEN 2.0 ELSE 2.5 END::DOUBLE) / 2 AS depth FROM scored),
-    d AS (SELECT event_id, -pow(2::DOUBLE, -depth / (2 * (ln(3::DOUBLE) + {forest.EULER}::DOUBLE) - 1.5::DOUBLE))
-        + 0.5::DOUBLE AS decision FROM p)
+    f"""{S}, {tree_sql('scored')}
     SELECT event_id, round(decision, 9) AS decision, decision < 0 AS flag,
       round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE - decision)), 9) AS score FROM d""",
 )
@@ -245,21 +220,19 @@ register(
 
 
 FOLD = "(('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 5)::INTEGER"
+register("m10_contamination_sweep", lambda s, sf: forest.sweep(vectors(s, sf), "x", fitted(s, sf, 100, 0.1)))
 register(
-    "m10_contamination_sweep",
-    lambda s, sf: forest.sweep(vectors(s, sf), "x", fitted(s, sf, 100, 0.1)).select(
-        "contamination", "rows", "flagged", F.col("offset").between(-1, 0).alias("offset_ok")
-    ),
-    """SELECT c AS contamination, count(*) AS rows, ceil((count(*) - 1) * c)::BIGINT AS flagged, true AS offset_ok
-    FROM embeddings, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE)) v(c) GROUP BY c""",
+    "m10_given_sweep",
+    lambda s, sf: rounded(forest.sweep(scored(s, sf), "feature_vector", two_trees()), "offset"),
+    f"""{S}, {tree_sql('scored')}, o AS ({' UNION ALL '.join(
+        f"SELECT {c}::DOUBLE AS c, quantile_cont(decision - 0.5::DOUBLE, {c}) AS edge, count(*) AS rows FROM d"
+        for c in (0.05, 0.1, 0.15))})
+    SELECT c AS contamination, round(edge, 9) AS "offset", (SELECT count(*) FROM d WHERE decision - 0.5::DOUBLE < edge) AS flagged,
+      rows FROM o""",
 )
 register(
     "m10_cross_validation",
-    lambda s, sf: forest.cross_validate(vectors(s, sf), "x", "event_id", trees=100, contamination=0.1).select(
-        "fold", "rows", F.col("anomaly_rate").between(0.0, 0.4).alias("rate_ok"),
-        (F.col("mean_decision_score") > 0).alias("mean_ok"),
-    ),
-    f"SELECT {FOLD} AS fold, count(*) AS rows, true AS rate_ok, true AS mean_ok FROM embeddings GROUP BY 1",
+    lambda s, sf: forest.cross_validate(vectors(s, sf), "x", "event_id", trees=100, contamination=0.1),
 )
 register(
     "m10_folds",
@@ -276,33 +249,12 @@ def trained(s, sf):
 
 def training_curve(s, sf):
     m = trained(s, sf)
-    facts = (len(m.losses) <= 50, min(m.losses) < 0.9 * m.losses[0], m.threshold > 0, list(m.sizes))
-    return s.createDataFrame(
-        [facts], "epochs_ok boolean, loss_fell boolean, threshold_ok boolean, sizes array<int>"
-    ).withColumn("sizes", F.array_join(F.col("sizes").cast("array<string>"), "-"))
-
-
-register(
-    "m11_autoencoder_fit",
-    training_curve,
-    """SELECT true AS epochs_ok, true AS loss_fell, true AS threshold_ok, '64-512-256-128-256-512-64' AS sizes""",
-)
-
-
-def error_facts(s, sf):
-    """Per event: an error, a flag that follows the threshold; the threshold is mean + 3 deviations."""
-    m = trained(s, sf)
-    return autoencoder.score(vectors(s, sf), m, "x").select(
-        "event_id", (F.col("score") >= 0).alias("score_ok"),
-        (F.col("is_anomaly") == (F.col("score") > F.lit(m.threshold))).alias("flag_ok"),
-    )
+    rows = [(i + 1, loss, m.threshold) for i, loss in enumerate(m.losses)]
+    return s.createDataFrame(rows, "epoch int, loss double, threshold double")
 
 
-register(
-    "m12_autoencoder_score",
-    error_facts,
-    "SELECT vec_id::VARCHAR AS event_id, true AS score_ok, true AS flag_ok FROM embeddings",
-)
+register("m11_autoencoder_fit", training_curve)
+register("m12_autoencoder_score", lambda s, sf: autoencoder.score(vectors(s, sf), trained(s, sf), "x").drop("x"))
 
 
 def given_network(s, sf):
@@ -338,17 +290,70 @@ register(
 
 # --- online models -------------------------------------------------------------------
 
-# Positions follow from the order; scores start with the second window.
-HALF_SPACE = f"""{S} SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) - 1
-  AS position, true AS in_range, true AS first_window_ok FROM scored"""
-
 register(
     "m14_half_space_trees",
-    lambda s, sf: half_space.batch_scores(scored(s, sf), "event_type", "feature_vector", 2).select(
-        "event_type", "event_id", "position", F.col("score").between(0, 1).alias("in_range"),
-        ((F.col("position") >= 250) | (F.col("score") == 0)).alias("first_window_ok"),
+    lambda s, sf: half_space.batch_scores(scored(s, sf), "event_type", "feature_vector", 2),
+)
+# Two written-down trees of height 2 over (k, value): feature and cut of the nodes 0, 1, 2.
+GIVEN_TREES = (np.array([[0, 1, 1], [1, 0, 1]]), np.array([[0.1, -0.2, 0.3], [0.0, 0.5, 1.0]]))
+
+
+def half_space_sql():
+    """Scores of the given trees: scaler sums and masses as windows over each key's rows."""
+    before, upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ROWS UNBOUNDED PRECEDING"
+
+    def z(v, n):
+        var = f"({v}2 / {n} - ({v}1 / {n}) * ({v}1 / {n}))"
+        return f"CASE WHEN {n} > 0 AND {var} > 0 THEN (d{v[1:]} - {v}1 / {n}) / sqrt({var}) ELSE 0 END"
+
+    names, sums, places = ("k", "value"), [], []
+    for f, name in enumerate(names):
+        for p, frame in (("b", before), ("a", upto)):
+            for power in (1, 2):
+                term = " * ".join([f"d{f}"] * power)
+                sums.append(f"coalesce(sum({term}) OVER (PARTITION BY event_type ORDER BY ms, event_id {frame}), 0) AS {p}{f}{power}")
+    for p in "ba":
+        n = "pos" if p == "b" else "(pos + 1)"
+        places += [f"{z(f'{p}{f}', n)} AS z{p}{f}" for f in range(2)]
+    nodes = []
+    for p in "ba":
+        for t, (feature, cut) in enumerate(zip(*GIVEN_TREES)):
+            side = lambda i: f"(z{p}{feature[i]} >= {cut[i]}::DOUBLE)::INTEGER"  # noqa: B023, E731
+            nodes.append(f"1 + {side(0)} AS {p}{t}_1")
+            nodes.append(f"CASE WHEN {side(0)} = 0 THEN 3 + {side(1)} ELSE 5 + {side(2)} END AS {p}{t}_2")
+    mass = " UNION ALL ".join(
+        f"SELECT event_type, slot, {t} AS t, {node} AS node, count(*) AS m FROM n GROUP BY 1, 2, 3, 4"
+        for t in range(2) for node in ("0", f"a{t}_1", f"a{t}_2")
+    )
+    held = lambda t, node: (
+        f"coalesce((SELECT m FROM mass WHERE mass.event_type = n.event_type AND mass.slot = n.slot - 1 AND t = {t} AND node = {node}), 0)"
+    )
+    terms = " + ".join(
+        f"(SELECT m0 + CASE WHEN m0 >= 25 THEN 2 * m1 + CASE WHEN m1 >= 25 THEN 4 * m2 ELSE 0 END ELSE 0 END FROM "
+        f"(SELECT {held(t, '0')} AS m0, {held(t, f'b{t}_1')} AS m1, {held(t, f'b{t}_2')} AS m2))"
+        for t in range(2)
+    )
+    first = "OVER (PARTITION BY event_type ORDER BY ms, event_id)"
+    return f"""{S}, c AS (SELECT event_type, event_id, ms, row_number() {first} - 1 AS pos, k - first_value(k) {first} AS d0,
+        value - first_value(value) {first} AS d1 FROM scored),
+    w AS (SELECT *, {', '.join(sums)} FROM c),
+    q AS (SELECT *, pos // 250 AS slot, {', '.join(places)} FROM w),
+    n AS (SELECT *, {', '.join(nodes)} FROM q),
+    mass AS ({mass}),
+    scores AS (SELECT event_type, event_id, pos, slot, ({terms})::DOUBLE AS m FROM n)
+    SELECT event_type, event_id, pos AS position,
+      round(CASE WHEN slot > 0 THEN 1 - m / (2 * 250 * 7)::DOUBLE ELSE 0 END, 9) AS score FROM scores"""
+
+
+register(
+    "m14_given_trees",
+    lambda s, sf: rounded(
+        half_space.batch_scores(
+            scored(s, sf), "event_type", "feature_vector", 2, params=half_space.Params(trees=2, height=2), given=GIVEN_TREES
+        ),
+        "score",
     ),
-    HALF_SPACE,
+    half_space_sql(),
 )
 PH = drift.Params(min_instances=100, delta=0.005, threshold=6.0)
 register(

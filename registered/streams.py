@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from registered.alerts import PLAIN_ALERTS_SQL
@@ -10,14 +12,14 @@ from registered.common import scored
 from registered.events import HOURLY
 from registered.ingest import K_TEXT, UUID5, messages, with_severity
 from registered.models import ORACLES as MODEL_SQL
-from registered.models import PH
+from registered.models import GIVEN_TREES, PH, tree_sql, two_trees
 from tidewarden.functions.quantiles import edges, with_range
-from tidewarden.operators import notify
+from tidewarden.operators import features, half_space, notify
 from tidewarden.plans import hourly, retrain
 from tidewarden.session import shared_dir
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
-from tidewarden.streaming import alerting, keyed, scoring, windows
+from tidewarden.streaming import alerting, batching, keyed, scoring, windows
 
 QUERIES = {}
 ORACLES = {}
@@ -29,12 +31,23 @@ def register(name, build, sql=None):
         ORACLES[name] = sql
 
 
-def score_messages(s, sf, with_model=False):
+def fit_model(s, sf, store):
+    retrain.retrain(store, scored(s, sf), names=["k", "value"], skewed=["value"], trees=200, contamination=0.05, at_least=100)
+
+
+def store_given(s, sf, store):
+    """The written-down forest with a written-down scaler, as the active version."""
+    store.save("forest", "given", two_trees().to_df(s))
+    store.save("scaler", "given", features.Scaler("given", ["k", "value"], [-10.0, -10.0], [1.0, 2.0]).to_df(s))
+    store.activate("given", dt.datetime(2024, 1, 1, tzinfo=dt.UTC))
+
+
+def score_messages(s, sf, model=None):
     """Raw text messages through the scoring job, in several micro-batches."""
     base = shared_dir(s, "stream")
     store = Registry(s, f"{base}/registry")
-    if with_model:
-        retrain.retrain(store, scored(s, sf), names=["k", "value"], skewed=["value"], trees=200, contamination=0.05, at_least=100)
+    if model:
+        model(s, sf, store)
     # Files, like a topic, hold no null values.
     messages(s, sf).filter("value is not null").repartition(8).write.text(f"{base}/raw")
     to = scoring.Targets(f"{base}/table", f"{base}/topic", f"{base}/dead", f"{base}/checkpoint")
@@ -56,18 +69,19 @@ register(
       {K_TEXT} AS k, value, false AS is_anomaly, 'LOW' AS severity, 'dummy-v0' AS model_version, true AS in_range
     FROM scored WHERE value < 230""",
 )
+SCORES = ("event_id", "source_id", "model_version", "anomaly_score", "is_anomaly", "severity")
+register("s01_model_stream", lambda s, sf: s.read.parquet(score_messages(s, sf, fit_model).table).select(*SCORES))
 register(
-    "s01_model_stream",
-    lambda s, sf: s.read.parquet(score_messages(s, sf, True).table).select(
-        "event_id", "source_id", "model_version",
-        (F.col("is_anomaly") == (F.col("anomaly_score") > 0.5)).alias("flag_ok"),
-        F.col("anomaly_score").between(0, 1).alias("in_range"),
-        F.when(~F.col("is_anomaly") | (F.col("anomaly_score") < 0.5), "LOW").when(F.col("anomaly_score") >= 0.9, "CRITICAL")
-        .when(F.col("anomaly_score") >= 0.75, "HIGH").otherwise("MEDIUM").eqNullSafe(F.col("severity")).alias("severity_ok"),
+    "s01_given_model_stream",
+    lambda s, sf: s.read.parquet(score_messages(s, sf, store_given).table).select(*SCORES).withColumn(
+        "anomaly_score", F.round("anomaly_score", 9)
     ),
-    f"""{S} SELECT {UUID5.format('event_id')} AS event_id, source_id,
-      strftime(date_trunc('second', (SELECT max(event_time) FROM scored)), '%Y%m%d_%H%M%S') AS model_version,
-      true AS flag_ok, true AS in_range, true AS severity_ok FROM scored WHERE value < 230""",
+    f"""{S}, m AS (SELECT *, CASE WHEN event_type = 'click' THEN 0.0 ELSE coalesce({K_TEXT} + 10, 0) END::DOUBLE AS zk,
+        CASE WHEN event_type = 'click' THEN 0.0 ELSE (value + 10) / 2 END::DOUBLE AS zv FROM scored WHERE value < 230),
+    {tree_sql('m', 'zk', 'zv')}, r AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE - decision)) AS score FROM d)
+    SELECT {UUID5.format('event_id')} AS event_id, source_id, 'given' AS model_version, round(score, 9) AS anomaly_score,
+      decision < 0 OR score >= 0.7 AS is_anomaly, CASE WHEN NOT (decision < 0 OR score >= 0.7) OR score < 0.5 THEN 'LOW'
+        WHEN score >= 0.9 THEN 'CRITICAL' WHEN score >= 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM r""",
 )
 register(
     "s08_dead_letter_stream",
@@ -164,17 +178,56 @@ register(
       PARTITION BY source_id ORDER BY ms RANGE BETWEEN {HIGH_WINDOW - 1} PRECEDING AND CURRENT ROW) AS burst_count
     FROM scored""",
 )
+BURSTS_SQL = ORACLES["a04_burst_state_stream"]
+register(
+    "a04_burst_expiry_stream",
+    lambda s, sf: to_files(
+        keyed.burst_stream(readers.scored_stream(s, event_files(s, sf)[0], FILES), 0.3, HIGH_WINDOW, expire=True), s, "bursts"
+    ),
+    BURSTS_SQL,
+)
+# Batches of 7 rows or 6 hours in 8 lanes; what the watermark has not passed at the end is still held.
+LANE = "(n % 8)::INTEGER"
+register(
+    "s07_write_batches",
+    lambda s, sf: to_files(
+        batching.write_batches(
+            readers.scored_stream(s, event_files(s, sf)[0], FILES), F.to_json(F.struct("source_id", "anomaly_score")),
+            lane=F.pmod(F.col("event_id").cast("bigint"), F.lit(8)), size=7, wait_ms=HIGH_WINDOW, by_clock=False,
+        ), s, "write-batches",
+    ).groupBy("lane", "batch").agg(
+        F.max("size").alias("size"), F.count("*").alias("rows"), F.min(F.col("event_id").cast("bigint")).alias("first_id"),
+        F.max(F.col("event_id").cast("bigint")).alias("last_id"),
+    ),
+    f"""{S.replace('WITH scored', 'WITH RECURSIVE scored')}, x AS (SELECT {LANE} AS lane, n, ms,
+        row_number() OVER (PARTITION BY n % 8 ORDER BY ms, event_id) AS i FROM scored),
+    w AS (SELECT lane, i, n, ms, 0::BIGINT AS batch, 1 AS k, ms AS since FROM x WHERE i = 1 UNION ALL
+      SELECT x.lane, x.i, x.n, x.ms, CASE WHEN w.k = 7 OR x.ms >= since + {HIGH_WINDOW} THEN batch + 1 ELSE batch END,
+        CASE WHEN w.k = 7 OR x.ms >= since + {HIGH_WINDOW} THEN 1 ELSE k + 1 END,
+        CASE WHEN w.k = 7 OR x.ms >= since + {HIGH_WINDOW} THEN x.ms ELSE since END
+      FROM w JOIN x ON x.lane = w.lane AND x.i = w.i + 1),
+    b AS (SELECT lane, batch, count(*)::INTEGER AS size, count(*) AS rows, min(n) AS first_id, max(n) AS last_id, max(since) AS since,
+        max(batch) OVER (PARTITION BY lane) AS newest FROM w GROUP BY lane, batch)
+    SELECT lane, batch, size, rows, first_id, last_id FROM b
+    WHERE size = 7 OR batch < newest OR since + {HIGH_WINDOW} <= (SELECT max(ms) - 10000 FROM scored)""",
+)
 register(
     "m14_half_space_stream",
     lambda s, sf: to_files(
         keyed.half_space_stream(
             readers.scored_stream(s, event_files(s, sf)[0], FILES), "event_type", "feature_vector", 2
         ), s, "half-space",
-    ).select(
-        F.col("key").alias("event_type"), "event_id", "position", F.col("score").between(0, 1).alias("in_range"),
-        ((F.col("position") >= 250) | (F.col("score") == 0)).alias("first_window_ok"),
-    ),
-    MODEL_SQL["m14_half_space_trees"],
+    ).withColumnRenamed("key", "event_type"),
+)
+register(
+    "m14_given_trees_stream",
+    lambda s, sf: to_files(
+        keyed.half_space_stream(
+            readers.scored_stream(s, event_files(s, sf)[0], FILES), "event_type", "feature_vector", 2,
+            half_space.Params(trees=2, height=2), GIVEN_TREES,
+        ), s, "half-space",
+    ).withColumnRenamed("key", "event_type").withColumn("score", F.round("score", 9)),
+    MODEL_SQL["m14_given_trees"],
 )
 register(
     "m15_page_hinkley_stream",

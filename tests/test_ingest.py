@@ -259,10 +259,42 @@ def test_broken_compaction_is_finished_by_the_next(spark, monkeypatch, tmp_path)
     assert maintenance.recover(spark, path) == 1 and spark.read.parquet(path).count() == 50
 
 
-def test_a_late_row_reads_its_own_hour(spark, scored):
+def test_a_late_row_reads_its_own_time(spark, scored):
     rows = scored.orderBy("event_time").limit(40).union(scored.orderBy(F.desc("event_time")).limit(1))
-    where, days = sinks._touched(rows, "event_date")
-    assert len(days) >= 2 and scored.filter(where).count() < scored.count() / 2
+    near = scored.filter(sinks._near(rows, "event_date"))
+    assert rows.join(near, "event_id").count() == 41 and near.count() < scored.count() / 2
+    assert sinks._near(rows.limit(0), "event_date") is None
+
+
+def test_insert_of_scattered_hours_keeps_its_plan_small(spark, monkeypatch):
+    """10 000 separate hours, then the same again with one more: ranges, not one literal per hour."""
+    path, seen, near = shared_dir(spark, "scattered"), [], sinks._near
+
+    def spans(new, day):
+        seen.append(near(new, day))
+        return seen[-1]
+
+    monkeypatch.setattr(sinks, "_near", spans)
+    t0 = dt.datetime(2020, 1, 1, tzinfo=dt.UTC)
+    at = F.timestamp_micros(F.lit(int(t0.timestamp() * 1e6)) + F.col("id") * 3 * 3_600_000_000)
+    rows = lambda n: spark.range(n).select(
+        F.col("id").cast("string").alias("event_id"), at.alias("event_time"), F.date_trunc("month", at).cast("date").alias("event_date")
+    )
+    sinks.insert_new(rows(10_000), path)
+    sinks.insert_new(rows(10_001), path)
+    assert spark.read.parquet(path).count() == 10_001
+    assert len(str(seen[0])) < 200 * sinks.SPANS * 4
+    few = near(rows(100), "event_date")
+    assert len(str(seen[0])) < 3 * len(str(few))
+
+
+def test_alert_insert_of_scattered_days(spark):
+    path, topic = shared_dir(spark, "alerts"), shared_dir(spark, "alert-topic")
+    at = F.timestamp_seconds(F.col("id") * 86_400 * 5)
+    rows = lambda n: spark.range(n).select(F.col("id").cast("string").alias("alert_id"), at.alias("created_at"))
+    sinks.write_alerts(rows(40), path, topic, 0)
+    sinks.write_alerts(rows(60), path, topic, 1)
+    assert spark.read.parquet(path).count() == 60
 
 
 def test_published_ids_are_not_cut(spark):
@@ -278,6 +310,6 @@ def test_published_ids_are_not_cut(spark):
 def test_critical_annotations_tell_the_score(spark, scored):
     import __spark_entry__ as entry
 
-    rows = entry.queries()["s14_critical_annotation_texts"](spark, "/root/testdata/sf0.001").collect()
+    rows = entry.queries()["s14_critical_annotations"](spark, "/root/testdata/sf0.001").collect()
     want = [f"CRITICAL Anomaly (Score: {r.anomaly_score})" for r in scored.filter("anomaly_score >= 0.95").collect()]
     assert want and sorted(r.text for r in rows) == sorted(want)

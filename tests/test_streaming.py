@@ -13,7 +13,7 @@ from tidewarden.operators import alerts, decode, drift, half_space
 from tidewarden.plans import hourly, queries, retrain
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
-from tidewarden.streaming import alerting, keyed, scoring, windows
+from tidewarden.streaming import alerting, batching, keyed, scoring, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,6 +165,78 @@ def test_burst_state_equals_batch(spark, event_files):
     assert got == want and max(want.values()) > 1
 
 
+def state_rows(spark, checkpoint, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint).count()
+
+
+def test_burst_state_goes_by_event_time(spark):
+    """Ten sources fall silent; once the watermark is a window and 10 s on, only the live one is held."""
+    path, cp = folder(spark, "expiry"), folder(spark, "cp-expiry")
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    sec = lambda n: t0 + dt.timedelta(seconds=n)
+    schema = "source_id string, event_id string, event_time timestamp, anomaly_score double"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = keyed.burst_stream(spark.readStream.schema(schema).parquet(path), 0.9, 60_000, expire=True)
+        q = stream.writeStream.format("parquet").option("path", path + "-out").option("checkpointLocation", cp)
+        q.trigger(availableNow=True).start().awaitTermination()
+        return state_rows(spark, cp, "seen")
+
+    assert run([(f"s{i}", f"{i}-{k}", sec(i + k), 0.95) for i in range(10) for k in range(3)]) == 10
+    # The watermark is at 78 s after this: windows and slack end at 72 s and later.
+    assert run([("live", "a", sec(88), 0.95)]) == 1 + 10 - 7
+    assert run([("live", "b", sec(300), 0.95), ("s0", "c", sec(301), 0.95)]) == 2
+    got = {r.event_id: r.burst_count for r in spark.read.parquet(path + "-out").collect()}
+    assert got["0-2"] == got["9-2"] == 3 and got["a"] == got["b"] == got["c"] == 1
+
+
+def slow_batches(rows, size, wait):
+    """Row by row, as one writer with a buffer would do it; the last batch is still open."""
+    out, held, since = [], [], None
+    for t, name in sorted(rows):
+        if held and (len(held) >= size or t >= since + wait):
+            out.append(held)
+            held = []
+        since = t if not held else since
+        held.append(name)
+    return out + [held] if len(held) >= size else out
+
+
+@pytest.mark.parametrize("size,wait", [(500, 100), (7, 1000), (1, 100), (3, 1)])
+def test_batch_cuts_equal_a_buffer(size, wait):
+    rng = np.random.default_rng(size)
+    ms = np.sort(np.concatenate([rng.integers(0, 5000, 1500), np.full(700, 2500)]))
+    got = [list(range(a, b)) for a, b in batching.cuts(ms, size, wait, -1)]
+    assert got == slow_batches(list(zip(ms, range(len(ms)))), size, wait)
+    # With the clock beyond everything, nothing is held back.
+    assert sum(b - a for a, b in batching.cuts(ms, size, wait, 10**6)) == len(ms)
+
+
+def test_write_batches_by_the_clock(spark):
+    """1203 rows at once: two full batches at once, the rest by the timer without further input."""
+    import time
+
+    path, out = folder(spark, "lane"), folder(spark, "lane-out")
+    e = spark.range(1203).select(
+        F.col("id").cast("string").alias("event_id"), F.timestamp_seconds("id").alias("event_time"), F.lit("x").alias("v")
+    )
+    e.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(e.schema).parquet(path)
+    batches = batching.write_batches(stream, F.col("v"), F.lit(0))
+    q = batches.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "cp-lane"))
+    q = q.trigger(processingTime="100 milliseconds").start()
+    try:
+        for _ in range(240):
+            time.sleep(0.5)
+            if q.exception() or (q.lastProgress and spark.read.schema(batches.schema).parquet(out).count() == 1203):
+                break
+    finally:
+        q.stop()
+    got = spark.read.schema(batches.schema).parquet(out).groupBy("batch").agg(F.count("*").alias("n"), F.max("size").alias("s"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 500, 500), (1, 500, 500), (2, 203, 203)]
+
+
 def test_half_space_stream_equals_batch(spark, event_files):
     files, e = event_files
     p = half_space.Params(trees=5, height=4, window=10)

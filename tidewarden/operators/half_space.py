@@ -174,6 +174,7 @@ def batch_scores(
     params: Params = Params(),
     chunk_ms: int = 300_000,
     windows_per_task: int = 64,
+    given: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> DataFrame:
     """(key, tie, position, score) for every row, equal to folding each key in order.
 
@@ -207,7 +208,7 @@ def batch_scores(
         F.explode(blocks).alias("_block"),
     )
     types = dict(df.dtypes)
-    trees = grow(width, params)
+    trees = given or grow(width, params)
 
     def one_block(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")

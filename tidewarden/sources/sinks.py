@@ -9,29 +9,26 @@ from tidewarden.operators.decode import split_ingest
 from tidewarden.sources import files
 
 KEYS = ["event_id", "event_time"]
+SPANS = 32
 
 
 def insert_new(batch: DataFrame, path: str, keys: list[str] = KEYS, day: str = "event_date") -> None:
     """Append the rows whose key the table does not hold yet; conflicts are no-ops.
 
-    Only the days present in the batch are compared, of those only the key columns
-    and, where rows carry an ``event_time``, only the hours the batch touches, so a
-    late row costs its own hour. A batch that is run again after a crash finds the rows that
-    did get in and leaves them out, whether all or some had been committed.
+    Of the table only the key columns are read, and of those what lies near the batch: its span of
+    time (or of days, without ``event_time``) is cut into ``SPANS`` equal parts, and each part that
+    holds rows gives one range. The plan has the same size for any batch: a late row costs its own
+    time, scattered rows cost the days between them as well. A batch that is run again after a
+    crash finds the rows that did get in and leaves them out, whether all or some had been committed.
     """
     spark = batch.sparkSession
     new = batch.dropDuplicates(keys).persist()
     try:
         if files.exists(spark, path):
-            held = spark.read.schema(new.schema).parquet(path)
-            if "event_time" in new.columns:
-                where, days = _touched(new, day)
-                held = held.filter(where) if days else held
-            else:
-                days = [r[0] for r in new.select(day).distinct().collect()]
-            if not days:
+            near = _near(new, day)
+            if near is None:
                 return
-            held = held.filter(F.col(day).isin(days)).select(*keys)
+            held = spark.read.schema(new.schema).parquet(path).filter(near).select(*keys)
             # The batch is small against its days: first keep the held keys it has
             # (the batch side can be broadcast), then leave those rows out.
             clashes = held.join(new.select(*keys), keys, "left_semi")
@@ -52,23 +49,24 @@ def insert_new(batch: DataFrame, path: str, keys: list[str] = KEYS, day: str = "
         new.unpersist()
 
 
-def _touched(new: DataFrame, day: str) -> tuple[Column, list]:
-    """(times inside the hours the batch touches, its days); one row per hour comes back."""
-    micros = F.unix_micros("event_time")
-    cells = new.groupBy(day, F.floor(micros / F.lit(3_600_000_000)).alias("hour")).agg(
-        F.min(micros).alias("low"), F.max(micros).alias("high")
-    )
-    spans: list[list[int]] = []
-    rows = cells.collect()
-    for r in sorted(rows, key=lambda r: r.low):
-        if spans and r.low - spans[-1][1] < 3_600_000_000:  # a busy stretch is one range
-            spans[-1][1] = max(spans[-1][1], r.high)
-        else:
-            spans.append([r.low, r.high])
-    inside = F.lit(False)
-    for low, high in spans:
-        inside = inside | F.col("event_time").between(F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high)))
-    return inside, sorted({r[day] for r in rows})
+def _near(new: DataFrame, day: str) -> Column | None:
+    """Days and times that the batch touches, as ``SPANS`` ranges at most; None for no rows."""
+    timed = "event_time" in new.columns
+    at = F.unix_micros("event_time") if timed else F.unix_date(day).cast("long")
+    low, high = new.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return None if new.isEmpty() else F.lit(True)
+    width = (high - low) // SPANS + 1
+    part = F.floor((at - low) / F.lit(width)).alias("part")
+    ends = new.groupBy(part).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.min(day).alias("a"), F.max(day).alias("b"))
+    out = F.lit(False)
+    for r in ends.filter("low is not null").collect():
+        here = F.col(day).between(F.lit(r.a), F.lit(r.b))
+        if timed:
+            moment = lambda us: F.timestamp_micros(F.lit(us))
+            here = here & F.col("event_time").between(moment(r.low), moment(r.high))
+        out = out | here
+    return out
 
 
 def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:

@@ -40,16 +40,16 @@ def burst_counts(held: np.ndarray, ms: np.ndarray, high: np.ndarray, window: int
 class Bursts(StatefulProcessor):
     """Times of the source's HIGH+ events of the last window, sorted.
 
-    With ``expire`` the state of a source that sends nothing for the window and ``SLACK_MS`` goes.
+    With ``expire`` a timer drops the state once the watermark is a window and ``SLACK_MS`` past
+    the newest of them: no event that may still come can count them.
     """
 
     def __init__(self, high: float, window_ms: int, expire: bool):
         self.high, self.window_ms, self.expire = high, window_ms, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState(
-            "seen", "times binary", self.window_ms + SLACK_MS if self.expire else None
-        )
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "times binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
@@ -60,9 +60,22 @@ class Bursts(StatefulProcessor):
         held = np.sort(np.concatenate([held, ms[high]]))
         newest = max(ms[-1], held[-1]) if len(held) else ms[-1]
         # Late rows may still need what is a window older than the newest event.
-        self.seen.update((held[held > newest - 2 * self.window_ms].astype("<i8").tobytes(),))
+        held = held[held > newest - 2 * self.window_ms]
+        if len(held):
+            self.seen.update((held.astype("<i8").tobytes(),))
+        else:
+            self.seen.clear()
+        if self.expire:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if len(held):
+                self.handle.registerTimer(int(held[-1]) + self.window_ms + SLACK_MS)
         yield pd.DataFrame({"source_id": key[0], "event_id": pdf["event_id"], "burst_count": counts})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -75,19 +88,20 @@ def burst_stream(
 ) -> DataFrame:
     """Burst count of every unsilenced anomaly as it arrives.
 
-    ``expire`` drops the state of silent sources by the clock, for queries that run all the time;
-    a run that works off what is there (``availableNow``) would not end with it.
+    With ``expire`` the state of a source goes by event time, so it does in a replay as well;
+    events that come more than ``SLACK_MS`` behind the newest one of earlier batches are then late
+    and left out.
     """
+    rows = anomalies.withWatermark("event_time", f"{SLACK_MS} milliseconds") if expire else anomalies
+    kept = ["event_time"] if expire else []
     return (
-        anomalies.select(
-            "source_id", "event_id", F.unix_millis("event_time").alias("ms"), "anomaly_score"
-        )
+        rows.select("source_id", "event_id", F.unix_millis("event_time").alias("ms"), "anomaly_score", *kept)
         .groupBy("source_id")
         .transformWithStateInPandas(
             Bursts(high, window_ms, expire),
             "source_id string, event_id string, burst_count bigint",
             "Append",
-            "ProcessingTime" if expire else "None",
+            "EventTime" if expire else "None",
         )
     )
 
@@ -95,11 +109,11 @@ def burst_stream(
 class HalfSpace(StatefulProcessor):
     """Score, then learn; the state is the scaler sums and the node counts."""
 
-    def __init__(self, width: int, params: half_space.Params):
-        self.width, self.params = width, params
+    def __init__(self, width: int, params: half_space.Params, given=None):
+        self.width, self.params, self.given = width, params, given
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.trees = half_space.grow(self.width, self.params)
+        self.trees = self.given or half_space.grow(self.width, self.params)
         self.state = handle.getValueState(
             "model", "n bigint, sums binary, current binary, reference binary"
         )
@@ -140,7 +154,7 @@ class HalfSpace(StatefulProcessor):
 
 def half_space_stream(
     events: DataFrame, key: str, vector: str, width: int,
-    params: half_space.Params = half_space.Params(),
+    params: half_space.Params = half_space.Params(), given=None,
 ) -> DataFrame:
     return (
         events.select(
@@ -149,7 +163,7 @@ def half_space_stream(
         )
         .groupBy("key")
         .transformWithStateInPandas(
-            HalfSpace(width, params),
+            HalfSpace(width, params, given),
             "key string, event_id string, position bigint, score double",
             "Append",
             "None",
