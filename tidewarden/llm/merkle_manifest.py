@@ -174,7 +174,9 @@ def build(rows: DataFrame, digest: Column, group: Column, order: Column, keep: l
     )
     tops = numbered(tops, "_g", [F.col("_name").asc_nulls_first()])
     up, ends = climb(tops.drop("_name"), arity)
+    # Written: against a constant the join with it would be planned as a cross join.
     only = rows.sparkSession.range(1).select(F.lit("").alias("_e"), F.array().cast(PATH).alias("_path"))
+    only = written(only, "merkle-top")
     paths = descend(up, ends, only, arity)
     root = ends[-1].select("_d").first()
     ends = paths.select(F.col("_sub").alias("_e"), F.col("_d").alias("subroot"), "_path")
