@@ -164,6 +164,66 @@ def test_discriminant_equals_the_formula():
     assert model.score(z) == pytest.approx(1 / (1 + np.exp(-odds)))
 
 
+def plain_statistics(text):
+    """The twelve numbers of one text, counted one character and one word at a time."""
+    text = text or ""
+    kinds = Counter()
+    for c in text:
+        if c in " \t\x0b\x0c\r":
+            kinds["blank"] += 1
+        elif c == "\n":
+            kinds["line"] += 1
+        elif c in ".,;:!?'\"()-":
+            kinds["stop"] += 1
+        elif ord(c) > 127:
+            kinds["other"] += 1
+        elif c.isupper() or c.isdigit() or c.islower():
+            kinds["upper" if c.isupper() else "digit" if c.isdigit() else "lower"] += 1
+        else:
+            kinds["sign"] += 1
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    sizes = [len(w.encode()) for w in words]
+    many = max(1, len(words))
+    mean = sum(sizes) / many
+    windows = list(zip(words, words[1:], words[2:]))
+    share = lambda x, y: math.sqrt(x / max(1, y))
+    visible = max(1, len(text) - kinds["blank"] - kinds["line"])
+    return [
+        math.log1p(len(words)), math.log1p(mean), math.log1p(math.sqrt(max(0, sum(n * n for n in sizes) / many - mean**2))),
+        *[share(kinds[k], visible) for k in ("upper", "digit", "stop", "sign", "other")],
+        share(kinds["line"], many), share(len(set(words)), many),
+        share(sum(a == b for a, b in zip(words, words[1:])), many), share(len(windows) - len(set(windows)), many),
+    ]
+
+
+def test_statistics_equal_plain_counts_in_any_company(spark):
+    texts = [r.text for r in read(spark, SMALL, "documents").collect()] + [t for _, t in CASES_OF_TEXT]
+    together = quality_classifier.statistics(pa.array(texts, pa.string()))
+    want = np.array([plain_statistics(t) for t in texts])
+    assert np.abs(together - want).max() < 1e-6
+    alone = np.vstack([quality_classifier.statistics(pa.array([t], pa.string())) for t in texts[::3]])
+    assert (together[::3] == alone).all() or np.abs(together[::3] - alone).max() < 1e-6
+    # Repeats: exactly the same number, whatever is beside the text.
+    assert (together[::3, -1] == alone[:, -1]).all()
+
+
+CASES_OF_TEXT = [(1, None), (2, ""), (3, "a"), (4, "a a a a a"), (5, "x y z x y z"), (6, "é É ß, 1 $"), (7, "b " * 3000)]
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    docs, labels = read(spark, SMALL, "documents"), read(spark, SMALL, "labels")
+
+    def scores(rows):
+        f = quality_classifier.featurise(rows, F.lit(False)).persist()
+        model = quality_classifier.fit(f, labels)
+        got = quality_classifier.classify(f, model).collect()
+        f.unpersist()
+        return {r.doc_id: r.score for r in got}
+
+    one, seven, many = scores(docs.coalesce(1)), scores(docs.repartition(7)), scores(docs.repartition(60))
+    assert max(abs(one[k] - seven[k]) for k in one) < 1e-9 and max(abs(one[k] - many[k]) for k in one) < 1e-9
+
+
 def test_quality_of_held_out_documents(spark):
     got = quality_classifier.query(spark, LARGER).join(read(spark, LARGER, "labels"), "doc_id")
     rows = [r for r in got.collect() if r.held_out]

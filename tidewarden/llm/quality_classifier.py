@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ def _byte_class() -> np.ndarray:
 BYTE_CLASS = _byte_class()
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit finalizer: every bit of the result depends on all bits of ``h``."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def statistics(texts: pa.Array) -> np.ndarray:
     """One row of transformed statistics per text."""
     texts = texts.fill_null("")
@@ -64,10 +72,10 @@ def statistics(texts: pa.Array) -> np.ndarray:
     same[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
     pairs = np.unique(owner * max(1, len(distinct)) + codes)
     types = np.bincount(pairs // max(1, len(distinct)), minlength=len(words))
-    # Three-word windows that the text already had.
-    with np.errstate(over="ignore"):
-        h = codes.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
-        key = (h[:-2] * np.uint64(31) + h[1:-1]) * np.uint64(31) + h[2:] if len(h) > 2 else h[:0]
+    # Three-word windows that the text already had. Words count by content, so a text's numbers do
+    # not depend on the texts around it; the mixing keeps different windows apart.
+    h = pd.util.hash_array(np.array(distinct.to_pylist(), object), categorize=False)[codes]
+    key = _mixed(_mixed(_mixed(h[:-2]) + h[1:-1]) + h[2:]) if len(h) > 2 else h[:0]
     inside = owner[2:] == owner[:-2]
     at, key = owner[2:][inside], key[inside]
     order = np.lexsort((key, at))
