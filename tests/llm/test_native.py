@@ -209,6 +209,48 @@ def test_beyond_the_broadcast_limit_the_rows_are_the_same(spark, monkeypatch):
     assert found(spark, texts, ITEM) == want == {(0, 0), (1, 0)}
 
 
+def written_by_shuffles(spark):
+    """Bytes of all shuffles so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_beyond_the_broadcast_limit_the_shuffle_stays_near_the_text(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    text = rows.selectExpr("sum(octet_length(text))").first()[0]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = written_by_shuffles(spark)
+    try:
+        n = decontaminate.overlaps(rows, bench).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    used = written_by_shuffles(spark) - before
+    assert n > 0 and used < 20 * text, used / text
+
+
+def test_items_of_few_tokens_match_whole_documents(spark):
+    texts = ["A, b!", "a b", "a b c", None, "", "x", "x"]
+    df = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    got = decontaminate.overlaps(df, items(spark, "a b", "X", "", None, "a b c d"), tiny=True)
+    assert sorted((r.doc_id, r.item_id, r.overlap, r.hits, r.first_pos) for r in got.collect()) == [
+        (0, 0, 1.0, 1, 0), (1, 0, 1.0, 1, 0), (5, 1, 1.0, 1, 0), (6, 1, 1.0, 1, 0)
+    ]
+
+
+def test_the_best_share_counts_over_all_masks(spark):
+    """A changed copy that one fixed mask still hits early, and a whole copy further on."""
+    words = ITEM.split()
+    changed = [*words]
+    changed[2], changed[13] = "x", "y"
+    df = docs(spark, [(0, " ".join([*changed, "between", *words]), None)])
+    (r,) = decontaminate.overlaps(df, items(spark, ITEM)).collect()
+    assert r.overlap == 1.0 and r.first_pos < 16 < r.hits
+
+
 def test_remove_handles_null_ids_and_clashing_names(spark):
     df = docs(spark, [(None, ITEM, "a"), (1, "clean text", "a"), (1, "clean text", "a"), (2, ITEM, "b")])
     df = df.selectExpr("*", "1 AS _leaked", "2 AS item_id", "3 AS _tokens")

@@ -8,15 +8,15 @@ at least ``SHARE`` of the tokens around a hit agree: up to ``REACH`` tokens more
 on either side, as far as the item goes.
 
 Items of at least ``SPAN`` tokens are found by ``MASKS``, shorter ones down to ``SHORT`` tokens
-by an unspaced mask and compared whole. Items of fewer tokens cannot be told from chance and
-match nothing. These masks alone miss some places of changed tokens, so the lighter ones of
-``COVER`` look for every place that ``SHARE`` allows, in all windows that hold the hit. A pair
-found by ``MASKS`` or the unspaced mask keeps the numbers of those hits; a pair that only
-``COVER`` finds has the numbers of its own.
+by an unspaced mask and compared whole. These masks alone miss some places of changed tokens, so
+the lighter ones of ``COVER`` look for every place that ``SHARE`` allows, in all windows that hold
+the hit. Items of fewer tokens cannot be told from chance inside a text; with ``tiny`` (the query
+and ``remove`` use it) a document is contaminated by one when it consists of the same tokens.
 
 The documents are read once and never shuffled while the table of item hashes is small: its size
-is counted and it is broadcast up to ``BROADCAST_BYTES``, joined by shuffle beyond. Defined
-cases: null or empty texts and items match nothing; repeated item ids are treated as one item
+is counted and it is broadcast up to ``BROADCAST_BYTES``. Beyond that blocks of tokens are written
+once, only (block, hash) pairs are shuffled to find the blocks with a hit, and the tokens of those
+alone are fetched. Defined cases: null or empty texts and items match nothing; repeated item ids are treated as one item
 with several texts, a null id is an id of its own; several hits give one row per document and
 item; empty tables give an empty result; other columns are not read.
 """
@@ -61,7 +61,7 @@ def masks(masks_used=MASKS, short: int = SHORT) -> list[tuple[int, tuple[int, ..
 
 
 def groups() -> list[tuple[int, int | None, list[tuple[int, tuple[int, ...], int]], bool]]:
-    """(least, most tokens of an item, its masks, whether they are the fixed ones)."""
+    """(least, most tokens of an item, its masks, whether a hit is compared in its own window only)."""
     names = list(dict.fromkeys(m for _, _, group in COVER for m in group))
     first = len(masks())
     cover = dict(zip(names, masks(names)[1:]))
@@ -92,9 +92,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def _positions(rows: DataFrame, used) -> DataFrame:
+def _positions(rows: DataFrame, used, without: tuple[str, ...] = ()) -> DataFrame:
     """One row per token position and mask that fits there, with the hash of the tokens under it."""
-    keep = rows.columns
+    keep = [c for c in rows.columns if c not in without]
     rows = rows.select("*", F.transform("_tokens", lambda w: F.xxhash64(w)).alias("_h"))
     # The outer form keeps the optimizer from cleaning every text twice for an emptiness test.
     rows = rows.select("*", F.posexplode_outer("_h").alias("_at", "_first"))
@@ -141,7 +141,6 @@ def item_seeds(items: DataFrame, id_column: str = "item_id") -> DataFrame:
                 lambda p: F.struct((begin(p) - first).alias("lo"), (end(p) - begin(p)).alias("n")),
             ).alias("_windows"),
             F.col("_seed").alias("_item_seed"),
-            F.lit(fixed).alias("_fixed"),
             F.lit(number).alias("_group"),
         )
         parts.append(found)
@@ -168,42 +167,62 @@ def _best_share() -> Column:
     return shares[0]
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, overlap (best share of agreeing tokens), hits, first_pos of contaminated pairs."""
+def _block_hits(t: DataFrame, seeds: DataFrame, used) -> DataFrame:
+    """Hits without a broadcast: pairs of block and hash travel, then the tokens of blocks with a hit."""
+    blocks = written(_blocks(t).withColumn("_block", F.monotonically_increasing_id()), "leak-blocks")
+    pairs = _positions(blocks, used, tuple(c for c in blocks.columns if c != "_block")).select("_block", "_seed")
+    keys = seeds.select(F.col("_item_seed").alias("_seed")).distinct()
+    near = written(pairs.join(keys, "_seed", "left_semi").select("_block").distinct(), "leak-near")
+    near = written(blocks.join(near, "_block", "left_semi"), "leak-tokens")
+    places = _positions(near, used, tuple(c for c in near.columns if c != "_block")).select("_block", "_at", "_seed")
+    hits = places.join(seeds, F.col("_seed") == F.col("_item_seed"))
+    return hits.join(near, "_block")
+
+
+def _tiny(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str) -> DataFrame:
+    """Documents that consist of an item of fewer than ``SHORT`` tokens."""
+    few = F.size("_tokens").between(1, SHORT - 1)
+    d = docs.select(F.col(doc_id).alias("doc_id"), tokens_of(text_of("text")).alias("_tokens")).filter(few)
+    i = items.select(F.col(item_id).alias("item_id"), tokens_of(text_of("text")).alias("_tokens")).filter(few).distinct()
+    same = d.join(i, "_tokens").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
+    return same.select("doc_id", "item_id", F.lit(1.0).alias("overlap"), "hits", F.lit(0).cast("long").alias("first_pos"))
+
+
+def overlaps(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", tiny: bool = False
+) -> DataFrame:
+    """doc_id, item_id, overlap (best share of agreeing tokens), hits, first_pos of contaminated pairs.
+
+    With ``tiny`` items of fewer than ``SHORT`` tokens are compared too, with whole documents.
+    """
     seeds = written(item_seeds(items, item_id), "item-seeds")
     facts = seeds.agg(
         F.collect_set("_group").alias("groups"),
         F.coalesce(F.sum(F.lit(80) + F.size("_item_tokens") * 24 + F.size("_windows") * 32), F.lit(0)).alias("bytes"),
     ).first()
     used = {m[0]: m for k, (_, _, group, _) in enumerate(groups()) if k in facts.groups for m in group}
+    used = list(used.values()) or masks()
     t = docs.select(F.col(doc_id).alias("doc_id"), tokens_of(text_of("text")).alias("_tokens"))
-    found = _positions(_blocks(t), list(used.values()) or masks())
-    side = F.broadcast(seeds) if facts.bytes <= BROADCAST_BYTES else seeds
-    hits = found.join(side, F.col("_seed") == F.col("_item_seed"))
+    if facts.bytes <= BROADCAST_BYTES:
+        hits = _positions(_blocks(t), used).join(F.broadcast(seeds), F.col("_seed") == F.col("_item_seed"))
+    else:
+        hits = _block_hits(t, seeds, used)
     hits = hits.select(
         "doc_id",
         "item_id",
         (F.col("_from") + F.col("_at")).alias("_pos"),
-        "_fixed",
         _best_share().alias("_share"),
     )
     # The share is tested inside the aggregation: as a filter it would move into the join and
     # make its generated code too long to be compiled.
     good = F.col("_share").isNotNull()
-
-    def numbers(test: Column) -> Column:
-        return F.struct(
-            F.max(F.when(test, F.col("_share"))).alias("overlap"),
-            F.sum((good & test).cast("long")).alias("hits"),
-            F.min(F.when(good & test, F.col("_pos"))).cast("long").alias("first_pos"),
-        )
-
     best = hits.groupBy("doc_id", "item_id").agg(
-        numbers(F.col("_fixed")).alias("_f"), numbers(~F.col("_fixed")).alias("_c")
+        F.max("_share").alias("overlap"),
+        F.sum(good.cast("long")).alias("hits"),
+        F.min(F.when(good, F.col("_pos"))).cast("long").alias("first_pos"),
     )
-    best = best.select("doc_id", "item_id", F.when(F.col("_f.hits") > 0, F.col("_f")).otherwise(F.col("_c")).alias("_n"))
-    best = best.select("doc_id", "item_id", "_n.*")
-    return best.filter("hits > 0")
+    best = best.filter("hits > 0")
+    return best.unionByName(_tiny(docs, items, doc_id, item_id)) if tiny else best
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -212,39 +231,53 @@ def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rows that share an id with a contaminated row go with it.
     """
     name = free_name(docs, "_leaked")
-    leaked = written(overlaps(docs, items).select(F.col("doc_id").alias(name)).distinct(), "leaked")
+    leaked = written(overlaps(docs, items, tiny=True).select(F.col("doc_id").alias(name)).distinct(), "leaked")
     return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), tiny=True)
 
 
 def _sql() -> str:
-    def seeds(source: str, used) -> str:
+    clean = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+    def seeds(source: str, used, where: str = "true", more: str = "") -> str:
         return " UNION ALL ".join(
-            f"SELECT *, '{k}' || " + " || ".join(f"' ' || t[p + {d + 1}]" for d in places)
-            + f" AS seed FROM {source} WHERE p + {span} <= len(t)"
+            f"SELECT *{more}, {span} AS span, '{k}' || " + " || ".join(f"' ' || t[p + {d + 1}]" for d in places)
+            + f" AS seed FROM {source} WHERE p + {span} <= len(t) AND {where}"
             for k, places, span in used
         )
 
-    clean = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
-    short, spaced = masks()[:1], masks()[1:]
+    every = list({m[0]: m for _, _, group, _ in groups() for m in group}.values())
+    items = []
+    for least, most, group, own in groups():
+        where = f"len(t) >= {least}" if most is None else f"len(t) BETWEEN {least} AND {most}"
+        kind = "whole" if most is not None else "own" if own else "all"
+        items.append(seeds("bp", group, where, f", '{kind}' AS kind"))
+    low = f"CASE kind WHEN 'whole' THEN 0 WHEN 'own' THEN i.p ELSE greatest(0, i.p + i.span - {SPAN} - {REACH}) END"
+    high = f"CASE kind WHEN 'whole' THEN 0 WHEN 'own' THEN i.p ELSE least(len(i.t) - {SPAN}, i.p + {REACH}) END"
     return f"""
     WITH d AS (SELECT doc_id, {clean} AS t FROM documents),
     b AS (SELECT item_id, {clean} AS t FROM benchmark),
     dp AS (SELECT *, unnest(range(len(t))) AS p FROM d),
     bp AS (SELECT *, unnest(range(len(t))) AS p FROM b),
-    bs AS (SELECT * FROM bp WHERE len(t) BETWEEN {SHORT} AND {SPAN - 1}), bl AS (SELECT * FROM bp WHERE len(t) >= {SPAN}),
-    i AS (SELECT *, true AS s FROM ({seeds('bs', short)}) UNION ALL SELECT *, false AS s FROM ({seeds('bl', spaced)})),
-    ds AS ({seeds('dp', masks())}),
-    h AS (SELECT doc_id, item_id, ds.p AS p, ds.t AS a, i.t AS b, ds.p - i.p AS shift,
-        CASE WHEN s THEN 0 ELSE greatest(0, i.p - {REACH}) END AS lo,
-        CASE WHEN s THEN len(i.t) ELSE least(len(i.t), i.p + {SPAN + REACH}) END AS hi FROM ds JOIN i USING (seed)),
-    m AS (SELECT doc_id, item_id, p, hi - lo AS n, len(list_filter(range(lo, hi),
-        lambda j: j + shift >= 0 AND a[j + shift + 1] IS NOT DISTINCT FROM b[j + 1])) AS same FROM h)
-    SELECT doc_id, item_id, max(same::DOUBLE / n) AS overlap, count(*)::BIGINT AS hits, min(p)::BIGINT AS first_pos
-    FROM m WHERE same >= n * {SHARE}::DOUBLE GROUP BY doc_id, item_id"""
+    i AS ({' UNION ALL '.join(items)}),
+    ds AS ({seeds('dp', every)}),
+    j AS (SELECT row_number() OVER () AS r, doc_id, item_id, ds.p AS p, ds.t AS a, i.t AS b, ds.p - i.p AS shift, kind,
+        {low} AS low, {high} AS high FROM ds JOIN i USING (seed)),
+    h AS (SELECT *, unnest(range(low, high + 1)) AS w FROM j),
+    e AS (SELECT *, CASE WHEN kind = 'whole' THEN 0 ELSE greatest(0, w - {REACH}) END AS lo,
+        CASE WHEN kind = 'whole' THEN len(b) ELSE least(len(b), w + {SPAN + REACH}) END AS hi FROM h),
+    m AS (SELECT r, doc_id, item_id, p, hi - lo AS n, len(list_filter(range(lo, hi),
+        lambda j: j + shift >= 0 AND a[j + shift + 1] IS NOT DISTINCT FROM b[j + 1])) AS same FROM e),
+    g AS (SELECT doc_id, item_id, p, r, max(same::DOUBLE / n) AS share FROM m WHERE same >= n * {SHARE}::DOUBLE
+        GROUP BY doc_id, item_id, p, r),
+    tiny AS (SELECT d.doc_id, b.item_id, count(*)::BIGINT AS hits FROM d
+        JOIN (SELECT DISTINCT item_id, t FROM b WHERE len(t) BETWEEN 1 AND {SHORT - 1}) b ON d.t = b.t GROUP BY 1, 2)
+    SELECT doc_id, item_id, max(share) AS overlap, count(*)::BIGINT AS hits, min(p)::BIGINT AS first_pos
+    FROM g GROUP BY doc_id, item_id
+    UNION ALL SELECT doc_id, item_id, 1.0::DOUBLE, hits, 0::BIGINT FROM tiny"""
 
 
 QUERIES = {"op9_decontaminate": query}
