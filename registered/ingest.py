@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from registered.common import SCORED_SQL as S
 from registered.common import scored, table
-from tidewarden.functions import identity
+from tidewarden.functions import avro, identity
 from tidewarden.functions.timebuckets import latest_time, literal_ts
 from tidewarden.operators import decode, features, notify
 from tidewarden.plans import hourly, maintenance
+from tidewarden.schema import RAW_EVENT_AVRO
 from tidewarden.session import shared_dir
 from tidewarden.sources import readers, registry, sinks, synthetic
 
@@ -82,6 +83,43 @@ register(
       {K_TEXT} AS k, value, 2 AS width, CASE WHEN event_type = 'click' THEN 'click' END AS kind
     FROM scored WHERE value < 230""",
 )
+
+
+def avro_messages(s, sf):
+    """The events as framed Avro; some cut short, some as JSON text, some as neither."""
+    e = table(s, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    k = F.get_json_object("props", "$.k").cast("double")
+    text = F.to_json(
+        F.struct(
+            F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("sourcé-"), F.col("user_id")).alias("source_id"),
+            "event_type", F.create_map(F.lit("k"), k, F.lit("value"), F.col("value")).alias("features"),
+            F.unix_millis("t").alias("event_time"),
+        )
+    )
+    framed = avro.to_framed(F.col("text"), RAW_EVENT_AVRO)
+    e = e.select("value", F.explode(F.array(text)).alias("text")).withColumn("framed", framed)
+    whole, cut = F.col("framed"), F.expr("substring(framed, 1, length(framed) - 3)")
+    message = F.when(F.col("value") >= 300, cut).when(F.col("value") >= 250, F.concat(F.lit(b"\x00"), F.col("text").cast("binary")))
+    return e.select(message.when(F.col("value") >= 200, F.col("text").cast("binary")).otherwise(whole).alias("value"))
+
+
+def avro_decoded(s, sf):
+    """Good rows with their values, refused ones with the reason only."""
+    d = decode.decode(avro_messages(s, sf), avro_schema=RAW_EVENT_AVRO)
+    good = decode.normalise(d, ["k", "value"]).select(
+        "event_id", "source_id", "event_type", "event_time", F.get("feature_vector", 0).alias("k"),
+        F.get("feature_vector", 1).alias("value"), F.lit(None).cast("string").alias("bad"),
+    )
+    return good.unionByName(d.filter("bad is not null").select("bad"), allowMissingColumns=True)
+
+
+register(
+    "n01_avro_decode",
+    avro_decoded,
+    f"""{S} SELECT event_id, 'sourcé-' || source_id AS source_id, event_type, make_timestamp(ms * 1000) AS event_time, k, value,
+      NULL::VARCHAR AS bad FROM scored WHERE value < 250
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'Cannot deserialise message as Avro or JSON' FROM scored WHERE value >= 250""",
+)
 register(
     "s08_dead_letters",
     lambda s, sf: decode.dead_letters(decode.decode(messages(s, sf))).drop("failed_at_ms"),

@@ -411,6 +411,39 @@ register(
     SELECT round(sum((p - q) * ln(p / q)), 9) AS psi, sum((p - q) * ln(p / q)) > 0.01 AS retrain FROM q""",
 )
 
+
+
+def psi_by_sketch(s, sf):
+    """Gate of each model version on its stored baseline of the first half of the month."""
+    e, store = scored(s, sf), registry.Registry(s, shared_dir(s, "baselines"))
+    half, out = F.col("event_date") < F.lit(dt.date(2024, 1, 16)), None
+    # Sketched by day, merged by version, as a daily job would do it.
+    daily = evaluate.share_sketch(e.filter(half).withColumn("part", F.concat("model_version", "event_date")), "anomaly_score", "part")
+    parts = daily.select(F.substring("part", 1, 6).alias("model_version"), "cell", "n")
+    sketches = evaluate.merge_sketches(parts)
+    for version in ("v1.0.0", "v1.1.0", "v2.0.0"):
+        store.save("baseline", version, sketches.filter(F.col("model_version") == version).select("cell", "n"))
+        now = e.filter(~half & (F.col("model_version") == version)).withColumn("anomaly_score", F.sqrt("anomaly_score"))
+        one = evaluate.psi_of_sketch(store.load("baseline", version).select("cell", "n"), now, "anomaly_score")
+        one = rounded(evaluate.drift_gate(one), "psi").withColumn("model_version", F.lit(version))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+register(
+    "m16_psi_by_sketch",
+    psi_by_sketch,
+    f"""{S}, c AS (SELECT model_version AS m, event_date < DATE '2024-01-16' AS old, floor((CASE WHEN event_date < DATE '2024-01-16'
+        THEN anomaly_score ELSE sqrt(anomaly_score) END) / 1e-4::DOUBLE)::BIGINT AS cell FROM scored),
+    u AS (SELECT m, cell, sum(count(*)) OVER (PARTITION BY m ORDER BY cell) AS upto, sum(count(*)) OVER (PARTITION BY m) AS total
+      FROM c WHERE old GROUP BY m, cell),
+    x AS (SELECT DISTINCT m, min(cell) + 1 AS edge FROM u, range(1, 10) r(i) WHERE upto * 10 >= total * i GROUP BY m, i),
+    b AS (SELECT m, bin, count(*) FILTER (WHERE old)::DOUBLE AS o, count(*) FILTER (WHERE NOT old)::DOUBLE AS n FROM (
+      SELECT c.m, old, (SELECT count(*) FROM x WHERE x.m = c.m AND edge <= cell) AS bin FROM c) GROUP BY m, bin),
+    q AS (SELECT m, greatest(n / sum(n) OVER (PARTITION BY m), 1e-4) AS p, greatest(o / sum(o) OVER (PARTITION BY m), 1e-4) AS q FROM b)
+    SELECT m AS model_version, round(sum((p - q) * ln(p / q)), 9) AS psi, sum((p - q) * ln(p / q)) > 0.25 AS retrain FROM q GROUP BY m""",
+)
+
 # --- retraining ----------------------------------------------------------------------
 
 register(

@@ -15,11 +15,11 @@ from registered.models import ORACLES as MODEL_SQL
 from registered.models import GIVEN_TREES, PH, tree_sql, two_trees
 from tidewarden.functions.quantiles import edges, with_range
 from tidewarden.operators import features, half_space, notify
-from tidewarden.plans import hourly, retrain
+from tidewarden.plans import hourly, monitoring, retrain
 from tidewarden.session import shared_dir
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
-from tidewarden.streaming import alerting, batching, keyed, scoring, windows
+from tidewarden.streaming import alerting, batching, keyed, progress, scoring, windows
 
 QUERIES = {}
 ORACLES = {}
@@ -96,6 +96,67 @@ register(
 )
 
 
+def reported(s, run):
+    """What a run told a listener, after its end."""
+    log = progress.ProgressLog(s, shared_dir(s, "progress"))
+    s.streams.addListener(log)
+    try:
+        query = run()
+        if not log.wait_for(query.runId):
+            raise TimeoutError("the end of the query was not reported")
+    finally:
+        s.streams.removeListener(log)
+    return progress.progress_rows(s, log.path)
+
+
+def stream_counts(s, sf):
+    """Outcomes as the scoring job counted them while it ran."""
+    base = shared_dir(s, "counted")
+    messages(s, sf).filter("value is not null").repartition(8).write.text(f"{base}/raw")
+    to = scoring.Targets(f"{base}/table", f"{base}/topic", f"{base}/dead", f"{base}/checkpoint")
+
+    def run():
+        stream = readers.raw_stream(s, f"{base}/raw", max_per_trigger=4)
+        query = scoring.start_scoring(stream, Registry(s, f"{base}/registry"), to, ["k", "value"])
+        query.awaitTermination()
+        return query
+
+    return monitoring.progress_counts(reported(s, run))
+
+
+register(
+    "q30_stream_counts",
+    stream_counts,
+    """SELECT 'success' AS status, count(*) FILTER (WHERE value < 230) AS events FROM events
+    UNION ALL SELECT 'error', count(*) FILTER (WHERE value >= 235) FROM events""",
+)
+
+
+def stream_lag(s, sf):
+    """A feed that has read the events up to 25 January, while the others have come in."""
+    base, e = shared_dir(s, "lagging"), scored(s, sf)
+    early = F.col("event_time") < F.lit(dt.datetime(2024, 1, 25, tzinfo=dt.UTC))
+    rows = e.select("event_id", "event_time")
+    rows.filter(early).repartition(6).write.parquet(f"{base}/events")
+
+    def run():
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/events")
+        query = stream.writeStream.format("noop").option("checkpointLocation", f"{base}/checkpoint")
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+    report = reported(s, run)
+    rows.filter(~early).write.mode("append").parquet(f"{base}/events")
+    held = s.read.parquet(f"{base}/events").agg(F.count("*").alias("rows")).withColumn("path", F.lit(f"{base}/events"))
+    return monitoring.topic_lag(monitoring.progress_offsets(report, held)).select(F.lit("events").alias("topic"), "lag")
+
+
+register(
+    "q33_stream_lag",
+    stream_lag,
+    "SELECT 'events' AS topic, count(*) AS lag FROM events WHERE ts >= TIMESTAMP '2024-01-25'",
+)
 FILES = 4  # written per part, so that no part goes through one task
 
 
@@ -152,6 +213,22 @@ def to_files(stream, s, name):
     return s.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def doubled_files(s, sf):
+    """Every event twice within a part, as producers that retry would send them."""
+    path, _ = event_files(s, sf)
+    again = shared_dir(s, "doubled")
+    rows = s.read.parquet(path)
+    rows.unionByName(rows).repartition(8).write.parquet(again)
+    return again
+
+
+register(
+    "s06_unique_stream",
+    lambda s, sf: to_files(
+        windows.unique_stream(readers.scored_stream(s, doubled_files(s, sf), 8)), s, "unique"
+    ).select("event_id", "event_time", "anomaly_score"),
+    f"{S} SELECT event_id, event_time, anomaly_score FROM scored",
+)
 register(
     "s13_live_feed_stream",
     lambda s, sf: to_files(notify.live_feed(readers.scored_stream(s, event_files(s, sf)[0], 2 * FILES)), s, "feed"),

@@ -137,6 +137,72 @@ def silence(spark, rows):
     )
 
 
+def test_interval_cells_cover_their_hours_once(spark):
+    rows = [(a, a + n) for a in (-3, 0, 1, 7, 62, 63, 64, 472_222) for n in (1, 2, 3, 4, 5, 16, 17, 100, 1000, 4097)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for r in df.select("a", "b", alerts.interval_cells(F.col("a"), F.col("b")).alias("c")).collect():
+        hours = sorted(h for c in r.c for h in range(c.cell * 4**c.level, (c.cell + 1) * 4**c.level))
+        assert hours == list(range(r.a, r.b))
+
+
+def test_a_ten_year_silence_takes_few_rows(spark):
+    far = at(0) + dt.timedelta(days=3652, hours=5, minutes=3)
+    rules = spark.createDataFrame(
+        [("s", at(90_000), far), ("*", far, far + dt.timedelta(minutes=1)), ("u", at(0), at(1))],
+        "scope string, created_at timestamp, ends_at timestamp",
+    )
+    n = {r.scope: r["count"] for r in alerts.silence_cells(rules).groupBy("scope").count().collect()}
+    assert n["s"] < 50 and n["*"] <= 2 and n["u"] == 1
+    hours = [0, 89_999, 90_000, 3_600_000, 10**9, 10**11, 3652 * 86_400_000 + 5 * 3_600_000 + 180_000 - 1]
+    rows = [(f"{s}{i}", s, ms, 1.0) for s in "su" for i, ms in enumerate([*hours, hours[-1] + 1, hours[-1] + 60_001])]
+    kept = {r.event_id for r in alerts.unsilenced(events(spark, rows), rules).collect()}
+    want = {e for e, s, ms, _ in rows if not (s == "s" and 90_000 <= ms <= hours[-1])
+            and not (hours[-1] < ms <= hours[-1] + 60_000) and not (s == "u" and ms < 1)}
+    assert kept == want
+
+
+def storm(spark, n=3000):
+    """Two thirds of all events on one source within a second, half of those on one millisecond."""
+    ms = F.when(F.col("id") % 3 == 0, F.col("id") * 977 % 400_000).when(F.col("id") % 3 == 1, F.lit(120_500)).otherwise(
+        F.lit(120_000) + F.col("id") * 7919 % 1000
+    )
+    return spark.range(n).select(
+        F.format_string("%05d", F.col("id") * 2741 % n).alias("event_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), F.col("id") % 5)).otherwise(F.lit("hot")).alias("source_id"),
+        F.timestamp_millis(F.lit(1_704_067_200_000) + ms).alias("event_time"),
+        (F.col("id") * 31 % 101 / 100).alias("anomaly_score"),
+    )
+
+
+def test_a_storm_inside_one_chunk_is_spread_and_counted_alike(spark):
+    e = storm(spark)
+    want = counts(alerts.burst_counts(e, 0.5))
+    assert counts(alerts.burst_counts(e, 0.5, storm=50)) == want and max(want.values()) > 800
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would merge so few rows
+    try:
+        got = alerts.burst_counts(e, 0.5, storm=50)
+        part = got.withColumn("p", F.spark_partition_id()).filter("source_id = 'hot'").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(part) > 3 and max(r["count"] for r in part) < 1200
+
+
+def test_features_of_a_storm_equal_those_of_one_task(spark):
+    from tidewarden.operators import features
+
+    e = storm(spark).withColumn("v", F.when(F.col("anomaly_score") < 0.97, F.col("anomaly_score") * 100))
+    for build, names in (
+        (features.with_rolling, ("rolling_mean_5m", "rolling_std_5m", "volume_z_score")),
+        (features.with_return, ("price_return_1m",)),
+    ):
+        late = e.withColumn("event_time", F.col("event_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("event_id").cast("int") % 4))
+        one = {r.event_id: [r[n] for n in names] for r in build(late, "v").collect()}
+        many = {r.event_id: [r[n] for n in names] for r in build(late, "v", storm=50).collect()}
+        assert one.keys() == many.keys()
+        for k, values in one.items():
+            assert many[k] == [None if v is None else pytest.approx(v, rel=1e-9, abs=1e-9) for v in values]
+
+
 def test_silences(spark):
     rules = silence(spark, [("a", 10, 0), ("a", 1, 120_000), (None, 1, 3_600_000), ("b", 0, 0)])
     assert rules.count() == 3  # shorter than a minute is refused

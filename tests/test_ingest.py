@@ -40,6 +40,39 @@ def test_binary_messages(spark):
     assert decode.normalise(d).count() == 1 and decode.dead_letters(d).count() == 1
 
 
+def test_avro_bytes_written_by_hand(spark):
+    from tidewarden.functions import avro
+    from tidewarden.schema import RAW_EVENT_AVRO
+
+    half = b"\x00\x00\x00\x00\x00\x00\xe0\x3f"  # 0.5
+    body = b"\x04e1" + b"\x06\xc3\xa9s" + b"\x02v"
+    ms = b"\x80\xa0\xc6\xf9\x98\x63"  # 1704067200000 as a zig-zag varint
+    one = b"\x00\x00\x00\x00\x01" + body + b"\x02\x02k" + half + b"\x00" + ms
+    sized = b"\x00\x00\x00\x00\x01" + body + b"\x01\x14\x02k" + half + b"\x00" + ms  # a block with its bytes
+    empty = b"\x00\x00\x00\x00\x01" + body + b"\x00" + ms
+    bad = [one[:-1], one + b"\x00", b"\x00\x00\x00\x00\x01", b"\x00{}", one[:5] + b"\x7f" + one[6:], b"\xff\xfe"]
+    rows = [(m,) for m in (one, sized, empty, b'{"event_id":"j"}', *bad)]
+    d = decode.decode(spark.createDataFrame(rows, "value binary"), avro_schema=RAW_EVENT_AVRO)
+    good = decode.normalise(d).collect()
+    got = sorted((r.event_id, r.source_id, str((r.features or {}).get("k"))) for r in good if r.event_id == "e1")
+    assert got == [("e1", "és", "0.5"), ("e1", "és", "0.5"), ("e1", "és", "None")] and len(good) == 4
+    assert {r.event_time.replace(tzinfo=dt.UTC).timestamp() for r in good if r.event_id == "e1"} == {1704067200.0}
+    assert decode.dead_letters(d).count() == len(bad)
+    # Every kind of schema, there and back.
+    schema = {"type": "record", "name": "R", "fields": [
+        {"name": "a", "type": ["null", "string"]}, {"name": "b", "type": {"type": "array", "items": "int"}},
+        {"name": "c", "type": {"type": "enum", "name": "E", "symbols": ["X", "Y"]}}, {"name": "d", "type": "boolean"},
+        {"name": "e", "type": "float"}, {"name": "f", "type": {"type": "map", "values": ["null", "long"]}},
+        {"name": "g", "type": "bytes"}, {"name": "h", "type": "null"}]}
+    read = avro.reader(schema)
+    for value in (
+        {"a": None, "b": [], "c": "Y", "d": True, "e": -0.5, "f": {}, "g": "\x00\xff", "h": None},
+        {"a": "é" * 300, "b": [1, -1, 2**31 - 1, -(2**31)], "c": "X", "d": False, "e": 0.0, "f": {"k": -(2**63), "n": None}, "g": "", "h": None},
+    ):
+        data = avro.encode_value(value, schema)
+        assert read(data, 0) == (value, len(data))
+
+
 @pytest.mark.parametrize(
     "value,want",
     [

@@ -338,3 +338,60 @@ def test_page_hinkley_looks_at_each_block_a_few_times(spark, monkeypatch):
     got = drift.batch_drifts(df, "k", "x", params=p, block_rows=200)
     assert got.count() >= 6 and len(looked) <= 8
     assert max(looked) <= drift.LOOK_AHEAD * 200 and sum(looked) <= 4 * 1200
+
+
+def test_sketch_merges_and_gates_like_the_rows(spark):
+    rng = np.random.default_rng(8)
+    old, new = np.round(rng.beta(2, 5, 4000), 4), np.round(rng.beta(2.6, 5, 3000), 4)
+    frame = lambda v: spark.createDataFrame([(float(x), i % 3) for i, x in enumerate(v)], "s double, part int")
+    base, now = frame(old), frame(new)
+    whole = evaluate.share_sketch(base, "s")
+    parts = evaluate.merge_sketches(evaluate.share_sketch(base, "s", "part").drop("part"))
+    assert whole.exceptAll(parts).count() == 0 and whole.count() == parts.count() <= 10_001
+    edges = evaluate.sketch_edges(whole)
+    upto = np.sort(np.floor(old / 1e-4))
+    assert edges == sorted({int(upto[-(-4000 * i // 10) - 1]) + 1 for i in range(1, 10)})
+    inner = [e * 1e-4 for e in edges]
+    share = lambda v: np.maximum(np.bincount([sum(e <= c for e in edges) for c in np.floor(v / 1e-4)], minlength=10) / len(v), 1e-4)
+    p, q = share(new), share(old)
+    want = ((p - q) * np.log(p / q)).sum()
+    assert evaluate.psi_of_sketch(whole, now, "s").first()[0] == pytest.approx(want) and want > 0.01
+    assert evaluate.psi(base, now, "s", inner=inner).first()[0] == pytest.approx(want, rel=0.05)
+    assert evaluate.psi_of_sketch(whole, base, "s").first()[0] == pytest.approx(0)
+    assert evaluate.psi_of_sketch(whole.limit(0), now.limit(0), "s").first()[0] in (None, 0)
+
+
+def test_queries_return_values_of_their_models(spark):
+    """Tree shapes, score ranges and falling loss, on what the registered queries return."""
+    import __spark_entry__ as entry
+
+    sf, q = "/root/testdata/sf0.001", entry.queries()
+    nodes = q["m01_forest_fit"](spark, sf).toPandas()
+    for _, tree in nodes.groupby("tree"):
+        leaf = tree["child"] == tree["node"]
+        level = np.floor(np.log2(tree["node"] + 1))
+        assert leaf.sum() == (~leaf).sum() + 1 and level.max() <= 8
+        assert (tree["path"][leaf] >= level[leaf]).all() and (tree["child"][~leaf] == 2 * tree["node"][~leaf] + 1).all()
+    scores = q["m02_forest_score"](spark, sf).toPandas()
+    assert scores["anomaly_score"].between(0, 1).all() and scores["anomaly_score"].nunique() > 100
+    assert np.allclose(scores["anomaly_score"], 0.5 - scores["decision"]) and (scores["is_anomaly"] == (scores["decision"] < 0)).all()
+    sweep = q["m10_contamination_sweep"](spark, sf).toPandas()
+    assert (sweep["flagged"] == np.ceil((sweep["rows"] - 1) * sweep["contamination"])).all() and sweep["offset"].between(-1, 0).all()
+    folds = q["m10_cross_validation"](spark, sf).toPandas()
+    assert folds["anomaly_rate"].between(0, 0.4).all() and (folds["mean_decision_score"] > 0).all()
+    curve = q["m11_autoencoder_fit"](spark, sf).toPandas()
+    assert len(curve) <= 50 and curve["loss"].min() < 0.9 * curve["loss"].iloc[0] and (curve["threshold"] > 0).all()
+    half = q["m14_half_space_trees"](spark, sf).toPandas()
+    assert half["score"].between(0, 1).all() and (half["score"][half["position"] < 250] == 0).all()
+
+
+def test_half_space_queries_equal_the_loop(spark):
+    import __spark_entry__ as entry
+    from registered.common import scored as view
+
+    sf, p = "/root/testdata/sf0.01", half_space.Params()
+    got = entry.queries()["m14_half_space_trees"](spark, sf).filter("event_type = 'error'").toPandas().sort_values("position")
+    rows = view(spark, sf).filter("event_type = 'error'").orderBy("event_time", "event_id").collect()
+    x = np.array([r.feature_vector for r in sorted(rows, key=lambda r: (int(r.event_time.timestamp() * 1000), r.event_id))])
+    want = half_space.fold(half_space.State.start(x[0], p), x, half_space.grow(2, p), p)
+    assert len(x) > 500 and np.allclose(got["score"], want) and want.max() > 0

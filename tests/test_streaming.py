@@ -313,3 +313,49 @@ def test_replay_stream(spark):
     assert rows.count() == 40
     assert rows.select("source_id").distinct().collect()[0][0] == "cicids-replay"
     assert rows.agg(F.sum(F.col("features")["packet_length"])).first()[0] == 1.5 * sum(range(40))
+
+
+def test_a_model_that_cannot_be_loaded_leaves_the_old_one(spark, monkeypatch):
+    e = scored_view(spark, SF)
+    r = Registry(spark, folder(spark, "registry"))
+    t0 = dt.datetime(2024, 1, 31, tzinfo=dt.UTC)
+    version = retrain.retrain(r, e, t0, trees=5, at_least=10)
+    scorer = scoring.Scorer(r, pause_s=0.0)
+    batch = e.select("event_id", "source_id", "event_type", "event_time", "features", "feature_vector")
+    used = lambda: {x.model_version for x in scorer.score(batch).select("model_version").distinct().collect()}
+    assert used() == {version}
+    r.activate("broken", t0 + dt.timedelta(hours=1))
+    tries, load = [], r.load
+    monkeypatch.setattr(r, "load", lambda *a: (tries.append(a), load(*a))[1])
+    assert used() == {version} and len(tries) == 3
+    assert used() == {version} and len(tries) == 3  # not tried again
+    # Scores still come from the old trees, which were not released.
+    assert scorer.score(batch).filter("anomaly_score is null").count() == 0
+    r.activate("dummy-v0", t0 + dt.timedelta(hours=2))
+    assert used() == {"dummy-v0"}
+    r.activate(version, t0 + dt.timedelta(hours=3))
+    assert used() == {version}
+    with pytest.raises(LookupError):
+        scoring.Scorer(Registry(spark, folder(spark, "none")), pause_s=0.0).model("nothing")
+
+
+def test_offsets_of_topics_from_progress(spark):
+    import json
+
+    from tidewarden.plans import monitoring
+    from tidewarden.streaming import progress
+
+    def report(batch, ends, latest, n):
+        source = {"description": "KafkaV2[Subscribe[raw]]", "endOffset": ends, "latestOffset": latest, "numInputRows": n}
+        return {"id": "q", "runId": "r", "batchId": batch, "timestamp": f"2024-01-01T00:00:0{batch}Z", "numInputRows": n,
+                "sources": [source], "observedMetrics": {"outcomes": {"success": n - 1, "error": 1}}}
+
+    path = folder(spark, "progress")
+    log = progress.ProgressLog(spark, path)
+    log._write("progress", "0", json.dumps(report(0, {"raw": {"0": 5, "1": 7}}, {"raw": {"0": 9, "1": 9}}, 12)))
+    log._write("progress", "1", json.dumps(report(1, {"raw": {"0": 8, "1": 9}}, {"raw": {"0": 12, "1": 9, "2": 4}}, 5)))
+    rows = progress.progress_rows(spark, path)
+    lag = {r.partition: r.lag for r in monitoring.partition_lag(monitoring.progress_offsets(rows)).collect()}
+    assert lag == {0: 4, 1: 0}
+    assert {r.status: r.events for r in monitoring.progress_counts(rows).collect()} == {"success": 15, "error": 2}
+    assert {r.events for r in monitoring.progress_counts(rows.limit(0)).collect()} == {0}

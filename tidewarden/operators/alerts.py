@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidewarden.functions.identity import uuid5
 from tidewarden.functions.severity import AlertThresholds, alert_severity, is_actionable
 from tidewarden.functions.timebuckets import literal_ts
-from tidewarden.operators.sweep import markers
+from tidewarden.operators.sweep import STORM, markers, running
 from tidewarden.schema import BURST_WINDOW_MS, DASHBOARD, REFUSAL
+from tidewarden.session import cut_lineage
 
 ALL_SOURCES = "*"
 
@@ -94,35 +95,67 @@ def silence_info(effective: DataFrame, source_id: str, as_of: dt.datetime) -> Da
     return active_silences(effective, as_of).filter(F.col("scope") == source_id)
 
 
-def _hour(ts: Column) -> Column:
-    return F.floor(F.unix_seconds(ts) / F.lit(3_600))
+HOUR_US = 3_600_000_000
+LEVELS = 12  # cells of 4^0 .. 4^12 hours: beyond all times that a timestamp can hold
+
+
+def interval_cells(start: Column, end: Column) -> Column:
+    """Cells (level, cell) that cover the hours [start, end): cell c of a level is 4^level hours long.
+
+    The longest aligned cells that fit inside, and shorter ones towards both ends: at most six per
+    level, so an interval of n hours takes about three log2 n cells at most.
+    """
+    size = lambda k: F.lit(4**k)
+    first = lambda k: F.ceil(start / size(k)).cast("bigint")
+    last = lambda k: F.floor(end / size(k)).cast("bigint")
+
+    def cells(k: int, a: Column, b: Column) -> Column:
+        run = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(run, lambda c: F.struct(F.lit(k).alias("level"), c.alias("cell")))
+
+    out = [cells(LEVELS, first(LEVELS), last(LEVELS))]
+    for k in range(LEVELS):
+        a, b, up, down = first(k), last(k), first(k + 1) * 4, last(k + 1) * 4
+        inner = up < down  # whole cells of the next level lie between
+        out.append(cells(k, a, F.when(inner, up).otherwise(b)))
+        out.append(cells(k, F.when(inner, down).otherwise(b), b))
+    return F.concat(*out)
+
+
+def silence_cells(effective: DataFrame) -> DataFrame:
+    """scope, _from, _to, level, cell: every rule spread over the cells of its hours."""
+    start = F.floor(F.unix_micros("created_at") / F.lit(HOUR_US))
+    end = F.floor((F.unix_micros("ends_at") - 1) / F.lit(HOUR_US)) + 1
+    return effective.select(
+        F.col("scope"), F.col("created_at").alias("_from"), F.col("ends_at").alias("_to"),
+        F.inline(interval_cells(start, end)),
+    )
 
 
 def unsilenced(events: DataFrame, effective: DataFrame, ts: str = "event_time") -> DataFrame:
     """Events no rule covers at their time, ``created <= t < end``.
 
-    A rule is spread over the hours it touches, so both look-ups are equality
-    joins (source and hour; hour alone for rules on all sources) with the exact
-    bounds as residue. Neither becomes a nested loop, and no side is forced to
-    be broadcast: the rules are broadcast only if measured to be small.
+    A rule is spread over the cells that make up its hours, few for a rule of any length, so for
+    each level of cells in use both look-ups are equality joins (source and cell; cell alone for
+    rules on all sources) with the exact bounds as residue. None becomes a nested loop, and no side
+    is forced to be broadcast: the rules are broadcast only if measured to be small.
     """
-    last_hour = F.floor((F.unix_micros("ends_at") - 1) / F.lit(3_600_000_000))
-    spread = effective.select(
-        F.col("scope"),
-        F.col("created_at").alias("_from"),
-        F.col("ends_at").alias("_to"),
-        F.explode(F.sequence(_hour(F.col("created_at")), last_hour)).alias("_rule_hour"),
-    )
-    e = events.withColumn("_hour", _hour(F.col(ts)))
-    inside = (
-        (F.col("_hour") == F.col("_rule_hour"))
-        & (F.col(ts) >= F.col("_from"))
-        & (F.col(ts) < F.col("_to"))
-    )
-    own = spread.filter(F.col("scope") != ALL_SOURCES)
-    everywhere = spread.filter(F.col("scope") == ALL_SOURCES).drop("scope")
-    kept = e.join(own, (F.col("source_id") == F.col("scope")) & inside, "left_anti")
-    return kept.join(everywhere, inside, "left_anti").drop("_hour")
+    spread = cut_lineage(silence_cells(effective))
+    levels = [r.level for r in spread.select("level").distinct().orderBy("level").collect()]  # LEVELS at most
+    hour = F.floor(F.unix_micros(ts) / F.lit(HOUR_US))
+    kept = events.withColumn("_hour", hour)
+    for level in levels:
+        inside = (
+            (F.shiftright("_hour", 2 * level) == F.col("cell"))
+            & (F.col(ts) >= F.col("_from"))
+            & (F.col(ts) < F.col("_to"))
+        )
+        rules = spread.filter(F.col("level") == level)
+        own = rules.filter(F.col("scope") != ALL_SOURCES)
+        everywhere = rules.filter(F.col("scope") == ALL_SOURCES).drop("scope")
+        kept = kept.join(own, (F.col("source_id") == F.col("scope")) & inside, "left_anti")
+        kept = kept.join(everywhere, inside, "left_anti")
+    return kept.drop("_hour")
 
 
 # --- bursts --------------------------------------------------------------------
@@ -136,6 +169,7 @@ def burst_counts(
     clears: DataFrame | None = None,
     key: str = "source_id",
     score: str = "anomaly_score",
+    storm: int = STORM,
 ) -> DataFrame:
     """Adds ``burst_count``: HIGH+ events of the source in (t - window, t].
 
@@ -176,17 +210,8 @@ def burst_counts(
     base = base.withColumn("_leaves", leaves)
     counts = F.coalesce(F.col(score) >= F.lit(high), F.lit(False))
     m = markers(base, key, "_ms", F.col("_leaves"), counts, chunk_ms, ["event_id"])
-    so_far = (
-        Window.partitionBy(key, "chunk")
-        .orderBy("at", "phase", "event_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        m.withColumn("burst_count", F.sum("sign").over(so_far))
-        .filter(F.col("row").isNotNull())
-        .select("row.*", "burst_count")
-        .drop("_leaves", *drop)
-    )
+    m = running(m, [key, "chunk"], ["at", "phase", "event_id"], {"burst_count": F.col("sign")}, most=storm)
+    return m.filter(F.col("row").isNotNull()).select("row.*", "burst_count").drop("_leaves", *drop)
 
 
 # --- alert records --------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewarden.functions.avro import from_framed
 from tidewarden.schema import LABELS, SEVERITIES
 
 # Both envelopes at once. Numbers are read as text so that one odd value does
@@ -22,19 +23,14 @@ def decode(messages: DataFrame, value: str = "value", avro_schema: str | None =
     """Parse messages; adds ``event`` (struct), ``payload`` and ``bad`` (why it failed).
 
     A message without a value is a tombstone and is skipped. With ``avro_schema``
-    messages that start with the 0x00 magic byte are read as Avro (needs the
-    optional avro package), all others as JSON.
+    messages that start with the 0x00 magic byte are read as Avro; all others, and those that
+    are no record of the schema, as JSON.
     """
     df = messages.filter(F.col(value).isNotNull())
     payload = F.col(value).cast("string")
     if avro_schema is not None:
-        from pyspark.sql.avro.functions import from_avro
-
         framed = F.hex(F.substring(F.col(value), 1, 1)) == "00"
-        body = F.expr(f"substring({value}, 6)")
-        payload = F.when(
-            framed, F.to_json(from_avro(body, avro_schema, {"mode": "PERMISSIVE"}))
-        ).otherwise(payload)
+        payload = F.coalesce(F.when(framed, from_framed(F.col(value), avro_schema)), payload)
     parsed = F.from_json(
         payload, ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions.quantiles import running_total, with_range
@@ -98,6 +98,51 @@ def psi(
     return per_bin.agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
 
 
+CELL = 1e-4
+
+
+def share_sketch(events: DataFrame, column: str, by: str | None = None, width: float = CELL) -> DataFrame:
+    """Rows per cell of a column with a bounded range: a quantile sketch that merges by adding.
+
+    At most range / width cells per group, so the baseline of a model version is a small table that
+    is stored once; days or parts of it can be sketched apart and merged.
+    """
+    x = F.col(column).cast("double")
+    kept = events.filter(x.isNotNull() & ~F.isnan(x)).withColumn("cell", F.floor(x / F.lit(width)))
+    return kept.groupBy(*([by] if by else []), "cell").agg(F.count("*").alias("n"))
+
+
+def merge_sketches(parts: DataFrame) -> DataFrame:
+    """One sketch of several: the counts of equal cells added."""
+    return parts.groupBy(*[c for c in parts.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
+def sketch_edges(sketch: DataFrame, bins: int = 10) -> list[int]:
+    """Cells that begin a new bin: each bin but the last holds its share of the rows or more."""
+    upto = F.sum("n").over(Window.orderBy("cell"))
+    shares = sketch.select("cell", upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    hits = [F.min(F.when(F.col("upto") * bins >= F.col("all") * i, F.col("cell") + 1)) for i in range(1, bins)]
+    return sorted({e for e in shares.agg(*hits).first() if e is not None})
+
+
+def psi_of_sketch(
+    sketch: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-4, width: float = CELL
+) -> DataFrame:
+    """``psi`` against a stored sketch (cell, n): the baseline's events are not read again.
+
+    Edges lie between cells, so the baseline shares are exact; only the edges are rounded to a cell.
+    """
+    edges = F.array(*[F.lit(e).cast("bigint") for e in sketch_edges(sketch, bins)]).cast("array<bigint>")
+    index = F.size(F.filter(edges, lambda e: e <= F.col("cell")))
+    now = share_sketch(current, column, width=width).select("cell", F.lit(0).cast("bigint").alias("old"), F.col("n").alias("new"))
+    both = sketch.select("cell", F.col("n").alias("old"), F.lit(0).cast("bigint").alias("new")).unionByName(now)
+    per_bin = both.groupBy(index.alias("bin")).agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+    whole = Window.partitionBy()
+    share = lambda c: F.greatest(F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1)), F.lit(floor))
+    per_bin = per_bin.select(share("new").alias("p"), share("old").alias("q"))
+    return per_bin.agg(F.sum((F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q"))).alias("psi"))
+
+
 def drift_gate(index: DataFrame, threshold: float = 0.25) -> DataFrame:
     return index.withColumn("retrain", F.col("psi") > threshold)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewarden.operators.sweep import markers
+from tidewarden.operators.sweep import STORM, markers, running, storms
 from tidewarden.schema import ALL_FEATURES, ALL_SKEWED, SERVING_FEATURES, SERVING_SKEWED
 
 
@@ -185,6 +185,7 @@ def with_rolling(
     ts: str = "event_time",
     width_ms: int = 300_000,
     chunk_ms: int = 900_000,
+    storm: int = STORM,
 ) -> DataFrame:
     """Mean and population deviation of the last 5 minutes, this row included.
 
@@ -197,16 +198,27 @@ def with_rolling(
     base = df.withColumn("_ms", F.unix_millis(ts)).withColumn("_x", F.col(value).cast("double"))
     m = markers(base, key, "_ms", F.col("_ms") + F.lit(width_ms + 1),
                 F.col("_x").isNotNull(), chunk_ms, ["_x"])
+    m, hot = storms(m, [key, "chunk"], storm)
     whole = Window.partitionBy(key, "chunk")
     so_far = whole.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     d = F.col("_x") - F.col("_c")
-    out = (
-        m.withColumn("_c", F.avg("_x").over(whole))
-        .withColumn("_n", F.sum("sign").over(so_far))
-        .withColumn("_s1", F.sum(F.col("sign") * d).over(so_far))
-        .withColumn("_s2", F.sum(F.col("sign") * d * d).over(so_far))
-        .filter(F.col("row").isNotNull())
-    )
+    parts = {"_n": F.col("sign"), "_s1": F.col("sign") * d, "_s2": F.col("sign") * d * d}
+    out = m.withColumn("_c", F.avg("_x").over(whole))
+    for name, part in parts.items():
+        out = out.withColumn(name, F.sum(part).over(so_far))
+    out = out.filter(F.col("row").isNotNull())
+    if hot is not None:
+        # A chunk with very many rows is summed by millisecond first: what a task then accumulates
+        # is bounded by the length of the chunk, and the rows find their totals by a join.
+        centre = hot.groupBy(F.col(key).alias("_ck"), F.col("chunk").alias("_cc")).agg(F.avg("_x").alias("_c"))
+        centred = hot.join(F.broadcast(centre), F.col(key).eqNullSafe(F.col("_ck")) & (F.col("chunk") == F.col("_cc")))
+        cells = centred.groupBy(F.col(key).alias("_k"), F.col("chunk").alias("_q"), F.col("at").alias("_t"))
+        cells = cells.agg(F.first("_c").alias("_c"), *[F.sum(part).alias(name) for name, part in parts.items()])
+        upto = Window.partitionBy("_k", "_q").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = cells.select("_k", "_q", "_t", "_c", *[F.sum(name).over(upto).alias(name) for name in parts])
+        met = F.col(key).eqNullSafe(F.col("_k")) & (F.col("chunk") == F.col("_q")) & (F.col("at") == F.col("_t"))
+        found = hot.filter(F.col("row").isNotNull()).join(cells, met).select(*out.columns)
+        out = out.unionByName(found)
     mean = F.when(F.col("_n") > 0, F.col("_s1") / F.col("_n"))
     # One value in the window has no spread; below that rounding may dip under 0.
     var = F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(
@@ -238,6 +250,7 @@ def with_return(
     lag_ms: int = 60_000,
     look_back_ms: int = 300_000,
     chunk_ms: int = 900_000,
+    storm: int = STORM,
 ) -> DataFrame:
     """price_return_1m: value / value one minute earlier - 1.
 
@@ -266,21 +279,13 @@ def with_return(
         .when(usable, F.array(reader, known))
         .otherwise(F.array(reader))
     )
-    order = (
-        Window.partitionBy(key, "chunk")
-        .orderBy("at", "phase", tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    past = F.last(
-        F.when(F.col("phase") == 0, F.struct(F.col("at"), F.col("_x").alias("x"))), True
-    ).over(order)
+    past = F.when(F.col("phase") == 0, F.struct(F.col("at"), F.col("_x").alias("x")))
     ratio = F.col("_x") / F.nullif(F.col("_past.x"), F.lit(0.0)) - 1
     fresh = F.col("_past.at") >= F.col("_ms") - F.lit(look_back_ms)
+    m = base.select(key, tie, "_x", F.explode(marks).alias("m")).select(key, tie, "_x", "m.*")
+    m = running(m, [key, "chunk"], ["at", "phase", tie], newest={"_past": past}, most=storm)
     return (
-        base.select(key, tie, "_x", F.explode(marks).alias("m"))
-        .select(key, tie, "_x", "m.*")
-        .withColumn("_past", past)
-        .filter(F.col("phase") == 1)
+        m.filter(F.col("phase") == 1)
         .select("row.*", "_past")
         .withColumn("price_return_1m", F.when(fresh, ratio))
         .drop("_ms", "_x", "_past")

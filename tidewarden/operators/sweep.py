@@ -10,9 +10,11 @@ also entered there, so (key, chunk) can be worked on alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewarden.session import cut_lineage
+
 
 def markers(
     df: DataFrame,
@@ -60,3 +62,73 @@ def markers(
                      F.explode(all_markers).alias("m")).select(
         key, *[c for c in value_columns if c != key], "m.*"
     )
+
+
+# Marker rows of one chunk that one task works through; beyond it the chunk is split by rows.
+STORM = 1_000_000
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def storms(m: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of all other chunks, rows of the chunks with more than ``most`` rows or None).
+
+    At most one chunk in ``most`` rows is large, so the list of them is small.
+    """
+    heavy = m.groupBy(*keys).count().filter(F.col("count") > most)
+    heavy = cut_lineage(heavy.select(*[F.col(k).alias(f"_heavy_{k}") for k in keys]))
+    if heavy.isEmpty():
+        return m, None
+    heavy = F.broadcast(heavy)
+    inside = [_same(k, f"_heavy_{k}") for k in keys]
+    return m.join(heavy, inside, "left_anti"), m.join(heavy, inside, "left_semi")
+
+
+def running(
+    m: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, Column] | None = None,
+    newest: dict[str, Column] | None = None,
+    most: int = STORM,
+) -> DataFrame:
+    """Running sums, and last values that are not null, over the rows of a chunk up to each row.
+
+    Chunks bound a timeline by time, not by rows. One with more than ``most`` rows is range-sorted
+    over tasks instead, whatever its times; sums and last values of the parts before a part are
+    carried into it, so all events of a source in one minute, or one millisecond, still spread.
+    """
+    sums, newest = sums or {}, newest or {}
+    names = [*sums, *newest]
+
+    def within(df: DataFrame, parts: list[str], by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added = [F.sum(v).over(w).alias(n) for n, v in sums.items()]
+        added += [F.last(v, ignorenulls=True).over(w).alias(n) for n, v in newest.items()]
+        return df.select("*", *added)
+
+    rest, hot = storms(m, keys, most)
+    if hot is None:
+        return within(rest, keys, order)
+    spread = hot.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    spread = cut_lineage(spread.withColumn("_row", F.monotonically_increasing_id()))
+    spread = spread.withColumn("_part", F.shiftright("_row", 33))
+    ends = spread.groupBy(*keys, "_part").agg(
+        *[F.sum(v).alias(n) for n, v in sums.items()],
+        *[F.max_by(v, F.when(v.isNotNull(), F.col("_row"))).alias(n) for n, v in newest.items()],
+    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *[F.col(k).alias(f"_of_{k}") for k in [*keys, "_part"]],
+        *[F.sum(n).over(before).alias(f"_to_{n}") for n in sums],
+        *[F.last(n, ignorenulls=True).over(before).alias(f"_to_{n}") for n in newest],
+    )
+    # One row per chunk and range partition.
+    found = within(spread, [*keys, "_part"], ["_row"])
+    found = found.join(F.broadcast(carried), [_same(k, f"_of_{k}") for k in [*keys, "_part"]])
+    total = [(F.coalesce(F.col(f"_to_{n}"), F.lit(0)) + F.col(n)).alias(n) for n in sums]
+    total += [F.coalesce(n, f"_to_{n}").alias(n) for n in newest]
+    found = found.select(*m.columns, *total)
+    return within(rest, keys, order).select(*m.columns, *names).unionByName(found)

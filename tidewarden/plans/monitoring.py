@@ -96,6 +96,43 @@ def topic_lag(offsets: DataFrame) -> DataFrame:
     return partition_lag(offsets).groupBy("topic").agg(F.sum("lag").alias("lag"))
 
 
+def progress_counts(progress: DataFrame) -> DataFrame:
+    """``status_counts`` from what the queries counted themselves."""
+    outcome = F.col("observedMetrics.outcomes")
+    done = progress.agg(
+        F.coalesce(F.sum(outcome["success"]), F.lit(0)).alias("success"),
+        F.coalesce(F.sum(outcome["error"]), F.lit(0)).alias("error"),
+    )
+    return done.unpivot([], ["success", "error"], "status", "events")
+
+
+def progress_offsets(progress: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """(topic, partition, committed, high) of the newest micro-batch of each query, for ``partition_lag``.
+
+    Topics report both ends per partition. A folder of files reports the rows taken; ``folders``
+    (path, rows) tells how many it holds.
+    """
+    per_topic = "map<string,map<string,bigint>>"
+    ends = lambda c: F.from_json(c, per_topic)
+    source = progress.select("id", "batchId", F.explode("sources").alias("s"))
+    newest = source.groupBy("id", F.col("s.description").alias("description")).agg(
+        F.max_by("s", "batchId").alias("s"), F.sum("s.numInputRows").alias("taken")
+    )
+    high = F.try_element_at(F.try_element_at(ends(F.col("s.latestOffset")), F.col("topic")), F.col("part"))
+    topics = newest.select("s", F.explode(ends(F.col("s.endOffset"))).alias("topic", "parts"))
+    topics = topics.filter(F.col("topic") != "logOffset").select("s", "topic", F.explode("parts").alias("part", "committed"))
+    out = topics.select(
+        "topic", F.col("part").cast("int").alias("partition"), "committed", F.coalesce(high, "committed").alias("high")
+    )
+    if folders is None:
+        return out
+    path = F.regexp_extract("description", r"^FileStreamSource\[(?:file:)?(.*)\]$", 1)
+    held = newest.withColumn("path", path).join(folders.withColumn("path", F.regexp_replace("path", "^file:", "")), "path")
+    return out.unionByName(
+        held.select(F.col("path").alias("topic"), F.lit(0).alias("partition"), F.col("taken").alias("committed"), F.col("rows").alias("high"))
+    )
+
+
 def id_balance(produced: DataFrame, received: DataFrame, id_column: str = "event_id") -> DataFrame:
     """Ids that were lost, duplicated or never produced.
 

@@ -158,3 +158,9 @@ PROBE_FEATURES = {"f1": 0.98, "f2": 0.96, "f3": 0.99}
 REPLAY_SOURCE, REPLAY_TYPE = "cicids-replay", "network_flow"
 
 COMPACT_AFTER_DAYS = 7
+
+# The Avro record of raw events.
+RAW_EVENT_AVRO = """{"type": "record", "name": "RawEvent", "fields": [
+  {"name": "event_id", "type": "string"}, {"name": "source_id", "type": "string"}, {"name": "event_type", "type": "string"},
+  {"name": "features", "type": {"type": "map", "values": "double"}},
+  {"name": "event_time", "type": {"type": "long", "logicalType": "timestamp-millis"}}]}"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,9 @@ from tidewarden.operators import decode, features, forest
 from tidewarden.schema import ANOMALY_THRESHOLD
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
+from tidewarden.streaming import progress
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -26,22 +31,45 @@ class Scorer:
     registry: Registry
     threshold: float = ANOMALY_THRESHOLD
     loaded: dict = field(default_factory=dict)
+    attempts: int = 3
+    pause_s: float = 0.5
+    refused: str | None = None
+
+    def _load(self, version: str):
+        if version == "dummy-v0":
+            return None, features.fallback_scaler()
+        return (
+            forest.Forest.from_df(self.registry.load("forest", version), version),
+            features.Scaler.from_df(self.registry.load("scaler", version), version),
+        )
 
     def model(self, version: str):
-        if version not in self.loaded:
-            for old, _ in self.loaded.values():
-                if old is not None:
-                    old.release()
-            if version == "dummy-v0":
-                self.loaded = {version: (None, features.fallback_scaler())}
-            else:
-                self.loaded = {
-                    version: (
-                        forest.Forest.from_df(self.registry.load("forest", version), version),
-                        features.Scaler.from_df(self.registry.load("scaler", version), version),
-                    )
-                }
-        return self.loaded[version]
+        """The model of ``version``; while that cannot be loaded, the one in use goes on scoring.
+
+        Only a model that is there replaces the old one. A version that failed ``attempts`` times
+        in a row is not tried again until the pointer names another one.
+        """
+        if version in self.loaded:
+            return self.loaded[version]
+        if version == self.refused and self.loaded:
+            return next(iter(self.loaded.values()))
+        for attempt in range(self.attempts):
+            try:
+                found = self._load(version)
+                break
+            except Exception as error:  # storage and content alike: the stream must go on
+                log.warning("model %s, attempt %d: %s", version, attempt + 1, str(error)[:300])
+                time.sleep(self.pause_s * attempt)
+        else:
+            if not self.loaded:
+                raise LookupError(f"no model of version {version!r} and none in use")
+            self.refused = version
+            return next(iter(self.loaded.values()))
+        for old, _ in self.loaded.values():
+            if old is not None:
+                old.release()
+        self.loaded, self.refused = {version: found}, None
+        return found
 
     def score(self, events: DataFrame) -> DataFrame:
         model, scaler = self.model(self.registry.active())
@@ -70,7 +98,7 @@ def score_batch(
     The table is written before the topic: whoever sees an event on the topic
     finds it, and all events before it, in the table.
     """
-    decoded = decode.decode(messages).persist()
+    decoded = (messages if "bad" in messages.columns else decode.decode(messages)).persist()
     try:
         good = decode.normalise(decoded, declared)
         # The id is normalised first: the table and the topic must carry the same one.
@@ -121,8 +149,9 @@ def start_scoring(
 ) -> StreamingQuery:
     """Start the query; without ``interval`` it works off what is there and stops."""
     scorer = Scorer(registry, threshold)
+    counted = progress.observed(decode.decode(messages))
     writer = (
-        messages.writeStream.queryName("scoring")
+        counted.writeStream.queryName("scoring")
         .option("checkpointLocation", to.checkpoint)
         .foreachBatch(lambda df, batch_id: score_batch(df, batch_id, scorer, to, declared))
     )

@@ -92,3 +92,12 @@ def start_hourly(scored: DataFrame, path: str, checkpoint: str, interval: str |
     return (
         writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     ).start()
+
+
+def unique_stream(events: DataFrame, keys: list[str] = ("event_id", "event_time"), delay: str = "10 minutes") -> DataFrame:
+    """The first of equal events, in front of a sink: repeats that come within ``delay`` never reach it.
+
+    The state holds the keys of that time only; what comes later still is left to the sink's own
+    comparison with the table.
+    """
+    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(keys))
