@@ -97,6 +97,68 @@ def test_shards_hold_every_text_in_order(spark, table):
     assert found == sorted((k, ids) for k, ids in want if k in (0, 5, -1, -6, 17))
 
 
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, file):
+        self.file, self.bytes, self.reads = file, 0, 0
+
+    def read_at(self, n, at):
+        self.bytes, self.reads = self.bytes + n, self.reads + 1
+        return self.file.read_at(n, at)
+
+
+def shard_of(tmp_path, n, repeats=1):
+    """A shard of n keys, every document three ids long."""
+    keys = np.repeat(np.sort(np.random.default_rng(n).choice(2**40, n, replace=False)) - 2**39, repeats)
+    path = str(tmp_path / f"{n}.bin")
+    with pa.OSFile(path, "wb") as stream:
+        out = token_ids.ShardWriter(stream, 2, 1)
+        for a in range(0, len(keys), 10_000):
+            part = keys[a : a + 10_000]
+            ids = np.column_stack([np.arange(a, a + len(part)) % 60_000, part % 7, np.ones(len(part))]).astype("uint32")
+            out.add(part, np.zeros(len(part), bool), np.full(len(part), 3), ids.ravel())
+        out.close()
+    return path, keys
+
+
+def test_a_key_reads_as_little_of_a_large_shard_as_of_a_small_one(tmp_path):
+    cost = {}
+    for n in (2_000, 200_000):
+        path, keys = shard_of(tmp_path, n)
+        worst = 0
+        for i in range(0, n, n // 50):
+            s = token_ids.Shard(path)
+            opened = s.file.size()
+            s.file = counted = Counted(s.file)
+            for part in (s.first, s.repeats, s.prints, s.offsets, *[p for level in s.hash.levels for p in level]):
+                part.file = counted
+            first, number = s.positions(keys[i : i + 1])
+            lo, hi = s.offsets.slice(int(first[0]), int(first[0]) + 2).tolist()
+            assert (first[0], number[0], s.payload(lo, hi).tolist()) == (i, 1, [i % 60_000, keys[i] % 7, 1])
+            worst = max(worst, counted.bytes)
+        cost[n] = worst
+        assert opened > 20 * n
+    assert cost[200_000] < 400 and cost[200_000] < 2 * cost[2_000]
+    strangers = np.setdiff1d(np.arange(5_000), keys)
+    assert token_ids.Shard(path).positions(strangers)[1].sum() == 0
+
+
+def test_scan_goes_through_the_index(tmp_path, monkeypatch):
+    path, keys = shard_of(tmp_path, 3_000, repeats=3)
+    s = token_ids.Shard(path)
+    for a, b in ((0, 9_000), (1, 2), (4_000, 4_001), (17, 8_999)):  # blocks may begin inside a key's rows
+        got, _, starts, ends = s.documents(a, b)
+        assert (got == keys[a:b]).all() and (starts == 3 * np.arange(a, b)).all() and (ends == starts + 3).all()
+    good, here = s.first.take, s.first
+    monkeypatch.setattr(here, "take", lambda places: good(places)[::-1])  # a broken slot table shows
+    try:
+        wrong = (s.documents(0, 9_000)[2] != 3 * np.arange(9_000)).any()
+    except ValueError:
+        wrong = True
+    assert wrong
+
+
 def test_empty_table_and_other_columns(spark, table):
     path = public_tokenizers.path(token_ids.MODEL)
     assert token_ids.encode_table(table.limit(0), path).count() == 0

@@ -1,13 +1,17 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 ``write`` tokenises whole texts, sorts documents by id and writes one shard file per range of
-ids; ``scan`` reads all shards back in order; ``fetch`` gets single documents by key in constant
-time. Layout of a shard (little-endian)::
+ids; ``scan`` reads all shards back in order, finding each stored id's documents through the hash;
+``fetch`` gets single documents by key in constant time. Layout of a shard (little-endian)::
 
-    magic 8 bytes | ids of all documents, each with the end id | index | footer of 72 bytes
+    magic 8 bytes | ids of all documents, each with the end id | index | directory | footer of 72 bytes
     index:  ids (i8), null flags (u1), offsets (u8, one more than documents),
-            per hash level its size and bits (u8), slot -> first document (u4),
-            slot -> documents with that id (u4), slot -> fingerprint (u4)
+            slot -> first document (u4), slot -> documents with that id (u4), slot -> fingerprint (u4),
+            per hash level its bits (u8) and the set bits before each word (u4)
+    directory: bytes of every part of the index (u8)
+
+Opening a shard reads footer and directory; a key then reads a word and a count per level it is
+looked for in, one entry of each slot table, two offsets and its ids, however large the shard.
 
 Ids take two bytes if the vocabulary allows it, four otherwise. The hash (Limasset et al.,
 "BBHash") puts every key that is alone in its place of a bit array of that level and sends the
@@ -24,6 +28,7 @@ equal ids can spread over shards; an empty table gives no shard; other columns a
 
 from __future__ import annotations
 
+import bisect
 import os
 import uuid
 import zlib
@@ -47,6 +52,8 @@ FOOTER = np.dtype(
      ("index_bytes", "<u8"), ("levels", "<u8"), ("slots", "<u8"), ("magic", "S8")]
 )
 GAMMA = 2.0
+GAP = 4096
+SCAN_DOCS, SCAN_IDS = 65_536, 1 << 20
 END = 1
 MODEL = "word_bpe_49k.json"
 
@@ -68,37 +75,41 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 class PerfectHash:
-    """Distinct keys -> 0 .. n-1; other keys -> -1 or any slot."""
+    """Distinct keys -> 0 .. n-1; other keys -> -1 or any slot.
+
+    ``levels`` are (bits, set bits before each word), as arrays or as anything that ``take`` reads.
+    """
 
-    def __init__(self, levels: list[np.ndarray]):
+    def __init__(self, levels: list[tuple]):
         self.levels = levels
-        ones = [np.bitwise_count(bits).astype("int64") for bits in levels]
-        self.base, total = [], 0
-        for x in ones:
-            self.base.append(total + np.concatenate([np.zeros(1, "int64"), x.cumsum()[:-1]]))
-            total += int(x.sum())
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        left, levels = keys, []
+        left, levels, total = keys, [], 0
         while len(left):
             words = max(1, int(np.ceil(GAMMA * len(left) / 64)))
             at = mix(left, len(levels)) % np.uint64(words * 64)
             alone = np.bincount(at.astype("int64"), minlength=words * 64)[at.astype("int64")] == 1
             bits = np.zeros(words * 64, "uint8")
             bits[at[alone].astype("int64")] = 1
-            levels.append(np.packbits(bits, bitorder="little").view("<u8"))
+            packed = np.packbits(bits, bitorder="little").view("<u8")
+            ones = np.bitwise_count(packed).astype("int64")
+            levels.append((packed, (total + ones.cumsum() - ones).astype("<u4")))
+            total += int(ones.sum())
             left = left[~alone]
         return cls(levels)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         out, left = np.full(len(keys), -1, "int64"), np.arange(len(keys))
-        for k, bits in enumerate(self.levels):
+        for k, (bits, before) in enumerate(self.levels):
+            if not len(left):
+                break
             at = mix(keys[left], k) % np.uint64(len(bits) * 64)
             word, bit = (at >> np.uint64(6)).astype("int64"), at & np.uint64(63)
-            hit = (bits[word] >> bit) & np.uint64(1) == 1
-            below = bits[word] & ((np.uint64(1) << bit) - np.uint64(1))
-            out[left[hit]] = (self.base[k][word] + np.bitwise_count(below))[hit]
+            held = bits.take(word)
+            hit = (held >> bit) & np.uint64(1) == 1
+            below = held[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[left[hit]] = before.take(word[hit]).astype("int64") + np.bitwise_count(below)
             left = left[~hit]
         return out
 
@@ -132,11 +143,11 @@ class ShardWriter:
         table = PerfectHash.build(distinct.view("uint64"))
         slot = table.slots(distinct.view("uint64"))
         by_slot = np.argsort(slot)
-        parts = [keys, nulls, offsets]
-        parts += [x for bits in table.levels for x in (np.array([len(bits)], "<u8"), bits)]
-        parts += [known[first][by_slot].astype("<u4"), repeats[by_slot].astype("<u4")]
+        parts = [keys, nulls, offsets, known[first][by_slot].astype("<u4"), repeats[by_slot].astype("<u4")]
         parts += [fingerprint(distinct.view("uint64"))[by_slot]]
+        parts += [x for level in table.levels for x in level]
         body = b"".join(x.tobytes() for x in parts)
+        body += np.array([x.nbytes for x in parts], "<u8").tobytes()
         footer = np.zeros(1, FOOTER)
         index_at = len(MAGIC) + self.ids * self.dtype.itemsize
         footer[0] = (self.dtype.itemsize, self.end, len(keys), self.ids, index_at, len(body),
@@ -152,8 +163,35 @@ class ShardWriter:
         }
 
 
+class Part:
+    """A part of the index in the file: entries are read where they are asked for."""
+
+    def __init__(self, file, dtype: str, at: int, size: int):
+        self.file, self.dtype, self.at = file, np.dtype(dtype), at
+        self.count = size // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.count
+
+    def slice(self, a: int, b: int) -> np.ndarray:
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((b - a) * width, self.at + a * width), self.dtype)
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """Entries at any places; places that lie within ``GAP`` bytes of each other are read together."""
+        if not len(places):
+            return np.zeros(0, self.dtype)
+        wanted, back = np.unique(places, return_inverse=True)
+        cuts = np.flatnonzero(np.diff(wanted) * self.dtype.itemsize > GAP) + 1
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(wanted)]):
+            run = self.slice(int(wanted[a]), int(wanted[b - 1]) + 1)
+            out.append(run[wanted[a:b] - wanted[a]])
+        return np.concatenate(out)[back]
+
+
 class Shard:
-    """A shard file open for scans and keyed reads."""
+    """A shard file open for scans and keyed reads; only footer and directory are read at once."""
 
     def __init__(self, uri: str):
         fs, path = pafs.FileSystem.from_uri(uri)
@@ -163,36 +201,50 @@ class Shard:
         if bytes(f["magic"]) != MAGIC or self.file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"{uri} is no id shard")
         self.dtype = np.dtype(f"<u{int(f['width'])}")
-        self.docs, self.ids, slots = int(f["docs"]), int(f["ids"]), int(f["slots"])
-        body, at = self.file.read_at(int(f["index_bytes"]), int(f["index_at"])), 0
-
-        def part(dtype: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(body, dtype, n, at)
-            at += out.nbytes
-            return out
-
-        self.keys, self.nulls, self.offsets = part("<i8", self.docs), part("u1", self.docs), part("<u8", self.docs + 1)
-        self.hash = PerfectHash([part("<u8", int(part("<u8", 1)[0])) for _ in range(int(f["levels"]))])
-        self.first, self.repeats, self.prints = part("<u4", slots), part("<u4", slots), part("<u4", slots)
-
-    def payload(self, a: int, b: int) -> np.ndarray:
-        """The ids of documents a to b - 1, one after the other."""
-        lo, hi = int(self.offsets[a]), int(self.offsets[b])
+        self.docs, self.ids = int(f["docs"]), int(f["ids"])
+        kinds = ["<i8", "u1", "<u8", "<u4", "<u4", "<u4", *["<u8", "<u4"] * int(f["levels"])]
+        end = int(f["index_at"]) + int(f["index_bytes"])
+        sizes = np.frombuffer(self.file.read_at(8 * len(kinds), end - 8 * len(kinds)), "<u8").astype("int64")
+        starts = int(f["index_at"]) + np.concatenate([[0], sizes.cumsum()[:-1]])
+        parts = [Part(self.file, k, int(a), int(n)) for k, a, n in zip(kinds, starts, sizes)]
+        self.keys, self.nulls, self.offsets, self.first, self.repeats, self.prints = parts[:6]
+        self.hash = PerfectHash(list(zip(parts[6::2], parts[7::2])))
+
+    def payload(self, lo: int, hi: int) -> np.ndarray:
+        """The ids lo to hi - 1 of the shard."""
         width = self.dtype.itemsize
         return np.frombuffer(self.file.read_at((hi - lo) * width, len(MAGIC) + lo * width), self.dtype)
 
-    def positions(self, keys: np.ndarray) -> list[range]:
-        """The documents of every key; none for keys that are not stored."""
+    def positions(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first document, number of documents) of every key; 0 documents for keys not stored."""
         keys = np.asarray(keys, "<i8").view("uint64")
-        if not len(self.prints):
-            return [range(0)] * len(keys)
+        first, repeats = np.zeros(len(keys), "int64"), np.zeros(len(keys), "int64")
         slot = self.hash.slots(keys)
-        found = (slot >= 0) & (self.prints[np.maximum(slot, 0)] == fingerprint(keys))
-        return [
-            range(int(self.first[s]), int(self.first[s]) + int(self.repeats[s])) if ok else range(0)
-            for s, ok in zip(slot, found)
-        ]
+        some = np.flatnonzero(slot >= 0)
+        held = some[self.prints.take(slot[some]) == fingerprint(keys[some])]
+        first[held], repeats[held] = self.first.take(slot[held]), self.repeats.take(slot[held])
+        return first, repeats
+
+    def documents(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, null flags, starts, ends) of the documents a to b - 1, by way of their keys.
+
+        A key's first document comes from its slot, the document from its place among the rows of
+        that key. A document without a key is the next in the file.
+        """
+        keys, nulls = self.keys.slice(a, b), self.nulls.slice(a, b) == 1
+        at = np.arange(a, b)
+        known = np.flatnonzero(~nulls)
+        if len(known):
+            distinct, begin, which = np.unique(keys[known], return_index=True, return_inverse=True)
+            first, repeats = self.positions(distinct)
+            # Rows of one key lie together and may reach over the limits of the block.
+            place = np.arange(len(known)) - begin[which] + np.maximum(0, at[known[begin]] - first)[which]
+            if (place >= repeats[which]).any():
+                raise ValueError("the index does not hold a stored key")
+            at[known] = first[which] + place
+        low, high = int(at.min()), int(at.max()) + 1
+        offsets = self.offsets.slice(low, high + 1).astype("int64")
+        return keys, nulls, offsets[at - low], offsets[at - low + 1]
 
 
 # ---- tokenising ----------------------------------------------------------------------------
@@ -323,25 +375,32 @@ def write(docs: DataFrame, folder: str, vocab_path: str, end: int = END) -> Data
     return written(rows.mapInArrow(shards, MANIFEST), "ids-manifest")
 
 
+def runs(starts: np.ndarray, ends: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Documents whose ids lie one after the other, in pieces of about ``most`` ids."""
+    part = (ends - starts[0]) // most if len(starts) else starts
+    cut = (starts[1:] != ends[:-1]) | (part[1:] != part[:-1])
+    edges = np.flatnonzero(cut) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(starts)]))
+
+
 def scan(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the shard files."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s, block = Shard(row["path"]), 1 << 20
-                a = 0
-                while a < s.docs:
-                    b = max(a + 1, int(np.searchsorted(s.offsets, s.offsets[a] + np.uint64(block), "right")) - 1)
-                    ids, at = s.payload(a, b).astype("<u4"), (s.offsets[a : b + 1] - s.offsets[a]).astype("int64")
-                    crc = [zlib.crc32(ids[x:y]) for x, y in zip(at[:-1], at[1:])]
+                s = Shard(row["path"])
+                for a in range(0, s.docs, SCAN_DOCS):
+                    keys, nulls, starts, ends = s.documents(a, min(s.docs, a + SCAN_DOCS))
+                    crc = []
+                    for x, y in runs(starts, ends, SCAN_IDS):
+                        ids = s.payload(int(starts[x]), int(ends[y - 1])).astype("<u4")
+                        crc += [zlib.crc32(ids[u - starts[x] : v - starts[x]]) for u, v in zip(starts[x:y], ends[x:y])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.keys[a:b], mask=s.nulls[a:b] == 1),
-                         pa.array(row["base"] + s.offsets[a:b].astype("int64")),
-                         pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                        [pa.array(keys, mask=nulls), pa.array(row["base"] + starts), pa.array(ends - starts),
+                         pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
-                    a = b
 
     # One row per shard: the running sum is over the manifest, not over documents.
     base = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")
@@ -362,15 +421,23 @@ def fetch(spark: SparkSession, manifest: DataFrame, keys: DataFrame) -> DataFram
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unique(np.concatenate([np.zeros(0, "<i8"), *[b.column(0).drop_null().to_numpy() for b in batches]]))
-        for first, last, path in sent.value:
-            here = wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, last, "right")]
+        # Shards are in key order: only those from the first key's to the last key's are looked at.
+        lasts = [last for _, last, _ in sent.value]
+        low = bisect.bisect_left(lasts, wanted[0]) if len(wanted) else len(lasts)
+        for first, _, path in sent.value[low:]:
+            if first > wanted[-1]:
+                break
+            here = wanted[np.searchsorted(wanted, first) :]
+            here = here[: np.searchsorted(here, lasts[low], "right")]
+            low += 1
             if not len(here):
                 continue
             s = Shard(path)
-            for key, places in zip(here, s.positions(here)):
-                for at in places:
+            for key, first, n in zip(here, *s.positions(here)):
+                for at in range(first, first + n):
+                    lo, hi = s.offsets.slice(at, at + 2).astype("int64").tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(key)]), pa.array([s.payload(at, at + 1).astype("int64")])], names=["doc_id", "ids"]
+                        [pa.array([int(key)]), pa.array([s.payload(lo, hi).astype("int64")])], names=["doc_id", "ids"]
                     )
 
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
