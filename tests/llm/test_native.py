@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import compare, duck
 from tidewarden.llm import decontaminate, mixing, quality_rules, url_filter
@@ -126,6 +127,20 @@ def test_mix_on_missing_and_empty(spark):
     assert mixing.take(named).columns == named.columns
 
 
+def test_a_source_of_poor_quality_and_equal_ids_spreads_over_tasks(spark):
+    """All rows of one source, mostly signs, a third of them with one id and text."""
+    n = 6000
+    text = F.when(F.col("id") % 3 == 0, "## $$ x").otherwise(F.concat(F.lit("#### **** "), F.col("id").cast("string")))
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.plan(df, weights=(1,)).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == n and len({r.p for r in got}) >= 4
+    assert {(r.source_size, r.target, r.epochs) for r in got} == {(sum(r.size for r in got), float(sum(r.size for r in got)), 1)}
+
+
 # ---- decontamination -----------------------------------------------------------------------
 
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"

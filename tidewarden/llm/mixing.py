@@ -7,8 +7,10 @@ replacement: each document gets the exponential key ``-ln(u) / quality``, docume
 by key within their source, and their sizes are summed until the rest of the budget is met (a
 document on the border is taken when at least half of it fits).
 
-A source may hold any share of the rows. Its keys are cut into ``BUCKETS`` ranges; ranges are
-pre-summed where they lie and only (source, range) groups are sorted, so no task sees a source.
+A source may hold any share of the rows, and its qualities may be anything: narrow rows (no text)
+are range-sorted by source and key at sampled borders, with a random number behind equal keys and
+ids, so ranges are about equal and no task sees a source. One sum per source and range gives what
+lies before a range; every range is then summed on its own.
 
 ``u`` comes from the MD5 of seed and id, so reruns agree. Defined cases: a null source is a
 source of its own and comes last; a null or empty text has size 0 and is taken for 0 words; a
@@ -26,7 +28,6 @@ from tidewarden.llm.common import GAP, free_name, read, text_of, written
 # Weights in the order of the sources' names, repeating; budget limit.
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BUCKETS = 1024
 BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
@@ -88,29 +89,32 @@ def budgets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per document: size, its source's budget, epochs and whether the rest takes it."""
-    bucket = F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int")
-    rows = written(keyed(docs, seed).select("*", bucket.alias("_bucket")), "mix-keys")
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
-    sums = written(sums, "mix-sums")
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("tie")]
+    keys = keyed(docs, seed).withColumn("_any", F.rand(1))
+    spread = keys.repartitionByRange(*order, F.col("_any")).sortWithinPartitions(*order, F.col("_any")).drop("_any")
+    rows = written(spread.withColumn("_at", F.monotonically_increasing_id()), "mix-keys")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    sums = written(rows.groupBy("source", "_part").agg(F.sum("size").alias("_size")), "mix-sums")
     sizes = sums.groupBy("source").agg(F.sum("_size").alias("source_size"))
     target = budgets(sizes, weights, cap)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     target = target.select("*", full.alias("epochs"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
         F.col("source").alias("_s"),
-        F.col("_bucket").alias("_b"),
+        F.col("_part").alias("_b"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
     ranges = target.join(sums, F.col("source").eqNullSafe(F.col("_s"))).select(
         "_s", "_b", "source_size", "target", "epochs", "_offset"
     )
-    d = rows.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    within = (
-        Window.partitionBy("_s", "_b").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    ranges = written(ranges, "mix-ranges")
+    if ranges.count() <= BROADCAST_SOURCES:  # one row per source and range
+        ranges = F.broadcast(ranges)
+    d = rows.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_b")))
+    within = Window.partitionBy("_s", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     d = d.select("*", (F.col("_offset") + F.sum("size").over(within) - F.col("size")).alias("_sum"))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     part = (F.col("size") > 0) & (F.col("_sum") * 2 + F.col("size") <= rest * 2)
