@@ -95,6 +95,27 @@ def test_one_large_group_split_into_blocks(spark, monkeypatch):
     check(spark, rows, Rule(3, 85, 100))
 
 
+def test_large_buckets_are_refined_by_rare_elements(spark, monkeypatch):
+    """Unrelated texts with one long common passage, pairs of copies among them: few members meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 30)
+    met, original = [], near_dedup.cross_links
+    monkeypatch.setattr(near_dedup, "cross_links", lambda rows, rule: (met.append(rows.collect()), original(rows, rule))[1])
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(400):
+        own = [f"q{i}_{k}" for k in range(30 + i % 9)]
+        rows.append((2 * i, passage + " " + " ".join(own)))
+        if i % 10 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((2 * i + 1, passage + " " + " ".join(own)))
+    check(spark, rows, Rule(3, 85, 100))
+    check(spark, rows, Rule(5, 80, 100))
+    for rows_met in met:
+        sizes = Counter(r.bucket for r in rows_met)
+        assert sum(n * n for n in sizes.values()) < 40 * len(rows)
+
+
 def test_edges(spark):
     rows = [(None, "a b c d"), (None, None), (7, "A b\tC  d"), (7, "a b c d"), (8, ""), (9, " \n"), (3, "a b"), (4, "A B")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS kept", "3 AS n", "4 AS _tie")

@@ -20,6 +20,12 @@ collision-corrected estimate allow the similarity (five standard errors); the ex
 both full sets from the files the first pass wrote. Pairs inside one component are never needed:
 they cannot change a component. No bucket has a cap.
 
+A bucket of more than ``BLOCK`` members that stays open (unrelated texts with one common passage)
+is first refined by prefix filtering: elements are ordered by how many of these members hold them,
+rare ones first, and two sets as similar as the rule asks must share one of the first n - ceil(t n)
++ 1 elements of each. Members meet by such elements only; a passage that all share comes last and
+brings none together, so the work follows the members' sizes, not their pairs.
+
 Defined cases: a null, empty or blank text has no set, is linked with nothing and is its own
 component; repeated rows are copies of each other; among rows with one id all count, and a null
 id is never a component's name unless no member has an id; an empty table gives an empty result;
@@ -377,6 +383,38 @@ def cross_links(rows: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def refined(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Members of large buckets in buckets of their own, one per rare element (see above).
+
+    Every linked pair of members, of whatever bucket, meets in one of them.
+    """
+    nodes = written(rows.dropDuplicates(["node"]).select("node", "comp", "n", "regs", "file", "at"), "large-members")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with SetFiles() as files:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    s = files.read(r["file"], r["at"], r["n"]).view("int64")
+                    for a in range(0, len(s), 100_000):
+                        part = s[a : a + 100_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(part), r["node"])), pa.array(part)], names=["node", "x"]
+                        )
+
+    elements = written(nodes.select("node", "n", "file", "at").mapInArrow(expand, "node long, x long"), "large-elements")
+    held = elements.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1")
+    listed = elements.join(held, "x").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    listed = listed.join(nodes.select("node", "n"), "node")
+    # Elements that no other member holds come first in the order and bring nobody together.
+    prefix = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1 - (F.col("n") - F.size("xs"))
+    rare = listed.select("node", F.explode(F.slice("xs", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("e"))
+    rare = rare.select("node", F.col("e.x").alias("bucket")).join(nodes, "node")
+    open_ = rare.groupBy("bucket").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return rare.join(open_.filter("lo <> hi").select("bucket", "members"), "bucket").select(
+        "bucket", "members", "node", "comp", "n", "regs", "file", "at"
+    )
+
+
 def link_classes(classes: DataFrame, rule: Rule) -> DataFrame | None:
     """node, comp of every class that is linked with another; None if none is."""
     bands = classes.select("node", F.explode(F.array_distinct("keys")).alias("bucket"))
@@ -392,6 +430,10 @@ def link_classes(classes: DataFrame, rule: Rule) -> DataFrame | None:
     open_ = state.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("bucket")
     facts = classes.select(F.col("node").alias("_n"), "n", "regs", "file", "at")
     rows = state.join(open_, "bucket").join(facts, F.col("node") == F.col("_n")).drop("_n")
+    rows = rows.select("bucket", "members", "node", "comp", "n", "regs", "file", "at")
+    large = written(rows.filter(F.col("members") > BLOCK), "large-buckets")
+    if not large.isEmpty():
+        rows = rows.filter(F.col("members") <= BLOCK).unionByName(refined(large, rule))
     more = written(cross_links(rows, rule), "links")
     return comp if more.isEmpty() else components(links.union(more))
 
