@@ -42,6 +42,21 @@ def test_automaton_equals_greedy_matching_on_random_vocabularies():
         assert auto.counts(raw, limits).tolist() == [greedy(w, vocab) or 0 for w in words]
 
 
+def test_words_of_a_megabyte_are_counted_in_seconds():
+    import time
+
+    path = public_tokenizers.path(token_counts.MODEL)
+    auto, vocab = token_counts.automaton(path), set(token_counts.vocabulary(path))
+    rng = random.Random(6)
+    long = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in (30_000, 30_001, 1_000_000)]
+    words = [*long, "short", long[0] + "\u4e00\ue000" + long[1]]
+    raw, limits = token_counts.flat_bytes(pa.array([token_counts.MARK + w for w in words]))
+    t = time.perf_counter()
+    got = auto.counts(raw, limits).tolist()
+    assert time.perf_counter() - t < 20
+    assert got == [greedy(w, vocab) or 0 for w in words] and got[-1] == 0 < got[2]
+
+
 def test_token_counts_of_all_documents(spark):
     docs = token_counts.read(spark, SF, "documents").select("doc_id", "text")
     odd = spark.createDataFrame([(-i, t) for i, t in enumerate(ODD, 1)], "doc_id long, text string")

@@ -17,7 +17,7 @@ shuffled. The vocabulary file is a parameter; its pieces are at most a few hundr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from tidewarden.llm.common import flat_bytes, per_row, pieces, read, split_words
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
+FEW = 64  # words that are stepped one by one
 
 
 def vocabulary(path: str) -> list[str]:
@@ -76,6 +77,26 @@ class Automaton:
         self.to = np.array([t for _, t in steps], "int32")
         self.link, self.popped = np.array(link, "int32"), np.array(popped, "int32")
 
+    @cached_property
+    def plain(self) -> tuple[dict[int, int], list[int], list[int]]:
+        """The same tables for one word at a time; only needed once a word is very long."""
+        return dict(zip(self.keys.tolist(), self.to.tolist())), self.link.tolist(), self.popped.tolist()
+
+    def walk(self, data: bytes, state: int) -> tuple[int, int, bool]:
+        """(state, pieces popped, whether it got stuck) behind ``data``: a few table reads per byte."""
+        steps, link, popped = self.plain
+        count = 0
+        for byte in data:
+            to = steps.get(state << 8 | byte)
+            while to is None:
+                count += popped[state]
+                state = link[state]
+                if state < 0:
+                    return state, count, True
+                to = steps.get(state << 8 | byte)
+            state = to
+        return state, count, False
+
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The child of every state for its byte; -1 where there is none."""
         key = state.astype("int64") << 8 | byte
@@ -87,10 +108,16 @@ class Automaton:
         size = np.diff(limits)
         order = np.argsort(-size, kind="stable")
         start, size = limits[:-1][order], size[order]
-        state, count = np.zeros(len(order), "int32"), np.zeros(len(order), "int32")
+        state, count = np.zeros(len(order), "int32"), np.zeros(len(order), "int64")
         stuck = np.zeros(len(order), bool)
         for i in range(int(size[0]) if len(size) else 0):
             live = np.flatnonzero(~stuck[: np.searchsorted(-size, -i, "left")])
+            if len(live) <= FEW:  # side by side no longer pays: the longest words go on alone
+                for k in live.tolist():
+                    rest = raw[start[k] + i : start[k] + size[k]].tobytes()
+                    state[k], n, stuck[k] = self.walk(rest, int(state[k]))
+                    count[k] += n
+                break
             byte = raw[start[live] + i].astype("int64")
             while len(live):
                 to = self.step(state[live], byte)
