@@ -95,6 +95,31 @@ def test_lm_without_training_rows(spark):
     assert lm_scoring.score(docs.limit(0), F.lit(False), PATH).count() == 0
 
 
+def test_long_words_give_what_the_matrix_recursion_gives(monkeypatch):
+    lat = lm_scoring.lattice(PATH)
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(lm_scoring, "PIECE_BYTES", 37)
+    for n in (1, 2, 15, 16, 17, 36, 37, 38, 400):
+        raw = rng.choice(np.frombuffer(b"abcdeeestrin\xc3\xa9", "uint8"), n)
+        want = lat.forward(raw[None], lat.first)[:, 0]
+        assert lat._sweep(raw, lat.first, False) == pytest.approx(want, rel=1e-10)
+        assert lat._sweep(raw, lat.first, True)[0] == pytest.approx(want[-1], rel=1e-10)
+        assert lat.long_expect(raw, lat.first) == pytest.approx(lat.expect(raw[None], lat.first), rel=1e-8, abs=1e-12)
+
+
+def test_a_word_of_a_megabyte_is_scored_in_seconds():
+    import time
+
+    lat, rng = lm_scoring.lattice(PATH), np.random.default_rng(13)
+    word = bytes(rng.integers(97, 123, 1_000_000).astype("uint8")).decode()
+    t = time.perf_counter()
+    (score,) = lat.log_prob(pa.array([word]), lat.first)
+    ((_, m),) = lat.by_length(pa.array([word]))
+    uses = lat.expect(m, lat.first)
+    assert time.perf_counter() - t < 60
+    assert -20e6 < score < -1e6 and uses.sum() > 1e5
+
+
 # ---- language ------------------------------------------------------------------------------
 
 

@@ -17,7 +17,8 @@ discount D is spread by the lattice over every possible word. Both parts sum to
 Work flow: distinct words per piece of a partition are counted and summed by word, the lattice is
 run once per distinct word, and document sums need each word's row. Words that make up at least
 1 / ``COMMON`` of all tokens, hence at most ``COMMON`` words, are sent to all tasks; the others
-are joined by word, which leaves no hot key.
+are joined by word, which leaves no hot key. Words beyond ``LONG`` bytes take a recursion of their own
+whose work is linear and whose memory is some dozen bytes per byte of the word.
 
 Defined cases: a null or empty text has the end token only; without training rows N = V = 0, the
 word's probability is the lattice's and the end's is 1; repeated rows get equal rows; an empty
@@ -26,6 +27,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +47,7 @@ DISCOUNT = 0.75
 ROUNDS = 3
 PRIOR = 0.01
 FOLDS, HELD_OUT = 7, 2
+LONG, PIECE_BYTES = 2_000, 65_536
 LN10 = float(np.log(10.0))
 
 
@@ -82,9 +85,74 @@ class Lattice:
         self.goto = np.full(len(nodes) << 8, -1, "int32")
         self.goto[keys] = to
         self.piece_of = np.array(piece_of, "int32")
+        self.longest = max(map(len, nodes))
         with np.errstate(divide="ignore"):
             self.first = np.log(weight / weight.sum())
 
+    def starting(self, raw: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all arcs of one word that start at the bytes a to b - 1, by start."""
+        at, n = np.arange(a, min(b, len(raw))), len(raw)
+        starts, ends, pieces_ = [at], [at + 1], [self.byte_piece[raw[at]]]
+        k, state = 0, np.zeros(len(at), "int32")
+        while len(at):
+            state = self.goto[(state << 8) | raw[at + k]]
+            at, state, k = at[state >= 0], state[state >= 0], k + 1
+            piece = self.piece_of[state]
+            done = piece >= 0
+            starts.append(at[done])
+            ends.append(at[done] + k)
+            pieces_.append(piece[done])
+            inside = at + k < n
+            at, state = at[inside], state[inside]
+        starts, ends, pieces_ = map(np.concatenate, (starts, ends, pieces_))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order], pieces_[order]
+
+    def _sweep(self, raw: np.ndarray, logp: np.ndarray, back: bool) -> np.ndarray:
+        """Log weight of all spellings up to every byte of one long word, or from it on (``back``).
+
+        Sums are taken as plain numbers, rescaled every few bytes, along the arcs of ``PIECE_BYTES``
+        bytes at a time: about a microsecond per byte and little memory.
+        """
+        n = len(raw)
+        sums, shift = np.zeros(n + 1), np.zeros(n + 1)
+        open_ = {n if back else 0: 1.0}
+        offset = 0.0
+        cuts = range(0, n, PIECE_BYTES)
+        for a in reversed(cuts) if back else cuts:
+            starts, ends, found = self.starting(raw, a, a + PIECE_BYTES)
+            b = min(n, a + PIECE_BYTES)
+            weight, ends = np.exp(logp[found]).tolist(), ends.tolist()
+            first = np.searchsorted(starts, np.arange(a, b + 1)).tolist()
+            for i in range(b - 1, a - 1, -1) if back else range(a, b):
+                lo, hi = first[i - a], first[i - a + 1]
+                if back:
+                    value = 0.0
+                    for k in range(lo, hi):
+                        value += weight[k] * open_[ends[k]]
+                    open_[i] = value
+                    open_.pop(i + self.longest + 1, None)
+                else:
+                    value = open_.pop(i)
+                    for k in range(lo, hi):
+                        end = ends[k]
+                        open_[end] = open_.get(end, 0.0) + value * weight[k]
+                sums[i], shift[i] = value, offset
+                if i % 16 == 0:
+                    offset += math.log(value)
+                    open_ = {k: v / value for k, v in open_.items()}
+        sums[n], shift[n] = (1.0, 0.0) if back else (open_[n], offset)
+        return np.log(sums) + shift
+
+    def long_expect(self, raw: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """``expect`` for one long word."""
+        alpha, beta, out = self._sweep(raw, logp, False), self._sweep(raw, logp, True), np.zeros(len(logp))
+        for a in range(0, len(raw), PIECE_BYTES):
+            starts, ends, found = self.starting(raw, a, a + PIECE_BYTES)
+            use = np.exp(alpha[starts] + logp[found] + beta[ends] - alpha[-1])
+            out += np.bincount(found, use, minlength=len(logp))
+        return out
+
     def arcs(self, m: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(end, words, pieces) of all arcs that start at byte i of the words in m's rows."""
         n, length = m.shape
@@ -113,6 +181,8 @@ class Lattice:
 
     def expect(self, m: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected number of uses of every piece, each word counted once."""
+        if m.shape[1] > LONG:
+            return sum(self.long_expect(raw, logp) for raw in m)
         kept: list = []
         alpha = self.forward(m, logp, kept)
         beta = np.full_like(alpha, -np.inf)
@@ -141,7 +211,10 @@ class Lattice:
         """Natural log of the lattice probability of every word."""
         out = np.zeros(len(words))
         for rows, m in self.by_length(words):
-            out[rows] = self.forward(m, logp)[-1]
+            if m.shape[1] > LONG:
+                out[rows] = [self._sweep(raw, logp, False)[-1] for raw in m]
+            else:
+                out[rows] = self.forward(m, logp)[-1]
         return out
 
 
