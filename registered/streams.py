@@ -19,7 +19,7 @@ from tidewarden.plans import hourly, monitoring, retrain
 from tidewarden.session import shared_dir
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
-from tidewarden.streaming import alerting, batching, keyed, progress, scoring, windows
+from tidewarden.streaming import alerting, batching, keyed, mergeable, progress, scoring, windows
 
 QUERIES = {}
 ORACLES = {}
@@ -306,6 +306,35 @@ register(
     ).withColumnRenamed("key", "event_type").withColumn("score", F.round("score", 9)),
     MODEL_SQL["m14_given_trees"],
 )
+
+
+def merged(s, sf, start, schema):
+    """What a stream with mergeable state wrote, batch by batch."""
+    base = shared_dir(s, "merged")
+    events = readers.scored_stream(s, event_files(s, sf)[0], FILES)
+    start(events, f"{base}/out", f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    return sinks.read_batches(s, f"{base}/out", schema).drop("batch_id")
+
+
+register(
+    "a04_burst_merged_stream",
+    lambda s, sf: merged(
+        s, sf, lambda e, *to: mergeable.start_bursts(e, *to, high=0.3, window_ms=HIGH_WINDOW, storm=20),
+        "source_id string, event_id string, burst_count bigint",
+    ),
+    BURSTS_SQL,
+)
+register(
+    "m14_merged_trees_stream",
+    lambda s, sf: merged(
+        s, sf,
+        lambda e, *to: mergeable.start_half_space(
+            e, *to, "event_type", "feature_vector", 2, half_space.Params(trees=2, height=2), GIVEN_TREES
+        ),
+        "key string, event_id string, position bigint, score double",
+    ).withColumnRenamed("key", "event_type").withColumn("score", F.round("score", 9)),
+    MODEL_SQL["m14_given_trees"],
+)
 register(
     "m15_page_hinkley_stream",
     lambda s, sf: to_files(

@@ -13,7 +13,7 @@ from tidewarden.operators import alerts, decode, drift, half_space
 from tidewarden.plans import hourly, queries, retrain
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
-from tidewarden.streaming import alerting, batching, keyed, scoring, windows
+from tidewarden.streaming import alerting, batching, keyed, mergeable, scoring, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -251,6 +251,62 @@ def test_half_space_stream_equals_batch(spark, event_files):
     assert max(want.values()) > 0
 
 
+def test_one_key_over_many_tasks_equals_the_loop(spark, event_files):
+    """All events under one key, in six micro-batches: state merged from windows, not held by a task."""
+    files, e = event_files
+    out, p = folder(spark, "one-key"), half_space.Params(trees=5, height=4, window=10)
+    stream = readers.scored_stream(spark, files, 1).withColumn("one", F.lit("k"))
+    mergeable.start_half_space(stream, f"{out}/o", f"{out}/s", f"{out}/c", "one", "feature_vector", 2, p).awaitTermination()
+    got = sinks.read_batches(spark, f"{out}/o", "key string, event_id string, position bigint, score double")
+    rows = {r.event_id: (r.position, r.score) for r in got.collect()}
+    batches = {r.event_id: r.batch_id for r in spark.read.parquet(f"{out}/o").select("event_id", "batch_id").collect()}
+    ms = F.unix_millis("event_time")
+    order = [r for r in e.select("event_id", "feature_vector", ms.alias("ms")).collect()]
+    order.sort(key=lambda r: (batches[r.event_id], r.ms, r.event_id))
+    x = np.array([r.feature_vector for r in order])
+    want = half_space.fold(half_space.State.start(x[0], p), x, half_space.grow(2, p), p)
+    assert [rows[r.event_id][0] for r in order] == list(range(len(order))) and max(batches.values()) == 5
+    assert np.allclose([rows[r.event_id][1] for r in order], want) and want.max() > 0
+
+
+def test_a_repeated_batch_changes_nothing(spark, event_files):
+    files, e = event_files
+    out, wide = folder(spark, "again"), 12 * 3_600_000
+    days = [r[0] for r in e.select("event_date").distinct().orderBy("event_date").collect()]
+    state = mergeable.Versions(spark, f"{out}/s", mergeable.BURST_ROWS)
+    trees = mergeable.Versions(spark, f"{out}/t", half_space.STATE)
+    p = half_space.Params(trees=3, height=3, window=8)
+    for i, day in enumerate(days):
+        part = e.filter(F.col("event_date") == day)
+        for _ in range(2 if i in (1, 4) else 1):
+            mergeable.burst_batch(part, i, state, f"{out}/b", 0.2, wide, 20)
+            mergeable.half_space_batch(part, i, trees, f"{out}/h", "event_type", "feature_vector", 2, p, None)
+    got = sinks.read_batches(spark, f"{out}/b", "source_id string, event_id string, burst_count bigint")
+    want = {r.event_id: r.burst_count for r in alerts.burst_counts(e, 0.2, wide, 2 * wide).collect()}
+    assert {r.event_id: r.burst_count for r in got.collect()} == want and got.count() == len(want)
+    got = sinks.read_batches(spark, f"{out}/h", "key string, event_id string, position bigint, score double")
+    want = {r.event_id: r.score for r in half_space.batch_scores(e, "event_type", "feature_vector", 2, params=p).collect()}
+    got = {r.event_id: r.score for r in got.collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], [want[k] for k in want])
+    # Empty batches pass, and keys that are not in a batch keep their state.
+    before = trees.before(99).orderBy("key").collect()
+    mergeable.half_space_batch(e.limit(0), 98, trees, f"{out}/h", "event_type", "feature_vector", 2, p, None)
+    assert trees.before(99).orderBy("key").collect() == before
+
+
+@pytest.mark.parametrize("threshold,minimum", [(0.5, 3), (3.0, 30), (1e9, 1)])
+def test_drift_fold_equals_the_loop(threshold, minimum):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 0.3, 4000) for m in (0, 1, 1, -2, 0)])
+    p, s, loop, hits = drift.Params(min_instances=minimum, threshold=threshold), drift.State(), drift.State(), []
+    want = [i for i, v in enumerate(x) if drift.update(loop, float(v), p)]
+    for a in range(0, len(x), 777):
+        s, at = drift.fold(s, x[a : a + 777], p)
+        hits += (at + a).tolist()
+    assert hits == want and (s.n, round(s.up, 6), round(s.down_max, 6)) == (loop.n, round(loop.up, 6), round(loop.down_max, 6))
+    assert bool(want) == (threshold < 1e6)
+
+
 def test_drift_stream_equals_batch(spark, event_files):
     files, e = event_files
     p = drift.Params(min_instances=10, threshold=1.0)

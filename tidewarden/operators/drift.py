@@ -78,6 +78,25 @@ def _sums(x: np.ndarray, n0: int, total0: float, up0: float, down0: float, p: Pa
     return _faded(gap - p.delta, up0, p.fade), _faded(gap + p.delta, down0, p.fade)
 
 
+def fold(s: State, x: np.ndarray, p: Params) -> tuple[State, np.ndarray]:
+    """(state behind the values, places of the signals): ``update`` over an array, between signals at once."""
+    at, start = [], 0
+    while start < len(x):
+        rest = x[start:]
+        up, down = _sums(rest, s.n, s.total, s.up, s.down, p)
+        low = np.minimum(np.minimum.accumulate(up), s.up_min)
+        high = np.maximum(np.maximum.accumulate(down), s.down_max)
+        ripe = s.n + 1 + np.arange(len(rest)) >= p.min_instances
+        hit = np.flatnonzero(ripe & ((up - low > p.threshold) | (high - down > p.threshold)))
+        if not len(hit):
+            s = State(s.n + len(rest), s.total + float(rest.sum()), float(up[-1]), float(down[-1]), float(low[-1]), float(high[-1]))
+            break
+        start += int(hit[0]) + 1
+        at.append(start - 1)
+        s = State()
+    return s, np.array(at, "int64")
+
+
 def batch_drifts(
     df: DataFrame,
     key: str,

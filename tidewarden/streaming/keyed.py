@@ -2,7 +2,8 @@
 
 Rows of a micro-batch are put in time order per key before they are folded in; a
 row that comes in a later batch than a newer one is folded when it arrives. How
-many rows one key can bring is bounded by the source's rate limit per trigger.
+many rows one key can bring is bounded by the source's rate limit per trigger; for keys
+beyond what one task can take there are the forms of ``streaming.mergeable``.
 """
 
 from __future__ import annotations
@@ -188,9 +189,9 @@ class PageHinkley(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
         s = drift.State(*self.state.get()) if self.state.exists() else drift.State()
-        hits = [drift.update(s, float(x), self.params) for x in pdf["x"]]
+        s, hits = drift.fold(s, pdf["x"].to_numpy("float64"), self.params)
         self.state.update(tuple(getattr(s, f) for f in self.FIELDS))
-        at = pdf[hits]
+        at = pdf.iloc[hits]
         yield pd.DataFrame({"key": key[0], "event_id": at["event_id"], "ms": at["ms"], "x": at["x"]})
 
     def close(self) -> None:
