@@ -57,6 +57,20 @@ def test_rules_count_repeats_lines_and_signs(spark):
     assert got[5].n_repeat_words == 12 and got[5].base_failed
 
 
+def test_shares_judge_only_texts_they_can_say_something_about(spark):
+    words = [f"wort{i}" for i in range(30)]
+    rows = [
+        (1, " ".join(words[:12]), None),  # too short to miss stop words
+        (2, " ".join(words), None),
+        (3, " ".join([*words, "(Den,", "der."]), None),  # signs around words do not hide them
+        (4, "eins zwei drei vier f\neins zwei drei vier f", None),  # two equal lines of two
+        (5, "\n".join(["some words that make one line of text"] * 2 + ["the other line is made of these"] * 3), None),
+    ]
+    got = by_id(quality_rules.judge(docs(spark, rows)))
+    assert (got[1].broken, got[2].broken, got[3].broken) == ([], ["stop_word_share"], [])
+    assert got[3].n_stop_words == 2 and got[4].broken == [] and got[5].broken == ["duplicate_line_share"]
+
+
 def test_rules_on_missing_empty_and_repeated_rows(spark):
     rows = [(None, None, None), (1, "", "s"), (1, "", "s"), (2, " \t\n", "s")]
     got = quality_rules.judge(docs(spark, rows)).collect()

@@ -1,6 +1,7 @@
 """Quality rules: a threshold table compiled into Spark projections, without user functions.
 
-``THRESHOLDS`` lists measures with the range a good text lies in. ``compile_rules`` turns the
+``THRESHOLDS`` lists measures with the range a good text lies in, and the number of words or lines
+from which on a share says something about a text; shorter texts are not judged by that measure. ``compile_rules`` turns the
 table into one Boolean column per rule; a text is kept when the two fixed base rules and all of
 the table's rules hold. Everything happens inside the row: no shuffle, no explode.
 
@@ -27,14 +28,17 @@ STOP_WORDS = (
     "le la les de des et un une est que pour dans par sur qui au "
     "el los las del en y que por con una se su es para"
 ).split()
-# measure, least, most (None: open). Ratios are per word, per line or characters per word.
+# Signs around words that are left out before stop words are looked up.
+SIGNS = ".,;:!?\"()"
+# measure, least, most (None: open), fewest words or lines. Ratios are per word, per line or
+# characters per word.
 THRESHOLDS = (
-    ("chars_per_word", 2.0, 15.0),
-    ("symbols_per_word", None, 0.1),
-    ("stop_word_share", 0.02, None),
-    ("duplicate_line_share", None, 0.3),
-    ("bullet_line_share", None, 0.9),
-    ("ellipsis_line_share", None, 0.3),
+    ("chars_per_word", 2.0, 15.0, 1),
+    ("symbols_per_word", None, 0.1, 1),
+    ("stop_word_share", 0.02, None, 20),
+    ("duplicate_line_share", None, 0.3, 4),
+    ("bullet_line_share", None, 0.9, 4),
+    ("ellipsis_line_share", None, 0.3, 4),
 )
 
 
@@ -82,7 +86,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         "*",
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hash"),
         lines.alias("_lines"),
-        F.transform("_words", lambda w: F.lower(w)).alias("_lower"),
+        words_of(F.lower(F.translate("_text", SIGNS, ""))).alias("_lower"),
     )
     # A window hash met twice is needed for a window met twice; only such texts are looked at
     # closer, by the words themselves.
@@ -122,10 +126,10 @@ def base_failed() -> Column:
 def compile_rules(thresholds=THRESHOLDS) -> dict[str, Column]:
     """One Boolean column per row of the table: true where the text breaks the rule."""
     out = {}
-    for name, least, most in thresholds:
+    for name, least, most, fewest in thresholds:
         value = _share(*RATIOS[name])
         tests = [value < least] * (least is not None) + [value > most] * (most is not None)
-        out[name] = tests[0] if len(tests) == 1 else tests[0] | tests[1]
+        out[name] = (tests[0] if len(tests) == 1 else tests[0] | tests[1]) & (F.col(RATIOS[name][1]) >= fewest)
     return out
 
 
@@ -155,9 +159,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     sides = {n: f"CASE WHEN {w} > 0 THEN {p}::DOUBLE / {w} ELSE 0 END" for n, (p, w) in RATIOS.items()}
     good = []
-    for name, least, most in THRESHOLDS:
-        good += [f"{sides[name]} >= {least}"] * (least is not None)
-        good += [f"{sides[name]} <= {most}"] * (most is not None)
+    for name, least, most, fewest in THRESHOLDS:
+        few = f"{RATIOS[name][1]} < {fewest}"
+        good += [f"({few} OR {sides[name]} >= {least})"] * (least is not None)
+        good += [f"({few} OR {sides[name]} <= {most})"] * (most is not None)
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     gap, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
     return f"""
@@ -174,7 +179,7 @@ def _sql() -> str:
             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
             coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
-            len(list_filter(words, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop_words,
+            len(list_filter(regexp_extract_all(lower(translate(text, '{SIGNS}', '')), '{word}'), lambda x: x IN ({stop})))::BIGINT AS n_stop_words,
             len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[-*•]')))::BIGINT AS n_bullet_lines,
             len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$')))::BIGINT AS n_ellipsis_lines
           FROM w LEFT JOIN c USING (r)),
