@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tidewarden.schema import COMPACT_AFTER_DAYS, STREAM_RETENTION, TABLE_RETENT
 from tidewarden.sources import files
 
 MARKER = "_compacted"
+SWAP_THREADS = 16
 
 
 def days(spark: SparkSession, path: str, column: str = "event_date") -> list[dt.date]:
@@ -97,7 +99,9 @@ def swap(spark: SparkSession, path: str, side: str) -> None:
     read: dict[str, list[str]] = {}
     for r in spark.read.parquet(f"{side}/read").collect():  # one row per file that was rewritten
         read.setdefault(r.folder, []).append(r.name)
-    for folder, names in sorted(read.items()):
+
+    def one_day(entry: tuple[str, list[str]]) -> None:
+        folder, names = entry
         present = set(files.children(spark, f"{path}/{folder}"))
         for name in names:
             if name in present:
@@ -105,6 +109,10 @@ def swap(spark: SparkSession, path: str, side: str) -> None:
         for name in files.children(spark, f"{side}/new/{folder}"):
             files.move(spark, f"{side}/new/{folder}/{name}", f"{path}/{folder}/{name}")
         files.touch(spark, f"{path}/{folder}/{MARKER}")
+
+    # Renames wait for the file system: days go side by side, so each is absent for a moment only.
+    with ThreadPoolExecutor(SWAP_THREADS) as pool:
+        list(pool.map(one_day, sorted(read.items())))
     files.delete(spark, side)
 
 

@@ -20,33 +20,30 @@ def insert_new(batch: DataFrame, path: str, keys: list[str] = KEYS, day: str = "
     holds rows gives one range. The plan has the same size for any batch: a late row costs its own
     time, scattered rows cost the days between them as well. A batch that is run again after a
     crash finds the rows that did get in and leaves them out, whether all or some had been committed.
+    The batch is read four times, keys and times only but for the last: callers hold on to one that
+    is costly to make.
     """
-    spark = batch.sparkSession
-    new = batch.dropDuplicates(keys).persist()
-    try:
-        if files.exists(spark, path):
-            near = _near(new, day)
-            if near is None:
-                return
-            held = spark.read.schema(new.schema).parquet(path).filter(near).select(*keys)
-            # The batch is small against its days: first keep the held keys it has
-            # (the batch side can be broadcast), then leave those rows out.
-            clashes = held.join(new.select(*keys), keys, "left_semi")
-            new_rows = new.join(clashes, keys, "left_anti")
-        else:
-            new_rows = new
-        # A day may hold most of the batch: rebalancing splits it over tasks. In time
-        # order within a file, row group statistics narrow later scans and inserts.
-        order = [day] + [c for c in ("event_time",) if c in new_rows.columns]
-        (
-            new_rows.hint("rebalance", F.col(day))
-            .sortWithinPartitions(*order)
-            .write.partitionBy(day)
-            .mode("append")
-            .parquet(path)
-        )
-    finally:
-        new.unpersist()
+    spark, new_rows = batch.sparkSession, batch
+    if files.exists(spark, path):
+        near = _near(batch, day)
+        if near is None:
+            return
+        held = spark.read.schema(batch.schema).parquet(path).filter(near).select(*keys)
+        # The batch is small against its days: first keep the held keys it has
+        # (the batch side can be broadcast), then leave those rows out.
+        clashes = held.join(batch.select(*keys), keys, "left_semi")
+        new_rows = batch.join(clashes, keys, "left_anti")
+    # A day may hold most of the batch: rebalancing splits it over tasks. In time
+    # order within a file, row group statistics narrow later scans and inserts.
+    order = [day] + [c for c in ("event_time",) if c in new_rows.columns]
+    (
+        new_rows.dropDuplicates(keys)
+        .hint("rebalance", F.col(day))
+        .sortWithinPartitions(*order)
+        .write.partitionBy(day)
+        .mode("append")
+        .parquet(path)
+    )
 
 
 def _near(new: DataFrame, day: str) -> Column | None:
