@@ -92,7 +92,8 @@ def budgets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per document: size, its source's budget, epochs and whether the rest takes it."""
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("tie")]
-    keys = keyed(docs, seed).withColumn("_any", F.rand(1))
+    # Written first: the sampling of borders would read all texts a second time.
+    keys = written(keyed(docs, seed), "mix-sizes").withColumn("_any", F.rand(1))
     spread = keys.repartitionByRange(*order, F.col("_any")).sortWithinPartitions(*order, F.col("_any")).drop("_any")
     rows = written(spread.withColumn("_at", F.monotonically_increasing_id()), "mix-keys")
     rows = rows.withColumn("_part", F.shiftright("_at", 33))
