@@ -10,6 +10,7 @@ from registered.alerts import PLAIN_ALERTS_SQL
 from registered.common import SCORED_SQL as S
 from registered.common import scored
 from registered.events import HOURLY
+from registered.events import ORACLES as EVENT_SQL
 from registered.ingest import K_TEXT, UUID5, messages, with_severity
 from registered.models import ORACLES as MODEL_SQL
 from registered.models import GIVEN_TREES, PH, tree_sql, two_trees
@@ -245,6 +246,50 @@ def hourly_table(s, sf):
 
 
 register("q07_hourly_stream", hourly_table, HOURLY)
+# By watermark: what it has not passed at the end of the run does not come out.
+PASSED = "<= (SELECT max(event_time) FROM scored) - INTERVAL {}"
+register(
+    "q13_ingestion_stream",
+    lambda s, sf: to_files(windows.ingestion_stream(readers.scored_stream(s, event_files(s, sf)[0], FILES)), s, "rate"),
+    f"""{S} SELECT time_bucket(INTERVAL '10 seconds', event_time) AS time, count(*) / 10.0::DOUBLE AS events_per_sec,
+      round(100.0::DOUBLE * count(*) FILTER (WHERE is_anomaly) / count(*), 2) AS anomaly_rate_pct
+    FROM scored GROUP BY 1 HAVING time + INTERVAL 10 SECOND {PASSED.format('3 HOUR')}""",
+)
+register(
+    "q26_live_metrics_stream",
+    lambda s, sf: to_files(windows.live_metrics_stream(readers.scored_stream(s, event_files(s, sf)[0], FILES)), s, "live"),
+    f"SELECT * FROM ({EVENT_SQL['q26_live_metrics_series']}) WHERE tick <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+)
+CLOCK_S = 60
+
+
+def by_clock(s, sf, start, schema):
+    """Every minute from the first event to the last, as a stream of times over the finished table."""
+    base, e = shared_dir(s, "by-clock"), scored(s, sf)
+    low, high = e.agg(F.min(F.unix_seconds("event_time")), F.max(F.unix_seconds("event_time"))).first()
+    ticks = s.range(low - low % CLOCK_S, high + 1, CLOCK_S, 8).select(F.timestamp_seconds("id").alias("at"))
+    ticks.write.parquet(f"{base}/clock")
+    clock = s.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/clock")
+    start(clock, lambda: e, f"{base}/out", f"{base}/checkpoint", CLOCK_S).awaitTermination()
+    return sinks.read_batches(s, f"{base}/out", schema).drop("batch_id")
+
+
+MINUTES = f"""SELECT make_timestamp(s * 1000000) AS tick FROM (SELECT unnest(range(min(ms) // 1000 // {CLOCK_S} * {CLOCK_S},
+    max(ms) // 1000 + 1, {CLOCK_S})) AS s FROM (SELECT epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms FROM events))"""
+register(
+    "q27_rate_rule_by_clock",
+    lambda s, sf: by_clock(s, sf, windows.start_rate_rule, "eval_time timestamp, anomaly_rate double, state string, batch_id int"),
+    f"""SELECT m.tick AS eval_time, anomaly_rate, coalesce(state, 'NoData') AS state
+    FROM ({MINUTES}) m LEFT JOIN ({EVENT_SQL['q27_rate_rule']}) r ON r.eval_time = m.tick""",
+)
+register(
+    "q26_live_metrics_by_clock",
+    lambda s, sf: by_clock(
+        s, sf, windows.start_live_metrics, "tick timestamp, events_per_second double, anomaly_rate_percent double, batch_id int"
+    ),
+    f"""SELECT tick, coalesce(events_per_second, 0) AS events_per_second, coalesce(anomaly_rate_percent, 0) AS anomaly_rate_percent
+    FROM ({MINUTES}) m LEFT JOIN ({EVENT_SQL['q26_live_metrics_series']}) r USING (tick)""",
+)
 HIGH_WINDOW = 6 * 3_600_000
 register(
     "a04_burst_state_stream",

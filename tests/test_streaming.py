@@ -10,7 +10,7 @@ from registered.common import scored as scored_view
 from registered.ingest import messages
 from tidewarden.functions.severity import AlertThresholds
 from tidewarden.operators import alerts, decode, drift, half_space
-from tidewarden.plans import hourly, queries, retrain
+from tidewarden.plans import hourly, maintenance, queries, retrain
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
 from tidewarden.streaming import alerting, batching, keyed, mergeable, scoring, windows
@@ -155,6 +155,59 @@ def test_alerting_stream_equals_batch(spark, event_files):
     assert spark.read.parquet(a.alert_table).count() == batch.count()
 
 
+def test_a_retried_alert_batch_counts_on_the_same_files(spark, event_files):
+    files, e = event_files
+    out, wide = folder(spark, "retried"), 24 * 3_600_000
+    e = e.withColumn("is_anomaly", F.lit(True))
+    early = F.col("event_id").cast("int") % 3 > 0
+    sinks.insert_new(e.filter(early), f"{out}/scored")
+    a = alerting.Alerter(
+        f"{out}/scored", f"{out}/alerts", f"{out}/topic", f"{out}/notes", f"{out}/cp",
+        thresholds=lambda: AlertThresholds(low=0.05, high=0.1, burst_limit=2), window_ms=wide, chunk_ms=wide,
+    )
+    counts = lambda n: {
+        (r.event_id, r.burst_count) for r in alerting.alerts_of_batch(e.filter(early), n, a).collect()
+    }
+    first = counts(0)
+    sinks.insert_new(e.filter(~early), f"{out}/scored")
+    assert counts(0) == first and first
+    # The next batch sees the new rows; lists older than one batch are dropped.
+    assert counts(1) != first and counts(2) == counts(1)
+    assert alerting.files.children(spark, f"{out}/cp-context") == ["1", "2"]
+    # A day that was rewritten meanwhile is read as it is, without a loss.
+    later = counts(2)
+    maintenance.compact(spark, f"{out}/scored", dt.datetime(2025, 1, 1, tzinfo=dt.UTC))
+    assert counts(2) == later
+    empty = alerting.Alerter(f"{out}/none", f"{out}/a", f"{out}/t", f"{out}/n", f"{out}/cp2")
+    assert alerting.alerts_of_batch(e, 0, empty).count() == 0
+
+
+def test_the_clock_speaks_where_events_are_silent(spark):
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=s)
+    # Two minutes all anomalous, silence, then one normal event.
+    rows = [(at(s), True) for s in range(0, 300, 5)] + [(at(1_000), False)]
+    e = spark.createDataFrame(rows, "event_time timestamp, is_anomaly boolean")
+    ticks = spark.createDataFrame([(at(s),) for s in list(range(0, 1_200, 10)) * 2], "eval_time timestamp")
+    judged = queries.rate_rule_at(e, ticks).withColumn("at", F.unix_seconds("eval_time") - int(at(0).timestamp()))
+    got = {r["at"]: (r.anomaly_rate, r.state) for r in judged.collect()}
+    assert len(got) == 120
+    for s in range(0, 1_200, 10):
+        inside = [a for t, a in rows if at(s - 120) <= t < at(s)]
+        rate = round(100 * sum(inside) / len(inside), 2) if inside else None
+        above = [any(a for t, a in rows if at(x - 120) <= t < at(x)) for x in range(s - 120, s + 1, 10)]
+        state = "NoData" if rate is None else "Normal" if rate <= 5 else "Firing" if all(above) else "Pending"
+        assert got[s] == (rate, state), s
+    assert {s for _, s in got.values()} == {"NoData", "Normal", "Firing", "Pending"}
+    live = ticks.withColumnRenamed("eval_time", "tick")
+    found = {r.events_per_second: r.anomaly_rate_percent for r in queries.live_metrics_at(e, live).collect()}
+    assert found[0.2] == 100.0 and found[0.1] == 0.0 and 0.0 in found
+    for empty in (queries.rate_rule_at(e, ticks.limit(0)), queries.live_metrics_at(e.limit(0), live.limit(0))):
+        assert empty.count() == 0
+    assert {r.state for r in queries.rate_rule_at(e.limit(0), ticks).collect()} == {"NoData"}
+    clock = windows.clock_stream(spark)
+    assert clock.isStreaming and clock.dtypes == [("at", "timestamp")]
+
+
 def test_burst_state_equals_batch(spark, event_files):
     files, e = event_files
     wide = 12 * 3_600_000

@@ -355,6 +355,26 @@ def live_metrics_series(events: DataFrame) -> DataFrame:
     )
 
 
+def live_metrics_at(events: DataFrame, ticks: DataFrame) -> DataFrame:
+    """``live_metrics_series`` at the times in ``tick`` (multiples of 5 s); zeros where nothing came in.
+
+    Only the events that the ticks look back on are read.
+    """
+    low, high = _span(ticks, "tick")
+    near = time_range(events, low - dt.timedelta(minutes=5), high, end_open=True)
+    known = live_metrics_series(near)
+    return ticks.select("tick").distinct().join(known, "tick", "left").fillna(0.0)
+
+
+def _span(ticks: DataFrame, column: str) -> tuple[dt.datetime, dt.datetime]:
+    """First and last time of a column; the epoch twice for no rows."""
+    at = F.unix_micros(column)
+    return tuple(
+        dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(microseconds=us or 0)
+        for us in ticks.agg(F.min(at), F.max(at)).first()
+    )
+
+
 def rate_rule(
     events: DataFrame,
     threshold_pct: float = 5.0,
@@ -412,6 +432,20 @@ def rate_rule(
     )
 
 
+def rate_rule_at(
+    events: DataFrame, ticks: DataFrame, threshold_pct: float = 5.0, window_s: int = 120, hold_s: int = 120, every_s: int = 10
+) -> DataFrame:
+    """``rate_rule`` at the times in ``eval_time`` (multiples of ``every_s``), with or without events.
+
+    A tick whose window holds no event has no rate and the state NoData, which also ends a hold.
+    Only the events that the ticks look back on are read.
+    """
+    low, high = _span(ticks, "eval_time")
+    near = time_range(events, low - dt.timedelta(seconds=window_s + hold_s), high, end_open=True)
+    known = rate_rule(near, threshold_pct, window_s, hold_s, every_s)
+    return ticks.select("eval_time").distinct().join(known, "eval_time", "left").fillna({"state": "NoData"})
+
+
 # --- alerts and jobs -----------------------------------------------------------
 
 

@@ -6,14 +6,15 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewarden.functions.severity import AlertThresholds
+from tidewarden.functions.timebuckets import time_range
 from tidewarden.operators import alerts, notify
-from tidewarden.schema import BURST_WINDOW_MS
-from tidewarden.sources import readers, sinks
+from tidewarden.schema import BURST_WINDOW_MS, SCORED_EVENT
+from tidewarden.sources import files, sinks
 
 
 @dataclass
@@ -38,12 +39,40 @@ class Alerter:
     routing_key: str = ""
 
 
-def alerts_of_batch(batch: DataFrame, a: Alerter) -> DataFrame | None:
+def context_files(spark: SparkSession, a: Alerter, batch_id: int, first: dt.date, last: dt.date) -> list[str]:
+    """Files of the scored table, in the days given, that a micro-batch counts bursts on.
+
+    The first attempt writes their names beside the checkpoint, before anything is counted, and a
+    retry goes by that list: what was inserted in between is left out. Only when a compaction has
+    taken a named file away does the retry read the days as they are. The lists of this batch and
+    the one before are kept.
+    """
+    present = [
+        f"{day}/{name}"
+        for day in files.children(spark, a.scored_table)
+        if f"event_date={first}" <= day <= f"event_date={last}"
+        for name in files.children(spark, f"{a.scored_table}/{day}")
+        if not name.startswith(("_", "."))
+    ]
+    folder = f"{a.checkpoint.rstrip('/')}-context"
+    pin = f"{folder}/{batch_id}"
+    if files.exists(spark, pin):
+        named = [r.value for r in spark.read.text(pin).collect()]
+        return named if set(named) <= set(present) else present
+    # Moved into place whole: a list that was cut short is never read.
+    files.write_text(spark, f"{folder}/_writing", "\n".join(present))
+    files.move(spark, f"{folder}/_writing", pin)
+    files.delete(spark, f"{folder}/{batch_id - 2}")
+    return present
+
+
+def alerts_of_batch(batch: DataFrame, batch_id: int, a: Alerter) -> DataFrame | None:
     """Alerts of the events of one micro-batch, None without any anomaly.
 
     Bursts are counted on the scored table, from one window before the batch to
-    its end, so no state has to be carried or kept in memory for a source, late
-    events are counted where they belong, and a retry gives the same alerts.
+    its end, so no state has to be carried or kept in memory for a source and late
+    events are counted where they belong. A retry counts on the same files as the
+    first attempt (``context_files``); silences, clears and thresholds are those of its time.
     """
     spark = batch.sparkSession
     ms = F.unix_millis("event_time")
@@ -63,8 +92,13 @@ def alerts_of_batch(batch: DataFrame, a: Alerter) -> DataFrame | None:
         F.col("source_id").alias("_source"),
         F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("_slot"),
     ).distinct()
-    context = readers.scored_table(spark, a.scored_table, start, end).filter("is_anomaly")
-    context = context.join(
+    held = context_files(spark, a, batch_id, start.date(), end.date())
+    if held:
+        reader = spark.read.schema(SCORED_EVENT).option("basePath", a.scored_table)
+        context = reader.parquet(*[f"{a.scored_table}/{name}" for name in held])
+    else:
+        context = spark.createDataFrame([], SCORED_EVENT)
+    context = time_range(context, start, end).filter("is_anomaly").join(
         near,
         (F.col("source_id") == F.col("_source"))
         & (F.floor(ms / F.lit(a.window_ms)) == F.col("_slot")),
@@ -82,7 +116,7 @@ def alerts_of_batch(batch: DataFrame, a: Alerter) -> DataFrame | None:
 
 
 def alert_batch(batch: DataFrame, batch_id: int, a: Alerter) -> None:
-    found = alerts_of_batch(batch, a)
+    found = alerts_of_batch(batch, batch_id, a)
     if found is None:
         return
     found = found.persist()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.plans import hourly
+from tidewarden.plans import hourly, queries
 from tidewarden.plans.queries import _anomalies, _rate_pct
 from tidewarden.session import cut_lineage
-from tidewarden.sources import files
+from tidewarden.sources import files, sinks
 
 LATE = "3 hours"
 
@@ -57,6 +59,58 @@ def live_metrics_stream(scored: DataFrame, late: str = "10 minutes") -> DataFram
     )
 
 
+def clock_stream(spark: SparkSession) -> DataFrame:
+    """The clock as a stream: one row per second (``at``), whether events come in or not."""
+    return (
+        spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+        .select(F.date_trunc("second", "timestamp").alias("at"))
+    )
+
+
+def start_by_clock(
+    clock: DataFrame, evaluate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, every_s: int,
+    column: str, interval: str | None = None,
+):
+    """Write ``evaluate(ticks)`` for every tick of a clock, also where no event has come in.
+
+    A stream of events stands still without events, so what has to be said about silence is driven
+    by a stream of times. Seconds that are no multiple of ``every_s`` are passed over; ticks missed
+    while the query was down are made up for. Each batch has a folder that a retry replaces.
+    """
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        on_time = F.unix_seconds("at") % every_s == 0
+        ticks = batch.filter(on_time).select(F.date_trunc("second", "at").alias(column))
+        sinks.append_batch(evaluate(ticks), out, batch_id)
+
+    writer = (
+        clock.writeStream.queryName(f"clock-{column}").option("checkpointLocation", checkpoint).foreachBatch(judge)
+    )
+    return (
+        writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    ).start()
+
+
+def start_rate_rule(
+    clock: DataFrame, events: Callable[[], DataFrame], out: str, checkpoint: str, every_s: int = 10,
+    interval: str | None = None, **rule,
+):
+    """The anomaly-rate rule, judged every ``every_s`` seconds of the clock on the table as it is then."""
+    return start_by_clock(
+        clock, lambda ticks: queries.rate_rule_at(events(), ticks, **rule), out, checkpoint, every_s, "eval_time", interval
+    )
+
+
+def start_live_metrics(
+    clock: DataFrame, events: Callable[[], DataFrame], out: str, checkpoint: str, every_s: int = 5,
+    interval: str | None = None,
+):
+    """Live metrics every ``every_s`` seconds of the clock, zeros where no event came in."""
+    return start_by_clock(
+        clock, lambda ticks: queries.live_metrics_at(events(), ticks), out, checkpoint, every_s, "tick", interval
+    )
+
+
 def start_hourly(scored: DataFrame, path: str, checkpoint: str, interval: str | None = None):
     """Keep the hourly table up to date: each batch replaces the rows it changed.
 
