@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is
 written as Parquet and read again before the next stage, so a lost executor costs one stage's
-files at most. All stages but the last return the columns of ``documents``.
+files at most. A stage's table is deleted once the next one is written, so two are held at a time.
+All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewarden.llm import decontaminate, mixing, near_dedup, quality_rules, token_ids
-from tidewarden.llm.common import read, written
+from tidewarden.llm.common import discard, read
+from tidewarden.session import shared_dir
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
