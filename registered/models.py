@@ -248,12 +248,19 @@ def trained(s, sf):
 
 
 def training_curve(s, sf):
-    m = trained(s, sf)
+    return curve(s, trained(s, sf))
+
+
+def curve(s, m):
     rows = [(i + 1, loss, m.threshold) for i, loss in enumerate(m.losses)]
     return s.createDataFrame(rows, "epoch int, loss double, threshold double")
 
 
 register("m11_autoencoder_fit", training_curve)
+register(
+    "m11_autoencoder_summed_fit",
+    lambda s, sf: curve(s, autoencoder.fit(vectors(s, sf), "x", "event_id", 64, epochs=8, steps=5)),
+)
 register("m12_autoencoder_score", lambda s, sf: autoencoder.score(vectors(s, sf), trained(s, sf), "x").drop("x"))
 
 

@@ -131,6 +131,38 @@ def test_autoencoder_parts_and_stop(spark, data, monkeypatch):
     assert len(stopped.losses) < 10
 
 
+def test_autoencoder_summed_gradients_do_not_depend_on_parts(spark, data, monkeypatch):
+    monkeypatch.setattr(autoencoder, "MERGE", 4)
+    kw = dict(hidden=(8, 3, 8), epochs=4, batch=64, steps=5)
+    one, many = (autoencoder.fit(data, "vector", "id", 10, parts=p, **kw) for p in (1, 32))
+    assert np.allclose(one.losses, many.losses, rtol=1e-9, atol=0)
+    assert np.allclose(one.weights, many.weights, rtol=1e-6, atol=1e-9)
+    assert one.losses[-1] < one.losses[0]
+    # A plain loop over the same slices.
+    rows = data.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(42))).select(
+        F.pmod(F.xxhash64("h"), F.lit(5)).alias("slice"), "vector"
+    ).collect()
+    slices = [np.array([r.vector for r in rows if r.slice == i]) for i in range(5)]
+    w = autoencoder.initial(one.sizes, 42)
+    m, v, step, losses = np.zeros_like(w), np.zeros_like(w), 0, []
+    for epoch in range(4):
+        total = 0.0
+        for i in np.random.default_rng([42, epoch]).permutation(5):
+            g, loss = autoencoder.gradient(slices[i], w, one.sizes)
+            step += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 1e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            total += loss * len(slices[i])
+        losses.append(total / len(rows))
+    assert np.allclose(losses, one.losses, rtol=1e-9, atol=0)
+
+
+def test_autoencoder_without_rows(spark, data):
+    for steps in (None, 3):
+        with pytest.raises(ValueError, match="no rows"):
+            autoencoder.fit(data.limit(0), "vector", "id", 10, hidden=(4,), steps=steps)
+
+
 def test_half_space_scores_outliers():
     rng = np.random.default_rng(3)
     p = half_space.Params()

@@ -3,8 +3,11 @@
 The rows are dealt into a given number of parts, whatever their count. Each task streams
 its part through mini-batch Adam, starting from the same weights; after every epoch the
 results are averaged, weighted by rows. With one part this is plain mini-batch training.
-Rows are stored in the order of a hash of their id, so batches mix all times and sources;
-a task holds one batch. Only weights reach the driver.
+With ``steps`` the parts only share the work: an epoch is that many steps of Adam, each on
+the gradient over all rows of one slice, summed over tasks and up a tree, so the number of
+parts changes nothing but rounding. Rows are dealt and sliced by a hash of their id, so
+batches and slices mix all times and sources; a task holds one batch. Only weights reach the
+driver.
 """
 
 from __future__ import annotations
@@ -116,6 +119,15 @@ def mini_batches(arrays: Iterator[np.ndarray], batch: int) -> Iterator[np.ndarra
         yield np.concatenate(held)
 
 
+def adam(
+    w: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, step: int, lr: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and both moments after step number ``step``, counted from 1."""
+    m = 0.9 * m + 0.1 * g
+    v = 0.999 * v + 0.001 * g * g
+    return w - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), m, v
+
+
 def train_part(
     arrays: Iterator[np.ndarray], state: np.ndarray, step: int, sizes: list[int], lr: float, batch: int
 ) -> tuple[np.ndarray, float, int, int]:
@@ -125,13 +137,22 @@ def train_part(
     for x in mini_batches(arrays, batch):
         step += 1
         g, loss = gradient(x, w, sizes)
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        w = w - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, m, v = adam(w, m, v, g, step, lr)
         total, rows = total + loss, rows + len(x)
     return np.stack([w, m, v]), total / max(step - first, 1), rows, step - first
 
 
+def mean_gradient(
+    arrays: Iterator[np.ndarray], weights: np.ndarray, sizes: list[int], batch: int
+) -> tuple[np.ndarray, float, int]:
+    """(mean gradient, mean loss, rows) over all rows at the same weights, a batch at a time."""
+    total, loss, rows = np.zeros_like(weights), 0.0, 0
+    for x in mini_batches(arrays, batch):
+        g, own = gradient(x, weights, sizes)
+        total, loss, rows = total + g * len(x), loss + own * len(x), rows + len(x)
+    return total / max(rows, 1), loss / max(rows, 1), rows
+
+
 PART = "part bigint, rows bigint, steps bigint, loss double, state binary"
 
 
@@ -150,6 +171,70 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _meet(trained: DataFrame, parts: int) -> pd.DataFrame:
+    """Rows of ``PART`` merged up a tree until MERGE are left at most."""
+    while parts > MERGE:
+        trained = trained.groupBy(F.floor(F.col("part") / MERGE)).applyInPandas(_merge, PART)
+        parts = math.ceil(parts / MERGE)
+    return trained.toPandas()
+
+
+def _part(rows: int, steps: int, loss: float, state: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"part": [TaskContext.get().partitionId()], "rows": [rows], "steps": [steps], "loss": [loss],
+         "state": [state.astype("<f8").tobytes()]}
+    )
+
+
+def _averaged_epoch(
+    data: DataFrame, state: np.ndarray, step: int, sizes: list[int], lr: float, batch: int, parts: int
+) -> tuple[np.ndarray, float, int]:
+    """Every part through Adam on its own, then the mean of their states."""
+    shared = data.sparkSession.sparkContext.broadcast(state)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = (matrix(b.column("x")) for b in batches if b.num_rows)
+        new, loss, rows, steps = train_part(arrays, shared.value, step, sizes, lr, batch)
+        if rows:
+            yield _part(rows, steps, loss, new)
+
+    last = _meet(data.select("x").mapInArrow(train, PART), parts)
+    shared.unpersist()
+    if last.empty:
+        raise ValueError("no rows to train on")
+    _, loss, flat = _average(last)
+    return flat.reshape(3, -1), loss, step + int(last["steps"].max())
+
+
+def _summed_epoch(
+    data: DataFrame, state: np.ndarray, step: int, sizes: list[int], lr: float, batch: int, parts: int,
+    order: np.ndarray,
+) -> tuple[np.ndarray, float, int]:
+    """A step of Adam per slice, on the gradient over all rows of the slice."""
+    w, m, v = state
+    total, rows = 0.0, 0
+    for piece in order:
+        shared = data.sparkSession.sparkContext.broadcast(w)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            arrays = (matrix(b.column("x")) for b in batches if b.num_rows)
+            g, loss, n = mean_gradient(arrays, shared.value, sizes, batch)
+            if n:
+                yield _part(n, 1, loss, g)
+
+        last = _meet(data.filter(F.col("slice") == int(piece)).select("x").mapInArrow(sums, PART), parts)
+        shared.unpersist()
+        if last.empty:  # no id falls into this slice
+            continue
+        n, loss, g = _average(last)
+        step += 1
+        w, m, v = adam(w, m, v, g, step, lr)
+        total, rows = total + loss * n, rows + n
+    if not rows:
+        raise ValueError("no rows to train on")
+    return np.stack([w, m, v]), total / rows, step
+
+
 def fit(
     df: DataFrame,
     vector: str,
@@ -164,20 +249,25 @@ def fit(
     seed: int = 42,
     threshold: str = "sigma",
     parts: int = PARTS,
+    steps: int | None = None,
 ) -> Autoencoder:
     """Train until the epoch loss has not improved for ``patience`` epochs.
 
     ``threshold``: ``sigma`` for mean + 3 deviations of the training errors,
-    ``p95`` for their 95th percentile.
+    ``p95`` for their 95th percentile. ``parts`` is the number of tasks. ``steps``: steps of
+    an epoch that are taken on summed gradients; the model is then the same for any ``parts``
+    but for rounding (a job per step, so this is for many rows to a step). None: parts train
+    on their own and are averaged, so their number changes the curve.
     """
-    spark = df.sparkSession
     sizes = [width, *hidden, width]
     data = (
         df.select(F.col(row_id).cast("string").alias("id"), F.col(vector).alias("x"))
         .withColumn("h", F.xxhash64("id", F.lit(seed)))
+        .withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(steps or 1)))
         .repartition(parts, "h")
-        .sortWithinPartitions("h", "id")
-        .select("x")
+        # Slices lie together, so a step reads the cached blocks of its own.
+        .sortWithinPartitions("slice", "h", "id")
+        .select("slice", "x")
         .persist()
     )
     weights = initial(sizes, seed)
@@ -185,30 +275,11 @@ def fit(
     best, waited, losses, step = math.inf, 0, [], 0
     try:
         for epoch in range(epochs):
-            shared = spark.sparkContext.broadcast(state)
-            step0 = step
-
-            def train(batches: Iterator[pa.RecordBatch], shared=shared, step0=step0) -> Iterator[pa.RecordBatch]:
-                arrays = (matrix(b.column("x")) for b in batches if b.num_rows)
-                new, loss, rows, steps = train_part(arrays, shared.value, step0, sizes, lr, batch)
-                if rows:
-                    part = TaskContext.get().partitionId()
-                    yield pa.RecordBatch.from_pydict(
-                        {"part": [part], "rows": [rows], "steps": [steps], "loss": [loss],
-                         "state": [new.astype("<f8").tobytes()]}
-                    )
-
-            trained, left = data.mapInArrow(train, PART), parts
-            while left > MERGE:
-                trained = trained.groupBy(F.floor(F.col("part") / MERGE)).applyInPandas(_merge, PART)
-                left = math.ceil(left / MERGE)
-            last = trained.toPandas()  # MERGE states at most
-            if last.empty:
-                raise ValueError("no rows to train on")
-            _, loss, flat = _average(last)
-            state = flat.reshape(3, -1)
-            step += int(last["steps"].max())
-            shared.unpersist()
+            if steps:
+                order = np.random.default_rng([seed, epoch]).permutation(steps)
+                state, loss, step = _summed_epoch(data, state, step, sizes, lr, batch, parts, order)
+            else:
+                state, loss, step = _averaged_epoch(data, state, step, sizes, lr, batch, parts)
             losses.append(loss)
             if loss < best:
                 best, waited = loss, 0
