@@ -205,6 +205,19 @@ def test_page_hinkley_batch_equals_loop(spark):
     assert got == want and len(want) >= 4
 
 
+def test_page_hinkley_rounds_do_not_go_with_its_blocks(spark, monkeypatch):
+    """Signals in most of the 60 blocks: they are found in a few rounds, not block by block."""
+    rng, p = np.random.default_rng(6), drift.Params(min_instances=20, threshold=2.0)
+    x = np.concatenate([rng.normal(m, 0.2, 100) for m in [0.1, 0.8] * 15])
+    rounds, search = [], drift._first_signals
+    monkeypatch.setattr(drift, "_first_signals", lambda *a: rounds.append(1) or search(*a))
+    got = sorted(r.position for r in drift.batch_drifts(ordered(spark, x), "k", "x", params=p, block_rows=50).collect())
+    s = drift.State()
+    want = [i for i, v in enumerate(x) if drift.update(s, float(v), p)]
+    assert got == want and len({i // 50 for i in want}) > 20
+    assert len(rounds) <= 3
+
+
 def test_psi(spark):
     base = spark.range(5000).select((F.col("id") / 5000).alias("x"))
     same = evaluate.psi(base, base, "x").first()[0]

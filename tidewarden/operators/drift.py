@@ -20,6 +20,8 @@ from tidewarden.session import cut_lineage, shared_dir
 
 
 LOOK_AHEAD = 4
+SEARCH_ROWS = 1_000_000
+PIECE = 4096
 
 
 @dataclass(frozen=True)
@@ -65,10 +67,10 @@ def _deviations(x: np.ndarray, n0: int, total0: float) -> np.ndarray:
 def _faded(step: np.ndarray, start: float, fade: float) -> np.ndarray:
     """s[i] = fade * s[i-1] + step[i], in pieces short enough for plain powers."""
     out = np.empty(len(step))
-    for a in range(0, len(step), 4096):
-        part = step[a : a + 4096]
+    for a in range(0, len(step), PIECE):
+        part = step[a : a + PIECE]
         power = fade ** np.arange(1, len(part) + 1)
-        out[a : a + 4096] = power * (start + np.cumsum(part / power))
+        out[a : a + PIECE] = power * (start + np.cumsum(part / power))
         start = out[a + len(part) - 1]
     return out
 
@@ -79,21 +81,26 @@ def _sums(x: np.ndarray, n0: int, total0: float, up0: float, down0: float, p: Pa
 
 
 def fold(s: State, x: np.ndarray, p: Params) -> tuple[State, np.ndarray]:
-    """(state behind the values, places of the signals): ``update`` over an array, between signals at once."""
+    """(state behind the values, places of the signals): ``update`` over an array, a piece at once.
+
+    What lies behind a signal is worked out again from there, so pieces are short: the time goes
+    with values and signals, not with their product.
+    """
     at, start = [], 0
     while start < len(x):
-        rest = x[start:]
+        rest = x[start : start + PIECE]
         up, down = _sums(rest, s.n, s.total, s.up, s.down, p)
         low = np.minimum(np.minimum.accumulate(up), s.up_min)
         high = np.maximum(np.maximum.accumulate(down), s.down_max)
         ripe = s.n + 1 + np.arange(len(rest)) >= p.min_instances
         hit = np.flatnonzero(ripe & ((up - low > p.threshold) | (high - down > p.threshold)))
-        if not len(hit):
+        if len(hit):
+            start += int(hit[0]) + 1
+            at.append(start - 1)
+            s = State()
+        else:
+            start += len(rest)
             s = State(s.n + len(rest), s.total + float(rest.sum()), float(up[-1]), float(down[-1]), float(low[-1]), float(high[-1]))
-            break
-        start += int(hit[0]) + 1
-        at.append(start - 1)
-        s = State()
     return s, np.array(at, "int64")
 
 
@@ -112,10 +119,12 @@ def batch_drifts(
     No key is gathered. Its rows are numbered and cut into blocks of
     ``block_rows``. Between two signals the detector is a chain of sums, so block
     results are chained: counts and totals, then the faded sums, then their
-    extremes. The first block that must contain a signal is then searched to its
-    end. As a signal resets the detector, the search goes on from the row after
+    extremes. From the first block that must contain a signal on, one task folds
+    the rows one by one, through ``SEARCH_ROWS`` of them or ``LOOK_AHEAD`` blocks, whichever
+    is more. As a signal resets the detector, the search goes on from the row after
     the last one. A key looks ``LOOK_AHEAD`` blocks ahead, then twice as many, until it
-    finds a signal or its end, so all rounds together read each block a few times only.
+    finds a signal or its end, so all rounds together read each block a few times only, and
+    where signals are dense there is a round per such stretch, however small a block is.
     """
     types = dict(df.dtypes)
     spark = df.sparkSession
@@ -125,9 +134,11 @@ def batch_drifts(
     numbered = with_prefix(base, key, "_ms", tie, chunk_ms=chunk_ms).withColumn(
         "_block", F.floor(F.col("_pos") / block_rows)
     )
-    # Stored by block: a round opens the files of the blocks it looks at.
+    search = max(LOOK_AHEAD, SEARCH_ROWS // block_rows)
+    # Stored by stretch of blocks: a round opens the files of those it looks at.
     path = shared_dir(spark, "drift-rows")
-    numbered.write.partitionBy("_block").parquet(path)
+    numbered = numbered.withColumn("_stretch", F.floor(F.col("_block") / search))
+    numbered.write.partitionBy("_stretch").parquet(path)
     rows = spark.read.schema(numbered.schema).parquet(path)
     # Per key: the last signal, how many blocks to look ahead, and its last block.
     state = rows.groupBy(F.col(key).alias("_k")).agg(
@@ -141,12 +152,12 @@ def batch_drifts(
         span = state.agg(F.min(first), F.max(reach)).first()
         if span[0] is None:
             break
-        near = rows.filter(F.col("_block").between(span[0], span[1]))
-        live = near.join(state, F.col(key).eqNullSafe(F.col("_k"))).filter(
+        near = rows.filter(F.col("_stretch").between(span[0] // search, (span[1] + search) // search))
+        live = near.filter(F.col("_block").between(span[0], span[1])).join(state, F.col(key).eqNullSafe(F.col("_k"))).filter(
             (F.col("_pos") > F.col("_from")) & (F.col("_block") <= reach)
         )
         # Written down: the next round starts behind these rows.
-        hits = cut_lineage(_first_signals(live.select(*rows.columns), key, types[key], params))
+        hits = cut_lineage(_first_signals(live.select(*rows.columns), near, key, types[key], params, search))
         found.append(hits)
         last = hits.groupBy(F.col(key).alias("_h")).agg(F.max("_pos").alias("_hit"))
         state = state.join(last, F.col("_k").eqNullSafe(F.col("_h")), "left")
@@ -173,16 +184,16 @@ def batch_drifts(
     )
 
 
-def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataFrame:
-    """Signals of every key up to the end of the first block with any: (key, _pos)."""
+def _first_signals(live: DataFrame, near: DataFrame, key: str, key_type: str, p: Params, search: int) -> DataFrame:
+    """Signals of every key in the ``search`` blocks of ``near`` from the first live one with any: (key, _pos)."""
     by_block = Window.partitionBy(key).orderBy("_block")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         live.groupBy(key, "_block")
-        .agg(F.count("*").alias("n"), F.sum("_x").alias("t"))
+        .agg(F.count("*").alias("n"), F.sum("_x").alias("t"), F.min("_pos").alias("at"))
         .select(
             # New names: the rows and their totals are grouped together below.
-            F.col(key).alias("_k"), F.col("_block").alias("_b"), "n",
+            F.col(key).alias("_k"), F.col("_block").alias("_b"), "n", "at",
             F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
             F.coalesce(F.sum("t").over(earlier), F.lit(0.0)).alias("t0"),
         )
@@ -200,7 +211,7 @@ def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataF
         .cogroup(totals.groupBy("_k", "_b"))
         .applyInPandas(
             ends,
-            f"{key} {key_type}, _block bigint, n bigint, n0 bigint, t0 double, up double, down double",
+            f"{key} {key_type}, _block bigint, n bigint, at bigint, n0 bigint, t0 double, up double, down double",
         )
     )
 
@@ -218,7 +229,7 @@ def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataF
 
     carried = partial.groupBy(key).applyInPandas(
         chain,
-        f"{key} {key_type}, _block bigint, n bigint, n0 bigint, t0 double, up0 double, down0 double",
+        f"{key} {key_type}, _block bigint, n bigint, at bigint, n0 bigint, t0 double, up0 double, down0 double",
     )
 
     def look(pdf: pd.DataFrame, info: pd.DataFrame):
@@ -240,7 +251,7 @@ def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataF
         )
 
     wide = (
-        f"{key} {key_type}, _block bigint, n bigint, n0 bigint, t0 double, up0 double, "
+        f"{key} {key_type}, _block bigint, n bigint, at bigint, n0 bigint, t0 double, up0 double, "
         "down0 double, up_min double, down_max double, own double, up_top double, down_low double"
     )
     judged = live.groupBy(*blocks).cogroup(carried.groupBy(*blocks)).applyInPandas(extremes, wide)
@@ -262,31 +273,23 @@ def _first_signals(live: DataFrame, key: str, key_type: str, p: Params) -> DataF
     )
 
     def exact(group: tuple, x: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-        """All signals inside the block: after each the detector restarts behind it."""
-        pdf, up, down, ripe, i = look(x, info)
+        """All signals from the block on: after each the detector restarts behind it."""
+        x, i = x.sort_values("_pos"), info.iloc[0]
         low = np.inf if pd.isna(i.low) else float(i.low)
         high = -np.inf if pd.isna(i.high) else float(i.high)
-        values, start, at = pdf["_x"].to_numpy(), 0, []
-        while len(up):
-            rise = up - np.minimum(np.minimum.accumulate(up), low)
-            fall = np.maximum(np.maximum.accumulate(down), high) - down
-            hit = np.flatnonzero(ripe & ((rise > p.threshold) | (fall > p.threshold)))
-            if len(hit) == 0:
-                break
-            at.append(start + int(hit[0]))
-            start = at[-1] + 1
-            up, down = _sums(values[start:], 0, 0.0, 0.0, 0.0, p)
-            ripe = 1 + np.arange(len(up)) >= p.min_instances
-            low, high = np.inf, -np.inf
-        return pd.DataFrame({key: pdf[key].iloc[at], "_pos": pdf["_pos"].iloc[at]})
-
-    # Only the blocks with a signal go on; of all other rows nothing is shuffled.
-    wanted = first.select(F.col("_k").alias("_wk"), F.col("_b").alias("_wb"))
-    searched = live.join(
-        wanted, (F.col(key) == F.col("_wk")) & (F.col("_block") == F.col("_wb")), "left_semi"
+        state = State(int(i.n0), float(i.t0), float(i.up0), float(i.down0), low, high)
+        _, at = fold(state, x["_x"].to_numpy(), p)
+        return pd.DataFrame({key: x[key].iloc[at], "_pos": x["_pos"].iloc[at]})
+
+    # Only the stretches behind a signal go on.
+    wanted = first.select(F.col("_k").alias("_wk"), F.col("_b").alias("_wb"), F.col("at").alias("_at"))
+    searched = near.select(key, "_block", "_pos", "_x").join(
+        wanted,
+        F.col(key).eqNullSafe(F.col("_wk")) & (F.col("_pos") >= F.col("_at")) & (F.col("_block") < F.col("_wb") + search),
+        "left_semi",
     )
     return (
-        searched.groupBy(*blocks)
-        .cogroup(first.groupBy("_k", "_b"))
+        searched.groupBy(key)
+        .cogroup(first.groupBy("_k"))
         .applyInPandas(exact, f"{key} {key_type}, _pos bigint")
     )
