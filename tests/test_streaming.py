@@ -380,6 +380,15 @@ def test_hourly_stream_equals_batch(spark, event_files):
     assert got.exceptAll(want).count() == 0
 
 
+def test_an_hour_of_the_hourly_stream_is_one_file(spark, event_files):
+    """Not one of every task: hours times tasks would be the number of files."""
+    path = folder(spark, "hourly-files")
+    windows.start_hourly(readers.scored_stream(spark, event_files[0], 1), path, folder(spark, "cp-hourly-files")).awaitTermination()
+    names = [r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()]
+    hours = hourly.read_partials(spark, path).select("bucket_hour").distinct().count()
+    assert len(names) == hours > 1
+
+
 def test_windowed_streams(spark, event_files):
     files, e = event_files
     rate = windows.ingestion_stream(readers.scored_stream(spark, files, 1))

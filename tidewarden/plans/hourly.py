@@ -52,13 +52,20 @@ def refresh_range(
     return start, end
 
 
-def write_partials(partials: DataFrame, path: str) -> None:
-    """Replace exactly the hour partitions present in ``partials``."""
-    (
-        partials.withColumn("bucket_hour", F.date_format("bucket", "yyyyMMddHH"))
+def write_partials(partials: DataFrame, path: str, pieces: int | None = None) -> None:
+    """Replace exactly the hour partitions present in ``partials``.
+
+    An hour is written by few tasks, not by all of them. ``pieces``: by that many, for callers
+    whose plans are not adaptive (the hint is passed over there); None leaves it to AQE.
+    """
+    hours = partials.withColumn("bucket_hour", F.date_format("bucket", "yyyyMMddHH"))
+    if pieces:
+        gathered = hours.repartition("bucket_hour", F.pmod(F.hash("source_id"), F.lit(pieces)))
+    else:
         # One hour of one-row-per-source partials; large hours are split by AQE.
-        .hint("rebalance", F.col("bucket_hour"))
-        .write.partitionBy("bucket_hour")
+        gathered = hours.hint("rebalance", F.col("bucket_hour"))
+    (
+        gathered.write.partitionBy("bucket_hour")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)

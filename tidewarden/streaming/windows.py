@@ -13,6 +13,7 @@ from tidewarden.session import cut_lineage
 from tidewarden.sources import files, sinks
 
 LATE = "3 hours"
+PIECE_ROWS = 1_000_000
 
 
 def hourly_stream(scored: DataFrame, late: str = LATE) -> DataFrame:
@@ -122,9 +123,10 @@ def start_hourly(scored: DataFrame, path: str, checkpoint: str, interval: str |
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            hours = [r[0] for r in batch.select(F.date_format("bucket", "yyyyMMddHH")).distinct().collect()]
-            if not hours:
+            counts = batch.groupBy(F.date_format("bucket", "yyyyMMddHH").alias("hour")).count().collect()
+            if not counts:
                 return
+            hours = [r["hour"] for r in counts]
             if files.exists(spark, path):
                 held = hourly.read_partials(spark, path).filter(F.col("bucket_hour").isin(hours))
                 kept = held.drop("bucket_hour").join(batch, ["bucket", "source_id"], "left_anti")
@@ -132,7 +134,9 @@ def start_hourly(scored: DataFrame, path: str, checkpoint: str, interval: str |
                 merged = cut_lineage(batch.unionByName(kept))
             else:
                 merged = batch
-            hourly.write_partials(merged, path)
+            # Plans of a stateful stream are not adaptive: without this every task has a file in every hour.
+            pieces = max(r["count"] for r in counts) // PIECE_ROWS + 1
+            hourly.write_partials(merged, path, pieces)
         finally:
             batch.unpersist()
 
