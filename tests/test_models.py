@@ -440,3 +440,15 @@ def test_half_space_queries_equal_the_loop(spark):
     x = np.array([r.feature_vector for r in sorted(rows, key=lambda r: (int(r.event_time.timestamp() * 1000), r.event_id))])
     want = half_space.fold(half_space.State.start(x[0], p), x, half_space.grow(2, p), p)
     assert len(x) > 500 and np.allclose(got["score"], want) and want.max() > 0
+
+
+def test_the_driver_gets_one_state_of_all_parts(spark):
+    from tidewarden.operators import autoencoder
+
+    states = [np.arange(6.0) * i for i in range(1, 9)]
+    rows = [(i, 10 * (i + 1), i, 0.5 * i, x.tobytes()) for i, x in enumerate(states)]
+    met = autoencoder._meet(spark.createDataFrame(rows, autoencoder.PART), 8)
+    assert len(met) == 1 and met["rows"][0] == 360 and met["steps"][0] == 7
+    share = np.arange(1, 9) / 36
+    assert np.allclose(np.frombuffer(met["state"][0]), sum(w * x for w, x in zip(share, states)))
+    assert autoencoder._meet(spark.createDataFrame([], autoencoder.PART), 8).empty

@@ -7,7 +7,7 @@ With ``steps`` the parts only share the work: an epoch is that many steps of Ada
 the gradient over all rows of one slice, summed over tasks and up a tree, so the number of
 parts changes nothing but rounding. Rows are dealt and sliced by a hash of their id, so
 batches and slices mix all times and sources; a task holds one batch. Only weights reach the
-driver.
+driver, once per epoch or step, whatever the number of parts.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def _average(pdf: pd.DataFrame) -> tuple[int, float, np.ndarray]:
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows, loss, state = _average(pdf)
+    rows, loss, state = _average(pdf.sort_values("part"))
     return pd.DataFrame(
         {"part": [int(pdf["part"].min()) // MERGE], "rows": [rows], "steps": [pdf["steps"].max()],
          "loss": [loss], "state": [state.astype("<f8").tobytes()]}
@@ -172,8 +172,8 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _meet(trained: DataFrame, parts: int) -> pd.DataFrame:
-    """Rows of ``PART`` merged up a tree until MERGE are left at most."""
-    while parts > MERGE:
+    """Rows of ``PART`` merged up a tree to the one that the driver gets, none without rows."""
+    while parts > 1:
         trained = trained.groupBy(F.floor(F.col("part") / MERGE)).applyInPandas(_merge, PART)
         parts = math.ceil(parts / MERGE)
     return trained.toPandas()
