@@ -507,12 +507,13 @@ def flows(s, sf):
     )
     return li.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
-        F.create_map(
+        # A generator keeps the map from being built again for every feature taken from it.
+        F.explode(F.array(F.create_map(
             F.lit("packet_length"), F.col("l_extendedprice"),
             F.lit("flow_duration"), duration,
             F.lit("fwd_packets/s"), F.when(F.col("l_linestatus") == "O", F.col("l_discount")),
             F.lit("bwd_packets/s"), F.col("l_tax"),
-        ).alias("features"),
+        ))).alias("features"),
     )
 
 
@@ -630,8 +631,9 @@ register(
 
 def fallback(s, sf):
     scaler = features.fallback_scaler()
-    v = features.scaled_vector(F.col("features"), scaler)
-    return flows(s, sf).select(
+    v = F.col("v")
+    scaled = F.explode(F.array(features.scaled_vector(F.col("features"), scaler))).alias("v")
+    return flows(s, sf).select("id", scaled).select(
         "id", F.size(v).alias("width"), F.round(F.get(v, F.lit(0)), 9).alias("p"), F.get(v, F.lit(3)).alias("b"),
         F.get(v, F.lit(20)).alias("last"), F.lit(scaler.version).alias("version"),
         F.size(features.zero_vector()).alias("zeros"),

@@ -72,7 +72,7 @@ def unskew(x: Column) -> Column:
     return F.log1p(F.when(x < 0, F.lit(0.0)).otherwise(x))
 
 
-def _value(features: Column, name: str) -> Column:
+def _value(features: Column, name: str | Column) -> Column:
     return F.try_element_at(features, F.lit(name))
 
 
@@ -89,12 +89,17 @@ def prepared(
     ``raw_zero`` puts 0 for a bad value here, before log and scaling. ``mean``
     leaves null, which scaling later turns into 0, i.e. the column mean.
     """
+    x = _imputed(features, name, impute)
+    return unskew(x) if name in skewed else x
+
+
+def _imputed(features: Column, name: str | Column, impute: str) -> Column:
     x = finite(_value(features, name))
     if impute == "raw_zero":
-        x = F.coalesce(x, F.lit(0.0))
-    elif impute != "mean":
+        return F.coalesce(x, F.lit(0.0))
+    if impute != "mean":
         raise ValueError("impute must be 'raw_zero' or 'mean'")
-    return unskew(x) if name in skewed else x
+    return x
 
 
 def fit_scaler(
@@ -129,14 +134,21 @@ def _usable_scale(std: float, mean: float, n: int) -> float:
 
 def scaled_vector(features: Column, scaler: Scaler, impute: str = "mean") -> Column:
     """Scaled feature array; a zero scale or a missing value gives 0."""
-    out = []
-    for name, mean, scale in zip(scaler.names, scaler.mean, scaler.scale):
-        if scale == 0.0:
-            out.append(F.lit(0.0))
-            continue
-        x = prepared(features, name, scaler.skewed, impute)
-        out.append(F.coalesce((x - F.lit(mean)) / F.lit(scale), F.lit(0.0)))
-    return F.array(*out)
+    if not scaler.names:
+        return F.array()
+    # One short expression over a list of parameters: written out for every feature, the generated
+    # method grows beyond what the JVM compiles.
+    params = [
+        F.struct(F.lit(n).alias("name"), F.lit(float(m)).alias("mean"), F.lit(float(s)).alias("scale"), F.lit(n in scaler.skewed).alias("skewed"))
+        for n, m, s in zip(scaler.names, scaler.mean, scaler.scale)
+    ]
+
+    def scaled(p: Column) -> Column:
+        x = _imputed(features, p["name"], impute)
+        x = F.when(p["skewed"], unskew(x)).otherwise(x)
+        return F.when(p["scale"] == 0.0, F.lit(0.0)).otherwise(F.coalesce((x - p["mean"]) / p["scale"], F.lit(0.0)))
+
+    return F.transform(F.array(*params), scaled)
 
 
 def normalise_vector(vector: Column, mean: list[float], std: list[float]) -> Column:
