@@ -35,6 +35,11 @@ def rounded(df, *names, digits=9):
 # --- messages --------------------------------------------------------------------
 
 
+def spread_out(e):
+    """The rows over all cores, whatever the files and row groups they lie in."""
+    return e.repartition(4 * e.sparkSession.sparkContext.defaultParallelism)
+
+
 def messages(s, sf):
     """The events as they would arrive: two envelopes, and some that cannot be read."""
     e = table(s, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
@@ -65,7 +70,7 @@ def messages(s, sf):
         .otherwise(as_map)
     )
     # A generator keeps the text from being rebuilt by every use of the column.
-    return e.select(F.explode(F.array(value)).alias("value"))
+    return spread_out(e).select(F.explode(F.array(value)).alias("value"))
 
 
 K_TEXT = """CASE WHEN event_type = 'click' THEN k WHEN k < 20 THEN NULL WHEN k < 25 THEN 1.0 ELSE k END"""
@@ -97,20 +102,23 @@ def avro_messages(s, sf):
         )
     )
     framed = avro.to_framed(F.col("text"), RAW_EVENT_AVRO)
-    e = e.select("value", F.explode(F.array(text)).alias("text")).withColumn("framed", framed)
+    e = spread_out(e).select("value", F.explode(F.array(text)).alias("text"))
+    # Through a generator each message is framed once, not again for every use of it.
+    e = e.select("value", "text", F.explode(F.array(framed)).alias("framed"))
     whole, cut = F.col("framed"), F.expr("substring(framed, 1, length(framed) - 3)")
     message = F.when(F.col("value") >= 300, cut).when(F.col("value") >= 250, F.concat(F.lit(b"\x00"), F.col("text").cast("binary")))
-    return e.select(message.when(F.col("value") >= 200, F.col("text").cast("binary")).otherwise(whole).alias("value"))
+    message = message.when(F.col("value") >= 200, F.col("text").cast("binary")).otherwise(whole)
+    return e.select(F.explode(F.array(message)).alias("value"))
 
 
 def avro_decoded(s, sf):
     """Good rows with their values, refused ones with the reason only."""
     d = decode.decode(avro_messages(s, sf), avro_schema=RAW_EVENT_AVRO)
-    good = decode.normalise(d, ["k", "value"]).select(
+    # Both in one pass: a union would frame and decode every message twice.
+    return decode.normalise(d, ["k", "value"], refused=True).select(
         "event_id", "source_id", "event_type", "event_time", F.get("feature_vector", 0).alias("k"),
-        F.get("feature_vector", 1).alias("value"), F.lit(None).cast("string").alias("bad"),
+        F.get("feature_vector", 1).alias("value"), "bad",
     )
-    return good.unionByName(d.filter("bad is not null").select("bad"), allowMissingColumns=True)
 
 
 register(

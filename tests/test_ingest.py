@@ -346,3 +346,29 @@ def test_critical_annotations_tell_the_score(spark, scored):
     rows = entry.queries()["s14_critical_annotations"](spark, "/root/testdata/sf0.001").collect()
     want = [f"CRITICAL Anomaly (Score: {r.anomaly_score})" for r in scored.filter("anomaly_score >= 0.95").collect()]
     assert want and sorted(r.text for r in rows) == sorted(want)
+
+
+def test_avro_messages_are_read_once(spark, tmp_path):
+    """Good and refused rows come of one pass: one call of the writer and one of the reader."""
+    import registered.ingest as r
+
+    rows = [(i, dt.datetime(2024, 1, 1, 0, i, tzinfo=dt.UTC), i, "view", v, '{"k": 7}') for i, v in enumerate((1.0, 210.0, 260.0, 310.0))]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    d = r.avro_decoded(spark, str(tmp_path))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+    got = {x.event_id: (x.source_id, x.k, x.value, x.bad) for x in d.filter("bad is null").collect()}
+    assert got == {"0": ("sourcé-0", 7.0, 1.0, None), "1": ("sourcé-1", 7.0, 210.0, None)}
+    refused = d.filter("bad is not null").collect()
+    assert [tuple(x) for x in refused] == [(None,) * 6 + ("Cannot deserialise message as Avro or JSON",)] * 2
+
+
+def test_scaling_is_one_expression_for_all_features(spark):
+    """Written out per feature, the generated method is beyond what the JVM compiles."""
+    names = [f"n{i}" for i in range(30)]
+    scaler = features.Scaler("v", names, [1.0] * 30, [2.0] * 29 + [0.0], names)
+    df = spark.createDataFrame([({"n0": 2.0, "n1": -3.0, "n2": float("nan"), "n29": 5.0},)], "features map<string,double>")
+    z = df.select(features.scaled_vector(F.col("features"), scaler).alias("z"))
+    assert z._jdf.queryExecution().analyzed().toString().upper().count("LOG1P") <= 2
+    assert z.first().z == [(math.log1p(2.0) - 1) / 2, -0.5] + [0.0] * 28

@@ -31,12 +31,15 @@ def decode(messages: DataFrame, value: str = "value", avro_schema: str | None =
     if avro_schema is not None:
         framed = F.hex(F.substring(F.col(value), 1, 1)) == "00"
         payload = F.coalesce(F.when(framed, from_framed(F.col(value), avro_schema)), payload)
+        # The same for the Avro reader, which the parse and the payload would both call.
+        df = df.select("*", F.explode(F.array(payload)).alias("_payload"))
+        payload = F.col("_payload")
     parsed = F.from_json(
         payload, ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
     # Through a generator the parse runs once per row; as a plain column it would be
     # repeated by every filter on it that is pushed below the projection.
-    df = df.select("*", payload.alias("payload"), F.explode(F.array(parsed)).alias("event"))
+    df = df.select("*", payload.alias("payload"), F.explode(F.array(parsed)).alias("event")).drop("_payload")
     looks_like_object = F.ltrim(F.col("payload")).startswith("{")
     broken = F.col("event").isNull() | F.col("event._corrupt").isNotNull()
     return df.withColumn(
@@ -119,22 +122,25 @@ def map_to_vector(features: Column, declared: list[str] | None = None) -> Column
     return F.transform(keys, lambda k: F.try_element_at(features, k))
 
 
-def normalise(decoded: DataFrame, declared: list[str] | None = None) -> DataFrame:
+def normalise(decoded: DataFrame, declared: list[str] | None = None, refused: bool = False) -> DataFrame:
     """Good messages of either envelope as one raw-event record.
 
-    An ``arrival`` column of the messages dates events that carry no time.
+    An ``arrival`` column of the messages dates events that carry no time. With ``refused`` bad
+    messages stay in, as rows of nulls with the reason in ``bad``.
     """
     e = F.col("event")
     arrival = F.col("arrival") if "arrival" in decoded.columns else None
     # Typed once in a projection of their own, then used several times.
-    typed = decoded.filter(F.col("bad").isNull()).select(
+    kept = decoded if refused else decoded.filter(F.col("bad").isNull())
+    typed = kept.select(
         "event",
+        *(["bad"] if refused else []),
         *([arrival] if arrival is not None else []),
         F.transform_values("event.features", lambda _, v: to_number(v)).alias("numbers"),
         F.transform("event.feature_vector", to_number).alias("vector"),
     )
     numbers, vector = F.col("numbers"), F.col("vector")
-    return typed.select(
+    records = typed.select(
         e.event_id.alias("event_id"),
         F.coalesce(e.source_id, F.lit("")).alias("source_id"),
         F.coalesce(e.event_type, F.lit("")).alias("event_type"),
@@ -144,7 +150,12 @@ def normalise(decoded: DataFrame, declared: list[str] | None = None) -> DataFram
         ).alias("features"),
         F.coalesce(vector, map_to_vector(numbers, declared)).alias("feature_vector"),
         F.coalesce(e.metadata, F.create_map().cast("map<string,string>")).alias("metadata"),
+        *(["bad"] if refused else []),
     )
+    if not refused:
+        return records
+    good = F.col("bad").isNull()
+    return records.select(*[c if c == "bad" else F.when(good, F.col(c)).alias(c) for c in records.columns])
 
 
 def read_vector(feature_vector: Column, declared: list[str] | None = None) -> Column:
