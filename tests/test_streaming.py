@@ -244,6 +244,35 @@ def test_burst_state_goes_by_event_time(spark):
     assert got["0-2"] == got["9-2"] == 3 and got["a"] == got["b"] == got["c"] == 1
 
 
+@pytest.mark.parametrize("expire", [False, True])
+def test_burst_state_is_called_per_bucket_not_per_source(spark, expire):
+    """1500 sources, one of them null, in two batches: the counts of a loop, from far fewer keys."""
+    path, cp = folder(spark, "many"), folder(spark, "cp-many")
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    schema = "source_id string, event_id string, event_time timestamp, anomaly_score double"
+    rng, rows = np.random.default_rng(5), []
+    for part in range(2):
+        new = [
+            (None if s == 7 else f"s{s}", f"{part}-{s}-{k}", t0 + dt.timedelta(seconds=30 * part + int(rng.integers(0, 30))),
+             float(rng.choice([0.2, 0.95])))
+            for s in range(1500) for k in range(2)
+        ]
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(path)
+        rows += new
+        stream = keyed.burst_stream(spark.readStream.schema(schema).parquet(path), 0.9, 20_000, expire=expire)
+        q = stream.writeStream.format("parquet").option("path", path + "-out").option("checkpointLocation", cp)
+        q.trigger(availableNow=True).start().awaitTermination()
+    own, want = {}, {}
+    for source, event, at, score in sorted(rows, key=lambda r: (r[2], r[1])):
+        times = own.setdefault(source, [])
+        times += [at] if score >= 0.9 else []
+        want[(source, event)] = sum(at - dt.timedelta(seconds=20) < t for t in times)
+    got = {(r.source_id, r.event_id): r.burst_count for r in spark.read.parquet(path + "-out").collect()}
+    assert got == want and max(want.values()) > 2
+    held = spark.read.format("statestore").option("stateVarName", "seen").load(cp)
+    assert 0 < held.select("key").distinct().count() < 1000
+
+
 def slow_batches(rows, size, wait):
     """Row by row, as one writer with a buffer would do it; the last batch is still open."""
     out, held, since = [], [], None

@@ -21,6 +21,7 @@ from tidewarden.operators import drift, half_space
 from tidewarden.schema import BURST_WINDOW_MS
 
 SLACK_MS = 10_000
+BUCKETS = 512  # of sources, by hash; fixed for the life of a checkpoint
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -39,10 +40,13 @@ def burst_counts(held: np.ndarray, ms: np.ndarray, high: np.ndarray, window: int
 
 
 class Bursts(StatefulProcessor):
-    """Times of the source's HIGH+ events of the last window, sorted.
+    """Times of the HIGH+ events of the last window, sorted, for every source of a bucket.
 
-    With ``expire`` a timer drops the state once the watermark is a window and ``SLACK_MS`` past
-    the newest of them: no event that may still come can count them.
+    A bucket is called once per micro-batch, whatever the number of its sources: a call for each
+    source would cost far more than its few rows. The sources of a bucket do not see each other.
+
+    With ``expire`` a timer drops a source once the watermark is a window and ``SLACK_MS`` past
+    the newest of its times: no event that may still come can count them.
     """
 
     def __init__(self, high: float, window_ms: int, expire: bool):
@@ -50,31 +54,49 @@ class Bursts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "times binary")
+        self.seen = handle.getListState("seen", "source_id string, times binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows)
-        held = np.frombuffer(bytes(self.seen.get()[0]), "<i8") if self.seen.exists() else np.zeros(0, "<i8")
-        ms = pdf["ms"].to_numpy("<i8")
-        high = (pdf["anomaly_score"] >= self.high).to_numpy()
-        counts = burst_counts(held, ms, high, self.window_ms)
-        held = np.sort(np.concatenate([held, ms[high]]))
-        newest = max(ms[-1], held[-1]) if len(held) else ms[-1]
-        # Late rows may still need what is a window older than the newest event.
-        held = held[held > newest - 2 * self.window_ms]
-        if len(held):
-            self.seen.update((held.astype("<i8").tobytes(),))
-        else:
-            self.seen.clear()
+    def _held(self) -> dict[str | None, np.ndarray]:
+        rows = self.seen.get() if self.seen.exists() else []
+        return {source: np.frombuffer(bytes(times), "<i8") for source, times in rows}
+
+    def _hold(self, held: dict[str | None, np.ndarray], now: int) -> None:
+        """Keep what is not over at ``now``, with a timer on the first source to be over."""
+        ends = {}
         if self.expire:
+            ends = {source: int(times[-1]) + self.window_ms + SLACK_MS for source, times in held.items()}
+            held = {source: times for source, times in held.items() if ends[source] > now}
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if len(held):
-                self.handle.registerTimer(int(held[-1]) + self.window_ms + SLACK_MS)
-        yield pd.DataFrame({"source_id": key[0], "event_id": pdf["event_id"], "burst_count": counts})
+        if held:
+            self.seen.put([(source, times.tobytes()) for source, times in held.items()])
+        else:
+            self.seen.clear()
+        if self.expire and held:
+            self.handle.registerTimer(min(ends[source] for source in held))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf, held = _in_order(rows), self._held()
+        at, score = pdf["ms"].to_numpy(), (pdf["anomaly_score"] >= self.high).to_numpy()
+        codes, names = pd.factorize(pdf["source_id"], use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")  # within a source the order of time stays
+        counts = np.zeros(len(pdf), "int64")
+        for name, own in zip(names, np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)):
+            source = None if pd.isna(name) else name
+            ms, high = at[own].astype("<i8"), score[own]
+            old = held.pop(source, np.zeros(0, "<i8"))
+            counts[own] = burst_counts(old, ms, high, self.window_ms)
+            old = np.sort(np.concatenate([old, ms[high]]))
+            newest = max(ms[-1], old[-1]) if len(old) else ms[-1]
+            # Late rows may still need what is a window older than the newest event.
+            old = old[old > newest - 2 * self.window_ms]
+            if len(old):
+                held[source] = old.astype("<i8")
+        self._hold(held, timerValues.getCurrentWatermarkInMs() if self.expire else 0)
+        yield pd.DataFrame({"source_id": pdf["source_id"], "event_id": pdf["event_id"], "burst_count": counts})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        self._hold(self._held(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
         return iter([])
 
     def close(self) -> None:
@@ -96,8 +118,11 @@ def burst_stream(
     rows = anomalies.withWatermark("event_time", f"{SLACK_MS} milliseconds") if expire else anomalies
     kept = ["event_time"] if expire else []
     return (
-        rows.select("source_id", "event_id", F.unix_millis("event_time").alias("ms"), "anomaly_score", *kept)
-        .groupBy("source_id")
+        rows.select(
+            F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).alias("bucket"),
+            "source_id", "event_id", F.unix_millis("event_time").alias("ms"), "anomaly_score", *kept,
+        )
+        .groupBy("bucket")
         .transformWithStateInPandas(
             Bursts(high, window_ms, expire),
             "source_id string, event_id string, burst_count bigint",
