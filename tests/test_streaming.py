@@ -1,8 +1,10 @@
 """Streaming jobs against their batch twins."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +297,71 @@ def test_batch_cuts_equal_a_buffer(size, wait):
     assert sum(b - a for a, b in batching.cuts(ms, size, wait, 10**6)) == len(ms)
 
 
+class Lane:
+    """What a lane keeps between two micro-batches, in memory."""
+
+    def __init__(self):
+        self.kept, self.timers = {}, set()
+
+    def getListState(self, name, schema):
+        return Kept(self.kept, name)
+
+    getValueState = getListState
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Kept:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def exists(self):
+        return self.name in self.kept
+
+    def get(self):
+        return self.kept[self.name]
+
+    def put(self, value):
+        self.kept[self.name] = value
+
+    update = put
+
+    def clear(self):
+        self.kept.pop(self.name, None)
+
+
+def test_many_write_batches_go_out_as_one_frame():
+    """60 000 rows in batches of 2: equal to the buffer, without a frame for each batch."""
+    import time
+
+    rng, lane = np.random.default_rng(3), Lane()
+    writer = batching.WriteBatches(2, 1000, False)
+    writer.init(lane)
+    ms = np.sort(rng.integers(0, 600_000, 60_000))
+    rows = pd.DataFrame({"ms": ms, "event_id": [f"{i:05d}" for i in range(len(ms))], "value": "x"})
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: -1)
+    started, out = time.perf_counter(), []
+    for a, b in [(0, 1), (1, 30_000), (30_000, 60_000)]:
+        out += list(writer.handleInputRows((4,), iter([rows.iloc[a:b]]), clock))
+    assert time.perf_counter() - started < 4
+    got = pd.concat(out)
+    assert list(got.columns) == ["lane", "batch", "size", "event_id", "value"] and set(got["lane"]) == {4}
+    batches = got.groupby("batch")["event_id"].agg(list)
+    assert list(batches) == slow_batches(list(zip(rows["ms"], rows["event_id"])), 2, 1000)
+    assert list(batches.index) == list(range(len(batches)))
+    assert (got.groupby("batch")["size"].agg(["min", "max"]).T == batches.map(len)).all(axis=None)
+    # What is left waits for its timer.
+    left = list(writer.handleExpiredTimer((4,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 10**9)))
+    assert len(got) + sum(len(f) for f in left) == len(rows) and not lane.timers and "held" not in lane.kept
+
+
 def test_write_batches_by_the_clock(spark):
     """1203 rows at once: two full batches at once, the rest by the timer without further input."""
     import time

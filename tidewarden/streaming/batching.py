@@ -54,13 +54,14 @@ class WriteBatches(StatefulProcessor):
     def _release(self, key, rows: pd.DataFrame, now: int) -> pd.DataFrame:
         """The closed batches of the lane; what is left is held, with a timer on its first row."""
         number = self.next.get()[0] if self.next.exists() else 0
-        ms, parts = rows["ms"].to_numpy("int64"), []
-        closed = cuts(ms, self.size, self.wait_ms, now)
-        for a, b in closed:
-            parts.append(rows.iloc[a:b].assign(lane=key[0], batch=number, size=b - a))
-            number += 1
+        closed = cuts(rows["ms"].to_numpy("int64"), self.size, self.wait_ms, now)
+        # The batches follow one another from the first row on, so all go out as one frame.
+        sizes = np.array([b - a for a, b in closed], dtype="int64")
+        out = rows.iloc[: sizes.sum()].assign(
+            lane=key[0], batch=np.repeat(number + np.arange(len(sizes)), sizes), size=np.repeat(sizes, sizes)
+        )
         left = rows.iloc[closed[-1][1] if closed else 0 :]
-        self.next.update((number,))
+        self.next.update((number + len(closed),))
         if len(left):
             self.held.put([(int(r.ms), r.event_id, r.value) for r in left.itertuples()])
         else:
@@ -69,8 +70,7 @@ class WriteBatches(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if len(left):
             self.handle.registerTimer(int(left["ms"].iloc[0]) + self.wait_ms)
-        names = ["lane", "batch", "size", "event_id", "value"]
-        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+        return out[["lane", "batch", "size", "event_id", "value"]]
 
     def _rows(self) -> pd.DataFrame:
         held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
