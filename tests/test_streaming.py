@@ -157,6 +157,28 @@ def test_alerting_stream_equals_batch(spark, event_files):
     assert spark.read.parquet(a.alert_table).count() == batch.count()
 
 
+def test_a_part_of_the_event_files_is_work_for_many_tasks(spark):
+    """Four parts that follow one another in time, each in more files than four; no row without a time."""
+    from registered import streams
+
+    sf, t0 = folder(spark, "many-files"), dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 50 == 7 else t0 + dt.timedelta(seconds=i * 37 % 4001), i % 5, "view", float(i % 300), '{"k": 3}')
+            for i in range(2000)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/events.parquet")
+    path, e = streams.event_files(spark, sf)
+    found = spark.read.parquet(path).select("event_id", "event_time", F.col("_metadata.file_path").alias("file"),
+                                            F.col("_metadata.file_modification_time").alias("at"))
+    files = found.groupBy("file", "at").agg(F.min("event_time").alias("low"), F.max("event_time").alias("high")).collect()
+    files = sorted(files, key=lambda f: (f.at, f.low))
+    assert len(files) == 4 * streams.FILES >= 4 * 8
+    parts = [files[i : i + streams.FILES] for i in range(0, len(files), streams.FILES)]
+    for a, b in zip(parts, parts[1:]):
+        assert max(f.high for f in a) < min(f.low for f in b) and max(f.at for f in a) <= min(f.at for f in b)
+    want = sorted(r.event_id for r in e.filter("event_time is not null").select("event_id").collect())
+    assert sorted(r.event_id for r in found.collect()) == want and len(want) == 1960
+
+
 def test_a_retried_alert_batch_counts_on_the_same_files(spark, event_files):
     files, e = event_files
     out, wide = folder(spark, "retried"), 24 * 3_600_000
