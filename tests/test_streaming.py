@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registered.common import scored as scored_view
 from registered.ingest import messages
 from tidewarden.functions.severity import AlertThresholds
-from tidewarden.operators import alerts, decode, drift, half_space
+from tidewarden.operators import alerts, decode, drift, forest, half_space
 from tidewarden.plans import hourly, maintenance, queries, retrain
 from tidewarden.sources import readers, sinks
 from tidewarden.sources.registry import Registry
@@ -73,6 +73,47 @@ def test_scoring_end_to_end_and_replay(spark):
     assert spark.read.parquet(to.table).count() == good
 
 
+def test_a_batch_holds_the_text_of_unread_messages_only(spark, monkeypatch):
+    """Of a message that was read, only the record is held between the writes; dead letters keep their text."""
+    out, held, real = folder(spark, "slim"), [], decode.dead_letters
+    monkeypatch.setattr(scoring.decode, "dead_letters", lambda d, *a: held.append(d) or real(d, *a))
+    texts = ['{"event_id":"a","source_id":"s","features":{"k":1.5},"event_time":1704067200000}', "{broken", "[1]"]
+    msgs = spark.createDataFrame([(t,) for t in texts], "value string")
+    to = scoring.Targets(f"{out}/table", f"{out}/topic", f"{out}/dead", f"{out}/cp")
+    scoring.score_batch(msgs, 0, scoring.Scorer(Registry(spark, f"{out}/registry")), to, ["k"])
+    assert set(held[0].columns) == {"event", "bad", "payload"}
+    assert sorted(r.payload for r in held[0].collect() if r.payload is not None) == sorted(texts[1:])
+    dead = spark.read.parquet(to.dead_letters)
+    assert sorted(r.raw_payload for r in dead.collect()) == sorted(texts[1:])
+    assert [r.source_id for r in spark.read.parquet(to.table).collect()] == ["s"]
+
+
+@pytest.mark.parametrize("size", [2, 5, 64])
+def test_a_forest_equals_the_walk_of_every_row(size):
+    rng = np.random.default_rng(size)
+    depth = max(1, int(np.ceil(np.log2(size))))
+    grown = [forest.grow_tree(rng.integers(0, 9, (size, 3)).astype(float), depth, rng) for _ in range(7)]
+    arrays = forest._empty(len(grown), size)
+    for tree, nodes in enumerate(grown):
+        for node, *values in nodes:
+            for array, value in zip(arrays, values):
+                array[tree, node] = value
+    model = forest.Forest("v", size, 0.1, 0.0, *arrays)
+    x = rng.integers(-1, 10, (5000, 3)).astype("float32")
+    x[::7, 1] = np.nan
+    total = np.zeros(len(x))
+    for nodes in grown:
+        by_node = {n[0]: n[1:] for n in nodes}
+        for i, row in enumerate(x):
+            at = 0
+            while by_node[at][2] != at:
+                feature, cut, child, _ = by_node[at]
+                at = child + bool(row[feature] > cut)
+            total[i] += by_node[at][3]
+    want = -np.exp2(-(total / len(grown)) / max(forest.average_path(size), 1e-12))
+    assert np.array_equal(model.score_samples(x), want)
+
+
 def test_model_swap_between_batches(spark):
     e = scored_view(spark, SF)
     r = Registry(spark, folder(spark, "registry"))

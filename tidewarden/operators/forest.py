@@ -74,16 +74,25 @@ class Forest:
         if len(x) and x.shape[1] <= self.feature.max():
             raise ValueError("vectors are shorter than those the forest was grown on")
         out = np.empty(len(x))
+        features, children = self.feature.astype(np.int64, copy=False), self.child.astype(np.int64, copy=False)
+        thresholds = self.threshold.astype(float, copy=False)
         for start in range(0, len(x), 4096):
-            block = np.ascontiguousarray(x[start : start + 4096])
+            block = np.ascontiguousarray(x[start : start + 4096], dtype=float)
             n, width = block.shape
             flat, base = block.ravel(), np.arange(n) * width
-            total = np.zeros(n)
+            total, step = np.zeros(n), np.empty((2, n), dtype=np.int64)
+            cut, right = np.empty((2, n)), np.empty(n, dtype=bool)
             for t in range(len(self.feature)):
-                feature, threshold, child = self.feature[t], self.threshold[t], self.child[t]
-                at = np.zeros(n, dtype=np.int64)
-                for _ in range(self.depth):
-                    at = child[at] + (flat[base + feature[at]] > threshold[at])
+                feature, threshold, child = features[t], thresholds[t], children[t]
+                # All rows start at the root; further down into buffers that are used again.
+                at = child[0] + (block[:, feature[0]] > threshold[0])
+                for _ in range(self.depth - 1):
+                    np.take(feature, at, out=step[0], mode="clip")
+                    step[0] += base
+                    np.take(flat, step[0], out=cut[0], mode="clip")
+                    np.take(threshold, at, out=cut[1], mode="clip")
+                    np.take(child, at, out=step[1], mode="clip")
+                    np.add(step[1], np.greater(cut[0], cut[1], out=right), out=at)
                 total += self.path[t][at]
             mean = total / max(len(self.feature), 1)
             out[start : start + n] = -np.exp2(-mean / max(average_path(self.sample_size), 1e-12))

@@ -98,7 +98,11 @@ def score_batch(
     The table is written before the topic: whoever sees an event on the topic
     finds it, and all events before it, in the table.
     """
-    decoded = (messages if "bad" in messages.columns else decode.decode(messages)).persist()
+    decoded = messages if "bad" in messages.columns else decode.decode(messages)
+    # Held with what is used below: the text of a message only where it could not be read.
+    kept = ["event", "bad", *(c for c in ("arrival",) if c in decoded.columns)]
+    unread = F.when(F.col("bad").isNotNull(), F.col("payload")).alias("payload")
+    decoded = decoded.select(*kept, unread).persist()
     try:
         good = decode.normalise(decoded, declared)
         # The id is normalised first: the table and the topic must carry the same one.
